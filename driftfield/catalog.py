@@ -1,4 +1,4 @@
-"""The registered queries of the library's own operators."""
+"""The registered queries of the library's own operators, each with the SQL that checks it."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import evidence_queries, model_queries, resampling_queries, track_queries
+
 
 @dataclass(frozen=True)
 class Query:
@@ -14,5 +16,5 @@ class Query:
     sql: str | None = None
 
 
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = {name: Query(run, sql) for module in (evidence_queries, track_queries, resampling_queries, model_queries) for name, (run, sql) in module.QUERIES.items()}
 FLAGSHIP = "model_evidence"
