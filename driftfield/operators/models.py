@@ -1,7 +1,7 @@
 """Latent-motion models of an event: likelihoods of time by place in, evidence and posteriors out.
 
-A kernel is a small numpy recursion over one event, which Spark groups and hands over in
-Arrow batches; one call scores all models asked for, so emissions are shuffled once.
+A kernel is a small numpy recursion over one event, which Spark gathers and hands over in
+Arrow batches; one pass scores all models asked for, so emissions are shuffled once.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +46,17 @@ class Event:
     motion: Motion
     goals: np.ndarray | None = None
     transitions: np.ndarray | None = None
+    #: Matrices by what they depend on, shared by all events of a task; bins repeat few step lengths.
+    made: dict | None = None
+
+    def keep(self, key: tuple, make: Callable[[], np.ndarray]) -> np.ndarray:
+        if self.made is None:
+            return make()
+        if key not in self.made:
+            if len(self.made) > 512:
+                self.made.clear()
+            self.made[key] = make()
+        return self.made[key]
 
 
 def lse(x: np.ndarray, axis=None) -> np.ndarray:
@@ -102,8 +113,7 @@ def _even(e: Event) -> np.ndarray:
 
 
 def _steps(e: Event, sigma: float) -> list[np.ndarray]:
-    made: dict[float, np.ndarray] = {}
-    return [made.setdefault(round(float(s), 9), gaussian(e.centres, e.centres, sigma * max(s, 1e-12) ** 0.5, e.motion.truncate)) for s in e.steps]
+    return [e.keep(("step", sigma, round(float(s), 9)), lambda s=s: gaussian(e.centres, e.centres, sigma * max(s, 1e-12) ** 0.5, e.motion.truncate)) for s in e.steps]
 
 
 def diffusion(e: Event):
@@ -150,17 +160,18 @@ def _momentum(e: Event, keep: list[np.ndarray] | None):
     if len(e.ll) == 1:
         return random(e)
     ll = e.ll if keep is None else np.where(np.array(keep), e.ll, -np.inf)
-    first = gaussian(e.centres, e.centres, e.motion.momentum * max(e.steps[0], 1e-12) ** 0.5, e.motion.truncate)
+    first = _steps(e, e.motion.momentum)[0]
+
+    def moves(k):
+        """[next, before, now]: the law of the next place for every pair."""
+        target = e.centres[None, :, :] + _decay(e, k) * (e.centres[None, :, :] - e.centres[:, None, :])
+        return gaussian(e.centres, target.reshape(b * b, 2), e.motion.momentum * e.steps[k] ** 0.5, e.motion.truncate).reshape(b, b, b)
 
     def step(k, p):
         if k == 0:
             return (first * p[None, :]).T  # [before, now]
-        target = e.centres[None, :, :] + _decay(e, k) * (e.centres[None, :, :] - e.centres[:, None, :])
-        live = p > 0
-        move = gaussian(e.centres, target[live], e.motion.momentum * e.steps[k] ** 0.5, e.motion.truncate)
-        out, now = np.zeros((b, b)), np.nonzero(live)[1]
-        np.add.at(out, now, (move * p[live][None, :]).T)
-        return out
+        law = e.keep(("pair", round(float(e.steps[k]), 9), round(float(_decay(e, k)), 9)), lambda: moves(k))
+        return np.einsum("xbn,bn->nx", law, p)
 
     return forward(ll, _even(e), step)
 
@@ -183,7 +194,7 @@ def goal(e: Event):
     for g in goals:
         gap = g[None, :] - e.centres
         far = np.sqrt((gap**2).sum(1, keepdims=True))
-        moves = [gaussian(e.centres, e.centres + gap * np.minimum(1.0, e.motion.goal_speed * s / np.maximum(far, 1e-12)), e.motion.diffusion * max(s, 1e-12) ** 0.5, e.motion.truncate) for s in e.steps]
+        moves = [e.keep(("goal", *map(float, g), round(float(s), 9)), lambda s=s, gap=gap, far=far: gaussian(e.centres, e.centres + gap * np.minimum(1.0, e.motion.goal_speed * s / np.maximum(far, 1e-12)), e.motion.diffusion * max(s, 1e-12) ** 0.5, e.motion.truncate)) for s in e.steps]
         found.append(forward(e.ll, _even(e), lambda k, p, moves=moves: moves[k] @ p))
     logs = np.array([f[0] for f in found])
     w = np.exp(logs - lse(logs)) if np.isfinite(logs).any() else np.full(len(logs), 1 / len(logs))
@@ -192,7 +203,7 @@ def goal(e: Event):
 
 def reversed_of(kernel):
     def run(e: Event):
-        log, post = kernel(Event(e.ll[::-1], e.centres, e.steps[::-1], e.dt, e.motion, e.goals, e.transitions))
+        log, post = kernel(Event(e.ll[::-1], e.centres, e.steps[::-1], e.dt, e.motion, e.goals, e.transitions, e.made))
         return log, post[::-1]
     return run
 
@@ -234,25 +245,32 @@ def centres_of(grid: Grid) -> np.ndarray:
 def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Motion = Motion(), dt: float = 1.0) -> DataFrame:
     """One row per event and model, from rows (session, event_index, t_idx, bin_dur, n_spikes, ll array).
 
-    An event is a group of its few time bins, so groups are small whatever the table's size.
+    An event's few time bins are gathered into one row, and tasks score rows as they come:
+    no cost per group, and no group larger than an event.
     """
     unknown = [m for m in models if m not in REGISTRY]
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
     chosen, centres = [(m, *REGISTRY[m]) for m in models], centres_of(grid)
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t_idx")
-        dur = rows["bin_dur"].to_numpy(float)
-        e = Event(np.array(rows["ll"].tolist(), float), centres, (dur[1:] + dur[:-1]) / 2, dt, motion)
-        out = []
-        for name, kernel, label in chosen:
-            log, post = kernel(e)
-            single = label == TRUNCATED and len(rows) == 1
-            out.append((key[0], key[1], name, "degenerate_single_bin" if single else label, log, len(rows), int(rows["n_spikes"].sum()), post[-1].tolist()))
-        return pd.DataFrame(out, columns=["session", "event_index", "model", "evidence_support", "log_evidence", "n_time", "n_spikes", "terminal"])
-
-    return emissions.groupBy("session", "event_index").applyInPandas(run, SCORE_SCHEMA)
+    def run(batches):
+        made: dict = {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                bins = row["bins"]
+                dur = np.array([x["bin_dur"] for x in bins], float)
+                e = Event(np.array([x["ll"] for x in bins], float), centres, (dur[1:] + dur[:-1]) / 2, dt, motion, made=made)
+                for name, kernel, label in chosen:
+                    log, post = kernel(e)
+                    single = label == TRUNCATED and len(bins) == 1
+                    out.append((row["session"], row["event_index"], name, "degenerate_single_bin" if single else label, log, len(bins), sum(x["n_spikes"] for x in bins), post[-1].tolist()))
+            cols = list(zip(*out)) or [()] * 8
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in SCORE_SCHEMA.split(", ")])
+
+    events = emissions.groupBy("session", "event_index").agg(F.sort_array(F.collect_list(F.struct("t_idx", "bin_dur", "n_spikes", "ll"))).alias("bins"))
+    return events.mapInArrow(run, SCORE_SCHEMA)
 
 
 def emissions(spikes: DataFrame, events: DataFrame, rates: DataFrame, grid: Grid, dt: float) -> DataFrame:

@@ -48,9 +48,10 @@ def exposure_outside(frames: DataFrame, excluded: DataFrame) -> DataFrame:
     """Each frame's duration less its overlap with the merged excluded intervals."""
     cut = merge_intervals(excluded).select(F.col("session").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"), _cells(F.col("start"), F.col("end")).alias("_c"))
     f = frames.withColumn("_until", F.col("t") + F.col("dt")).withColumn("_cell", _cells(F.col("t"), F.col("_until")))
-    low, high = F.greatest("t", "_a", F.col("_cell") * CELL), F.least("_until", "_b", (F.col("_cell") + 1) * CELL)
+    low = F.greatest("t", "_a", F.col("_cell") * CELL)
+    high = F.when(F.col("_b").isNotNull(), F.least("_until", "_b", (F.col("_cell") + 1) * CELL))  # null, so no overlap, where no interval met
     hit = f.join(cut, (F.col("session") == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (F.col("t") < F.col("_b")) & (F.col("_until") > F.col("_a")), "left")
-    return hit.groupBy("session", "frame_idx").agg(F.first("dt").alias("dt"), F.sum(F.coalesce(F.greatest(F.lit(0.0), high - low), F.lit(0.0))).alias("overlap")).withColumn("exposure", F.greatest(F.lit(0.0), F.col("dt") - F.col("overlap")))
+    return hit.groupBy("session", "frame_idx").agg(F.first("dt").alias("dt"), F.sum(F.greatest(F.lit(0.0), high - low)).alias("overlap")).withColumn("exposure", F.greatest(F.lit(0.0), F.col("dt") - F.col("overlap")))
 
 
 def frame_durations(position: DataFrame, cap: float = 1.0) -> DataFrame:
@@ -252,5 +253,5 @@ def horizon_visit(events: DataFrame, visits: DataFrame, horizon: float) -> DataF
     v = visits.select(F.col("session").alias("_s"), F.col("t").alias("arrival"), "well_id", F.floor(F.col("t") / CELL).alias("_c"))
     e = events.withColumn("_cell", _cells(F.col("end"), F.col("end") + horizon))
     hit = e.join(v, (F.col("session") == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (F.col("arrival") > F.col("end")) & (F.col("arrival") <= F.col("end") + horizon), "left")
-    out = hit.groupBy("session", "event_index").agg(F.min("arrival").alias("arrival"), F.min(F.struct("arrival", "well_id"))["well_id"].alias("true_well_id"), F.first("end").alias("end"))
+    out = hit.groupBy("session", "event_index").agg(F.min("arrival").alias("arrival"), F.min(F.when(F.col("arrival").isNotNull(), F.struct("arrival", "well_id")))["well_id"].alias("true_well_id"), F.first("end").alias("end"))
     return out.select("session", "event_index", "true_well_id", (F.col("arrival") - F.col("end")).alias("time_to_arrival_s"), F.col("arrival").isNotNull().alias("valid_label"), F.when(F.col("arrival").isNull(), "no_visit_within_horizon").otherwise("").alias("exclude_reason"))
