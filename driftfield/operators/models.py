@@ -242,7 +242,7 @@ def centres_of(grid: Grid) -> np.ndarray:
     return np.stack((grid.low_x + (ix + 0.5) * grid.size, grid.low_y + (iy + 0.5) * grid.size), 1)
 
 
-def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Motion = Motion(), dt: float = 1.0) -> DataFrame:
+def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Motion = Motion(), dt: float = 1.0, goals=None) -> DataFrame:
     """One row per event and model, from rows (session, event_index, t_idx, bin_dur, n_spikes, ll array).
 
     An event's few time bins are gathered into one row, and tasks score rows as they come:
@@ -260,7 +260,7 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
             for row in batch.to_pylist():
                 bins = row["bins"]
                 dur = np.array([x["bin_dur"] for x in bins], float)
-                e = Event(np.array([x["ll"] for x in bins], float), centres, (dur[1:] + dur[:-1]) / 2, dt, motion, made=made)
+                e = Event(np.array([x["ll"] for x in bins], float), centres, (dur[1:] + dur[:-1]) / 2, dt, motion, None if goals is None else np.array(goals, float), made=made)
                 for name, kernel, label in chosen:
                     log, post = kernel(e)
                     single = label == TRUNCATED and len(bins) == 1
@@ -269,7 +269,9 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in SCORE_SCHEMA.split(", ")])
 
-    events = emissions.groupBy("session", "event_index").agg(F.sort_array(F.collect_list(F.struct("t_idx", "bin_dur", "n_spikes", "ll"))).alias("bins"))
+    tasks = max(emissions.sparkSession.sparkContext.defaultParallelism, int(emissions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = emissions.repartition(tasks, "session", "event_index")  # small rows, much work: not to be coalesced
+    events = spread.groupBy("session", "event_index").agg(F.sort_array(F.collect_list(F.struct("t_idx", "bin_dur", "n_spikes", "ll"))).alias("bins"))
     return events.mapInArrow(run, SCORE_SCHEMA)
 
 

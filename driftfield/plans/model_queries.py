@@ -13,6 +13,7 @@ from .track_queries import _BINS, _COUNTS, GRID, RATES_SQL, rates
 
 QUERIES: dict = {}
 DT = 20.0
+GOALS = ((12.5, 12.5), (187.5, 12.5), (12.5, 87.5), (187.5, 87.5))
 
 
 def _r(c, name=None, digits=6):
@@ -51,7 +52,7 @@ def static_model_evidence(spark, d):
 @query()
 def latent_model_evidence(spark, d):
     """All registered models of every event, in one grouped pass over the emissions."""
-    s = op.score_events(_emissions(spark, d), GRID, list(op.REGISTRY), op.Motion(), DT)
+    s = op.score_events(_emissions(spark, d), GRID, list(op.REGISTRY), op.Motion(), DT, GOALS)
     return s.select("session", "event_index", "model", "evidence_support", _r("log_evidence", digits=6), "n_time", "n_spikes")
 
 
