@@ -235,7 +235,7 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, part: int = P
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.sum("size").alias("weight")).where("n > 1")
     once = buckets.groupBy("n", "low", "who", "weight").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("weight") / part).cast("long").alias("parts"))
     members = materialize(banded.join(once, "key").select("key", "parts", "rep", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep", "key"), F.col("parts"))).otherwise(0).alias("part")), "buckets")
-    wanted = members.select("rep").distinct()
+    wanted = members.select("rep").distinct().hint("merge")  # grows with the corpus: never broadcast
     text_rows = docs.join(wanted, F.col("doc_id") == F.col("rep"), "inner").select("rep", "text").dropDuplicates(["rep"])
     sets = materialize(text_rows.mapInArrow(_sets, "rep long, strips array<long>"), "strips")
 
