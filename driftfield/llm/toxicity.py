@@ -13,13 +13,14 @@ from .common import DOUBLE, FLAG, INT, LONG, materialize, schema, text_of
 
 #: Labelled rows used to fit, at most; taken by the order of a hash of their ids.
 SAMPLE = 8_192
-#: Features kept, at most: words and word beginnings that differ most between the labels.
+#: Features kept, at most: words and word beginnings that speak most surely for toxic rows.
 FEATURES = 4_096
-#: Least standardised log-odds of a kept feature, and least rows of the sample that hold it.
-LEAST_Z, LEAST_ROWS = 4.0, 6
-#: Log-odds from which a feature counts as a marker when toxic rows are graded.
-MARKER = 2.5
-#: Grades above 0; toxic rows are dealt over them by the share of marker words.
+#: Least standardised log-odds of a kept feature, and least part of the sample's toxic rows
+#: that hold it (and least number of them); near copies count once in all of these.
+LEAST_Z, LEAST_SHARE, LEAST_ROWS = 4.0, 0.02, 4
+#: Bytes from which a word is rare enough to tell texts apart.
+RARE = 10
+#: Grades above 0; toxic rows are dealt over them by how many kept features they hold.
 GRADES = 3
 #: A document is rejected if its probability of any grade above 0 is at least this.
 REJECT = 0.5
@@ -56,7 +57,7 @@ class Model:
 NOTHING = Model({}, (60.0,) * GRADES)
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_features: int, steps: int = 400, penalty: float = 0.02, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_features: int, steps: int = 1000, penalty: float = 1e-5, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights shared by all thresholds, by Adam on the penalised mean log-likelihood.
 
     rows and cols name the entries, all 1, of a sparse matrix; grades run from 0.
@@ -73,7 +74,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_feature
         p = np.maximum(edge[i, grade + 1] - edge[i, grade], 1e-12)
         ds = (slope[i, grade + 1] - slope[i, grade]) / p  # minus log-likelihood by s
         dt = np.array([(slope[:, j + 1] / p * ((grade == j + 1) * 1.0 - (grade == j))).sum() for j in range(k)])
-        g = np.concatenate((np.bincount(cols, ds[rows], minlength=n_features) / n + penalty * w / max(1, n_features), dt / n))
+        g = np.concatenate((np.bincount(cols, ds[rows], minlength=n_features) / n + penalty * w, dt / n))
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.999 * moments[1] + 0.001 * g * g
         move = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
@@ -83,7 +84,10 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_feature
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` labelled documents. Grade 0 is toxic = 0; toxic rows get
-    grades 1 to GRADES by rising share of marker features among all their features.
+    grades 1 to GRADES by rising numbers of kept features, cut at equal shares of rows.
+
+    Features are counted over sketches, the least hash of a row's long words, which near
+    copies share: else a copied text would make markers of its ordinary words.
 
     Labels without id or toxic flag are left out; of several labels of an id the largest
     holds. Without both kinds of rows the model rejects nothing.
@@ -99,32 +103,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     wanted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
     rows = materialize(wanted.mapInArrow(found, "doc_id long, toxic int, features array<binary>"), "toxicity-sample")
-    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    clean, toxic = sizes.get(0, 0), sum(n for k, n in sizes.items() if k)
+    sketched = rows.select((F.col("toxic") != 0).alias("toxic"), "features", F.expr(f"coalesce(array_min(transform(filter(features, f -> length(f) >= {RARE}), f -> xxhash64(f))), xxhash64(features))").alias("sketch"))
+    counts = [F.count_distinct(F.when(flag, F.col("sketch"))).alias(name) for name, flag in (("a", F.col("toxic")), ("b", ~F.col("toxic")))]
+    toxic, clean = sketched.agg(*counts).first()
     if not clean or not toxic:
         return NOTHING
-    held = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum(F.expr("cast(toxic <> 0 as int)")).alias("a"), F.sum(F.expr("cast(toxic = 0 as int)")).alias("b"))
+    held = sketched.select("toxic", "sketch", F.explode("features").alias("f")).groupBy("f").agg(*counts)
     odds = F.expr(f"ln((a + 0.5) / ({toxic} - a + 0.5)) - ln((b + 0.5) / ({clean} - b + 0.5))")
-    best = held.where(f"a + b >= {LEAST_ROWS}").withColumn("odds", odds).withColumn("z", F.abs("odds") / F.sqrt(F.expr("1 / (a + 0.5) + 1 / (b + 0.5)"))).where(f"z >= {LEAST_Z}")
-    kept = best.orderBy(F.desc("z"), "f").limit(FEATURES).select("f", "odds").collect()
+    best = held.where(f"a >= {max(LEAST_ROWS, LEAST_SHARE * toxic)}").withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(F.expr("1 / (a + 0.5) + 1 / (b + 0.5)"))).where(f"z >= {LEAST_Z}")
+    kept = best.orderBy(F.desc("z"), "f").limit(FEATURES).select("f").collect()
     if not kept:
         return NOTHING
     names = [bytes(r.f) for r in kept]
     place = {f: i for i, f in enumerate(names)}
-    marker = np.array([r.odds >= MARKER for r in kept])
 
     def sparse(batches):
         for b in batches:
             all_of = b.column("features").to_pylist()
             hits = [[place[f] for f in fs if f in place] for fs in all_of]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([len(f) for f in all_of], pa.int32()), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "toxic", "n", "at"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "toxic", "at"])
 
-    got = rows.mapInArrow(sparse, "doc_id long, toxic int, n int, at array<int>").orderBy("doc_id").collect()
+    got = rows.mapInArrow(sparse, "doc_id long, toxic int, at array<int>").orderBy("doc_id").collect()
     flag = np.array([r.toxic != 0 for r in got])
-    share = np.array([marker[r["at"]].sum() / max(1, r.n) if r["at"] else 0.0 for r in got])
-    cuts = np.quantile(share[flag], np.arange(1, GRADES) / GRADES)
-    grade = np.where(flag, 1 + np.searchsorted(cuts, share, side="right"), 0).astype(int)
     size = np.array([len(r["at"]) for r in got])
+    cuts = np.quantile(size[flag], np.arange(1, GRADES) / GRADES)
+    grade = np.where(flag, 1 + np.searchsorted(cuts, size, side="left"), 0).astype(int)
     cols = np.array([c for r in got for c in r["at"]], int)
     w, t = fit_ordinal(np.repeat(np.arange(len(got)), size), cols, grade, len(names))
     return Model({f: float(x) for f, x in zip(names, w)}, tuple(map(float, t)))
