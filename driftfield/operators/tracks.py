@@ -85,7 +85,7 @@ def robust_position(position: DataFrame, half: int = 2, limit: float = 500.0) ->
     place = F.row_number().over(w)
     out = position
     for c in ("x", "y"):
-        first, last = F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last(c).over(w.rowsBetween(0, Window.unboundedFollowing))
+        first, last = F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         # samples missing at an edge stand as repeats of the end sample
         padded = F.concat(F.array_repeat(first, F.greatest(F.lit(0), half + 1 - place)), F.collect_list(c).over(near), F.array_repeat(last, F.greatest(F.lit(0), place + half - n).cast("int")))
         out = out.withColumn(f"{c}_smooth", F.sort_array(padded)[half])
@@ -131,7 +131,9 @@ def as_of(points: DataFrame, samples: DataFrame, values: list[str], gap: float |
     both = p.withColumn("_s", F.lit(None).cast(s.schema["_s"].dataType)).unionByName(s, allowMissingColumns=True)
     w = Window.partitionBy(by).orderBy("t", "_p")
     a = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # the sample after, by the reversed order: a frame that only grows costs one pass
+    back = Window.partitionBy(by).orderBy(F.desc("t"), F.desc("_p"))
+    b = F.last("_s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     met = both.withColumn("_a", a).withColumn("_b", b).where("_p = 1")
     share = (F.col("t") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
     open_ = F.lit(False) if gap is None else F.coalesce((F.col("_b.t") - F.col("_a.t") > gap) & (F.col("t") > F.col("_a.t")), F.lit(False))
