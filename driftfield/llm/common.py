@@ -57,6 +57,12 @@ def text_of(batch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def _cell_of(order: list[str], n: int):
+    """By the digest of the order columns, so that any engine can number the rows alike."""
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order]))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(n)).cast("int")
+
+
 def slots(df: DataFrame, group: str, order: list[str], out: str, per_cell: int = 4096) -> DataFrame:
     """Adds `out`: a gapless number from 0 within each value of `group`.
 
@@ -67,7 +73,7 @@ def slots(df: DataFrame, group: str, order: list[str], out: str, per_cell: int =
     interchangeable, but such rows must be few, as they share a cell.
     """
     n = max(1, -(-df.count() // per_cell))
-    cell = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    cell = df.withColumn("_cell", _cell_of(order, n))
     by_group = F.expr(f"sum(_n) over (partition by {group} order by _cell rows between unbounded preceding and 1 preceding)")
     starts = cell.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n")).select(F.col(group).alias("_g"), F.col("_cell").alias("_c"), F.coalesce(by_group, F.lit(0)).alias("_start"))
     rank = F.expr(f"row_number() over (partition by {group}, _cell order by {', '.join(order)}) - 1")

@@ -56,5 +56,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+def _tree_sql(tree: sharding.Node, at: str) -> str:
+    """The descent as nested CASEs: draws by the digest of a child's name and the key."""
+    if not tree.children:
+        return str(tree.shard)
+    live = [c for c in tree.children if c.total > 0]
+    if len(live) == 1:
+        return _tree_sql(live[0], at)
+    draws = ", ".join(f"{{'at': -ln((('0x' || substr(md5('{c.name}|' || k), 1, {sharding.DIGITS}))::bigint + 0.5::double) / {16**sharding.DIGITS}.0::double) / {float(c.total)!r}::double, 'child': {i}}}" for i, c in enumerate(live))
+    picks = " ".join(f"when {i} then {_tree_sql(c, at)}" for i, c in enumerate(live))
+    return f"case list_min([{draws}]).child {picks} end"
+
+
+#: CRC-32 by table: the table from its rule, then one step a byte of the UTF-8 text.
+_CRC_SQL = """crc_table as (select list(v order by i) as tab from (select i, list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as v from range(256) as r(i))),
+texts as (select distinct text from documents),
+crcs as (select text, xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], list_transform(range(octet_length(encode(coalesce(text, '')))), lambda i: ('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1]))) as text_crc32 from texts, crc_table)"""
+
+
+def _op7_sql() -> str:
+    shard, grown = (_tree_sql(sharding.layout(n), "k") for n in (40, 41))
+    return f"""with {_CRC_SQL}, placed as (select doc_id, octet_length(encode(coalesce(d.text, '')))::bigint + 16 as size, c.text_crc32, coalesce(doc_id::varchar, 'null') as k, greatest(1, ceil((select count(*) from documents) / 4096.0)::bigint) as n from documents d left join crcs c on d.text is not distinct from c.text),
+sharded as (select *, {shard} as shard, {grown} as grown_shard, ('0x' || substr(md5(concat_ws('|', doc_id, text_crc32, size)), 1, 8))::bigint % n as cell from placed)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by cell, doc_id, text_crc32, size) - 1 as slot, grown_shard from sharded"""
+
+
+_OP8_SQL = f"""with p as (select page_id, url, coalesce(html, '') as h from pages), q as (select *, octet_length(encode(h))::bigint as payload_bytes, sha1(encode(h)) as payload_digest from p),
+w as (select payload_digest, max(page_id) as first from q where payload_bytes >= {warc.REVISIT_BYTES} group by 1 having count(*) > 1),
+r as (select q.*, case when w.first is not null and q.page_id is distinct from w.first then w.first end as refers_to from q left join w using (payload_digest))
+select page_id, payload_bytes, payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to, coalesce(nullif(url, ''), 'urn:page:' || page_id) as target_uri, case when refers_to is null then payload_bytes else 0 end as stored_bytes from r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same; the other operators are tested by brute force."""
+    return {"op7_hash_tree_shards": _op7_sql(), "op8_dictionary_warc": _OP8_SQL}
