@@ -28,9 +28,11 @@ from .common import DOUBLE, FLAG, LONG, materialize, schema
 
 DEPTH = 5
 #: UTF-8 bytes of a chunk of documents, about; and chunks that ask one copy of a subtree.
-CHUNK_BYTES, CHUNKS_PER_COPY = 48 << 20, 64
+CHUNK_BYTES, CHUNKS_PER_COPY = 24 << 20, 64
 #: Bytes whose windows are counted at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+#: Grams of the model in a task, about, where trees are built; tasks are never merged below that.
+TASK_GRAMS = 50_000
 #: A task's word counts are sent on when they have so many words.
 WORDS = 400_000
 #: The subtree below the last two bytes lies in one task.
@@ -101,7 +103,7 @@ def count_keys(batches):
     for b in batches:
         for held in blocks(x or "" for x in b.column("text").to_pylist()):
             grams.append(np.unique(windows(held)[0], return_counts=True))
-            if len(grams) > 8:
+            if len(grams) > 32:
                 grams = [merged(grams)]
                 if len(grams[0][0]) > 4 * WORDS:
                     yield _rows(*grams.pop())
@@ -222,9 +224,9 @@ class Slots:
     """Values by integer key, looked up for whole arrays: open addressing with linear probes."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        self.bits = max(4, int(len(key) * 4).bit_length())
+        self.bits = max(4, int(len(key) * 2).bit_length())
         self.key = np.full(1 << self.bits, -1, np.int64)
-        self.value = np.zeros(1 << self.bits)
+        self.value = np.zeros(1 << self.bits, np.float32)
         todo, at = np.arange(len(key)), self.start(key)
         while len(todo):
             free = self.key[at] == -1
@@ -260,9 +262,9 @@ def ask(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key)], ["chunk", "key"])
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, list[Level], tuple[float, float]]:
-    """The counts of all grams and words of training documents as a table (key, n), the top
-    levels, and N and V of the words."""
+def train(docs: DataFrame) -> tuple[DataFrame, int, list[Level], tuple[float, float]]:
+    """The counts of all grams and words of training documents as a table (key, n), how many
+    tasks its grams fill, the top levels, and N and V of the words."""
     training = docs.where(~held_out(F.col("doc_id"))).select("text")
     model = materialize(training.mapInArrow(count_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
     n, v = model.where("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -279,10 +281,12 @@ def train(docs: DataFrame) -> tuple[DataFrame, list[Level], tuple[float, float]]
         sums = [np.bincount(at, x, minlength=len(key)) for x in (root.n0, root.n1, total)]
         yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums)], ["key", "n0", "n1", "total"])
 
-    grams = model.where("key >= 0").repartition(F.shiftright("key", 8) % (1 << 8 * ROOT))
+    grams = model.where("key >= 0")
+    tasks = -(-grams.count() // TASK_GRAMS) or 1
+    grams = grams.repartition(tasks, F.shiftright("key", 8) % (1 << 8 * ROOT))
     top = grams.mapInArrow(roots, "key long, n0 double, n1 double, total double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "total")]).orderBy("key").collect()
     cols = [np.array([r[i] for r in top], np.int64 if i == 0 else float) for i in range(4)]
-    return model, top_levels(*cols), (float(n), float(v))
+    return model, tasks, top_levels(*cols), (float(n), float(v))
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,18 +298,20 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     counts one bit, and each token's base probability is 1.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model, top, (n, v) = train(docs)
+    model, tasks, top, (n, v) = train(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = -(-size // CHUNK_BYTES) or 1
     copies = -(-chunks // CHUNKS_PER_COPY)
     placed = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(chunks)).cast("int")).withColumn("held_out", held_out(F.col("doc_id"))).repartition("chunk")
 
     root = F.shiftright("key", 8) % (1 << 8 * ROOT)
+    # a row of the model has a negative chunk, -1 - copy; copies of a subtree serve chunks in turn
     copy = F.when(F.col("key") >= 0, F.expr(f"sequence(0, {copies - 1})")).otherwise(F.array(F.lit(0)))
-    asked = placed.mapInArrow(ask, "chunk int, key long").withColumn("n", F.lit(None).cast("long")).withColumn("copy", F.when(F.col("key") >= 0, F.col("chunk") % copies).otherwise(0))
-    known = model.select(F.lit(None).cast("int").alias("chunk"), "key", "n", F.explode(copy).alias("copy"))
-    task = F.when(F.col("key") >= 0, root * copies + F.col("copy")).otherwise(F.col("key"))
-    met = known.unionByName(asked).withColumn("task", task).repartition("task").select("chunk", "key", "n")
+    asked = placed.mapInArrow(ask, "chunk int, key long").withColumn("n", F.lit(None).cast("long"))
+    known = model.select(F.explode(copy).alias("copy"), "key", "n").select((-1 - F.col("copy")).cast("int").alias("chunk"), "key", "n")
+    serves = F.when(F.col("chunk") < 0, -1 - F.col("chunk")).otherwise(F.col("chunk") % copies)
+    task = F.when(F.col("key") >= 0, root * copies + serves).otherwise(F.col("key"))
+    met = known.unionByName(asked).repartition(max(tasks * copies, 2 * chunks), task)
 
     def answer(batches):
         t = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["chunk", "key", "n"])])
@@ -338,11 +344,14 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         key, value = right["key"].to_numpy(), right["value"].to_numpy()
-        grams = Slots(key[key >= 0], value[key >= 0])
+        gram = key >= 0
+        grams = Slots(key[gram], value[gram])
+        key, value = key[~gram], value[~gram]
         order = np.argsort(key)
         key, value = key[order], value[order]
+        del right, gram, order
         unknown, rows = float(np.log10(0.5)), []
-        for held in blocks(x or "" for x in left["text"].to_pylist()):
+        for held in blocks(x or "" for i in range(0, len(left), 256) for x in left["text"].slice(i, 256).to_pylist()):
             words = list({w for ws in held for w in ws} | {END})
             known = value[np.searchsorted(key, np.array([word_key(w) for w in words], np.int64))]
             found = dict(zip(words, np.log10(known + 0.5).tolist()))
