@@ -187,6 +187,54 @@ def momentum_pruned(e: Event):
     return _momentum(e, list(e.ll >= cut))
 
 
+def trajectory_imm(e: Event, stay: float | None = None, start: float = 0.25, enter: float | None = None):
+    """Stationary, diffusing, fragmented and momentum modes that switch.
+
+    The first three hold a distribution over places, momentum one over pairs of places.
+    Entering momentum draws the next place by diffusion; leaving it forgets the place before.
+    `start` is momentum's share at the outset, the other modes sharing the rest, and
+    `enter` the chance of a switch into momentum, where other switches are split evenly.
+    """
+    b, n = e.ll.shape[1], 4
+    still, moves, laws = _steps(e, e.motion.stationary), _steps(e, e.motion.diffusion), _steps(e, e.motion.momentum)
+
+    def changes(k):
+        p = switching(n, e.steps[k], e.motion)
+        if stay is not None:
+            p = np.full((n, n), (1 - stay) / (n - 1))
+            np.fill_diagonal(p, stay)
+        if enter is not None:
+            p[3, :3], p[:3, :3] = enter, p[:3, :3] * (1 - enter) / p[:3, :3].sum(0)
+        return p
+
+    share = np.array([(1 - start) / 3] * 3 + [start])
+    total, flat, pairs, out = 0.0, share[:, None] * _even(e)[None, :], None, []
+    for t in range(len(e.ll)):
+        if t:
+            k, p = t - 1, changes(t - 1)
+            new = np.stack((still[k] @ (p[0] @ flat), moves[k] @ (p[1] @ flat), np.full(b, (p[2] @ flat).sum() / b)))
+            # [before, now]: pairs entered from the first three modes (or at the outset), and pairs that go on
+            fresh = (p[3, :3] @ flat[:3]) + (p[3, 3] * flat[3] if pairs is None else 0)
+            law = laws[k].T * fresh[:, None]
+            if pairs is not None:
+                target = e.centres[None, :, :] + _decay(e, k) * (e.centres[None, :, :] - e.centres[:, None, :])
+                go = e.keep(("pair", round(float(e.steps[k]), 9), round(float(_decay(e, k)), 9)), lambda target=target, k=k: gaussian(e.centres, target.reshape(b * b, 2), e.motion.momentum * e.steps[k] ** 0.5, e.motion.truncate).reshape(b, b, b))
+                law = law + p[3, 3] * np.einsum("xbn,bn->nx", go, pairs)
+            pairs = law
+            flat = np.concatenate((new, pairs.sum(0)[None, :]))
+        top = e.ll[t].max()
+        if not np.isfinite(top):
+            return float("-inf"), np.full_like(e.ll, 1 / b)
+        seen = np.exp(e.ll[t] - top)
+        flat = flat * seen
+        mass = flat.sum()
+        total += float(np.log(mass) + top)
+        flat = flat / mass
+        pairs = None if pairs is None else pairs * seen[None, :] / mass
+        out.append(flat.sum(0))
+    return total, np.array(out)
+
+
 def goal(e: Event):
     """A mixture over goals: drift toward one, at most as far as it is, and diffusion round that."""
     goals = e.centres if e.goals is None or not len(e.goals) else e.goals
@@ -229,6 +277,8 @@ def register_model(name: str, kernel: Callable, support: str = EXACT) -> None:
 for _name, _kernel, _support in (
     ("random", random, EXACT), ("stationary", stationary, EXACT), ("state-space-fragmented", random, EXACT), ("state-space-diffusion", diffusion, EXACT),
     ("state-space-first-order-imm", first_order_imm, EXACT), ("state-space-momentum", momentum_pruned, TRUNCATED), ("state-space-momentum-exact", momentum_exact, EXACT),
+    ("trajectory-imm-exact", trajectory_imm, EXACT), ("trajectory-imm-persistent", lambda e: trajectory_imm(e, stay=0.985), EXACT),
+    ("trajectory-imm-anchored", lambda e: trajectory_imm(e, start=0.05, enter=0.005), EXACT), ("trajectory-imm-low-leak", lambda e: trajectory_imm(e, start=0.01, enter=0.001), EXACT),
     ("goal", goal, EXACT), ("empirical-transition", empirical, EXACT), ("reverse-diffusion", reversed_of(diffusion), EXACT),
     ("reverse-momentum-exact", reversed_of(momentum_exact), EXACT), ("bidirectional-diffusion", bidirectional(diffusion), EXACT), ("bidirectional-momentum-exact", bidirectional(momentum_exact), EXACT),
 ):

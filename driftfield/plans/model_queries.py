@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
 from ..functions import likelihood as lk
+from ..operators import decoding, gates, marks, regression, tracks
 from ..operators import models as op
 from ..sources import relations as rel
-from .track_queries import _BINS, _COUNTS, GRID, RATES_SQL, rates
+from .track_queries import _BIN, _BINS, _COUNTS, GRID, RATES_SQL, rates
 
 QUERIES: dict = {}
 DT = 20.0
@@ -64,3 +67,68 @@ def model_averaged_endpoint(spark, d):
     weight = F.exp(F.col("log_evidence") - F.max("log_evidence").over(w))
     p = s.withColumn("w", weight / F.sum(weight).over(w)).select("session", "event_index", "w", F.posexplode("terminal").alias("bin_id", "p"))
     return p.groupBy("session", "event_index", "bin_id").agg(F.sum(F.col("w") * F.col("p")).alias("probability")).select("session", "event_index", "bin_id", _r("probability"))
+
+
+_MARKS = f"""{RATES_SQL}, mk as (select l.session, l.t, l.x, l.y, s.value as f1, s.k as f2 from located l join stream s on s.event_id = l.spike_row),
+mb as (select * from (select *, {_BIN} as bin_id from mk) where bin_id >= 0), msum as (select session, bin_id, count(*)::double as n, sum(f1) as s1, sum(f1 * f1) as q1, sum(f2) as s2, sum(f2 * f2) as q2 from mb group by 1, 2),
+mall as (select session, sum(n) as wn, sum(s1) as ws1, sum(q1) as wq1, sum(s2) as ws2, sum(q2) as wq2 from msum group by 1),
+mstat as (select session, bin_id, n, (s1 + ws1 / wn) / (n + 1) as f1_mean, greatest((q1 + wq1 / wn) / (n + 1) - pow((s1 + ws1 / wn) / (n + 1), 2), 1.0) as f1_var, (s2 + ws2 / wn) / (n + 1) as f2_mean, greatest((q2 + wq2 / wn) / (n + 1) - pow((s2 + ws2 / wn) / (n + 1), 2), 1.0) as f2_var from msum join mall using (session))"""
+
+
+def _marks(spark, d):
+    at = tracks.as_of(rel.spikes(spark, d), rel.position(spark, d), ["x", "y"])
+    features = rel._stream(spark, d).select(F.col("event_id").alias("spike_row"), F.col("value").alias("f1"), F.col("k").alias("f2"))
+    return at.join(features, "spike_row")
+
+
+@query(f"{_MARKS} select session, bin_id, n, round(f1_mean, 4) + 0.0 as f1_mean, round(f1_var, 3) + 0.0 as f1_var, round(f2_mean, 4) + 0.0 as f2_mean, round(f2_var, 3) + 0.0 as f2_var from mstat")
+def mark_statistics(spark, d):
+    m = marks.mark_statistics(_marks(spark, d), GRID, ["f1", "f2"], ["session"])
+    return m.select("session", "bin_id", "n", _r("f1_mean", digits=4), _r("f1_var", digits=3), _r("f2_mean", digits=4), _r("f2_var", digits=3))
+
+
+_TAU = repr(math.log(2 * math.pi))
+
+
+@query(f"""{_MARKS}, {_BINS}, mrate as (select session, bin_id, sum(rate_hz) as rate_hz from rates group by 1, 2), place as (select * from mrate join mstat using (session, bin_id)),
+sp as (select e.session, e.event_index, floor((m.t - e.start) / 20.0)::int as t_idx, m.f1, m.f2 from mk m join short_events e on e.session = m.session and m.t >= e.start and m.t < e.end),
+fr as (select sp.session, event_index, t_idx, bin_id, count(*) as k, sum(ln(rate_hz) - 0.5 * (pow(f1 - f1_mean, 2) / f1_var + ln(f1_var) + {_TAU}::double) - 0.5 * (pow(f2 - f2_mean, 2) / f2_var + ln(f2_var) + {_TAU}::double)) as s from sp join place using (session) group by 1, 2, 3, 4),
+cl as (select b.session, b.event_index, b.t_idx, p.bin_id, coalesce(s, 0) - p.rate_hz * bin_dur + coalesce(k, 0) * ln(bin_dur) - coalesce(list_sum(list_transform(range(2, coalesce(k, 0) + 1), lambda x: ln(x::double))), 0) as ll from eb b join place p using (session) left join fr on fr.session = b.session and fr.event_index = b.event_index and fr.t_idx = b.t_idx and fr.bin_id = p.bin_id)
+select session, event_index, count(*) as cells, round(sum(ll), 2) + 0.0 as total, round(max(ll), 3) + 0.0 as best from cl group by 1, 2""")
+def clusterless_likelihood(spark, d):
+    """Sum and best of the mark likelihoods of each event."""
+    m = _marks(spark, d)
+    total = rates(spark, d).groupBy("session", "bin_id").agg(F.sum("rate_hz").alias("rate_hz"))
+    stats = marks.mark_statistics(m, GRID, ["f1", "f2"], ["session"])
+    e = marks.clusterless_emissions(m, rel.short_events(spark, d), stats, total, ["f1", "f2"], DT)
+    return e.groupBy("session", "event_index").agg(F.count(F.lit(1)).alias("cells"), _r(F.sum("ll"), "total", 2), _r(F.max("ll"), "best", 3))
+
+
+@query(f"""with {rel.SCORES_SQL} select session, event_index, model, count(*) as settings, round(any_value(mm) + ln(sum(exp(log_evidence - mm))) - ln(count(*)), 6) + 0.0 as marginal_log_evidence
+from (select *, max(log_evidence) over (partition by session, event_index, model) as mm from scores) group by 1, 2, 3""")
+def marginal_evidence(spark, d):
+    m = regression.marginal_evidence(rel.scores(spark, d), ["session", "event_index", "model"], "log_evidence")
+    return m.select("session", "event_index", "model", "settings", _r("marginal_log_evidence"))
+
+
+@query(f"""with {rel.SCORES_SQL} select 'slope' as term, round(regr_slope(log_evidence, test_spikes), 6) + 0.0 as estimate from scores union all select 'intercept', round(regr_intercept(log_evidence, test_spikes), 5) + 0.0 from scores""")
+def evidence_on_spikes(spark, d):
+    """Evidence regressed on spikes; standard errors are held against numpy in the tests."""
+    c = regression.cluster_robust(rel.scores(spark, d), "log_evidence", ["test_spikes"], "session")
+    return c.select(F.when(F.col("term") == "intercept", "intercept").otherwise("slope").alias("term"), F.when(F.col("term") == "intercept", ev.rounded(F.col("estimate"), 5)).otherwise(ev.rounded(F.col("estimate"))).alias("estimate"))
+
+
+def _decoded(spark, d):
+    return decoding.decode_positions(rel.position(spark, d), rel.spikes(spark, d), GRID, 60.0)
+
+
+@query()
+def position_decoding(spark, d):
+    x = _decoded(spark, d)
+    return x.select("session", "fold", "window_index", "n_spikes", "true_bin", "true_rank", *[_r(c, digits=4) for c in ("mean_error", "map_error", "true_probability")])
+
+
+@query()
+def decoding_calibration(spark, d):
+    c = gates.calibration(_decoded(spark, d).where("true_bin >= 0"))
+    return c.select("session", "windows", *[_r(k, digits=5) for k in ("mean_nll", "mean_rank_fraction", "coverage_50", "coverage_80", "coverage_95")])

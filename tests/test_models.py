@@ -68,6 +68,36 @@ def test_momentum_sums_all_paths(seed, tau):
     assert m.momentum_pruned(event(seed, decay_tau=tau, top_k=4))[0] == pytest.approx(m.momentum_exact(e)[0])
 
 
+@pytest.mark.parametrize("options", [{}, {"stay": 0.7}, {"start": 0.1, "enter": 0.05}])
+def test_trajectory_switching_sums_all_modes_and_paths(options):
+    e, b = event(6), 4
+    e = m.Event(e.ll[:3], CENTRES, e.steps[:2], 1.0, e.motion)
+    still, moves, laws = (m._steps(e, s) for s in (e.motion.stationary, e.motion.diffusion, e.motion.momentum))
+    stay, start, enter = options.get("stay", e.motion.stickiness), options.get("start", 0.25), options.get("enter")
+    change = np.full((4, 4), (1 - stay) / 3)
+    np.fill_diagonal(change, stay)
+    if enter is not None:
+        change[3, :3] = enter
+        change[:3, :3] *= (1 - enter) / change[:3, :3].sum(0)
+    assert change.sum(0) == pytest.approx(np.ones(4))
+
+    def weight(p):
+        total = 0.0
+        for modes in itertools.product(range(4), repeat=3):
+            w = (start if modes[0] == 3 else (1 - start) / 3) / b
+            for k in range(2):
+                w *= change[modes[k + 1], modes[k]]
+                if modes[k + 1] == 3 and modes[k] == 3 and k:
+                    target = CENTRES[p[k]] + m._decay(e, k) * (CENTRES[p[k]] - CENTRES[p[k - 1]])
+                    w *= m.gaussian(CENTRES, target[None, :], e.motion.momentum * e.steps[k] ** 0.5, e.motion.truncate)[p[k + 1], 0]
+                else:
+                    w *= (still[k], moves[k], [[1 / b] * b] * b, laws[k])[modes[k + 1]][p[k + 1]][p[k]]
+            total += w
+        return total
+
+    assert m.trajectory_imm(e, **options)[0] == pytest.approx(paths(e, weight))
+
+
 def test_matrices_kept_between_events_change_nothing():
     made = {}
     for seed in range(3):
@@ -83,6 +113,23 @@ def test_posteriors_sum_to_one_and_one_bin_is_even():
         assert kernel(event(5, 1))[0] == pytest.approx(m.random(event(5, 1))[0]), name
 
 
+def test_regression_matches_least_squares(spark):
+    from driftfield.operators.regression import cluster_robust
+
+    rng = np.random.default_rng(0)
+    x, g = rng.normal(size=(200, 2)), np.repeat(np.arange(20), 10)
+    y = 1 + x @ [2.0, -1.0] + rng.normal(size=20)[g] + rng.normal(size=200)
+    df = spark.createDataFrame([(float(a), float(c), float(d), int(k)) for a, (c, d), k in zip(y, x, g)], "y double, a double, b double, g int")
+    got = {r.term: r for r in cluster_robust(df, "y", ["a", "b"], "g").collect()}
+    full = np.column_stack((np.ones(200), x))
+    beta, inv = np.linalg.lstsq(full, y, rcond=None)[0], np.linalg.inv(full.T @ full)
+    e = y - full @ beta
+    meat = sum(np.outer(s, s) for s in (full[g == k].T @ e[g == k] for k in range(20)))
+    se = np.sqrt(np.diag(inv @ meat @ inv) * 20 / 19 * 199 / 197)
+    for i, t in enumerate(("intercept", "a", "b")):
+        assert got[t].estimate == pytest.approx(beta[i]) and got[t].se == pytest.approx(se[i]) and got[t].t == pytest.approx(beta[i] / se[i])
+
+
 def test_impossible_bin():
     e = event(0)
     ll = e.ll.copy()
