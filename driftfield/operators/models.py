@@ -235,6 +235,31 @@ def trajectory_imm(e: Event, stay: float | None = None, start: float = 0.25, ent
     return total, np.array(out)
 
 
+def lattice(grid_step: float, radius: int = 2) -> np.ndarray:
+    """Displacements of up to `radius` steps along each axis."""
+    k = np.arange(-radius, radius + 1) * grid_step
+    return np.stack(np.meshgrid(k, k, indexing="ij"), -1).reshape(-1, 2)
+
+
+def displacement_momentum(e: Event, radius: int = 2):
+    """Places with a displacement of their own: d follows decay * d before, and the place lies round place + d."""
+    gaps = np.abs(e.centres[:, None, :] - e.centres[None, :, :]).max(-1)
+    unit = float(gaps[gaps > 0].min()) if (gaps > 0).any() else 1.0
+    d, sigma = lattice(unit, radius), 0.5 * unit
+    prior = gaussian(d, np.zeros((1, 2)), e.motion.momentum * max(e.dt, 1e-12) ** 0.5, np.inf)[:, 0]
+    shifts = e.keep(("shift", unit, radius), lambda: np.stack([gaussian(e.centres, e.centres + v, sigma, e.motion.truncate) for v in d]))
+
+    def step(k, p):
+        if k:
+            turn = e.keep(("turn", unit, radius, round(float(e.steps[k]), 9), round(float(_decay(e, k)), 9)), lambda: gaussian(d, _decay(e, k) * d, e.motion.momentum * e.steps[k] ** 0.5, np.inf))
+            p = turn @ p
+        else:
+            p = prior[:, None] * p.sum(0)[None, :]
+        return np.einsum("dxy,dy->dx", shifts, p)
+
+    return forward(e.ll, prior[:, None] * _even(e)[None, :], step)
+
+
 def goal(e: Event):
     """A mixture over goals: drift toward one, at most as far as it is, and diffusion round that."""
     goals = e.centres if e.goals is None or not len(e.goals) else e.goals
@@ -277,7 +302,7 @@ def register_model(name: str, kernel: Callable, support: str = EXACT) -> None:
 for _name, _kernel, _support in (
     ("random", random, EXACT), ("stationary", stationary, EXACT), ("state-space-fragmented", random, EXACT), ("state-space-diffusion", diffusion, EXACT),
     ("state-space-first-order-imm", first_order_imm, EXACT), ("state-space-momentum", momentum_pruned, TRUNCATED), ("state-space-momentum-exact", momentum_exact, EXACT),
-    ("trajectory-imm-exact", trajectory_imm, EXACT), ("trajectory-imm-persistent", lambda e: trajectory_imm(e, stay=0.985), EXACT),
+    ("displacement-momentum", displacement_momentum, EXACT), ("trajectory-imm-exact", trajectory_imm, EXACT), ("trajectory-imm-persistent", lambda e: trajectory_imm(e, stay=0.985), EXACT),
     ("trajectory-imm-anchored", lambda e: trajectory_imm(e, start=0.05, enter=0.005), EXACT), ("trajectory-imm-low-leak", lambda e: trajectory_imm(e, start=0.01, enter=0.001), EXACT),
     ("goal", goal, EXACT), ("empirical-transition", empirical, EXACT), ("reverse-diffusion", reversed_of(diffusion), EXACT),
     ("reverse-momentum-exact", reversed_of(momentum_exact), EXACT), ("bidirectional-diffusion", bidirectional(diffusion), EXACT), ("bidirectional-momentum-exact", bidirectional(momentum_exact), EXACT),
@@ -287,6 +312,82 @@ for _name, _kernel, _support in (
 SCORE_SCHEMA = "session string, event_index long, model string, evidence_support string, log_evidence double, n_time int, n_spikes long, terminal array<double>"
 
 
+@dataclass(frozen=True)
+class Grammar:
+    """Which kernels explain segments, how long those tend to be, and what a change costs."""
+
+    modes: tuple[str, ...] = ("stationary", "state-space-diffusion", "state-space-fragmented")
+    mean_bins: tuple[float, ...] = (4.0, 6.0, 3.0)
+    log_sd: float = 0.75
+    penalty: float = 1.0
+    shortest: int = 1
+    most_segments: int = 4
+
+
+def best_segments(score: np.ndarray, grammar: Grammar) -> tuple[float, list[tuple[int, int, int]]]:
+    """The best cut of all bins into segments (start, end, mode) without equal neighbours in mode.
+
+    score[start, end, mode] holds evidence plus duration prior. Ties go to fewer segments,
+    then to the earlier start and the earlier mode.
+    """
+    n, m = score.shape[1] - 1, score.shape[2]
+    best = np.full((grammar.most_segments + 1, n + 1, m), -np.inf)
+    back: dict[tuple[int, int, int], tuple[int, int]] = {}
+    best[1], (best_total, at) = score[0], (-np.inf, None)
+    for k in range(1, grammar.most_segments + 1):
+        for end in range(1, n + 1) if k > 1 else ():
+            for mode in range(m):
+                for start in range(1, end):
+                    others = best[k - 1, start].copy()
+                    others[mode] = -np.inf
+                    before = int(np.argmax(others))
+                    v = others[before] + score[start, end, mode] - grammar.penalty
+                    if v > best[k, end, mode]:
+                        best[k, end, mode], back[k, end, mode] = v, (start, before)
+        top = int(np.argmax(best[k, n]))
+        if best[k, n, top] > best_total:
+            best_total, at = float(best[k, n, top]), (k, n, top)
+    out = []
+    while at:
+        k, end, mode = at
+        start, before = back.get(at, (0, -1))
+        out.append((start, end, mode))
+        at = (k - 1, start, before) if k > 1 else None
+    return best_total, out[::-1]
+
+
+def segment_grammar(emissions: DataFrame, grid: Grid, grammar: Grammar = Grammar(), motion: Motion = Motion(), dt: float = 1.0) -> DataFrame:
+    """One row per segment of each event's best mode sequence."""
+    kernels, centres, means = [REGISTRY[m][0] for m in grammar.modes], centres_of(grid), np.log(grammar.mean_bins)
+
+    def run(batches):
+        made: dict = {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                ll, dur = np.array([x["ll"] for x in row["bins"]], float), np.array([x["bin_dur"] for x in row["bins"]], float)
+                n = len(ll)
+                steps, score = (dur[1:] + dur[:-1]) / 2, np.full((n, n + 1, len(kernels)), -np.inf)
+                for a in range(n):
+                    for z in range(a + grammar.shortest, n + 1):
+                        e = Event(ll[a:z], centres, steps[a : z - 1], dt, motion, made=made)
+                        score[a, z] = [k(e)[0] for k in kernels] - 0.5 * ((np.log(z - a) - means) / grammar.log_sd) ** 2
+                total, found = best_segments(score, grammar)
+                out += [(row["session"], row["event_index"], i, grammar.modes[mode], a, z, float(dur[a:z].sum()), total) for i, (a, z, mode) in enumerate(found)]
+            cols = list(zip(*out)) or [()] * 8
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["session", "event_index", "segment_index", "mode", "start_bin", "end_bin", "duration_s", "grammar_score"])
+
+    return _by_event(emissions).mapInArrow(run, "session string, event_index long, segment_index int, mode string, start_bin int, end_bin int, duration_s double, grammar_score double")
+
+
+def _by_event(emissions: DataFrame) -> DataFrame:
+    """One row per event with its few bins in order, over all tasks: small rows, much work, so not to be coalesced."""
+    spark = emissions.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return emissions.repartition(tasks, "session", "event_index").groupBy("session", "event_index").agg(F.sort_array(F.collect_list(F.struct("t_idx", "bin_dur", "n_spikes", "ll"))).alias("bins"))
+
+
 def centres_of(grid: Grid) -> np.ndarray:
     ix, iy = np.divmod(np.arange(grid.nx * grid.ny), grid.ny)
     return np.stack((grid.low_x + (ix + 0.5) * grid.size, grid.low_y + (iy + 0.5) * grid.size), 1)
@@ -319,10 +420,7 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in SCORE_SCHEMA.split(", ")])
 
-    tasks = max(emissions.sparkSession.sparkContext.defaultParallelism, int(emissions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = emissions.repartition(tasks, "session", "event_index")  # small rows, much work: not to be coalesced
-    events = spread.groupBy("session", "event_index").agg(F.sort_array(F.collect_list(F.struct("t_idx", "bin_dur", "n_spikes", "ll"))).alias("bins"))
-    return events.mapInArrow(run, SCORE_SCHEMA)
+    return _by_event(emissions).mapInArrow(run, SCORE_SCHEMA)
 
 
 def emissions(spikes: DataFrame, events: DataFrame, rates: DataFrame, grid: Grid, dt: float) -> DataFrame:

@@ -132,3 +132,10 @@ def position_decoding(spark, d):
 def decoding_calibration(spark, d):
     c = gates.calibration(_decoded(spark, d).where("true_bin >= 0"))
     return c.select("session", "windows", *[_r(k, digits=5) for k in ("mean_nll", "mean_rank_fraction", "coverage_50", "coverage_80", "coverage_95")])
+
+
+@query()
+def segment_grammar(spark, d):
+    """The best sequence of modes of every event."""
+    g = op.segment_grammar(_emissions(spark, d), GRID, op.Grammar(), op.Motion(), DT)
+    return g.select("session", "event_index", "segment_index", "mode", "start_bin", "end_bin", _r("duration_s", digits=5), _r("grammar_score"))

@@ -98,6 +98,35 @@ def test_trajectory_switching_sums_all_modes_and_paths(options):
     assert m.trajectory_imm(e, **options)[0] == pytest.approx(paths(e, weight))
 
 
+def test_displacements_sum_all_paths():
+    e, b = event(7, decay=0.8), 4
+    e = m.Event(e.ll[:3], CENTRES, e.steps[:2], 1.0, e.motion)
+    d = m.lattice(10.0, 1)
+    prior = m.gaussian(d, np.zeros((1, 2)), 12.0, np.inf)[:, 0]
+    shift = [m.gaussian(CENTRES, CENTRES + v, 5.0, e.motion.truncate) for v in d]
+    turn = m.gaussian(d, m._decay(e, 1) * d, 12.0 * e.steps[1] ** 0.5, np.inf)
+    weight = lambda p: sum(prior[i] * shift[i][p[1], p[0]] * turn[j, i] * shift[j][p[2], p[1]] for i in range(9) for j in range(9)) / b
+    assert m.displacement_momentum(e, 1)[0] == pytest.approx(paths(e, weight))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_grammar_finds_the_best_of_all_sequences(seed):
+    n, g = 5, m.Grammar(most_segments=3)
+    score = np.random.default_rng(seed).normal(size=(n, n + 1, 3))
+    score[np.arange(n)[:, None] >= np.arange(n + 1)[None, :]] = -np.inf
+    best = -np.inf
+    for k in (1, 2, 3):
+        for cuts in itertools.combinations(range(1, n), k - 1):
+            edges = [0, *cuts, n]
+            for modes in itertools.product(range(3), repeat=k):
+                if all(a != b for a, b in zip(modes, modes[1:])):
+                    best = max(best, sum(score[edges[i], edges[i + 1], modes[i]] for i in range(k)) - (k - 1) * g.penalty)
+    total, found = m.best_segments(score, g)
+    assert total == pytest.approx(best)
+    assert total == pytest.approx(sum(score[a, z, k] for a, z, k in found) - (len(found) - 1) * g.penalty)
+    assert found[0][0] == 0 and found[-1][1] == n and all(x[1] == y[0] and x[2] != y[2] for x, y in zip(found, found[1:]))
+
+
 def test_matrices_kept_between_events_change_nothing():
     made = {}
     for seed in range(3):
@@ -154,3 +183,16 @@ def test_score_events(spark):
     assert got[1, "random"].log_evidence == pytest.approx(m.random(m.Event(event(3).ll[:3], CENTRES, np.ones(2), 1.0, m.Motion()))[0])
     with pytest.raises(ValueError):
         m.score_events(df, GRID, ["nothing"])
+
+
+def test_decoding_finds_the_place(spark):
+    from driftfield.operators.decoding import decode_positions
+
+    t = np.arange(0, 600, 0.5)
+    x = np.where((t // 10) % 2 == 0, 5.0, 15.0)
+    pos = spark.createDataFrame([("s", i, float(a), float(b), 5.0) for i, (a, b) in enumerate(zip(t, x))], "session string, frame_idx long, t double, x double, y double")
+    fired = [(float(a) + 0.1, 1 if b < 10 else 2) for a, b in zip(t, x)]
+    spk = spark.createDataFrame([("s", i, a, c) for i, (a, c) in enumerate(fired)], "session string, spike_row long, t double, cell_id int")
+    got = decode_positions(pos, spk, Grid(0.0, 0.0, 10.0, 2, 2), 10.0).collect()
+    assert len(got) == 60 and {r.fold for r in got} == {0, 1, 2}
+    assert np.mean([r.map_x == r.true_x for r in got]) > 0.9 and np.median([r.true_rank for r in got]) == 1
