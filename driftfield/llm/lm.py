@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOUBLE, FLAG, LONG, materialize, schema
+from .common import DOUBLE, FLAG, LONG, give_back, materialize, schema, tidy
 
 DEPTH = 5
 #: UTF-8 bytes of a chunk of documents, about; and chunks that ask one copy of a subtree.
@@ -33,8 +33,9 @@ CHUNK_BYTES, CHUNKS_PER_COPY = 24 << 20, 64
 BLOCK = 1 << 20
 #: Grams of the model in a task, about, where trees are built; tasks are never merged below that.
 TASK_GRAMS = 50_000
-#: A task's word counts are sent on when they have so many words.
-WORDS = 400_000
+#: A task's counts are sent on when they have so many words, or three times as many grams;
+#: Spark adds up what a task sends twice before it shuffles.
+WORDS = 100_000
 #: The subtree below the last two bytes lies in one task.
 ROOT = 2
 END = b""
@@ -74,6 +75,13 @@ def windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], np.concatenate(([0], np.cumsum(sizes)))[:-1]
 
 
+def texts_of(column):
+    """The texts of an Arrow column, few at a time; null counts as empty."""
+    for i in range(0, len(column), 256):
+        for x in column.slice(i, 256).to_pylist():
+            yield x or ""
+
+
 def blocks(texts):
     """Lists of the words of whole texts, about BLOCK bytes each."""
     held, size = [], 0
@@ -101,11 +109,11 @@ def count_keys(batches):
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     words: dict[bytes, int] = {}
     for b in batches:
-        for held in blocks(x or "" for x in b.column("text").to_pylist()):
+        for held in blocks(texts_of(b.column("text"))):
             grams.append(np.unique(windows(held)[0], return_counts=True))
-            if len(grams) > 32:
+            if len(grams) > 8:
                 grams = [merged(grams)]
-                if len(grams[0][0]) > 4 * WORDS:
+                if len(grams[0][0]) > 3 * WORDS:
                     yield _rows(*grams.pop())
             for ws in held:
                 for w in ws:
@@ -252,10 +260,9 @@ def ask(batches):
     """The distinct grams and words of each chunk, of those of its documents in a batch."""
     for b in batches:
         chunk = np.array(b.column("chunk").to_pylist(), np.int64)
-        texts = b.column("text").to_pylist()
         for c in np.unique(chunk):
             grams, words = [], {END}
-            for held in blocks(texts[i] or "" for i in np.flatnonzero(chunk == c)):
+            for held in blocks(texts_of(b.column("text").filter(pa.array(chunk == c)))):
                 grams.append(np.unique(windows(held)[0]))
                 words.update(*held)
             key = np.concatenate((np.unique(np.concatenate(grams)), np.array([word_key(w) for w in words], np.int64)))
@@ -266,7 +273,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, int, list[Level], tuple[float, fl
     """The counts of all grams and words of training documents as a table (key, n), how many
     tasks its grams fill, the top levels, and N and V of the words."""
     training = docs.where(~held_out(F.col("doc_id"))).select("text")
-    model = materialize(training.mapInArrow(count_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
+    model = materialize(training.mapInArrow(tidy(count_keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
     n, v = model.where("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
 
     def roots(batches):
@@ -284,7 +291,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, int, list[Level], tuple[float, fl
     grams = model.where("key >= 0")
     tasks = -(-grams.count() // TASK_GRAMS) or 1
     grams = grams.repartition(tasks, F.shiftright("key", 8) % (1 << 8 * ROOT))
-    top = grams.mapInArrow(roots, "key long, n0 double, n1 double, total double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "total")]).orderBy("key").collect()
+    top = grams.mapInArrow(tidy(roots), "key long, n0 double, n1 double, total double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "total")]).orderBy("key").collect()
     cols = [np.array([r[i] for r in top], np.int64 if i == 0 else float) for i in range(4)]
     return model, tasks, top_levels(*cols), (float(n), float(v))
 
@@ -307,7 +314,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     root = F.shiftright("key", 8) % (1 << 8 * ROOT)
     # a row of the model has a negative chunk, -1 - copy; copies of a subtree serve chunks in turn
     copy = F.when(F.col("key") >= 0, F.expr(f"sequence(0, {copies - 1})")).otherwise(F.array(F.lit(0)))
-    asked = placed.mapInArrow(ask, "chunk int, key long").withColumn("n", F.lit(None).cast("long"))
+    asked = placed.mapInArrow(tidy(ask), "chunk int, key long").withColumn("n", F.lit(None).cast("long"))
     known = model.select(F.explode(copy).alias("copy"), "key", "n").select((-1 - F.col("copy")).cast("int").alias("chunk"), "key", "n")
     serves = F.when(F.col("chunk") < 0, -1 - F.col("chunk")).otherwise(F.col("chunk") % copies)
     task = F.when(F.col("key") >= 0, root * copies + serves).otherwise(F.col("key"))
@@ -338,7 +345,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for i in range(0, len(chunk), 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in (chunk, wish, value)], ["chunk", "key", "value"])
 
-    answers = met.mapInArrow(answer, "chunk int, key long, value double")
+    answers = met.mapInArrow(tidy(answer), "chunk int, key long, value double")
     every = math.log10(n + 0.5 * (v + 1))
     out = schema(doc_id=LONG, held_out=FLAG, n_tokens=LONG, n_known=LONG, train_tokens=LONG, base_score=DOUBLE, score=DOUBLE)
 
@@ -351,7 +358,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         key, value = key[order], value[order]
         del right, gram, order
         unknown, rows = float(np.log10(0.5)), []
-        for held in blocks(x or "" for i in range(0, len(left), 256) for x in left["text"].slice(i, 256).to_pylist()):
+        for held in blocks(texts_of(left["text"])):
             words = list({w for ws in held for w in ws} | {END})
             known = value[np.searchsorted(key, np.array([word_key(w) for w in words], np.int64))]
             found = dict(zip(words, np.log10(known + 0.5).tolist()))
@@ -363,4 +370,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         cols = list(zip(*rows)) or [(), (), (), ()]
         return pa.Table.from_arrays([left["doc_id"].cast(pa.int64()), left["held_out"], *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array([int(n)] * len(rows), pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=out.names)
 
-    return placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out)
+    def score_and_tidy(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = score(left, right)
+        give_back()
+        return rows
+
+    return placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_and_tidy, out)
