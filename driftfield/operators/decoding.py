@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .models import centres_of, emissions
 from .resampling import draw
-from .tracks import CELL, Grid, _cells, event_spikes, rate_map
+from .tracks import CELL, Grid, _cells, event_spikes, merge_intervals, rate_map
 
 
 def decode_positions(position: DataFrame, spikes: DataFrame, grid: Grid, width: float, folds: int = 3) -> DataFrame:
@@ -63,3 +63,68 @@ def matched_null_windows(events: DataFrame, spikes: DataFrame, keep: int, draws:
     both = both.join(m, "event_index", "left").withColumn("n_spikes", F.coalesce("n_spikes", F.lit(0)))
     w = Window.partitionBy("session", "event_index").orderBy(F.abs(F.col("n_spikes") - F.col("null_spikes")), "draw")
     return both.withColumn("match", F.row_number().over(w)).where(F.col("match") <= keep)
+
+
+def free_intervals(events: DataFrame, spikes: DataFrame) -> DataFrame:
+    """The parts of each session's span of spikes that no event covers, numbered in time order."""
+    span = spikes.groupBy("session").agg(F.min("t").alias("_low"), F.max("t").alias("_high"))
+    w = Window.partitionBy("session").orderBy("start")
+    taken = merge_intervals(events.select("session", "start", "end")).withColumn("_next", F.lead("start").over(w)).withColumn("_n", F.row_number().over(w))
+    after = taken.join(span, "session").select("session", F.col("_n").alias("gap"), F.greatest("end", "_low").alias("low"), F.least(F.coalesce("_next", "_high"), "_high").alias("high"))
+    before = taken.where("_n = 1").join(span, "session").select("session", F.lit(0).alias("gap"), F.col("_low").alias("low"), F.least("start", "_high").alias("high"))
+    return after.unionByName(before).where("high > low")
+
+
+def count_spikes(windows: DataFrame, spikes: DataFrame, keys: list[str]) -> DataFrame:
+    """Spikes with start <= t < end of each window, as the difference of two prefix counts.
+
+    Bounds and spikes are merged in time order within a time cell, and a table of one row
+    a cell adds what lies before it, so that no window meets its spikes.
+    """
+    ends = windows.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(-1).alias("_side")), F.struct(F.col("end").alias("t"), F.lit(1).alias("_side")))).alias("_e"))
+    both = ends.select(*keys, "_e.t", "_e._side", F.lit(0).alias("_one")).unionByName(spikes.select("session", "t", F.lit(1).alias("_one")), allowMissingColumns=True)
+    both = both.withColumn("_cell", F.floor(F.col("t") / CELL))
+    order = Window.partitionBy("session").orderBy("_cell")
+    cells = both.groupBy("session", "_cell").agg(F.sum("_one").alias("_in")).withColumn("_before", F.sum("_in").over(order) - F.col("_in")).drop("_in")
+    # a spike at a bound comes after it
+    at = both.withColumn("_at", F.sum("_one").over(Window.partitionBy("session", "_cell").orderBy("t", "_one").rowsBetween(Window.unboundedPreceding, 0)))
+    at = at.where("_one = 0").join(cells, ["session", "_cell"])
+    return at.groupBy(*keys).agg(F.sum(F.col("_side") * (F.col("_at") + F.col("_before"))).alias("spikes"))
+
+
+def searched_null_windows(events: DataFrame, spikes: DataFrame, keep: int, deal: int = 32) -> DataFrame:
+    """For each event the `keep` windows of its length that match it best, of all that touch no event.
+
+    Starts go through every free interval of the session in steps of half the event's
+    length. The order is the difference of spike counts, then of active cells, then a
+    digest. Events without a match have one row that gives the reason. Work is a row
+    for each event and start; `deal` only spreads a session's events over tasks.
+    """
+    long = events.withColumn("_dur", F.col("end") - F.col("start"))
+    gaps = free_intervals(events, spikes).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    own = long.where("_dur > 0").select("session", "event_index", "_dur", F.pmod(F.hash("event_index"), F.lit(deal)).alias("_deal"))
+    step = F.greatest(F.col("_dur") / 2, F.lit(0.001))
+    met = own.join(gaps, ["session", "_deal"]).where(F.col("high") - F.col("low") >= F.col("_dur"))
+    met = met.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low") - F.col("_dur")) / step))))
+    start = F.col("low") + F.col("k") * step
+    windows = met.select("session", "event_index", "gap", "k", start.alias("start"), (start + F.col("_dur")).alias("end"))
+    # the events' own windows are counted along, as gap -1
+    real = events.select("session", "event_index", F.lit(-1).alias("gap"), F.lit(0).cast("long").alias("k"), "start", "end")
+    keys = ["session", "event_index", "gap", "k"]
+    counted = windows.unionByName(real).join(count_spikes(windows.unionByName(real), spikes, keys), keys)
+    event = Window.partitionBy("session", "event_index")
+    counted = counted.withColumn("n_spikes", F.max(F.when(F.col("gap") < 0, F.col("spikes"))).over(event)).withColumn("candidates", F.count(F.lit(1)).over(event) - 1)
+    counted = counted.withColumn("_off", F.when(F.col("gap") >= 0, F.abs(F.col("n_spikes") - F.col("spikes"))))
+    # ties at the last place stay until active cells are known; an event's own window, whose difference is null, stays too
+    near = counted.withColumn("_rank", F.rank().over(event.orderBy(F.col("_off").asc_nulls_first()))).where(F.col("_rank") <= keep + 1).drop("_rank")
+    named = near.select("session", "event_index", "gap", "k", "start", "end")
+    fired = event_spikes(spikes, named.select("session", F.struct("event_index", "gap", "k").alias("event_index"), "start", "end")).groupBy("session", "event_index").agg(F.countDistinct("cell_id").alias("active"))
+    fired = fired.select("session", "event_index.*", "active")
+    near = near.join(fired, keys, "left").withColumn("active", F.coalesce("active", F.lit(0).cast("long")))
+    near = near.withColumn("n_active", F.max(F.when(F.col("gap") < 0, F.col("active"))).over(event)).where("gap >= 0")
+    w = event.orderBy("_off", F.abs(F.col("n_active") - F.col("active")), draw("null", F.col("session"), F.col("event_index"), F.col("gap"), F.col("k")), "gap", "k")
+    best = near.withColumn("match", F.row_number().over(w)).where(F.col("match") <= keep)
+    best = best.select("session", "event_index", "match", F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("spikes").alias("null_spikes"), F.col("active").alias("null_active"), "candidates")
+    out = long.join(best, ["session", "event_index"], "left")
+    reason = F.when(F.col("match").isNotNull(), None).when(F.col("_dur") > 0, "no free window").otherwise("no duration")
+    return out.select("session", "event_index", "match", F.col("_start").alias("start"), F.col("_end").alias("end"), "null_spikes", "null_active", F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"), reason.alias("reason"))

@@ -136,3 +136,25 @@ def matched_null_windows(spark, d):
     """The feature is the limit: three windows an event."""
     w = decoding.matched_null_windows(rel.short_events(spark, d), rel.spikes(spark, d), 3)
     return w.select("session", "event_index", "match", _r("start", digits=3), "null_spikes", "n_spikes")
+
+
+_SEARCHED = f"""with {rel.STREAM_SQL}, {rel.SPIKES_SQL}, {rel.SHORT_EVENTS_SQL}, span as (select session, min(t) as low, max(t) as high from spikes group by 1),
+reach as (select session, start, "end", max("end") over (partition by session order by start, "end" rows between unbounded preceding and 1 preceding) as before from short_events),
+isle as (select session, start, "end", sum(case when before is null or start > before then 1 else 0 end) over (partition by session order by start, "end" rows unbounded preceding) as i from reach),
+taken as (select session, i, min(start) as a, max("end") as b from isle group by 1, 2), after as (select session, i, b, lead(a) over (partition by session order by a) as nxt from taken),
+gaps as (select * from (select session, i::int as gap, greatest(b, low) as g, least(coalesce(nxt, high), high) as h from after join span using (session) union all select session, 0, low, least(a, high) from taken join span using (session) where i = 1) where h > g),
+met as (select e.session, event_index, gap, g, "end" - start as dur, greatest(("end" - start) / 2, 0.001::double) as step, h - g as room from short_events e join gaps using (session) where "end" > start and h - g >= "end" - start),
+cand as (select session, event_index, gap, k, g + k * step as a, g + k * step + dur as b from (select *, unnest(range(0, floor((room - dur) / step)::bigint + 1)) as k from met)),
+win as (select * from cand union all select session, event_index, -1, 0, start, "end" from short_events),
+n as (select w.session, w.event_index, gap, k, a, count(s.t) as n, count(distinct s.cell_id) as c from win w left join spikes s on s.session = w.session and s.t >= w.a and s.t < w.b group by all),
+best as (select c.session, c.event_index, c.a, c.n, c.c, count(*) over w as candidates, row_number() over (w order by abs(c.n - r.n), abs(c.c - r.c), {_draw("'null'", 'c.session', 'c.event_index', 'c.gap', 'c.k')}, c.gap, c.k) as match
+  from n c join n r on r.session = c.session and r.event_index = c.event_index and r.gap = -1 and c.gap >= 0 window w as (partition by c.session, c.event_index))
+select session, event_index, match, round(b.a, 3) + 0.0 as start, b.n as null_spikes, b.c as null_active, coalesce(candidates, 0) as candidates, case when match is null then case when "end" > e.start then 'no free window' else 'no duration' end end as reason
+from short_events e left join (select * from best where match <= 3) b using (session, event_index)"""
+
+
+@query(_SEARCHED)
+def searched_null_windows(spark, d):
+    """Three windows an event of all free ones; events without any give the reason."""
+    w = decoding.searched_null_windows(rel.short_events(spark, d), rel.spikes(spark, d), 3)
+    return w.select("session", "event_index", "match", _r("start", digits=3), "null_spikes", "null_active", "candidates", "reason")
