@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.evidence import EXACT, TRUNCATED
+from ..functions.evidence import EXACT, NOT_SCORED, TRUNCATED
 from ..functions.likelihood import log_factorial
 from .tracks import Grid, event_bins, event_spikes
 
@@ -122,8 +122,10 @@ def diffusion(e: Event):
 
 
 def empirical(e: Event):
-    """Steps by a fitted transition matrix; without one, as diffusion."""
-    return diffusion(e) if e.transitions is None else forward(e.ll, _even(e), lambda k, p: e.transitions @ p)
+    """Steps by a fitted transition matrix. Without one no path has a probability; a single bin needs none."""
+    if e.transitions is None and len(e.ll) > 1:
+        return float("-inf"), np.full_like(e.ll, 1 / e.ll.shape[1])
+    return forward(e.ll, _even(e), lambda k, p: e.transitions @ p)
 
 
 def switching(n: int, step: float, motion: Motion) -> np.ndarray:
@@ -309,6 +311,9 @@ for _name, _kernel, _support in (
 ):
     register_model(_name, _kernel, _support)
 
+#: Models that follow a fitted matrix; events whose session has none have no evidence under them and are not scored.
+FITTED = ("empirical-transition",)
+
 SCORE_SCHEMA = "session string, event_index long, model string, evidence_support string, log_evidence double, n_time int, n_spikes long, terminal array<double>"
 
 
@@ -381,10 +386,22 @@ def segment_grammar(emissions: DataFrame, grid: Grid, grammar: Grammar = Grammar
     return _by_event(emissions).mapInArrow(run, "session string, event_index long, segment_index int, mode string, start_bin int, end_bin int, duration_s double, grammar_score double")
 
 
-def _by_event(emissions: DataFrame) -> DataFrame:
-    """One row per event with its few bins in order, over all tasks: small rows, much work, so not to be coalesced."""
+def _by_event(emissions: DataFrame, transitions: DataFrame | None = None) -> DataFrame:
+    """One row per event with its few bins in order, over all tasks: small rows, much work, so not to be coalesced.
+
+    With transitions, a session's events are dealt into as many parts as there are tasks, and
+    a row without an event, which holds the session's matrix, stands before those of each part.
+    """
     spark = emissions.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if transitions is not None:
+        parts = F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))
+        fitted = transitions.groupBy("session").agg(F.collect_list(F.struct("src", "dst", "probability")).alias("_m"))
+        fitted = fitted.select("session", F.explode(parts).alias("_part"), F.struct(*[F.col(f"_m.{c}").alias(c) for c in ("src", "dst", "probability")]).alias("matrix"))
+        both = emissions.withColumn("_part", F.pmod(F.xxhash64("event_index"), F.lit(tasks))).unionByName(fitted, allowMissingColumns=True)
+        bins = F.collect_list(F.when(F.col("matrix").isNull(), F.struct("t_idx", "bin_dur", "n_spikes", "ll")))
+        rows = both.repartition(tasks, "session", "_part").groupBy("session", "_part", "event_index").agg(F.sort_array(bins).alias("bins"), F.first("matrix", ignorenulls=True).alias("matrix"))
+        return rows.sortWithinPartitions("session", "_part", F.col("matrix").isNull()).drop("_part")
     return emissions.repartition(tasks, "session", "event_index").groupBy("session", "event_index").agg(F.sort_array(F.collect_list(F.struct("t_idx", "bin_dur", "n_spikes", "ll"))).alias("bins"))
 
 
@@ -393,11 +410,22 @@ def centres_of(grid: Grid) -> np.ndarray:
     return np.stack((grid.low_x + (ix + 0.5) * grid.size, grid.low_y + (iy + 0.5) * grid.size), 1)
 
 
-def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Motion = Motion(), dt: float = 1.0, goals=None) -> DataFrame:
+def transition_matrix(src, dst, probability, n: int, teleport: float = 1e-6) -> np.ndarray:
+    """[to, from]: places that were never left stay, and any step may jump anywhere with a small chance."""
+    out = np.zeros((n, n))
+    out[dst, src] = probability
+    never = np.flatnonzero(out.sum(0) <= 0)
+    out[never, never] = 1.0
+    return (1 - teleport) * out + teleport / n
+
+
+def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Motion = Motion(), dt: float = 1.0, goals=None, transitions: DataFrame | None = None) -> DataFrame:
     """One row per event and model, from rows (session, event_index, t_idx, bin_dur, n_spikes, ll array).
 
     An event's few time bins are gathered into one row, and tasks score rows as they come:
-    no cost per group, and no group larger than an event.
+    no cost per group, and no group larger than an event. transitions (session, src, dst,
+    probability) are for the models that follow a fitted matrix; without one such a model's
+    row has no evidence and says so.
     """
     unknown = [m for m in models if m not in REGISTRY]
     if unknown:
@@ -406,13 +434,21 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
 
     def run(batches):
         made: dict = {}
+        held, matrix = None, None
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 bins = row["bins"]
+                if row.get("matrix"):
+                    held, matrix = row["session"], transition_matrix(**row["matrix"], n=len(centres))
+                    continue
+                fit = matrix if row["session"] == held else None
                 dur = np.array([x["bin_dur"] for x in bins], float)
-                e = Event(np.array([x["ll"] for x in bins], float), centres, (dur[1:] + dur[:-1]) / 2, dt, motion, None if goals is None else np.array(goals, float), made=made)
+                e = Event(np.array([x["ll"] for x in bins], float), centres, (dur[1:] + dur[:-1]) / 2, dt, motion, None if goals is None else np.array(goals, float), fit, made)
                 for name, kernel, label in chosen:
+                    if name in FITTED and fit is None:
+                        out.append((row["session"], row["event_index"], name, NOT_SCORED, None, len(bins), sum(x["n_spikes"] for x in bins), None))
+                        continue
                     log, post = kernel(e)
                     single = label == TRUNCATED and len(bins) == 1
                     out.append((row["session"], row["event_index"], name, "degenerate_single_bin" if single else label, log, len(bins), sum(x["n_spikes"] for x in bins), post[-1].tolist()))
@@ -420,7 +456,7 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in SCORE_SCHEMA.split(", ")])
 
-    return _by_event(emissions).mapInArrow(run, SCORE_SCHEMA)
+    return _by_event(emissions, transitions).mapInArrow(run, SCORE_SCHEMA)
 
 
 def emissions(spikes: DataFrame, events: DataFrame, rates: DataFrame, grid: Grid, dt: float) -> DataFrame:

@@ -55,7 +55,8 @@ def static_model_evidence(spark, d):
 @query()
 def latent_model_evidence(spark, d):
     """All registered models of every event, in one grouped pass over the emissions."""
-    s = op.score_events(_emissions(spark, d), GRID, list(op.REGISTRY), op.Motion(), DT, GOALS)
+    fitted = tracks.empirical_transitions(rel.position(spark, d), GRID)
+    s = op.score_events(_emissions(spark, d), GRID, list(op.REGISTRY), op.Motion(), DT, GOALS, fitted)
     return s.select("session", "event_index", "model", "evidence_support", _r("log_evidence", digits=6), "n_time", "n_spikes")
 
 

@@ -1,6 +1,12 @@
 """Operators do the whole job: what was drawn, capped or left out before is there."""
 
-from driftfield.operators import decoding
+import itertools
+
+import numpy as np
+import pytest
+
+from driftfield.operators import decoding, models
+from driftfield.operators.tracks import Grid
 
 SPIKE = "session string, spike_row long, t double, cell_id int"
 EVENT = "session string, event_index long, start double, end double"
@@ -26,3 +32,24 @@ def test_null_windows_match_counts_then_cells(spark):
     got = decoding.searched_null_windows(e, s, 4).collect()
     assert {(r.match, r.start) for r in got if r.match > 2} <= {(k, a) for k in (3, 4) for a in (8.0, 10.0)} and len(got) == 4
     assert {r.start for r in got if r.match <= 2} == {18.0, 20.0} and all(r.null_spikes == 2 for r in got)
+
+
+def test_empirical_transitions_follow_the_fitted_matrix(spark):
+    grid, ll = Grid(0.0, 0.0, 10.0, 2, 2), np.random.default_rng(1).normal(size=(3, 4))
+    rows = [(s, e, t, 1.0, 1, [float(x) for x in ll[t]]) for s in "ab" for e in range(20) for t in range(3)]
+    df = spark.createDataFrame(rows, "session string, event_index long, t_idx int, bin_dur double, n_spikes long, ll array<double>")
+    moves = [(0, 1, 0.75), (0, 0, 0.25), (1, 2, 1.0), (2, 2, 0.5), (2, 3, 0.5)]
+    fitted = spark.createDataFrame([("a", *m) for m in moves], "session string, src int, dst int, probability double")
+    p = np.eye(4)
+    p[:, :3] = 0
+    for src, dst, v in moves:
+        p[dst, src] = v
+    p = p * (1 - 1e-6) + 1e-6 / 4
+    want = np.log(sum(p[c, b] * p[b, a] / 4 * np.exp(ll[0, a] + ll[1, b] + ll[2, c]) for a, b, c in itertools.product(range(4), repeat=3)))
+    got = {(r.session, r.event_index, r.model): r for r in models.score_events(df, grid, ["empirical-transition", "state-space-diffusion"], transitions=fitted).collect()}
+    assert len(got) == 80
+    for e in range(20):
+        r = got["a", e, "empirical-transition"]
+        assert r.log_evidence == pytest.approx(want) and r.log_evidence != got["a", e, "state-space-diffusion"].log_evidence
+        r = got["b", e, "empirical-transition"]
+        assert r.log_evidence is None and r.evidence_support == "not_scored"
