@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.evidence import finite
+
 
 def draw(*parts: Column | str) -> Column:
     """A number in [0, 1) from the digest of the parts."""
@@ -33,18 +35,29 @@ def bootstrap_interval(rows: DataFrame, group: str, unit: str, value: str, repli
     return rows.groupBy(group).agg(F.avg(value).alias("mean"), F.countDistinct(unit).alias("units")).join(ci, group)
 
 
-def sign_flip_exact(rows: DataFrame, group: str, unit: str, value: str) -> DataFrame:
-    """Two-sided p of each group's mean over units under all 2**n sign patterns; n is at most 20.
+def sign_flip_exact(rows: DataFrame, group: str, unit: str, value: str, most: int = 20, draws: int = 10000) -> DataFrame:
+    """Two-sided p of each group's mean over units: under all 2**n sign patterns where n is at most `most`, else sampled.
 
-    Patterns are the numbers below 2**n, whose bits are the signs; no pattern is stored.
+    Every group has one row, with the method. Units of mean zero are left out of the patterns,
+    as no sign changes them; without any other unit p is 1, and null without a finite value. Patterns are the numbers below
+    2**n, whose bits are the signs; no pattern is stored.
     """
-    means = rows.groupBy(group, unit).agg(F.avg(value).alias("m")).where("m <> 0")
-    sides = means.groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") <= 20)
+    means = rows.groupBy(group, unit).agg(F.avg(value).alias("m")).withColumn("m", F.when(finite(F.col("m")), F.col("m")))
+    size = means.groupBy(group).agg(F.count(F.when(F.col("m") != 0, 1)).alias("units"), F.count("m").alias("_any"))
+    small, large = size.where(F.col("units").between(1, most)), size.where(F.col("units") > most)
+    sides = means.where("m <> 0").join(small.select(group), group, "left_semi").groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("ms"))
     patterns = sides.withColumn("pattern", F.explode(F.expr("sequence(0L, shiftleft(1L, size(ms)) - 1)")))
     total = F.expr("aggregate(sequence(0, size(ms) - 1), 0D, (a, i) -> a + if(shiftright(pattern, i) & 1 = 1, -ms[i], ms[i]))")
     seen = F.aggregate("ms", F.lit(0.0), lambda a, x: a + x)
     n = patterns.withColumn("extreme", (F.abs(total) >= F.abs(seen) - 1e-12).cast("long"))
-    return n.groupBy(group).agg(F.max(F.size("ms")).alias("units"), F.sum("extreme").alias("extreme"), F.count(F.lit(1)).alias("patterns")).withColumn("p_value", F.col("extreme") / F.col("patterns"))
+    exact = n.groupBy(group).agg(F.sum("extreme").alias("extreme"), F.count(F.lit(1)).alias("patterns")).withColumn("method", F.lit("exact")).withColumn("p_value", F.col("extreme") / F.col("patterns"))
+    sampled = sign_flip_sampled(means.where("m <> 0").join(large.select(group), group, "left_semi"), group, unit, "m", draws)
+    sampled = sampled.select(group, F.round(F.col("p_value") * (draws + 1) - 1).cast("long").alias("extreme"), F.lit(draws).cast("long").alias("patterns"), F.lit("monte_carlo").alias("method"), "p_value")
+    some = F.col("_any") > 0
+    one = some.cast("long")
+    none = size.where("units = 0").select(group, one.alias("extreme"), one.alias("patterns"), F.when(some, "exact").otherwise("no_finite_value").alias("method"), F.when(some, 1.0).alias("p_value"))
+    found = exact.select(sampled.columns).unionByName(sampled).unionByName(none)
+    return size.select(group, F.col("units").cast("int").alias("units")).join(found, group)
 
 
 def sign_flip_sampled(rows: DataFrame, group: str, unit: str, value: str, draws: int = 500) -> DataFrame:

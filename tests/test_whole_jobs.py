@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from driftfield.operators import decoding, models
+from driftfield.operators import decoding, models, resampling
 from driftfield.operators.tracks import Grid
 
 SPIKE = "session string, spike_row long, t double, cell_id int"
@@ -53,3 +53,14 @@ def test_empirical_transitions_follow_the_fitted_matrix(spark):
         assert r.log_evidence == pytest.approx(want) and r.log_evidence != got["a", e, "state-space-diffusion"].log_evidence
         r = got["b", e, "empirical-transition"]
         assert r.log_evidence is None and r.evidence_support == "not_scored"
+
+
+def test_sign_flips_keep_every_group(spark):
+    rows = [("large", u, 1.0 + u % 3) for u in range(25)] + [("even", u, (-1.0) ** u) for u in range(24)] + [("small", u, 1.0) for u in range(4)] + [("small", 9, 0.0), ("zero", 0, 0.0), ("zero", 1, 0.0), ("void", 0, None)]
+    df = spark.createDataFrame(rows, "g string, u int, v double")
+    got = {r.g: r for r in resampling.sign_flip_exact(df, "g", "u", "v", draws=500).collect()}
+    assert len(got) == 5 and got["void"].method == "no_finite_value" and got["void"].p_value is None
+    assert (got["small"].units, got["small"].method, got["small"].extreme, got["small"].p_value) == (4, "exact", 2, 2 / 16)
+    assert (got["large"].units, got["large"].method, got["large"].patterns, got["large"].p_value) == (25, "monte_carlo", 500, 1 / 501)
+    assert got["even"].method == "monte_carlo" and got["even"].p_value == 1.0
+    assert (got["zero"].units, got["zero"].method, got["zero"].p_value) == (0, "exact", 1.0)
