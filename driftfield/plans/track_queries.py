@@ -98,6 +98,16 @@ def spikes_in_epochs(spark, d):
     return op.in_intervals(rel.spikes(spark, d), rel.epochs(spark, d)).groupBy("session", "cell_id").agg(F.count(F.lit(1)).alias("spikes"))
 
 
+@query(f"{_P}, {rel.EVERY_EPOCH_SQL}, {_SPEED} select session, frame_idx, {_s('speed', digits=5)} from speeds p where speed >= 5 and exists (select 1 from every_epoch e where e.session = p.session and p.t >= e.start and p.t <= e.end)")
+def movement_in_every_epoch(spark, d):
+    return op.in_intervals(op.speed(rel.position(spark, d)).where("speed >= 5"), rel.every_epoch(spark, d)).select("session", "frame_idx", _r("speed", digits=5))
+
+
+@query(f"{_P}, {rel.EVERY_EPOCH_SQL} select session, cell_id, count(*) as spikes from spikes s where exists (select 1 from every_epoch e where e.session = s.session and s.t >= e.start and s.t <= e.end) group by 1, 2")
+def spikes_in_every_epoch(spark, d):
+    return op.in_intervals(rel.spikes(spark, d), rel.every_epoch(spark, d)).groupBy("session", "cell_id").agg(F.count(F.lit(1)).alias("spikes"))
+
+
 _MERGED = """mark as (select *, max("end") over (partition by session order by start, "end" rows between unbounded preceding and 1 preceding) as m from short_events),
 isl as (select *, sum(case when m is null or start > m then 1 else 0 end) over (partition by session order by start, "end" rows unbounded preceding) as i from mark), merged_events as (select session, min(start) as start, max("end") as "end" from isl group by session, i)"""
 

@@ -113,6 +113,14 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 EPOCHS_SQL = "epochs as (select session, 'run' as kind, t as start, t + 200 as \"end\" from stream where event_type = 'signup' and event_id % 10 = 0)"
 
 
+def every_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, kind, start, end: as `epochs`, at every signup."""
+    return _stream(spark, sf_dir).where("event_type = 'signup'").select("session", F.lit("run").alias("kind"), F.col("t").alias("start"), (F.col("t") + 200).alias("end"))
+
+
+EVERY_EPOCH_SQL = "every_epoch as (select session, 'run' as kind, t as start, t + 200 as \"end\" from stream where event_type = 'signup')"
+
+
 def well_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, fill_t, well_id: the well that is filled from each purchase above 100 on."""
     return _stream(spark, sf_dir).where("event_type = 'purchase' and value > 100").select("session", F.col("t").alias("fill_t"), (F.col("k") % 6).cast("int").alias("well_id"), F.col("event_id").alias("seq_idx"))

@@ -7,6 +7,7 @@ import pytest
 
 from driftfield.operators import decoding, models, resampling
 from driftfield.operators.tracks import Grid
+from driftfield.sources import relations
 
 SPIKE = "session string, spike_row long, t double, cell_id int"
 EVENT = "session string, event_index long, start double, end double"
@@ -64,3 +65,9 @@ def test_sign_flips_keep_every_group(spark):
     assert (got["large"].units, got["large"].method, got["large"].patterns, got["large"].p_value) == (25, "monte_carlo", 500, 1 / 501)
     assert got["even"].method == "monte_carlo" and got["even"].p_value == 1.0
     assert (got["zero"].units, got["zero"].method, got["zero"].p_value) == (0, "exact", 1.0)
+
+
+def test_every_signup_is_an_epoch(spark):
+    d = "/root/testdata/sf0.001"
+    signups = relations.read(spark, d, "events").where("event_type = 'signup'").count()
+    assert relations.every_epoch(spark, d).count() == signups > relations.epochs(spark, d).count()
