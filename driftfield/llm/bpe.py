@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from .common import LONG, TEXT, Recent, schema, text_of
 
-#: Entries of a worker's memo of encoded pre-tokens.
-MEMO = 400_000
+#: Bytes of a worker's memo of encoded pre-tokens, about.
+MEMO = 160 << 20
 #: Stands for no part; no pair with it has a rank.
 NONE = 0xFFFFFFFF
 

@@ -18,12 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new path below the cluster's shared checkpoint folder.
 
-    Only where spark.checkpoint.dir is unset (local tests) is a folder chosen here.
+    Where spark.checkpoint.dir and the context's checkpoint folder are unset, a folder is
+    chosen here for a local master only; on a cluster that is an error, as executors do not
+    share folders of a machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = chosen.get() if chosen.isDefined() else f"file:///tmp/spark-checkpoints-{uuid.uuid4().hex[:8]}"
+        if chosen.isDefined():
+            root = chosen.get()
+        elif spark.sparkContext.master.startswith("local"):
+            root = f"file:///tmp/spark-checkpoints-{uuid.uuid4().hex[:8]}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -34,21 +41,54 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a materialized frame that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: A key is hot if it holds more than one in so many rows; there are fewer hot keys than that.
+HOT = 256
+
+
+def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Left join of rows with a lookup that has one row per key and `count`, the rows that hold it.
+
+    Rows of hot keys are dealt over HOT tasks, and the lookup's rows of those keys, fewer
+    than HOT, go to each of them; what is broadcast is those keys alone. The lookup is read
+    three times, so it should be written out. Keys are not null.
+    """
+    total = lookup.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT > total
+    hot = lookup.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.monotonically_increasing_id() % HOT).otherwise(0))
+    copies = lookup.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(HOT - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return dealt.join(copies.drop(count), [*keys, "_salt"], "left").drop("_hot", "_salt")
+
 
 class Recent(dict):
-    """A bounded memo of two generations: `compute(key)` fills misses; a full young
-    generation becomes the old one, so that what is in use survives."""
+    """A memo of two generations, bounded in bytes: `compute(key)` fills misses; a full young
+    generation becomes the old one, so that what is in use survives.
+
+    Keys longer than `longest` are computed each time. Of texts and byte strings the bytes
+    count, and `overhead` for each entry.
+    """
 
-    def __init__(self, compute, cap: int):
+    def __init__(self, compute, most_bytes: int, longest: int = 1024, overhead: int = 200):
         super().__init__()
-        self.compute, self.cap, self.old = compute, cap, {}
+        self.compute, self.most, self.longest, self.overhead, self.size, self.old = compute, most_bytes // 2, longest, overhead, 0, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.cap // 2:
-            self.old = dict(self)
+        self.size += self.overhead + 4 * len(key) + (len(value) if isinstance(value, (str, bytes)) else 0)
+        if self.size > self.most:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[key] = value
         return value

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG, Recent, materialize, schema
+from .common import Recent, attach, discard, materialize
 
 #: Words of a shingle, and the least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -20,7 +20,8 @@ BAND, BANDS = 4, 24
 COORDINATES = BAND * BANDS
 #: Weighted shingles of a bucket that one task compares at a time, about.
 PART = 1_500_000
-_HASHES = 300_000
+#: Bytes of a task's memo of word hashes.
+_HASHES = 64 << 20
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -51,43 +52,54 @@ def weighted_shingles(text: str, hashes: Recent) -> tuple[np.ndarray, np.ndarray
     return key, weight
 
 
-def strips(key: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """One number per element and unit of its weight, so that weighted similarity is that of sets."""
-    if len(key) and weight.max() == 1:
-        return key
-    level = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
-    return np.sort(np.repeat(key, weight) + _MIX1 * level.astype(np.uint64))
+def strips(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The regions under the elements' weights, cut at 1, 2, 4, 8, ...: name, floor, height and the weight.
+
+    An element has as many strips as its weight has binary digits, so a large weight costs
+    little more than a small one; weights may be any positive numbers.
+    """
+    if (weight <= 1).all():
+        return key, np.zeros(len(key)), np.ones(len(key)), weight.astype(np.float64)
+    levels = np.where(weight > 1, np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64) + 1, 1)
+    at = np.repeat(np.arange(len(key)), levels)
+    level = np.arange(len(at)) - np.repeat(np.cumsum(levels) - levels, levels)
+    floor = np.where(level == 0, 0.0, 2.0 ** (level - 1.0))
+    return key[at] + _MIX1 * level.astype(np.uint64), floor, np.where(level == 0, 1.0, floor), weight[at].astype(np.float64)
 
 
-def darts(area: np.ndarray, rank: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed darts in the strips' region up to a rank: their ranks and names.
+def darts(region: tuple[np.ndarray, ...], rank: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed darts under the weights up to a rank: their ranks and names.
 
-    In each strip darts follow each other at exponential gaps, so they fall evenly and
-    depend on the strip alone; a lower rank limit only cuts the list.
+    In each strip darts follow each other at exponential gaps over its height, so they fall
+    evenly and depend on the strip alone; those that land above the weight are dropped. A
+    lower rank limit only cuts the list.
     """
-    first = mix(area + _GOLDEN)
-    at = -np.log(unit(first))
-    hit = at < rank
-    at, name, strip = at[hit], first[hit], area[hit]
-    ranks, names, serial, block = [at], [name], 2, max(4, int(rank + 4 * math.sqrt(rank)))
-    while len(at):
-        more = mix(strip[:, None] + _GOLDEN * np.arange(serial, serial + block, dtype=np.uint64)[None, :])
-        late = at[:, None] + np.cumsum(-np.log(unit(more)), axis=1)
+    strip, floor, height, weight = region
+    cut, ranks, names, serial, block = floor + height > weight, [], [], 1, max(4, int(rank + 4 * math.sqrt(rank)))
+    at = np.zeros(len(strip))
+    while len(strip):
+        name = mix(strip[:, None] + _GOLDEN * np.arange(serial, serial + block, dtype=np.uint64)[None, :])
+        late = at[:, None] + np.cumsum(-np.log(unit(name)), axis=1) / height[:, None]
         inside = late < rank
-        ranks.append(late[inside])
-        names.append(more[inside])
+        under = inside.copy()
+        if cut.any():  # only strips that the weight ends in can be hit above it
+            landed = floor[cut, None] + height[cut, None] * unit(mix(name[cut] ^ _MIX1))
+            under[cut] &= landed < weight[cut, None]
+        ranks.append(late[under])
+        names.append(name[under])
         on = inside[:, -1]
-        at, strip, serial = late[on, -1], strip[on], serial + block
+        strip, floor, height, weight, cut, at = strip[on], floor[on], height[on], weight[on], cut[on], late[on, -1]
+        serial, block = serial + block, 2 * block
     return np.concatenate(ranks), np.concatenate(names)
 
 
-def signature(area: np.ndarray) -> np.ndarray:
-    """The earliest dart of each coordinate, for a set of strips that is not empty."""
-    rank = COORDINATES * (math.log(COORDINATES) + 3) / len(area)
+def signature(key: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The earliest dart of each coordinate, for a weighted set that is not empty."""
+    region = strips(key, weight)
+    rank = COORDINATES * (math.log(COORDINATES) + 3) / float(weight.sum())
     while True:
-        at, name = darts(area, rank)
-        order = np.argsort(at)
-        name = name[order]
+        at, name = darts(region, rank)
+        name = name[np.argsort(at)]
         where, first = np.unique((mix(name ^ _MIX2) % np.uint64(COORDINATES)).astype(np.int64), return_index=True)
         if len(where) == COORDINATES:
             return name[first]
@@ -105,9 +117,10 @@ def word_hashes() -> Recent:
     return Recent(xxhash.xxh3_64_intdigest, _HASHES)
 
 
-def content(area: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a weighted set: sums of two hashes of its strips."""
-    return int(mix(area + _MIX1).sum().view(np.int64)), int(mix(area ^ _MIX2).sum().view(np.int64))
+def content(key: np.ndarray, weight: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a weighted set: sums of two hashes of its elements and weights."""
+    w = weight.astype(np.uint64)
+    return int(mix(mix(key + _MIX1) + w).sum().view(np.int64)), int(mix(mix(key ^ _MIX2) ^ w).sum().view(np.int64))
 
 
 def _sign(batches):
@@ -115,56 +128,88 @@ def _sign(batches):
     for b in batches:
         h1, h2, size, bands = [], [], [], []
         for text in b.column("text").to_pylist():
-            area = strips(*weighted_shingles(text or "", hashes))
-            a, c = content(area)
+            key, weight = weighted_shingles(text or "", hashes)
+            a, c = content(key, weight)
             h1.append(a)
             h2.append(c)
-            size.append(len(area))
-            bands.append(band_keys(signature(area)).view(np.int64) if len(area) else np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(h1), pa.array(h2), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "size", "bands"])
+            size.append(int(weight.sum()))
+            bands.append(band_keys(signature(key, weight)).view(np.int64) if len(key) else np.empty(0, np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id").cast(pa.int64()), b.column("digest"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["row", "doc_id", "digest", "h1", "h2", "size", "bands"])
 
 
 def _sets(batches):
     hashes = word_hashes()
     for b in batches:
-        sets = [np.sort(strips(*weighted_shingles(t or "", hashes))).view(np.int64) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "strips"])
+        sets = [weighted_shingles(t or "", hashes) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([k.view(np.int64) for k, _ in sets], pa.list_(pa.int64())), pa.array([w.astype(np.int32) for _, w in sets], pa.list_(pa.int32()))], ["rep", "shingles", "weights"])
+
 
+def prefixes(code: np.ndarray, weight: np.ndarray, member: np.ndarray, often: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest elements of each set, sorted by element: two sets whose rare elements are
+    disjoint cannot be similar, as the rest of either weighs less than the overlap that is needed."""
+    order = np.lexsort((code, often[code], member))
+    code, weight, member = code[order], weight[order], member[order]
+    start = np.concatenate(([0], np.cumsum(np.bincount(member, minlength=len(size)))[:-1]))
+    total = np.cumsum(weight) - weight
+    rare = total - total[start][member] <= (1 - similarity) * size[member] + 1e-9
+    code, member = code[rare], member[rare]
+    order = np.argsort(code, kind="stable")
+    return code[order], member[order]
 
-def group_links(reps: np.ndarray, sets: list[np.ndarray], found: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links that connect all members whose sets are similar, directly or by way of others.
+
+def group_links(sets: list[tuple[np.ndarray, np.ndarray]], found: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (places in the list) that connect all members whose sets are similar, directly or by way of others.
 
     `found` numbers the components known so far. The member that shares most with the
     group goes first, so that a group of copies joins in one pass; then every member
-    outside the largest component is held against all members of other components. Each
-    pass is one scan of the group's sets. So the result joins just what all pairs would.
+    outside the largest component is held against the members that share one of its rare
+    elements. So the result joins just what all pairs would.
     """
-    n, size = len(reps), np.array([len(s) for s in sets])
+    n = len(sets)
     if n < 2 or (found == found[0]).all():
         return []
-    flat = np.concatenate(sets)
-    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
-    starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-    order = np.argsort(-np.add.reduceat(often[code], starts) / size, kind="stable")
+    weights = [w for _, w in sets]
+    size, length = np.array([w.sum() for w in weights]), np.array([len(w) for w in weights])
+    flat_weight = np.concatenate(weights)
+    _, code, often = np.unique(np.concatenate([k for k, _ in sets]), return_inverse=True, return_counts=True)
+    starts = np.concatenate(([0], np.cumsum(length)[:-1]))
+    order = np.argsort(-np.add.reduceat(often[code], starts) / length, kind="stable")
     comp, done, links = np.unique(found, return_inverse=True)[1], np.zeros(n, bool), []
-    counts, mark, i = np.bincount(comp), np.zeros(len(often), bool), int(order[0])
-    while True:
-        mine = code[starts[i] : starts[i] + size[i]]
-        mark[mine] = True
-        both = np.add.reduceat(mark[code], starts, dtype=np.int64)
-        mark[mine] = False
+    held = np.zeros(len(often), flat_weight.dtype)
+
+    def hold(i, others=None):
+        """Ties all of the others' components that member i is near to its own."""
+        at = slice(starts[i], starts[i] + length[i])
+        held[code[at]] = flat_weight[at]
+        if others is None:
+            others, both = np.arange(n), np.add.reduceat(np.minimum(flat_weight, held[code]), starts)
+        else:
+            where = np.concatenate([np.arange(starts[j], starts[j] + length[j]) for j in others])
+            both = np.add.reduceat(np.minimum(flat_weight[where], held[code[where]]), np.concatenate(([0], np.cumsum(length[others])[:-1])))
+        held[code[at]] = 0
         done[i] = True
-        near = (both >= similarity * (size + size[i] - both)) & (comp != comp[i])
-        for other in np.unique(comp[near]):
-            j = int(np.flatnonzero(near & (comp == other))[0])
-            links.append((int(reps[i]), int(reps[j])))
-            comp[comp == other] = comp[i]
-        if len(links) and near.any():
-            counts = np.bincount(comp, minlength=len(counts))
-        open_ = ~done & (comp != int(np.argmax(counts)))
-        if not open_.any():
-            return links
-        i = int(order[np.argmax(open_[order])])
+        near = (both >= similarity * (size[others] + size[i] - both)) & (comp[others] != comp[i])
+        for j in others[near]:
+            if comp[j] != comp[i]:
+                links.append((i, int(j)))
+                comp[comp == comp[j]] = comp[i]
+
+    hold(int(order[0]))
+    if (comp == comp[0]).all():
+        return links
+    rare, owner = prefixes(code, flat_weight, np.repeat(np.arange(n), length), often, size, similarity)
+    mine = np.argsort(owner, kind="stable")
+    first = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
+    for i in order.tolist():
+        if done[i] or comp[i] == int(np.argmax(np.bincount(comp))):
+            continue
+        keys = rare[mine[first[i] : first[i + 1]]]
+        low, high = np.searchsorted(rare, keys, "left"), np.searchsorted(rare, keys, "right")
+        others = np.unique(np.concatenate([owner[a:b] for a, b in zip(low, high)]))
+        others = others[comp[others] != comp[i]]
+        if len(others):
+            hold(i, others)
+    return links
 
 
 def _compare(similarity: float):
@@ -173,19 +218,19 @@ def _compare(similarity: float):
         key, reps, sets, found = None, [], [], []
 
         def flush():
-            links = group_links(np.array(reps), sets, np.array(found), similarity)
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+            links = group_links(sets, np.array(found), similarity)
+            return pa.RecordBatch.from_arrays([pa.array([reps[a] for a, _ in links], pa.int64()), pa.array([reps[b] for _, b in links], pa.int64())], ["a", "b"])
 
         for b in batches:
-            lists, keys, parts = b.column("strips"), b.column("key").to_pylist(), b.column("part").to_pylist()
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            lists, more, keys, parts = b.column("shingles"), b.column("weights"), b.column("key").to_pylist(), b.column("part").to_pylist()
+            offsets, values, weights = lists.offsets.to_numpy(), lists.values.to_numpy(), more.values.to_numpy()
             for i, (k, p, r, c) in enumerate(zip(keys, parts, b.column("rep").to_pylist(), b.column("comp").to_pylist())):
                 if (k, p) != key:
                     if len(reps) > 1:
                         yield flush()
                     key, reps, sets, found = (k, p), [], [], []
                 reps.append(r)
-                sets.append(values[offsets[i] : offsets[i + 1]].copy())
+                sets.append((values[offsets[i] : offsets[i + 1]].copy(), weights[offsets[i] : offsets[i + 1]].copy()))
                 found.append(c)
         if len(reps) > 1:
             yield flush()
@@ -197,7 +242,8 @@ def components(links: DataFrame) -> DataFrame:
     """rep and comp, the smallest rep that it is connected with, of all reps in links (a, b).
 
     Alternates: every larger neighbour of a node, then every smaller one, is tied to the
-    least of them, until nothing changes. Rounds are written out, so lineage stays short.
+    least of them, until nothing changes. Rounds are written out, so lineage stays short;
+    a round's files go once the next one stands.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, seen = materialize(edges, "links"), None
@@ -211,36 +257,60 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, materialize(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
 
 
-def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, class_id and the number of weighted shingles.
+#: In a pair of parts (i, j) of a dealt bucket the first is i // SPREAD.
+SPREAD = 1 << 24
+
+
+def paired_parts(apart: DataFrame) -> DataFrame:
+    """Rows of dealt buckets with the pairs of parts that they are compared in.
+
+    Members outside their bucket's main component are dealt anew, into `rests` parts numbered
+    from `parts` on; each meets every part, two parts a task, and main parts never meet.
+    """
+    pairs = F.expr(f"transform(sequence(0L, parts - 1), i -> i * {SPREAD} + part)")
+    both = F.expr(f"transform(sequence(parts, parts + rests - 1), k -> least(k, part) * {SPREAD} + greatest(k, part))")
+    rest = apart.where("comp <> main").withColumn("part", F.expr("parts + pmod(xxhash64(rep, key), rests)")).withColumn("part", F.explode(F.concat(pairs, both)))
+    main = apart.where("comp = main").withColumn("part", F.explode(F.expr(f"transform(sequence(parts, parts + rests - 1), k -> part * {SPREAD} + k)")))
+    return main.unionByName(rest).select("key", "part", "rep", "comp")
+
+
+def classify(df: DataFrame, similarity: float = SIMILARITY, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: doc_id, the MD5 of its text, the number of its weighted shingles, class_id
+    and class_text, a number that only rows of its class have.
 
     A class is a connected component of texts whose multisets of five-word shingles have a
-    weighted Jaccard similarity of at least `similarity`; class_id is its least doc_id.
-    Texts with the same shingles are one text from the start. Texts without words (null,
-    empty, white space) are copies of each other. A null id keeps its row; its class is
-    that of the other rows of its text, and a text with null ids only has a null class.
-    Further columns are not read; repeated rows are members of one class.
+    weighted Jaccard similarity of at least `similarity`; class_id is its least doc_id, null
+    if no row of it has an id. Texts are told apart by their shingles alone: those with the
+    same ones are one text from the start, whatever their ids, and unlike texts of one id
+    are texts of their own. Texts without words (null, empty, white space) are copies of
+    each other. Further columns are not read; repeated rows are members of one class.
 
     Buckets of a band that have the same members are compared once. A bucket of more than
     `part` shingles is dealt over several tasks; afterwards the members of it that are not
-    in its largest component meet all its parts, so that dealing loses no link.
+    in its largest component meet all its parts, two parts at a time, so that dealing loses no link.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(docs.mapInArrow(_sign, "doc_id long, h1 long, h2 long, size long, bands array<long>"), "signatures")
-    texts = signed.where("size > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    banded = texts.select("rep", "size", F.explode("bands").alias("key"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("digest", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    signed = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign, "row long, doc_id long, digest string, h1 long, h2 long, size long, bands array<long>")
+    signed = materialize(signed, "signatures")
+    # a text goes by the number of its first row; its shingles are made again from that row's text
+    texts = signed.groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    texts = materialize(texts, "texts")
+    banded = texts.where("size > 0").select("rep", "size", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.sum("size").alias("weight")).where("n > 1")
     once = buckets.groupBy("n", "low", "who", "weight").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("weight") / part).cast("long").alias("parts"))
-    members = materialize(banded.join(once, "key").select("key", "parts", "rep", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep", "key"), F.col("parts"))).otherwise(0).alias("part")), "buckets")
-    wanted = members.select("rep").distinct().hint("merge")  # grows with the corpus: never broadcast
-    text_rows = docs.join(wanted, F.col("doc_id") == F.col("rep"), "inner").select("rep", "text").dropDuplicates(["rep"])
-    sets = materialize(text_rows.mapInArrow(_sets, "rep long, strips array<long>"), "strips")
+    members = materialize(banded.join(once, "key").select("key", "parts", "rep", "size", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep", "key"), F.col("parts"))).otherwise(0).alias("part")), "buckets")
+    first = signed.join(members.select(F.col("rep").alias("row")).distinct().hint("merge"), "row")  # grows with the corpus: never broadcast
+    wanted = first.select(F.col("row").alias("rep"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "digest").hint("merge")
+    text_rows = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted, ["doc_id", "digest"]).select("rep", "text").dropDuplicates(["rep"])
+    sets = materialize(text_rows.mapInArrow(_sets, "rep long, shingles array<long>, weights array<int>"), "shingles")
 
     def compare(rows: DataFrame) -> DataFrame:
-        put = rows.join(sets, "rep").select("key", "part", "rep", "comp", "strips").repartition("key", "part").sortWithinPartitions("key", "part")
+        put = rows.join(sets, "rep").select("key", "part", "rep", "comp", "shingles", "weights").repartition("key", "part").sortWithinPartitions("key", "part")
         return put.mapInArrow(_compare(similarity), "a long, b long")
 
     links = materialize(compare(members.withColumn("comp", F.col("rep"))), "links")
@@ -248,13 +318,37 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, part: int = P
     large = members.where("parts > 1")
     if not large.isEmpty():
         placed = materialize(large.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "large-buckets")
-        by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        main = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        apart = placed.join(main, "key")
-        rest = apart.where("comp <> main").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
-        again = compare(apart.where("comp = main").unionByName(rest).select("key", "part", "rep", "comp"))
-        comps = components(links.unionByName(again))
-    own = signed.select("doc_id", "h1", "h2", "size")
-    named = own.join(texts.select("h1", "h2", "rep"), ["h1", "h2"], "left").join(comps, "rep", "left")
-    wordless = F.lit(own.where("size = 0").agg(F.min("doc_id")).first()[0]).cast("long")
-    return named.select("doc_id", F.coalesce("comp", "rep", F.when(F.col("size") == 0, wordless)).alias("class_id"), F.col("size").alias("n_shingles"))
+        by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
+        main = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp", "weight")).alias("m"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        main = main.select("key", F.col("m.comp").alias("main"), F.ceil((F.col("weight") - F.col("m.weight")) / part).cast("long").alias("rests"))
+        comps = components(links.unionByName(compare(paired_parts(placed.join(main, "key")))))
+    named = texts.select("h1", "h2", "rep", "n", "low").join(comps, "rep", "left").withColumn("class_text", F.coalesce("comp", "rep"))
+    named = materialize(named.select("h1", "h2", "n", "low", "class_text"), "named")
+    classes = materialize(named.groupBy("class_text").agg(F.min("low").alias("class_id"), F.count(F.lit(1)).alias("n")), "classes")
+    named = materialize(attach(named.drop("low"), classes, ["class_text"]), "named")
+    out = attach(signed.select("doc_id", "digest", "size", "h1", "h2"), named, ["h1", "h2"])
+    return out.select("doc_id", "digest", F.col("size").alias("n_shingles"), "class_id", "class_text")
+
+
+def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: doc_id, class_id and the number of weighted shingles, as `classify` finds them."""
+    return classify(df, similarity, part, id_col, text_col).select("doc_id", "class_id", "n_shingles")
+
+
+def keep_one(df: DataFrame, similarity: float = SIMILARITY, part: int = PART, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, with all its columns as they are.
+
+    The row of the least id stays, one without id only where no row of the class has any,
+    and of unlike texts of that id the one of the least MD5. Of rows that agree in id and
+    text any one stays. Null and empty texts are one class. An empty table stays empty.
+    """
+    def row_of(doc_id, digest):
+        return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), digest))
+
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    kept = classify(df, similarity, part, id_col, text_col).groupBy("class_text").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest")).alias("r"))
+    kept = kept.select(row_of(F.col("r.doc_id"), F.col("r.digest")).alias(name)).hint("merge")
+    keyed = df.withColumn(name, row_of(F.col(id_col).cast("long"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))))
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
