@@ -5,38 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from driftfield.llm import neardup, packing, quality, toxicity
 from driftfield.llm.common import materialize, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the severity model rejects. It is fitted on labelled documents of this stage's input."""
+    """Drops the documents that the severity model rejects. It is fitted on labelled documents of this stage's input.
+
+    Null and empty texts hold no features and stay; repeated rows stay or go together. With
+    labels of one kind only, or none, nothing goes. Columns of any name pass through.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that fail the base rules or repeat too much."""
+    """Drops the documents that fail the base rules or repeat too much.
+
+    Null and empty texts have no words, so they go; repeated rows stay or go together; an
+    empty table stays empty, and columns of any name pass through.
+    """
     return quality.keep_good(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: that of the least doc_id, and one row of it.
+    """Keeps one row of each class of near duplicates, by content: that of the least doc_id.
 
-    A document without id goes by a negative number made from its text.
+    Unlike texts of one id are classes of their own. A class without any id keeps a row too;
+    null and empty texts are one class; of rows that agree in id and text one stays. An
+    empty table stays empty, and columns of any name pass through.
     """
-    key = F.coalesce(docs["doc_id"], -1 - F.expr("xxhash64(text) & 4611686018427387903"))
-    name = "_key"
-    while name in docs.columns:
-        name += "_"
-    keyed = docs.withColumn(name, key)
-    kept = neardup.near_duplicates(keyed, id_col=name).where("doc_id = class_id").select("doc_id").distinct().withColumnRenamed("doc_id", "kept")
-    return keyed.join(kept, keyed[name] == kept["kept"], "left_semi").dropDuplicates([name]).drop(name)
+    return neardup.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all kept documents into token-budget batches: one row per piece."""
+    """Packs all kept documents into token-budget batches: one row per piece.
+
+    Null and empty texts are a piece of the end token alone; repeated rows are packed as
+    often as they occur; an empty table packs into nothing; other columns are not read.
+    """
     return packing.pack(docs)
 
 
