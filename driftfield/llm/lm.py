@@ -7,16 +7,19 @@ deeper, by their block probabilities (context-tree weighting). After training th
 weights are frozen, so that a byte's probability depends on it and the DEPTH bytes before
 it alone: the text's code length is a sum over its (DEPTH + 1)-byte windows.
 
-Grams are counted in map tasks and summed by key. Documents are dealt into chunks of a
-bounded size; a chunk asks for the value of each distinct gram and word in it once, the
-answers are computed where the gram's subtree is, and meet the chunk's documents again.
+Grams are counted in map tasks and summed by key. The model is dealt into tasks by the
+last two bytes of the context, common ones by the third last too. Documents are dealt into
+chunks of a bounded size; a chunk asks for the value of each distinct gram and word in it
+once, the answers are computed where the gram's subtree is, and meet the chunk's documents
+again. What a chunk asks of a task is one row, an array of sorted keys as differences.
 Nothing that grows with the corpus is broadcast or sent to the driver: the driver holds
-the nodes of depth 0 and 1, at most 256 * 256.
+the nodes of depth 0 and 1, at most 256 * 256, and how many grams end in each two bytes.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +30,18 @@ from pyspark.sql import functions as F
 from .common import DOUBLE, FLAG, LONG, give_back, materialize, schema, tidy
 
 DEPTH = 5
-#: UTF-8 bytes of a chunk of documents, about; and chunks that ask one copy of a subtree.
-CHUNK_BYTES, CHUNKS_PER_COPY = 24 << 20, 64
+#: UTF-8 bytes of a chunk of documents, about.
+CHUNK_BYTES = 16 << 20
 #: Bytes whose windows are counted at a time.
 BLOCK = 1 << 20
-#: Grams of the model in a task, about, where trees are built; tasks are never merged below that.
-TASK_GRAMS = 50_000
+#: Grams of the model in a task, about, and the least number of tasks that hold it.
+TASK_GRAMS, TASKS = 50_000, 32
+#: Keys that a task holds before it answers them or sends them on, about.
+HELD = 1 << 20
 #: A task's counts are sent on when they have so many words, or three times as many grams;
 #: Spark adds up what a task sends twice before it shuffles.
 WORDS = 100_000
-#: The subtree below the last two bytes lies in one task.
+#: The subtree below the last two bytes lies in one task if it is small; that below the last three always does.
 ROOT = 2
 END = b""
 
@@ -176,7 +181,7 @@ def context(gram: np.ndarray, depth: int) -> np.ndarray:
     return (gram >> 8) & ((1 << 8 * depth) - 1)
 
 
-def grow(gram: np.ndarray, n: np.ndarray, root: int = ROOT) -> tuple[list[Level], np.ndarray]:
+def grow(gram: np.ndarray, n: np.ndarray, root: int = ROOT + 1) -> tuple[list[Level], np.ndarray]:
     """Levels DEPTH down to `root` from gram counts, and the block probabilities at `root`."""
     byte = gram & 255
     parts = [bit_nodes(byte, i) for i in range(8)]
@@ -234,7 +239,7 @@ class Slots:
     def __init__(self, key: np.ndarray, value: np.ndarray):
         self.bits = max(4, int(len(key) * 2).bit_length())
         self.key = np.full(1 << self.bits, -1, np.int64)
-        self.value = np.zeros(1 << self.bits, np.float32)
+        self.value = np.zeros(1 << self.bits)
         todo, at = np.arange(len(key)), self.start(key)
         while len(todo):
             free = self.key[at] == -1
@@ -256,107 +261,287 @@ class Slots:
         return self.value[at]
 
 
-def ask(batches):
-    """The distinct grams and words of each chunk, of those of its documents in a batch."""
+@dataclass(frozen=True)
+class Plan:
+    """Which task holds a key. Each two bytes have a first task and a number of ways, by the byte before them."""
+
+    first: np.ndarray
+    ways: np.ndarray
+    grams: int
+    words: int
+
+    @classmethod
+    def of(cls, counts: dict[int, int], n_words: int) -> Plan:
+        """From the number of grams that end in each two bytes (of the context) and that of words."""
+        n = np.zeros(1 << 8 * ROOT, np.int64)
+        n[list(counts)] = list(counts.values())
+        ways = np.clip(-(-n // TASK_GRAMS), 1, 256)
+        common = ways > 1
+        rest = max(TASKS, -(-int(n[~common].sum()) // TASK_GRAMS))
+        first = np.where(common, rest + np.cumsum(np.where(common, ways, 0)) - ways, (np.arange(len(n)) * 40503 & 0xFFFF) * rest >> 16)
+        return cls(first, ways, rest + int(ways[common].sum()), max(1, n_words // (4 * TASK_GRAMS)))
+
+    @property
+    def tasks(self) -> int:
+        return self.grams + self.words
+
+    def task_of(self, key: np.ndarray) -> np.ndarray:
+        root = (key >> 8) & 0xFFFF
+        way = (((key >> 24) & 255) * 167 & 255) * self.ways[root] >> 8
+        return np.where(key >= 0, self.first[root] + way, self.grams + key % self.words)
+
+
+#: Kinds of rows that meet in a task, in order: nodes of depth ROOT, counts of grams or words, and what chunks ask.
+NODES, COUNTS, ASKS = range(3)
+MET = "task int, kind int, chunk int, keys array<long>, x array<double>, y array<double>, z array<double>"
+NUMBERS, KEYS = pa.list_(pa.float64()), pa.list_(pa.int64())
+
+
+def differences(key: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of sorted runs of keys, each run's first key and then the steps, which compress well."""
+    out = np.diff(key, prepend=0)
+    out[starts] = key[starts]
+    return out
+
+
+def whole(steps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The keys again, of runs that begin at the offsets (the last one ends the runs)."""
+    key = np.cumsum(steps)
+    size = np.diff(offsets)
+    begin = offsets[:-1][size > 0]
+    return key - np.repeat(key[begin] - steps[begin], size[size > 0])
+
+
+def arrays(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column without nulls, and its offsets into them."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def bundle(plan: Plan, kind: int, key: np.ndarray, values=(), chunk: int = -1, task: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of sorted keys for each task that holds any, with up to three numbers a key."""
+    task = plan.task_of(key) if task is None else task
+    order = np.lexsort((key, task))
+    key, task = key[order], task[order]
+    starts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))[: len(task)]
+    offsets = pa.array(np.concatenate((starts, [len(key)])).astype(np.int32))
+    n = len(starts)
+    cols = [pa.array(task[starts].astype(np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, chunk, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(differences(key, starts)))]
+    cols += [pa.ListArray.from_arrays(offsets, pa.array(np.asarray(v, np.float64)[order])) for v in values]
+    cols += [pa.nulls(n, NUMBERS)] * (3 - len(values))
+    return pa.RecordBatch.from_arrays(cols, ["task", "kind", "chunk", "keys", "x", "y", "z"])
+
+
+def bundled_counts(plan: Plan):
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append((b.column("key").to_numpy(), b.column("n").to_numpy()))
+            size += b.num_rows
+            if size > HELD:
+                yield bundle(plan, COUNTS, np.concatenate([k for k, _ in held]), [np.concatenate([n for _, n in held])])
+                held, size = [], 0
+        if size:
+            yield bundle(plan, COUNTS, np.concatenate([k for k, _ in held]), [np.concatenate([n for _, n in held])])
+
+    return run
+
+
+def bundled_nodes(plan: Plan):
+    """Nodes of depth ROOT for every task that holds a part of their subtree."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, *values = (b.column(c).to_numpy() for c in ("key", "n0", "n1", "below"))
+            ways = plan.ways[key >> 8]
+            at = np.repeat(np.arange(len(key)), ways)
+            way = np.arange(len(at)) - np.repeat(np.cumsum(ways) - ways, ways)
+            yield bundle(plan, NODES, key[at], [v[at] for v in values], task=plan.first[key[at] >> 8] + way)
+
+    return run
+
+
+def asks(plan: Plan):
+    """The distinct grams and words of each chunk, as its documents come."""
+    def run(batches):
+        held: dict[int, tuple[list, set]] = {}
+
+        def send():
+            for c, (grams, words) in held.items():
+                yield bundle(plan, ASKS, np.concatenate((np.unique(np.concatenate(grams)), np.array([word_key(w) for w in words], np.int64))), chunk=c)
+            held.clear()
+
+        for b in batches:
+            chunk = np.array(b.column("chunk").to_pylist(), np.int64)
+            for c in np.unique(chunk).tolist():
+                grams, words = held.setdefault(c, ([], {END}))
+                for some in blocks(texts_of(b.column("text").filter(pa.array(chunk == c)))):
+                    grams.append(np.unique(windows(some)[0]))
+                    words.update(*some)
+                    if len(grams) > 8:
+                        grams[:] = [np.unique(np.concatenate(grams))]
+            if sum(len(g) for grams, _ in held.values() for g in grams) > 4 * HELD:
+                yield from send()
+        yield from send()
+
+    return run
+
+
+def partial_nodes(batches):
+    """Sums of the subtrees' block probabilities by node of depth ROOT, from a task's bundles."""
+    keys, n = [], []
     for b in batches:
-        chunk = np.array(b.column("chunk").to_pylist(), np.int64)
-        for c in np.unique(chunk):
-            grams, words = [], {END}
-            for held in blocks(texts_of(b.column("text").filter(pa.array(chunk == c)))):
-                grams.append(np.unique(windows(held)[0]))
-                words.update(*held)
-            key = np.concatenate((np.unique(np.concatenate(grams)), np.array([word_key(w) for w in words], np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key)], ["chunk", "key"])
-
-
-def train(docs: DataFrame) -> tuple[DataFrame, int, list[Level], tuple[float, float]]:
-    """The counts of all grams and words of training documents as a table (key, n), how many
-    tasks its grams fill, the top levels, and N and V of the words."""
-    training = docs.where(~held_out(F.col("doc_id"))).select("text")
-    model = materialize(training.mapInArrow(tidy(count_keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
-    n, v = model.where("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-
-    def roots(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows)
-        levels, total = grow(t["key"].to_numpy(), t["n"].to_numpy())
-        root = levels[-1]
-        up = (((root.key >> 8) & ((1 << 8 * (ROOT - 1)) - 1)) << 8) | (root.key & 255)
+        if b.num_rows:
+            steps, offsets = arrays(b.column("keys"))
+            keys.append(whole(steps, offsets))
+            n.append(arrays(b.column("x"))[0])
+    if not keys:
+        return
+    key, n = np.concatenate(keys), np.concatenate(n)
+    if not (key >= 0).any():
+        return
+    levels, total = grow(key[key >= 0], n[key >= 0])
+    leaf = levels[-1]
+    up = ((leaf.key >> 8 & ((1 << 8 * ROOT) - 1)) << 8) | (leaf.key & 255)
+    key, at = np.unique(up, return_inverse=True)
+    sums = [np.bincount(at, x, minlength=len(key)) for x in (leaf.n0, leaf.n1, total)]
+    yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums)], ["key", "n0", "n1", "below"])
+
+
+def partial_tops(batches):
+    """Sums over the nodes of depth ROOT by node one byte shorter."""
+    for b in batches:
+        key, n0, n1, below = (b.column(c).to_numpy() for c in ("key", "n0", "n1", "below"))
+        up = ((key >> 8 & ((1 << 8 * (ROOT - 1)) - 1)) << 8) | (key & 255)
+        total = np.logaddexp(block_probability(n0, n1), below) - math.log(2)
         key, at = np.unique(up, return_inverse=True)
-        sums = [np.bincount(at, x, minlength=len(key)) for x in (root.n0, root.n1, total)]
-        yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums)], ["key", "n0", "n1", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.bincount(at, x, minlength=len(key))) for x in (n0, n1, total))], ["key", "n0", "n1", "total"])
+
+
+@dataclass(frozen=True)
+class Trained:
+    """Counts of grams and words (key, n), the nodes of depth ROOT, the levels above, the plan, and N and V of the words."""
+
+    counts: DataFrame
+    nodes: DataFrame
+    top: list[Level]
+    plan: Plan
+    n: float
+    v: float
 
-    grams = model.where("key >= 0")
-    tasks = -(-grams.count() // TASK_GRAMS) or 1
-    grams = grams.repartition(tasks, F.shiftright("key", 8) % (1 << 8 * ROOT))
-    top = grams.mapInArrow(tidy(roots), "key long, n0 double, n1 double, total double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "total")]).orderBy("key").collect()
+
+def train(docs: DataFrame) -> Trained:
+    """Counts the training documents' grams and words, and weighs all nodes bottom up."""
+    training = docs.where(~held_out(F.col("doc_id"))).select("text")
+    counts = materialize(training.mapInArrow(tidy(count_keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
+    n, v = counts.where("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    roots = counts.where("key >= 0").groupBy((F.shiftright("key", 8) % (1 << 8 * ROOT)).alias("root")).count().collect()
+    plan = Plan.of({r["root"]: r["count"] for r in roots}, v)
+    grams = counts.where("key >= 0").mapInArrow(tidy(bundled_counts(plan)), MET).select("task", "keys", "x").repartition(plan.tasks, "task")
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1", "below")]
+    nodes = materialize(grams.mapInArrow(tidy(partial_nodes), "key long, n0 double, n1 double, below double").groupBy("key").agg(*sums), "lm-nodes")
+    top = nodes.mapInArrow(partial_tops, "key long, n0 double, n1 double, total double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "total")]).orderBy("key").collect()
     cols = [np.array([r[i] for r in top], np.int64 if i == 0 else float) for i in range(4)]
-    return model, tasks, top_levels(*cols), (float(n), float(v))
+    return Trained(counts, nodes, top_levels(*cols), plan, float(n), float(v))
+
+
+def answers(top: list[Level]):
+    """The values of asked keys: log10 probabilities of grams, counts of words. Rows come by
+    task, its nodes and counts first; what is asked is answered HELD keys at a time."""
+    def run(batches):
+        task, model, levels, pending, size = None, ([], []), None, [], 0
+
+        def build():
+            """Levels of this task's grams, or its words' keys and counts."""
+            (nodes, counts), none = model, np.zeros(0, np.int64)
+            key = np.concatenate([k for k, _ in counts]) if counts else none
+            n = np.concatenate([x for _, x in counts]) if counts else np.zeros(0)
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            gram = key >= 0
+            cols = [np.concatenate(c) for c in zip(*nodes)] if nodes else [none, np.zeros(0), np.zeros(0), np.zeros(0)]
+            order = np.argsort(cols[0])
+            root = Level(*(c[order] for c in cols[:3]))
+            root.weigh(cols[3][order])
+            return key[~gram], n[~gram], [*grow(key[gram], n[gram])[0], root, *top]
+
+        def answer():
+            words, n, tree = levels
+            distinct, at = np.unique(np.concatenate([k for _, k in pending]), return_inverse=True)
+            value, gram = np.zeros(len(distinct)), distinct >= 0
+            for i in range(int(np.count_nonzero(~gram)), len(distinct), 1 << 18):
+                value[i : i + (1 << 18)] = log10_probability(distinct[i : i + (1 << 18)], tree)
+            if len(words):
+                place = np.minimum(np.searchsorted(words, distinct), len(words) - 1)
+                value = np.where(~gram & (words[place] == distinct), n[place], value)
+            sizes = np.array([len(k) for _, k in pending])
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            keys = np.concatenate([k for _, k in pending])
+            steps = differences(keys, offsets[:-1][sizes > 0])
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in pending], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(steps)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[at]))], ["chunk", "keys", "values"])
+
+        for b in batches:
+            tasks, kinds, chunks = b.column("task").to_pylist(), b.column("kind").to_pylist(), b.column("chunk").to_pylist()
+            for i, (t, kind, c) in enumerate(zip(tasks, kinds, chunks)):
+                if t != task:
+                    if pending:
+                        yield answer()
+                    task, model, levels, pending, size = t, ([], []), None, [], 0
+                keys = np.cumsum(b.column("keys")[i].values.to_numpy())
+                if kind == ASKS:
+                    if levels is None:
+                        levels, model = build(), ([], [])
+                    pending.append((c, keys))
+                    size += len(keys)
+                    if size > HELD:
+                        yield answer()
+                        pending, size = [], 0
+                else:
+                    model[kind].append((keys, *(b.column(x)[i].values.to_numpy().copy() for x in ("xyz" if kind == NODES else "x"))))
+        if pending:
+            yield answer()
+
+    return run
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: whether it is held out, its tokens, those known from training, the unigram
-    base score and the score of the context-tree model, as log10 probabilities.
+    base score, the score of the context-tree model, as log10 probabilities, and the model's
+    code length in bits per byte (of the words, the spaces between them and the end).
 
     Null and empty texts are the end alone. Null ids train. Repeated rows train and score as
     often as they occur; further columns are not read. With no training rows every bit
     counts one bit, and each token's base probability is 1.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model, tasks, top, (n, v) = train(docs)
+    model = train(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = -(-size // CHUNK_BYTES) or 1
-    copies = -(-chunks // CHUNKS_PER_COPY)
-    placed = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(chunks)).cast("int")).withColumn("held_out", held_out(F.col("doc_id"))).repartition("chunk")
-
-    root = F.shiftright("key", 8) % (1 << 8 * ROOT)
-    # a row of the model has a negative chunk, -1 - copy; copies of a subtree serve chunks in turn
-    copy = F.when(F.col("key") >= 0, F.expr(f"sequence(0, {copies - 1})")).otherwise(F.array(F.lit(0)))
-    asked = placed.mapInArrow(tidy(ask), "chunk int, key long").withColumn("n", F.lit(None).cast("long"))
-    known = model.select(F.explode(copy).alias("copy"), "key", "n").select((-1 - F.col("copy")).cast("int").alias("chunk"), "key", "n")
-    serves = F.when(F.col("chunk") < 0, -1 - F.col("chunk")).otherwise(F.col("chunk") % copies)
-    task = F.when(F.col("key") >= 0, root * copies + serves).otherwise(F.col("key"))
-    met = known.unionByName(asked).repartition(max(tasks * copies, 2 * chunks), task)
-
-    def answer(batches):
-        t = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["chunk", "key", "n"])])
-        given = t.filter(pa.compute.is_valid(t["n"]))
-        key, count = given["key"].to_numpy(), given["n"].to_numpy()
-        order = np.argsort(key)
-        key, count = key[order], count[order]
-        first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)  # copies of a subtree may meet
-        key, count = key[first], count[first]
-        gram = key >= 0
-        levels = grow(key[gram], count[gram])[0] + top
-        wanted = t.filter(pa.compute.is_null(t["n"]))
-        chunk, wish = wanted["chunk"].to_numpy(), wanted["key"].to_numpy()
-        distinct, at = np.unique(wish, return_inverse=True)
-        value = np.zeros(len(distinct))
-        place = np.minimum(np.searchsorted(key, distinct), max(0, len(key) - 1))
-        if len(key):
-            hit = (key[place] == distinct) & (distinct < 0)
-            value[hit] = count[place[hit]]
-        asks = distinct >= 0
-        # single precision halves what is shuffled; a text's score keeps seven digits
-        value[asks] = log10_probability(distinct[asks], levels).astype(np.float32)
-        value = value[at]
-        for i in range(0, len(chunk), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in (chunk, wish, value)], ["chunk", "key", "value"])
-
-    answers = met.mapInArrow(tidy(answer), "chunk int, key long, value double")
-    every = math.log10(n + 0.5 * (v + 1))
-    out = schema(doc_id=LONG, held_out=FLAG, n_tokens=LONG, n_known=LONG, train_tokens=LONG, base_score=DOUBLE, score=DOUBLE)
+    # by the row's place in the input, so that repeated rows are dealt too
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    placed = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("chunk", chunk).repartition(chunks, "chunk")
+    known = model.counts.mapInArrow(tidy(bundled_counts(model.plan)), MET)
+    nodes = model.nodes.mapInArrow(tidy(bundled_nodes(model.plan)), MET)
+    met = nodes.unionByName(known).unionByName(placed.mapInArrow(tidy(asks(model.plan)), MET)).repartition(model.plan.tasks, "task").sortWithinPartitions("task", "kind")
+    answered = met.mapInArrow(tidy(answers(model.top)), "chunk int, keys array<long>, values array<double>")
+    n, every = model.n, math.log10(model.n + 0.5 * (model.v + 1))
+    out = schema(doc_id=LONG, held_out=FLAG, n_tokens=LONG, n_known=LONG, train_tokens=LONG, base_score=DOUBLE, score=DOUBLE, bits_per_byte=DOUBLE)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, value = right["key"].to_numpy(), right["value"].to_numpy()
+        keys, values = [], []
+        for b in right.to_batches():
+            if b.num_rows:
+                keys.append(whole(*arrays(b.column("keys"))))
+                values.append(arrays(b.column("values"))[0])
+        del right
+        key, value = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (values, float)))
+        keys = values = None
         gram = key >= 0
         grams = Slots(key[gram], value[gram])
         key, value = key[~gram], value[~gram]
         order = np.argsort(key)
         key, value = key[order], value[order]
-        del right, gram, order
         unknown, rows = float(np.log10(0.5)), []
         for held in blocks(texts_of(left["text"])):
             words = list({w for ws in held for w in ws} | {END})
@@ -364,10 +549,11 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             found = dict(zip(words, np.log10(known + 0.5).tolist()))
             code, starts = windows(held)
             bits = np.concatenate([grams.get(code[i : i + (1 << 18)]) for i in range(0, len(code), 1 << 18)])
-            for ws, total in zip(held, np.add.reduceat(bits, starts).tolist()):
+            sizes = np.diff(starts, append=len(code))
+            for ws, total, size in zip(held, np.add.reduceat(bits, starts).tolist(), sizes.tolist()):
                 got = [*map(found.__getitem__, ws), found[END]]
-                rows.append((len(got), len(got) - got.count(unknown), math.fsum(got) - every * len(got), total))
-        cols = list(zip(*rows)) or [(), (), (), ()]
+                rows.append((len(got), len(got) - got.count(unknown), math.fsum(got) - every * len(got), total, -total / math.log10(2) / size))
+        cols = list(zip(*rows)) or [()] * 5
         return pa.Table.from_arrays([left["doc_id"].cast(pa.int64()), left["held_out"], *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array([int(n)] * len(rows), pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=out.names)
 
     def score_and_tidy(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -375,4 +561,4 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         give_back()
         return rows
 
-    return placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_and_tidy, out)
+    return placed.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score_and_tidy, out)

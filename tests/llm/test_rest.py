@@ -220,9 +220,10 @@ def test_scores_match_brute_force(spark, monkeypatch, odd):
     assert any(is_held(i) for i, _ in rows)
     c = Counter(w for t in train for w in [*lm.words_of(t), b""])
     n, v = sum(c.values()), len(c)
-    for chunk, copies in ((48 << 20, 64), (60, 2)):
+    for chunk, grams, held in ((48 << 20, 50_000, 1 << 20), (60, 3, 5)):  # the latter deals common endings by a third byte
         monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
-        monkeypatch.setattr(lm, "CHUNKS_PER_COPY", copies)
+        monkeypatch.setattr(lm, "TASK_GRAMS", grams)
+        monkeypatch.setattr(lm, "HELD", held)
         got = lm.score_texts(df).collect()
         assert len(got) == len(rows)
         by = {(r.doc_id): r for r in got}
@@ -230,7 +231,8 @@ def test_scores_match_brute_force(spark, monkeypatch, odd):
             r, w = by[i], [*lm.words_of(t or ""), b""]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (is_held(i), len(w), sum(c[x] > 0 for x in w), n)
             assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
-            assert r.score == pytest.approx(brute_score(train, t or ""), rel=1e-5)
+            assert r.score == pytest.approx(brute_score(train, t or ""), rel=1e-9)
+            assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / (len(b" ".join(w[:-1])) + 1))
 
 
 def test_lm_odd_rows(odd, none):
@@ -242,10 +244,30 @@ def test_lm_odd_rows(odd, none):
 def test_probabilities_of_all_bytes_sum_to_one():
     gram, _ = lm.windows([lm.words_of("some words and some more words")])
     key, n = np.unique(gram, return_counts=True)
-    levels, total = lm.grow(key, n)
+    levels, total = lm.grow(key, n, 2)
     root = levels[-1]
     up = (((root.key >> 8) & 255) << 8) | (root.key & 255)
     k, at = np.unique(up, return_inverse=True)
     levels += lm.top_levels(k, *[np.bincount(at, x, minlength=len(k)) for x in (root.n0, root.n1, total)])
     for ctx in (gram[3] >> 8, gram[7] >> 8, 12345):
         assert (10 ** lm.log10_probability((ctx << 8) + np.arange(256), levels)).sum() == pytest.approx(1)
+
+
+def test_plan_deals_every_key():
+    rng = np.random.default_rng(0)
+    key = rng.integers(0, 1 << 48, 20000)
+    key[:9000] = key[:9000] & ~np.int64(0xFFFF00) | 0x202000  # a common ending
+    root, n = np.unique(key >> 8 & 0xFFFF, return_counts=True)
+    plan = lm.Plan.of(dict(zip(root.tolist(), (n * 1000).tolist())), 10)
+    task = plan.task_of(np.concatenate((key, [-1, -77])))
+    assert task.min() >= 0 and task.max() < plan.tasks and set(task[-2:]) == {plan.grams}
+    most = np.bincount(task[:9000]).max()
+    assert len(set(task[:9000])) > 100 and most < 9000 / 60
+    leaf = {}
+    for k, t in zip((key >> 8 & 0xFFFFFF).tolist(), task.tolist()):
+        assert leaf.setdefault(k, t) == t  # a subtree below three bytes lies in one task
+
+
+def test_differences_and_back():
+    key, offsets = np.array([-5, 3, 9, 7, 8, 2, 50], np.int64), np.array([0, 3, 3, 5, 7])
+    assert lm.whole(lm.differences(key, np.array([0, 3, 5])), offsets).tolist() == key.tolist()
