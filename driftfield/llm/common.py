@@ -122,23 +122,37 @@ def _cell_of(order: list[str], n: int):
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(n)).cast("int")
 
 
-def slots(df: DataFrame, group: str, order: list[str], out: str, per_cell: int = 4096) -> DataFrame:
-    """Adds `out`: a gapless number from 0 within each value of `group`.
+#: Equal rows that one task spells out again, at most.
+SPELLED = 1 << 16
+
 
-    Each group is cut by a hash of its rows' order columns into cells of about
-    `per_cell` rows; cells are numbered by one window over their counts, rows by a
-    window inside their cell. So a group of any size is spread over many tasks, and
-    equal inputs give equal numbers. Rows that agree in group and order columns are
-    interchangeable, but such rows must be few, as they share a cell.
+def slots(df: DataFrame, group: str, order: list[str], out: str, per_cell: int = 4096) -> DataFrame:
+    """Adds `out`: a gapless number from 0 within each value of `group`, which is not null.
+
+    Equal rows are counted first and written once, so that df is made once and a row that
+    occurs very often is one row until the end. Each group is cut by a hash of its rows'
+    order columns into cells of about `per_cell` rows; cells are numbered by one window over
+    their counts, rows by a window inside their cell. So a group of any size is spread over
+    many tasks, and equal inputs give equal numbers. Rows that agree in group and order
+    columns but not in others are numbered in any order.
     """
-    n = max(1, -(-df.count() // per_cell))
-    cell = df.withColumn("_cell", _cell_of(order, n))
-    by_group = F.expr(f"sum(_n) over (partition by {group} order by _cell rows between unbounded preceding and 1 preceding)")
-    starts = cell.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n")).select(F.col(group).alias("_g"), F.col("_cell").alias("_c"), F.coalesce(by_group, F.lit(0)).alias("_start"))
-    rank = F.expr(f"row_number() over (partition by {group}, _cell order by {', '.join(order)}) - 1")
-    inside = cell.withColumn("_rank", rank)
-    joined = inside.join(starts, (F.col(group) == F.col("_g")) & (F.col("_cell") == F.col("_c")))
-    return joined.withColumn(out, (F.col("_start") + F.col("_rank")).cast("long")).drop("_cell", "_rank", "_g", "_c", "_start")
+    equal = materialize(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")), "equal-rows")
+    rows, most = equal.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    cell = equal.withColumn("_cell", _cell_of(order, max(1, -(-rows // per_cell))))
+    before = "coalesce(sum(_n) over (partition by {} order by {} rows between unbounded preceding and 1 preceding), 0)"
+    starts = cell.groupBy(group, "_cell").agg(F.sum("_n").alias("_n")).select(F.col(group).alias("_g"), F.col("_cell").alias("_c"), F.expr(before.format(group, "_cell")).alias("_start"))
+    inside = cell.withColumn("_rank", F.expr(before.format(f"{group}, _cell", ", ".join(order))))
+    placed = inside.join(starts, (F.col(group) == F.col("_g")) & (F.col("_cell") == F.col("_c"))).withColumn("_start", F.col("_start") + F.col("_rank"))
+
+    def spelled(some: DataFrame) -> DataFrame:
+        number = F.expr(f"explode(sequence(_part * {SPELLED}, least(_n, (_part + 1) * {SPELLED}) - 1))")
+        return some.select(*df.columns, "_start", number.alias("_k")).select(*df.columns, (F.col("_start") + F.col("_k")).cast("long").alias(out))
+
+    each = spelled(placed.where(f"_n <= {SPELLED}").withColumn("_part", F.lit(0).cast("long")))
+    if most <= SPELLED:
+        return each
+    parts = placed.where(f"_n > {SPELLED}").withColumn("_part", F.expr(f"explode(sequence(0L, (_n - 1) div {SPELLED}))"))
+    return each.unionByName(spelled(parts.repartition("_start", "_part")))
 
 
 LONG, TEXT, FLAG, DOUBLE, INT = T.LongType(), T.StringType(), T.BooleanType(), T.DoubleType(), T.IntegerType()

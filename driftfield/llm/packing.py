@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slots
+from .common import materialize, slots
 
 #: Tokens of a piece at most, number of buckets at most, and padded tokens of a batch at most.
 MAX_LENGTH, BUCKETS, BUDGET = 2_048, 16, 16_384
@@ -47,11 +47,12 @@ def boundaries(counts: dict[int, int], buckets: int) -> list[int]:
 def pieces(docs: DataFrame, max_length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of at most max_length tokens: the words of a text, then one end token.
 
+    Tokens are runs of characters that are not ASCII white space, not those of a vocabulary.
     Longer texts give several pieces, which cover all their tokens. Null and empty texts
-    are one piece that holds the end token only.
+    are one piece that holds the end token only. Texts are read once; their lengths are written.
     """
     n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
-    rows = docs.select(F.col(id_col).alias("doc_id"), n.cast("long").alias("n_tokens"), F.xxhash64(text_col).alias("h"))
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), n.cast("long").alias("n_tokens"), F.xxhash64(text_col).alias("h")), "lengths")
     split = rows.withColumn("piece", F.explode(F.expr(f"sequence(0L, (n_tokens - 1) div {max_length})")))
     return split.withColumn("start", F.col("piece") * max_length).withColumn("length", F.least(F.lit(max_length).cast("long"), F.col("n_tokens") - F.col("start")))
 

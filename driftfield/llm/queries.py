@@ -12,43 +12,53 @@ from .common import table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text of documents. As the operator says of odd rows."""
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every query row of embeddings, against all rows. As the operator says of odd rows."""
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document. As the operator says of odd rows."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document, by a model fitted on labels. As the operator says of odd rows."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket, batch and place of every piece of every document. As the operator says of odd rows."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document, held out or not. As the operator says of odd rows."""
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document. As the operator says of odd rows."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and read back. As the operator says of odd rows."""
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
 def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document. As the operator says of odd rows."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded, as digests. As the operator says of odd rows."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -20,8 +20,6 @@ FEATURES = 4_096
 LEAST_Z, LEAST_SHARE, LEAST_ROWS = 4.0, 0.02, 4
 #: Bytes from which a word is rare enough to tell texts apart.
 RARE = 10
-#: Grades above 0; toxic rows are dealt over them by how many kept features they hold.
-GRADES = 3
 #: A document is rejected if its probability of any grade above 0 is at least this.
 REJECT = 0.5
 
@@ -41,10 +39,14 @@ def features(text: str) -> set[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    """P(grade > j) = 1 / (1 + exp(threshold[j] - s)); s sums the weights of the features present."""
+    """P(grade > j) = 1 / (1 + exp(threshold[j] - s)); s sums the weights of the features present.
+
+    grades are the labels' values in order, one more than thresholds.
+    """
 
     weights: dict[bytes, float]
     thresholds: tuple[float, ...]
+    grades: tuple[int, ...] = (0, 1)
 
     def score(self, text: str) -> float:
         get = self.weights.get
@@ -54,15 +56,15 @@ class Model:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - s[:, None], -60, 60)))
 
 
-NOTHING = Model({}, (60.0,) * GRADES)
+NOTHING = Model({}, (60.0,))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_features: int, steps: int = 1000, penalty: float = 1e-5, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_features: int, k: int, steps: int = 1000, penalty: float = 1e-5, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights shared by all thresholds, by Adam on the penalised mean log-likelihood.
 
-    rows and cols name the entries, all 1, of a sparse matrix; grades run from 0.
+    rows and cols name the entries, all 1, of a sparse matrix; grades run from 0 to k.
     """
-    n, k = len(grade), int(GRADES)
+    n = len(grade)
     w, t = np.zeros(n_features), np.linspace(1.0, 3.0, k)
     moments = [np.zeros(n_features + k), np.zeros(n_features + k)]
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
@@ -83,17 +85,19 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_feature
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled documents. Grade 0 is toxic = 0; toxic rows get
-    grades 1 to GRADES by rising numbers of kept features, cut at equal shares of rows.
+    """Fits on at most `sample` labelled documents. The grades are the values of the labels'
+    toxic column that occur, in order, and 0: labels of 0 and 1 give one threshold, where
+    the model is logistic regression; graded labels give more, which share the weights.
 
     Features are counted over sketches, the least hash of a row's long words, which near
     copies share: else a copied text would make markers of its ordinary words.
 
-    Labels without id or toxic flag are left out; of several labels of an id the largest
-    holds. Without both kinds of rows the model rejects nothing.
+    Labels without id or toxic grade are left out; of several labels of an id the largest
+    holds, and of several documents of an id the one whose text comes first in order.
+    Without both kinds of rows the model rejects nothing.
     """
     chosen = (
-        labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        labels.where("doc_id is not null and toxic >= 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
 
@@ -101,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([sorted(features(t)) for t in text_of(b)], pa.list_(pa.binary()))], ["doc_id", "toxic", "features"])
 
-    wanted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    wanted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
     rows = materialize(wanted.mapInArrow(found, "doc_id long, toxic int, features array<binary>"), "toxicity-sample")
     sketched = rows.select((F.col("toxic") != 0).alias("toxic"), "features", F.expr(f"coalesce(array_min(transform(filter(features, f -> length(f) >= {RARE}), f -> xxhash64(f))), xxhash64(features))").alias("sketch"))
     counts = [F.count_distinct(F.when(flag, F.col("sketch"))).alias(name) for name, flag in (("a", F.col("toxic")), ("b", ~F.col("toxic")))]
@@ -124,17 +128,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "toxic", "at"])
 
     got = rows.mapInArrow(sparse, "doc_id long, toxic int, at array<int>").orderBy("doc_id").collect()
-    flag = np.array([r.toxic != 0 for r in got])
+    grades = sorted({0, *(r.toxic for r in got)})
     size = np.array([len(r["at"]) for r in got])
-    cuts = np.quantile(size[flag], np.arange(1, GRADES) / GRADES)
-    grade = np.where(flag, 1 + np.searchsorted(cuts, size, side="left"), 0).astype(int)
     cols = np.array([c for r in got for c in r["at"]], int)
-    w, t = fit_ordinal(np.repeat(np.arange(len(got)), size), cols, grade, len(names))
-    return Model({f: float(x) for f, x in zip(names, w)}, tuple(map(float, t)))
+    w, t = fit_ordinal(np.repeat(np.arange(len(got)), size), cols, np.array([grades.index(r.toxic) for r in got]), len(names), len(grades) - 1)
+    return Model({f: float(x) for f, x in zip(names, w)}, tuple(map(float, t)), tuple(grades))
 
 
 def severity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: expected severity (0 to GRADES), probability of any grade above 0, the likeliest
+    """Per row: expected severity (the mean grade), probability of any grade above 0, the likeliest
     grade and whether it is rejected. Map only; the broadcast model has at most FEATURES weights.
 
     Null and empty texts hold no features and get the model's score of nothing. Repeated
@@ -145,16 +147,21 @@ def severity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         m = shared.value
+        grades = np.array(m.grades)
         for b in batches:
             p = m.above(np.array([m.score(t) for t in text_of(b)], float))
             full = np.concatenate((np.ones((len(p), 1)), p, np.zeros((len(p), 1))), axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(np.argmax(full[:, :-1] - full[:, 1:], axis=1).astype(np.int32)), pa.array(p[:, 0] >= REJECT)], out.names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(grades[0] + p @ np.diff(grades)), pa.array(p[:, 0]), pa.array(grades[np.argmax(full[:, :-1] - full[:, 1:], axis=1)].astype(np.int32)), pa.array(p[:, 0] >= REJECT)], out.names)
 
     return df.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, out)
 
 
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows that the model does not reject, with all their columns as they are."""
+    """The rows that the model does not reject, with all their columns as they are.
+
+    Null and empty texts hold no features and get the model's score of nothing; repeated
+    rows stay or go together; an empty table stays empty; columns may have any names.
+    """
     shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
     def run(batches):

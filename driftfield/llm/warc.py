@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import io
-import os
 import struct
 
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LONG, TEXT, schema, shared_folder
+from .common import LONG, TEXT, attach, materialize, schema, shared_folder
 
 #: The skippable frame that holds a dictionary, and an ordinary frame's magic number.
 DICTIONARY_FRAME, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -22,17 +21,19 @@ ARCHIVE, DICTIONARY, TRAINING = 16 << 20, 16 << 10, 1 << 20
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1_000
 DATE = "2024-01-01T00:00:00Z"
+#: An empty skippable frame, all ASCII, with which Spark's text writer ends each file.
+EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0).decode()
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(page_id, url, payload: bytes, size: int, digest: str, refers_to, refers_uri) -> bytes:
+def record(page_id, url, payload: bytes, size: int, digest: str, refers_to, refers_uri, date: str = DATE) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP header and leaves out the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {uri(url, page_id)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
+        f"WARC-Target-URI: {uri(url, page_id)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Refers-To-Target-URI: {uri(refers_uri, refers_to)}"]
@@ -46,6 +47,13 @@ def uri(url, page_id) -> str:
     return clean or f"urn:page:{'' if page_id is None else page_id}"
 
 
+def info(name: str, date: str = DATE) -> bytes:
+    """The warcinfo record that opens an archive."""
+    block = b"software: driftfield\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{name}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def build_dictionary(records: list[bytes]):
     """A dictionary trained on records spread over the whole list, or None where too few repeat."""
     total = sum(map(len, records))
@@ -94,34 +102,38 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """Each row's payload digest and size, and the page it revisits, if any.
 
     Of rows with equal payloads of REVISIT_BYTES or more, those of the largest page_id are
-    responses. Only digests that occur twice or more take part in the join.
+    responses. Only digests that occur twice or more are looked up, and rows of a very
+    common payload are dealt over many tasks.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     narrow = rows.where(F.col("size") >= REVISIT_BYTES).select("page_id", "url", "digest")
     first = narrow.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
-    both = rows.join(first, "digest", "left")
+    first = materialize(first.where("n > 1").select("digest", "n", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "revisited")
+    both = attach(rows, first, ["digest"])
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return both.select("page_id", "url", F.when(revisit, F.lit("")).otherwise(F.col("html")).alias("html"), "digest", "size", F.when(revisit, F.col("first_id")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("refers_uri"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes a table of archives: name, number of records, and the bytes of a .warc.zst file.
+def write_archives(pages: DataFrame, path: str, date: str = DATE) -> None:
+    """Writes .warc.zst archives below a new folder, a file each, of about ARCHIVE bytes of records.
 
-    Spark's own writer commits them, so lost tasks leave nothing behind and any store that
-    Spark reaches will do; `export` turns rows into files. Null html is an empty payload,
-    repeated rows are records of their own, and an empty table gives no archives.
+    Spark's text writer commits the files, so lost tasks leave nothing behind and any store
+    that Spark reaches will do. It names them part-*.txt and ends each with a line
+    separator, for which an empty skippable frame stands, so that every file is a valid
+    archive; `rename_archives` gives them their usual ending. Null html is an empty payload,
+    repeated rows are records of their own that share a record id, and an empty table gives
+    no archives.
     """
     def run(batches):
         part, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{serial:04d}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([write_archive(held)], pa.binary())], ["archive", "n_records", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([write_archive([info(f"part-{part:06d}-{serial:04d}", date), *held])], pa.binary())], ["content"])
 
         for b in batches:
             for r in b.to_pylist():
-                held.append(record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["size"], r["digest"], r["refers_to"], r["refers_uri"]))
+                held.append(record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["size"], r["digest"], r["refers_to"], r["refers_uri"], date))
                 size += len(held[-1])
                 if size >= ARCHIVE:
                     yield flush()
@@ -129,7 +141,24 @@ def write_archives(pages: DataFrame, path: str) -> None:
         if held:
             yield flush()
 
-    plan_records(pages).mapInArrow(run, "archive string, n_records long, content binary").write.option("compression", "none").parquet(path)
+    archives = plan_records(pages).mapInArrow(run, "content binary").select(F.col("content").cast("string"))
+    archives.write.option("compression", "none").option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
+
+
+def archives_in(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of the archives below a folder; files without bytes are left out."""
+    return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+
+
+def rename_archives(spark: SparkSession, path: str) -> int:
+    """Gives the archives of a folder the ending .warc.zst, by the store's own renaming; their number."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store, n = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), 0
+    for f in store.listStatus(at):
+        name = f.getPath().getName()
+        if name.startswith("part-") and name.endswith(".txt"):
+            n += bool(store.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(path, name.removesuffix(".txt") + ".warc.zst")))
+    return n
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -145,6 +174,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
             for content in b.column("content"):
                 rows = {k: [] for k in out.names}
                 for head, block in read_archive(content.as_py()):
+                    if head["warc-type"] == "warcinfo":
+                        continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     digest, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
                     size = int(http.rpartition(b"Content-Length:")[2])
@@ -157,22 +188,14 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(run, out)
 
 
-def export(archives: DataFrame, folder: str) -> DataFrame:
-    """Writes each archive as a file into a folder that all executors mount; names and sizes."""
-    def run(batches):
-        for b in batches:
-            for name, content in zip(b.column("archive").to_pylist(), b.column("content").to_pylist()):
-                part = os.path.join(folder, f".{name}.{TaskContext.get().taskAttemptId()}")
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, os.path.join(folder, name))
-                yield pa.RecordBatch.from_pydict({"archive": [name], "bytes": pa.array([len(content)], pa.int64())})
-
-    return archives.select("archive", "content").mapInArrow(run, "archive string, bytes long")
-
-
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Writes all pages to archives in the shared folder and reads the records back."""
+    """Writes all pages to archive files in the shared folder and reads the records back.
+
+    One row per row of pages, repeated ones too; of equal payloads of REVISIT_BYTES or more
+    the rows of the largest page_id are responses (a null id only where no row has one),
+    all others revisit it. Null html is an empty payload and a null or empty url gives way
+    to the page's name. An empty table gives no rows; further columns are not read.
+    """
     path = shared_folder(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return read_archives(pages.sparkSession.read.schema("archive string, n_records long, content binary").parquet(path))
+    return read_archives(archives_in(pages.sparkSession, path))
