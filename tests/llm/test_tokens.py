@@ -69,5 +69,7 @@ def test_perfect_hash_is_minimal():
 
 
 def test_memo_keeps_its_bound():
-    c = bpe.Recent(lambda k: k * 2, 10)
-    assert [c[i] for i in range(100)] == [2 * i for i in range(100)] and len(c) + len(c.old) <= 10
+    c = bpe.Recent(lambda k: k * 2, 3000)
+    words = [f"{i:04}" for i in range(100)]
+    assert [c[w] for w in words] == [2 * w for w in words] and 5 <= len(c) + len(c.old) <= 3000 // 200
+    assert c["x" * 2000] == "x" * 4000 and "x" * 2000 not in c
