@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 from .common import DOUBLE, INT, LONG, materialize, schema
 
 #: Neighbours of a query; orderings; projected dimensions and bits of each on the curve.
-NEAREST, ORDERINGS, DIMENSIONS, BITS = 20, 16, 8, 7
+NEAREST, ORDERINGS, DIMENSIONS, BITS = 20, 32, 12, 5
 #: Queries whose true neighbours set the windows, at most; the share of those that must lie in them.
-SAMPLE, RECALL = 256, 0.97
-#: Positions of a block.
-BLOCK = 2_048
+SAMPLE, RECALL = 256, 0.94
+#: Positions of a block; blocks are small beside windows, so that queries meet little else.
+BLOCK = 256
+#: Queries whose best a task holds before it sends them, and places kept beyond the wanted
+#: ones until scores are added up in a fixed order.
+HELD, SPARE = 16_384, 12
 #: Every so-manieth vec_id is a query.
 EVERY = 20
 SEED = 7
@@ -152,6 +155,12 @@ def _search(k: int):
                     got = (both[0][keep], sc[keep])
                 found[q] = got
 
+        def send():
+            if found:
+                sizes = [len(c) for c, _ in found.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(found), np.int64), sizes)), *(pa.array(np.concatenate(x)) for x in zip(*found.values()))], ["qcls", "cls", "score"])
+                found.clear()
+
         for b in batches:
             key = np.array(b.column("block").to_pylist(), np.int64)
             is_query = np.array(b.column("role").to_pylist()) == 1
@@ -163,11 +172,12 @@ def _search(k: int):
                 if is_query[lo]:
                     for at in range(lo, hi, 256):
                         search(ids[at : min(hi, at + 256)].tolist(), v[at : min(hi, at + 256)])
+                    if len(found) > HELD:
+                        yield from send()
                 else:
                     cand_ids.append(ids[lo:hi])
                     cand.append(v[lo:hi])
-        for q, (c, s) in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), q, np.int64)), pa.array(c), pa.array(s)], ["qcls", "cls", "score"])
+        yield from send()
 
     return run
 
@@ -233,7 +243,10 @@ def nearest(df: DataFrame, k: int = NEAREST, every: int = EVERY, orderings: int
     blocks = places.join(vectors.select("cls", "v"), "cls").select(block(o, F.col("pos")).alias("block"), "cls", "v")
     reach = F.sequence(block(o, F.greatest(F.col("pos") - width, F.lit(0))), block(o, F.least(F.col("pos") + width, F.lit(n - 1))))
     asked = places.join(query_classes, "cls").select(F.explode(reach).alias("block"), "cls", "v")
-    hits = search_blocks(blocks, asked, k + 1)
-    members = hits.join(vectors.select("cls", "ids"), "cls").join(query_of.withColumnRenamed("cls", "qcls"), "qcls")
+    hits = search_blocks(blocks, asked, k + 1 + SPARE).drop("score")
+    both = hits.join(vectors.select("cls", "v", "ids"), "cls").join(query_classes.select(F.col("cls").alias("qcls"), F.col("v").alias("qv")), "qcls")
+    # products are added up in the order of components, whatever block the pair met in
+    exact = F.expr("aggregate(zip_with(qv, v, (a, b) -> double(a) * double(b)), 0D, (a, x) -> a + x)")
+    members = both.select("qcls", "ids", exact.alias("score")).join(query_of.withColumnRenamed("cls", "qcls"), "qcls")
     spelled = members.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     return spelled.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
