@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 #: Support labels, from the strongest statement against comparison to exact.
 RESTRICTED, TRUNCATED, DEGENERATE, PARTICLE, EXACT = (
-    "restricted_heldout_difference", "truncated_full_grid", "degenerate_single_bin", "particle_approximation", "exact_full_grid",
+    "restricted_support_difference", "truncated_full_grid", "degenerate_single_bin", "particle_approximation", "exact_full_grid",
 )
 UNKNOWN, NOT_SCORED = "unknown_noncomparable", "not_scored"
-#: Models that are exact without a label; words for missing, true and false.
+#: What scores of a support may be compared with.
+COMPARISONS = {
+    EXACT: "exact_model_evidence", TRUNCATED: "truncated_lower_bound", RESTRICTED: "restricted_support_difference",
+    DEGENERATE: "degenerate_single_bin", PARTICLE: "particle_approximation", NOT_SCORED: "not_scored",
+}
+#: Models, and modes of state-space models, that are exact without a label; words for missing, true and false.
 EXACT_MODELS = ("random", "stationary")
-EXACT_MODES = ("stationary", "fragmented", "state-space-stationary", "state-space-fragmented")
+EXACT_MODES = (
+    "stationary", "diffusion", "fragmented", "jump", "first-order-imm", "trajectory-imm-exact-sparse", "momentum-exact-sparse", "displacement-momentum", "displacement-imm", "goal",
+)
 MISSING = ("", "nan", "na", "n/a", "none", "null", "<na>")
 TRUE_WORDS = ("1", "1.0", "true", "t", "yes", "y", "on")
 FALSE_WORDS = ("", "0", "0.0", "false", "f", "no", "n", "off", "nan", "none", "null")
@@ -60,9 +67,8 @@ def support(status: Column, model: Column, labels: list[Column], heldout: bool =
 
 def comparison(support_label: Column) -> Column:
     """What scores of a support may be compared with."""
-    scopes = {EXACT: "exact", TRUNCATED: "lower_bound", RESTRICTED: "restricted_difference", DEGENERATE: "degenerate", PARTICLE: "particle_approximation", NOT_SCORED: NOT_SCORED}
     out = F.lit(UNKNOWN)
-    for label, scope in scopes.items():
+    for label, scope in COMPARISONS.items():
         out = F.when(support_label == label, scope).otherwise(out)
     return out
 

@@ -12,9 +12,15 @@ from ..functions import evidence as ev
 EVENT = ("session", "event_index")
 
 
-def with_support(scores: DataFrame, heldout: bool = False) -> DataFrame:
-    """Adds evidence_support, evidence_comparison and evidence_comparable."""
-    out = scores.withColumn("evidence_support", ev.support(F.col("status"), F.col("model"), [F.col("support_label")], heldout, F.col("model")))
+def with_support(scores: DataFrame, heldout: bool = False, labels: tuple[str, ...] = ("support_label",)) -> DataFrame:
+    """Adds evidence_support, evidence_comparison and evidence_comparable.
+
+    A row without a label is exact only by the name of its model or by its state-space mode,
+    which is read from the column `mode` where there is one. `heldout` says that scores are
+    joint less training evidence.
+    """
+    mode = F.col("mode") if "mode" in scores.columns else None
+    out = scores.withColumn("evidence_support", ev.support(F.col("status"), F.col("model"), [F.col(c) for c in labels], heldout, mode))
     return out.withColumn("evidence_comparison", ev.comparison(F.col("evidence_support"))).withColumn(
         "evidence_comparable", ev.succeeded(F.col("status")) & ev.finite(F.col("log_evidence")) & (F.col("evidence_support") == ev.EXACT)
     )

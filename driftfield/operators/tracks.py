@@ -173,6 +173,13 @@ def spike_counts(spikes: DataFrame, events: DataFrame, dt: float) -> DataFrame:
     return s.withColumn("t_idx", F.floor((F.col("t") - F.col("start")) / dt).cast("int")).groupBy("session", "event_index", "t_idx", "cell_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dense_counts(spikes: DataFrame, events: DataFrame, cells: DataFrame, dt: float) -> DataFrame:
+    """A row for each cell of the session in each time bin of each event, silent ones with 0; bin_dur beside it."""
+    full = event_bins(events, dt).select("session", "event_index", "t_idx", "bin_dur").join(cells.select("session", "cell_id"), "session")
+    n = spike_counts(spikes, events, dt)
+    return full.join(n, ["session", "event_index", "t_idx", "cell_id"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def occupancy(position: DataFrame, grid: Grid) -> DataFrame:
     """Seconds in each bin of each session."""
     return frame_durations(position).withColumn("bin_id", grid.bin(F.col("x"), F.col("y"))).where("bin_id >= 0").groupBy("session", "bin_id").agg(F.sum("dt").alias("occupancy_s"))

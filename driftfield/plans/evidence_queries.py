@@ -16,7 +16,7 @@ SUPPORT_SQL = f"""with {rel.SCORES_SQL}, sup0 as (select *, coalesce(lower(statu
 sup as (select *, case when not ok then 'not_scored' when support_label is not null then support_label
   when model in ('random', 'stationary', 'state-space-fragmented') then 'exact_full_grid' else 'unknown_noncomparable' end as evidence_support from sup0),
 supc as (select *, evidence_support = 'exact_full_grid' and ok as evidence_comparable,
-  case evidence_support when 'exact_full_grid' then 'exact' when 'truncated_full_grid' then 'lower_bound' when 'not_scored' then 'not_scored' else 'unknown_noncomparable' end as evidence_comparison from sup),
+  case evidence_support when 'exact_full_grid' then 'exact_model_evidence' when 'truncated_full_grid' then 'truncated_lower_bound' when 'not_scored' then 'not_scored' else 'unknown_noncomparable' end as evidence_comparison from sup),
 one as (select * exclude r from (select *, row_number() over (partition by session, event_index, model order by log_evidence desc, row_key) as r from supc) where r = 1),
 exact1 as (select * exclude r from (select *, row_number() over (partition by session, event_index, model order by log_evidence desc, row_key) as r from supc where evidence_comparable) where r = 1)"""
 

@@ -54,6 +54,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(l_suppkey % 5 as int) as seed",
         "l_tax * 100 as runtime_s",
         "l_partkey * 1000000 + l_suppkey * 1000 + cast(l_quantity as bigint) as row_key",
+        f"case when {model} like 'state-space-%' then substr({model}, 13) end as mode",
+        "concat(cast(l_partkey % 7 as string), ', ', cast(l_suppkey % 5 + 7 as string), ';', case when l_linenumber = 3 then 'none' else cast(l_linenumber + 12 as string) end) as train_cell_ids",
+        "case when l_quantity < 45 then -l_discount * 2 end as candidate_log_mass",
     )
 
 
@@ -63,7 +66,10 @@ SCORES_SQL = f"""scores as (select {SESSION_SQL.format(k='l_orderkey')} as sessi
   case when l_returnflag = 'R' and l_linestatus = 'F' then 'failed' when l_returnflag = 'N' then null else 'success' end as status,
   {_case(SUPPORT, 'l_linenumber', 'null')} as support_label,
   -l_extendedprice / 1000.0::double as log_evidence, l_quantity as test_spikes, (l_partkey % 12 + 1)::int as n_time, (l_suppkey % 5)::int as seed,
-  l_tax * 100 as runtime_s, l_partkey * 1000000 + l_suppkey * 1000 + l_quantity::bigint as row_key from lineitem)"""
+  l_tax * 100 as runtime_s, l_partkey * 1000000 + l_suppkey * 1000 + l_quantity::bigint as row_key,
+  case when {_case(MODELS, 'l_linenumber', "'other'")} like 'state-space-%' then substr({_case(MODELS, 'l_linenumber', "'other'")}, 13) end as mode,
+  (l_partkey % 7) || ', ' || (l_suppkey % 5 + 7) || ';' || case when l_linenumber = 3 then 'none' else (l_linenumber + 12)::varchar end as train_cell_ids,
+  case when l_quantity < 45 then -l_discount * 2 end as candidate_log_mass from lineitem)"""
 
 #: Seconds of the stream's clock are shortened so that a month of rows spans hours of a recording.
 CLOCK = 100
