@@ -25,6 +25,41 @@ def _cells(start: Column, end: Column) -> Column:
     return F.explode(F.sequence(F.floor(start / CELL).cast("long"), F.floor(end / CELL).cast("long")))
 
 
+def time_cell(t: Column | str = "t") -> Column:
+    return F.floor(F.col(t) / CELL).cast("long") if isinstance(t, str) else F.floor(t / CELL).cast("long")
+
+
+def beyond_cells(rows: DataFrame, value: Column, by: str, order: Column) -> DataFrame:
+    """For each time cell of `by`: the last value of all cells before it and the first of all cells after it.
+
+    Windows over rows run inside a cell (column _cell), so that a session is spread over
+    tasks; only this table, one row a cell, is sorted by session. `order` leads the value.
+    """
+    of = F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))
+    ends = rows.groupBy(by, "_cell").agg(F.max(of).alias("_last"), F.min(of).alias("_first"))
+    on, back = Window.partitionBy(by).orderBy("_cell"), Window.partitionBy(by).orderBy(F.desc("_cell"))
+    before = F.last("_last", ignorenulls=True).over(on.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("_first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    return ends.select(by, "_cell", before["v"].alias("_before"), after["v"].alias("_after"))
+
+
+def with_neighbours(samples: DataFrame, values: list[str], by: str = "session") -> DataFrame:
+    """Adds `prev` and `next`: t and the values of the samples before and after each one of its session."""
+    rows, own = samples.withColumn("_cell", time_cell()), F.struct("t", *values)
+    w = Window.partitionBy(by, "_cell").orderBy("t")
+    rows = rows.withColumn("_own", own).withColumn("prev", F.lag("_own").over(w)).withColumn("next", F.lead("_own").over(w))
+    met = rows.join(beyond_cells(samples.withColumn("_cell", time_cell()), own, by, F.col("t")), [by, "_cell"])
+    return met.withColumn("prev", F.coalesce("prev", "_before")).withColumn("next", F.coalesce("next", "_after")).drop("_cell", "_own", "_before", "_after")
+
+
+def numbered_runs(rows: DataFrame, new: Column, out: str, by: str, order: list[str]) -> DataFrame:
+    """Adds `out`: how many rows of `by` begin a run up to and with each row. rows have _cell, which grows with the order."""
+    flagged = rows.withColumn("_new", new)
+    cells = flagged.groupBy(by, "_cell").agg(F.sum("_new").alias("_n")).withColumn("_earlier", F.sum("_n").over(Window.partitionBy(by).orderBy("_cell")) - F.col("_n")).drop("_n")
+    inside = F.sum("_new").over(Window.partitionBy(by, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return flagged.withColumn("_inside", inside).join(cells, [by, "_cell"]).withColumn(out, F.col("_inside") + F.col("_earlier")).drop("_new", "_inside", "_earlier")
+
+
 def in_intervals(points: DataFrame, intervals: DataFrame, closed: bool = True) -> DataFrame:
     """The points that lie in any interval of their session.
 
@@ -37,11 +72,19 @@ def in_intervals(points: DataFrame, intervals: DataFrame, closed: bool = True) -
 
 
 def merge_intervals(intervals: DataFrame) -> DataFrame:
-    """Disjoint half-open intervals that cover the same times: islands by a running maximum of ends."""
-    w = Window.partitionBy("session").orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
-    return intervals.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w)).groupBy("session", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    """Disjoint half-open intervals that cover the same times: islands by a running maximum of ends.
+
+    Intervals without length cover nothing. The maximum runs inside time cells of the starts
+    and is carried over from the cells before.
+    """
+    rows = intervals.where("end > start").withColumn("_cell", time_cell("start"))
+    highest = rows.groupBy("session", "_cell").agg(F.max("end").alias("_high"))
+    carried = highest.withColumn("_carried", F.max("_high").over(Window.partitionBy("session").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))).drop("_high")
+    inside = F.max("end").over(Window.partitionBy("session", "_cell").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.greatest(F.col("_inside"), F.col("_carried"))
+    rows = rows.withColumn("_inside", inside).join(carried, ["session", "_cell"]).withColumn("_reach", before).drop("_inside", "_carried")
+    new = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0)
+    return numbered_runs(rows, new, "_island", "session", ["start", "end"]).groupBy("session", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def exposure_outside(frames: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -56,48 +99,83 @@ def exposure_outside(frames: DataFrame, excluded: DataFrame) -> DataFrame:
 
 def frame_durations(position: DataFrame, cap: float = 1.0) -> DataFrame:
     """Time to the next frame, the last one's being the session's median, none above the cap."""
-    w = Window.partitionBy("session").orderBy("t")
-    step = position.withColumn("_step", F.lead("t").over(w) - F.col("t"))
-    middle = F.median("_step").over(Window.partitionBy("session"))
-    return step.withColumn("dt", F.least(F.coalesce("_step", middle, F.lit(1 / 30)), F.lit(cap))).drop("_step")
+    step = with_neighbours(position, []).withColumn("_step", F.col("next.t") - F.col("t"))
+    middle = step.groupBy("session").agg(F.median("_step").alias("_middle"))
+    return step.join(middle, "session").withColumn("dt", F.least(F.coalesce("_step", "_middle", F.lit(1 / 30)), F.lit(cap))).drop("_step", "_middle", "prev", "next")
+
 
+def slope(v: str) -> Column:
+    """Second-order differences with uneven spacing from prev, the row and next; one-sided at the ends."""
+    a, b = F.col(f"prev.{v}"), F.col(f"next.{v}")
+    h, g = F.col("t") - F.col("prev.t"), F.col("next.t") - F.col("t")
+    inner = (h * h * b + (g * g - h * h) * F.col(v) - g * g * a) / (h * g * (g + h))
+    return F.when(a.isNull() & b.isNull(), 0.0).when(a.isNull(), (b - F.col(v)) / g).when(b.isNull(), (F.col(v) - a) / h).otherwise(inner)
 
-def gradient(value: str, t: str = "t", by: str = "session") -> Column:
-    """Second-order differences with uneven spacing, one-sided at the ends."""
-    w = Window.partitionBy(by).orderBy(t)
-    v, a, b = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
-    h, g = F.col(t) - F.lag(t).over(w), F.lead(t).over(w) - F.col(t)
-    inner = (h * h * b + (g * g - h * h) * v - g * g * a) / (h * g * (g + h))
-    return F.when(a.isNull() & b.isNull(), 0.0).when(a.isNull(), (b - v) / g).when(b.isNull(), (v - a) / h).otherwise(inner)
+
+def _size(vx: Column, vy: Column) -> Column:
+    v = F.sqrt(vx * vx + vy * vy)
+    return F.when(finite(v), v).otherwise(0.0)
 
 
 def speed(position: DataFrame) -> DataFrame:
-    v = position.withColumn("vx", gradient("x")).withColumn("vy", gradient("y"))
-    s = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
-    return v.withColumn("speed", F.when(finite(s), s).otherwise(0.0))
+    v = with_neighbours(position, ["x", "y"]).withColumn("vx", slope("x")).withColumn("vy", slope("y"))
+    return v.withColumn("speed", _size(F.col("vx"), F.col("vy"))).drop("prev", "next")
+
 
+def robust_position(position: DataFrame, half: int = 2, limit: float = 300.0) -> DataFrame:
+    """Median of an odd window of samples, edges repeated, the speed of the filtered track and whether it is too fast.
 
-def robust_position(position: DataFrame, half: int = 2, limit: float = 500.0) -> DataFrame:
-    """Median of an odd window of samples, edges repeated, and whether the step to it is too fast."""
+    The window is made of the samples' own neighbours in time order, whose number is fixed.
+    """
     w = Window.partitionBy("session").orderBy("t")
     near = w.rowsBetween(-half, half)
-    n = F.count(F.lit(1)).over(Window.partitionBy("session"))
     place = F.row_number().over(w)
-    out = position
+    out = position.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("session"))).withColumn("_place", place)
+    ends = position.groupBy("session").agg(*[f(F.struct("t", c))[c].alias(f"_{n}_{c}") for c in ("x", "y") for n, f in (("first", F.min), ("last", F.max))])
+    out = out.withColumn("_near_x", F.collect_list("x").over(near)).withColumn("_near_y", F.collect_list("y").over(near)).join(ends, "session")
     for c in ("x", "y"):
-        first, last = F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.last(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         # samples missing at an edge stand as repeats of the end sample
-        padded = F.concat(F.array_repeat(first, F.greatest(F.lit(0), half + 1 - place)), F.collect_list(c).over(near), F.array_repeat(last, F.greatest(F.lit(0), place + half - n).cast("int")))
-        out = out.withColumn(f"{c}_smooth", F.sort_array(padded)[half])
-    step = F.sqrt(F.pow(F.col("x") - F.col("x_smooth"), 2) + F.pow(F.col("y") - F.col("y_smooth"), 2))
-    return out.withColumn("outlier", step > limit / 10)
+        before = F.array_repeat(F.col(f"_first_{c}"), F.greatest(F.lit(0), half + 1 - F.col("_place")).cast("int"))
+        after = F.array_repeat(F.col(f"_last_{c}"), F.greatest(F.lit(0), F.col("_place") + half - F.col("_n")).cast("int"))
+        out = out.withColumn(f"{c}_smooth", F.sort_array(F.concat(before, F.col(f"_near_{c}"), after))[half])
+    out = out.drop("_n", "_place", *[f"_{n}_{c}" for n in ("first", "last", "near") for c in "xy"])
+    v = with_neighbours(out, ["x_smooth", "y_smooth"]).withColumn("speed_smooth", _size(slope("x_smooth"), slope("y_smooth"))).drop("prev", "next")
+    return v.withColumn("outlier", F.col("speed_smooth") > limit)
 
 
 def islands(position: DataFrame, gap: float) -> DataFrame:
     """Runs of samples without a gap above the limit: start, end and number of samples."""
-    w = Window.partitionBy("session").orderBy("t")
-    new = F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("int"), F.lit(1))
-    return position.withColumn("_new", new).withColumn("island", F.sum("_new").over(w)).groupBy("session", "island").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("samples"))
+    rows = with_neighbours(position, []).withColumn("_cell", time_cell())
+    new = F.coalesce((F.col("t") - F.col("prev.t") > gap).cast("int"), F.lit(1))
+    return numbered_runs(rows, new, "island", "session", ["t"]).groupBy("session", "island").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("samples"))
+
+
+def sample_gap(position: DataFrame, times: float = 5.0) -> DataFrame:
+    """The longest step of each session's samples that is no gap: a multiple of the median step."""
+    step = with_neighbours(position, []).select("session", (F.col("next.t") - F.col("t")).alias("step"))
+    return step.where("step > 0").groupBy("session").agg((times * F.median("step")).alias("gap"))
+
+
+def run_local(position: DataFrame, runs: DataFrame, cap: float = 1.0) -> DataFrame:
+    """Samples that lie in runs (closed), with speed and duration from their own run's samples alone.
+
+    A run is broken where samples are further apart than five median steps. A sample of
+    several runs has the largest speed of them, and the shortest step to a next sample; only
+    where it is the last of all of them, the shortest median step of their pieces.
+    """
+    r = runs.select(F.col("session").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"), _cells(F.col("start"), F.col("end")).alias("_c")).distinct()
+    p = position.withColumn("_k", time_cell())
+    inside = p.join(r, (F.col("session") == F.col("_s")) & (F.col("_k") == F.col("_c")) & (F.col("t") >= F.col("_a")) & (F.col("t") <= F.col("_b"))).drop("_s", "_c", "_k")
+    inside = inside.join(sample_gap(position), "session", "left").withColumn("gap", F.coalesce("gap", F.lit(float("inf"))))
+    run = Window.partitionBy("session", "_a", "_b").orderBy("t")
+    at = F.struct("t", "x", "y")
+    q = inside.withColumn("_at", at).withColumn("prev", F.lag("_at").over(run)).withColumn("next", F.lead("_at").over(run)).drop("_at")
+    q = q.withColumn("prev", F.when(F.col("t") - F.col("prev.t") <= F.col("gap"), F.col("prev"))).withColumn("next", F.when(F.col("next.t") - F.col("t") <= F.col("gap"), F.col("next")))
+    q = q.withColumn("_piece", F.sum(F.col("prev").isNull().cast("int")).over(run)).withColumn("_step", F.col("next.t") - F.col("t"))
+    middle = q.groupBy("session", "_a", "_b", "_piece").agg(F.median("_step").alias("_middle"))
+    q = q.join(middle, ["session", "_a", "_b", "_piece"]).withColumn("_v", _size(slope("x"), slope("y")))
+    return q.groupBy("session", "frame_idx", "t", "x", "y").agg(
+        F.max("_v").alias("speed"), F.least(F.coalesce(F.min("_step"), F.min(F.coalesce("_middle", F.lit(1 / 30)))), F.lit(cap)).alias("dt"))
 
 
 @dataclass(frozen=True)
@@ -119,24 +197,25 @@ class Grid:
         return F.when((ix < 0) | (iy < 0), -1).otherwise(ix * self.ny + iy)
 
 
-def as_of(points: DataFrame, samples: DataFrame, values: list[str], gap: float | None = None, by: str = "session") -> DataFrame:
+def as_of(points: DataFrame, samples: DataFrame, values: list[str], gap: float | str | None = None, by: str = "session") -> DataFrame:
     """Values of the samples interpolated at the points' times, clamped at the ends.
 
-    Both sides are merged in time order once; each point sees the sample before and after
-    it. Inside a gap above the limit there is no value. Sample times must be distinct.
+    Both sides are merged in time order inside time cells; each point sees the sample before
+    and after it, in its own cell or carried from the nearest one that has any. Inside a
+    gap above the limit, a number or a column of the samples, there is no value. Sample times must be distinct.
     """
     own = [c for c in points.columns if c not in values]
     p = points.select(*own).withColumn("_p", F.lit(1))
-    s = samples.select(by, "t", F.struct("t", *values).alias("_s"), F.lit(0).alias("_p"))
-    both = p.withColumn("_s", F.lit(None).cast(s.schema["_s"].dataType)).unionByName(s, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("t", "_p")
-    a = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    s = samples.select(by, "t", F.struct("t", *values, *([gap] if isinstance(gap, str) else [])).alias("_s"), F.lit(0).alias("_p"))
+    both = p.withColumn("_s", F.lit(None).cast(s.schema["_s"].dataType)).unionByName(s, allowMissingColumns=True).withColumn("_cell", time_cell())
+    a = F.last("_s", ignorenulls=True).over(Window.partitionBy(by, "_cell").orderBy("t", "_p").rowsBetween(Window.unboundedPreceding, 0))
     # the sample after, by the reversed order: a frame that only grows costs one pass
-    back = Window.partitionBy(by).orderBy(F.desc("t"), F.desc("_p"))
-    b = F.last("_s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    met = both.withColumn("_a", a).withColumn("_b", b).where("_p = 1")
+    b = F.last("_s", ignorenulls=True).over(Window.partitionBy(by, "_cell").orderBy(F.desc("t"), F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
+    edges = beyond_cells(both.select(by, "_cell", "t", "_s"), F.col("_s"), by, F.col("t"))
+    met = both.withColumn("_a", a).withColumn("_b", b).where("_p = 1").join(edges, [by, "_cell"])
+    met = met.withColumn("_a", F.coalesce("_a", "_before")).withColumn("_b", F.coalesce("_b", "_after")).drop("_cell", "_before", "_after")
     share = (F.col("t") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
-    open_ = F.lit(False) if gap is None else F.coalesce((F.col("_b.t") - F.col("_a.t") > gap) & (F.col("t") > F.col("_a.t")), F.lit(False))
+    open_ = F.lit(False) if gap is None else F.coalesce((F.col("_b.t") - F.col("_a.t") > (F.col(f"_a.{gap}") if isinstance(gap, str) else gap)) & (F.col("t") > F.col("_a.t")), F.lit(False))
     for v in values:
         left, right = F.col(f"_a.{v}"), F.col(f"_b.{v}")
         between = F.when(F.col("_a").isNull(), right).when(F.col("_b").isNull() | (F.col("t") == F.col("_a.t")), left).otherwise(left + (right - left) * share)
@@ -148,8 +227,11 @@ def backward(points: DataFrame, changes: DataFrame, value: str, at: str, by: str
     """The value of the last change at or before each point's time; none before the first."""
     p = points.withColumn("_k", F.lit(1)).withColumn("_v", F.lit(None).cast(changes.schema[value].dataType))
     c = changes.select(by, F.col(at).alias("t"), F.col(value).alias("_v"), F.lit(0).alias("_k"))
-    w = Window.partitionBy(by).orderBy("t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    return p.unionByName(c, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_k = 1").drop("_k", "_v")
+    both = p.unionByName(c, allowMissingColumns=True).withColumn("_cell", time_cell())
+    edges = beyond_cells(both.select(by, "_cell", "t", "_v"), F.col("_v"), by, F.col("t")).drop("_after")
+    w = Window.partitionBy(by, "_cell").orderBy("t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_k = 1").join(edges, [by, "_cell"])
+    return met.withColumn(value, F.coalesce(value, "_before")).drop("_k", "_v", "_cell", "_before")
 
 
 def event_spikes(spikes: DataFrame, events: DataFrame) -> DataFrame:
@@ -201,17 +283,42 @@ def smooth(bins: DataFrame, grid: Grid, value: str, keys: list[str], sigma: floa
     return out.withColumn("bin_id", F.col("_ix") * grid.ny + F.col("_iy")).drop("_ix", "_iy")
 
 
-def rate_map(position: DataFrame, spikes: DataFrame, grid: Grid, min_occupancy: float = 0.05, floor: float = 1e-4, sigma: float = 1.0) -> DataFrame:
-    """Smoothed spikes over smoothed seconds for each cell and each bin that was ever near the track."""
-    occ = smooth(occupancy(position, grid), grid, "occupancy_s", ["session"], sigma)
-    at = as_of(spikes, position, ["x", "y"]).withColumn("bin_id", grid.bin(F.col("x"), F.col("y"))).where("bin_id >= 0")
-    counts = smooth(at.groupBy("session", "cell_id", "bin_id").agg(F.count(F.lit(1)).cast("double").alias("n")), grid, "n", ["session", "cell_id"], sigma)
-    cells = spikes.select("session", "cell_id").distinct()
-    full = occ.join(cells, "session").join(counts, ["session", "cell_id", "bin_id"], "left")
+def _rates(occupied: DataFrame, located: DataFrame, cells: DataFrame, grid: Grid, min_occupancy: float, floor: float, sigma: float) -> DataFrame:
+    """Smoothed spikes over smoothed seconds, for the cells in each bin near the occupied ones. occupied: bin_id, dt; located: bin_id, cell_id."""
+    occ = smooth(occupied.where("bin_id >= 0").groupBy("session", "bin_id").agg(F.sum("dt").alias("occupancy_s")), grid, "occupancy_s", ["session"], sigma)
+    n = located.where("bin_id >= 0").groupBy("session", "cell_id", "bin_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    full = occ.join(cells, "session").join(smooth(n, grid, "n", ["session", "cell_id"], sigma), ["session", "cell_id", "bin_id"], "left")
     rate = F.greatest(F.coalesce("n", F.lit(0.0)) / F.greatest(F.col("occupancy_s"), F.lit(min_occupancy)), F.lit(floor))
     return full.select("session", "cell_id", "bin_id", "occupancy_s", rate.alias("rate_hz"))
 
 
+def rate_map(position: DataFrame, spikes: DataFrame, grid: Grid, min_occupancy: float = 0.05, floor: float = 1e-4, sigma: float = 1.0) -> DataFrame:
+    """Smoothed spikes over smoothed seconds for each cell and each bin that was ever near the track, of all samples."""
+    bin_id = grid.bin(F.col("x"), F.col("y"))
+    cells = spikes.select("session", "cell_id").distinct()
+    return _rates(frame_durations(position).withColumn("bin_id", bin_id), as_of(spikes, position, ["x", "y"]).withColumn("bin_id", bin_id), cells, grid, min_occupancy, floor, sigma)
+
+
+def training_rate_map(position: DataFrame, spikes: DataFrame, grid: Grid, runs: DataFrame, excluded: DataFrame, least_speed: float = 5.0, cap: float = 1.0, min_occupancy: float = 0.05, floor: float = 1e-4, sigma: float = 1.0) -> DataFrame:
+    """The rate map of movement alone: in runs, fast enough, and without the excluded events.
+
+    Speeds and durations are those of each run's own samples; elsewhere the speed is 0.
+    Excluded intervals are half open and merged; their overlap is taken from a frame's
+    duration, and their spikes do not count. Spikes count in runs where the speed between
+    the samples is high enough and the samples are no gap apart.
+    """
+    position = clean_position(position)
+    moving = run_local(position, runs, cap)
+    kept = exposure_outside(moving, excluded).drop("dt").join(moving, ["session", "frame_idx"]).where(F.col("speed") >= least_speed)
+    bin_id = grid.bin(F.col("x"), F.col("y"))
+    track = position.join(moving.select("session", "frame_idx", "speed"), ["session", "frame_idx"], "left").join(sample_gap(position), "session", "left")
+    track = track.withColumn("speed", F.coalesce("speed", F.lit(0.0))).withColumn("gap", F.coalesce("gap", F.lit(float("inf"))))
+    at = as_of(in_intervals(spikes, runs), track, ["x", "y", "speed"], "gap")
+    outside = at.join(in_intervals(spikes, merge_intervals(excluded), closed=False).select("session", "spike_row"), ["session", "spike_row"], "left_anti")
+    cells = spikes.select("session", "cell_id").distinct()
+    return _rates(kept.select("session", bin_id.alias("bin_id"), F.col("exposure").alias("dt")), outside.where(F.col("speed") >= least_speed).withColumn("bin_id", bin_id), cells, grid, min_occupancy, floor, sigma)
+
+
 def place_field_quality(rates: DataFrame) -> DataFrame:
     """Spatial information in bits per spike, peak and mean rate, sparsity and active bins of each cell."""
     w = Window.partitionBy("session", "cell_id")
@@ -226,8 +333,8 @@ def place_field_quality(rates: DataFrame) -> DataFrame:
 
 def empirical_transitions(position: DataFrame, grid: Grid, self_loop: float = 1.0) -> DataFrame:
     """Probability of the next bin given this one, from consecutive samples and one added self loop."""
-    b = position.withColumn("src", grid.bin(F.col("x"), F.col("y")))
-    b = b.withColumn("dst", F.lead("src").over(Window.partitionBy("session").orderBy("t"))).where("src >= 0 and dst >= 0")
+    b = with_neighbours(position.withColumn("src", grid.bin(F.col("x"), F.col("y"))), ["src"])
+    b = b.withColumn("dst", F.col("next.src")).where("src >= 0 and dst >= 0")
     n = b.groupBy("session", "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("n"))
     loops = b.select("session", "src").distinct().select("session", "src", F.col("src").alias("dst"), F.lit(self_loop).alias("n"))
     total = n.unionByName(loops).groupBy("session", "src", "dst").agg(F.sum("n").alias("n"))

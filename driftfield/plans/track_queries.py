@@ -173,9 +173,16 @@ def place_field_quality(spark, d):
 
 @query(f"{_Q} select session, cell_id from quality where spatial_information >= 0.2 and peak_rate_hz >= 0.01 and field_sparsity <= 0.9")
 def stable_cells(spark, d):
+    """At limits that no cell of the derived tracks reaches; `informative_cells` has limits that some do."""
     return op.place_field_quality(rates(spark, d)).where("spatial_information >= 0.2 and peak_rate_hz >= 0.01 and field_sparsity <= 0.9").select("session", "cell_id")
 
 
+@query(f"{_Q} select session, cell_id, {_s('spatial_information', digits=5)} from quality where spatial_information >= 0.006 and peak_rate_hz >= 0.001 and field_sparsity <= 0.993")
+def informative_cells(spark, d):
+    q = op.place_field_quality(rates(spark, d)).where("spatial_information >= 0.006 and peak_rate_hz >= 0.001 and field_sparsity <= 0.993")
+    return q.select("session", "cell_id", _r("spatial_information", digits=5))
+
+
 @query(f"""{_P}, b as (select *, lead(src) over (partition by session order by t) as dst from (select *, {_BIN} as src from position)), c as (select session, src, dst, count(*)::double as n from b where src >= 0 and dst >= 0 group by 1, 2, 3),
 u as (select session, src, dst, sum(n) as n from (select * from c union all select distinct session, src, src, 1.0::double from c) group by 1, 2, 3) select session, src, dst, round(n / sum(n) over (partition by session, src), 6) + 0.0 as probability from u""")
 def empirical_transitions(spark, d):
@@ -189,9 +196,57 @@ def run_islands(spark, d):
 
 
 
-@query()
+_MEDIAN = "list_sort([coalesce(lag({c}, 2) over w, first_value({c}) over w), coalesce(lag({c}, 1) over w, first_value({c}) over w), {c}, coalesce(lead({c}, 1) over w, {c}), coalesce(lead({c}, 2) over w, lead({c}, 1) over w, {c})])[3]"
+
+
+@query(f"""{_P}, smooth as (select session, frame_idx, t, {_MEDIAN.format(c='x')} as x, {_MEDIAN.format(c='y')} as y from position window w as (partition by session order by t)), {_SPEED.replace('from position', 'from smooth')}
+select session, frame_idx, {_s('x', 'x_smooth')}, {_s('y', 'y_smooth')}, {_s('speed', 'speed_smooth', 5)}, speed > 10 as outlier from speeds""")
 def robust_position(spark, d):
-    return op.robust_position(rel.position(spark, d)).select("session", "frame_idx", "x_smooth", "y_smooth", "outlier")
+    """The filtered track; samples are minutes apart, so that a speed of 10 is already too fast."""
+    return op.robust_position(rel.position(spark, d), limit=10.0).select("session", "frame_idx", _r("x_smooth"), _r("y_smooth"), _r("speed_smooth", digits=5), "outlier")
+
+
+def _ripples(spark, d):
+    """Ten seconds of the clock from each event's peak: short, so that most of a session trains the map."""
+    return rel.short_events(spark, d).select("session", "event_index", F.col("peak").alias("start"), (F.col("peak") + 10).alias("end"))
+
+
+_NEAR = ", ".join(f"{f}({c}) over w as {n}_{c}" for c in "txy" for f, n in (("lag", "p"), ("lead", "n")))
+_SLOPE = "case when p_t is null and n_t is null then 0 when p_t is null then (n_{c} - {c}) / (n_t - t) when n_t is null then ({c} - p_{c}) / (t - p_t) else ((t - p_t) * (t - p_t) * n_{c} + ((n_t - t) * (n_t - t) - (t - p_t) * (t - p_t)) * {c} - (n_t - t) * (n_t - t) * p_{c}) / ((t - p_t) * (n_t - t) * (n_t - p_t)) end"
+_RUN_LOCAL = f"""cp as (select * from position), gp as (select session, 5 * median(step) as gap from (select session, lead(t) over (partition by session order by t) - t as step from cp) where step > 0 group by 1),
+ins as (select distinct p.session, p.frame_idx, p.t, p.x, p.y, e.start as a, e.end as b, coalesce(gap, 'infinity'::double) as gap from cp p join every_epoch e on e.session = p.session and p.t >= e.start and p.t <= e.end left join gp on gp.session = p.session),
+nb0 as (select *, {_NEAR} from ins window w as (partition by session, a, b order by t)), nb as (select * replace (case when t - p_t <= gap then p_t end as p_t, case when t - p_t <= gap then p_x end as p_x, case when t - p_t <= gap then p_y end as p_y, case when n_t - t <= gap then n_t end as n_t, case when n_t - t <= gap then n_x end as n_x, case when n_t - t <= gap then n_y end as n_y) from nb0),
+pc as (select *, n_t - t as step, sum((p_t is null)::int) over (partition by session, a, b order by t rows unbounded preceding) as piece, sqrt(pow({_SLOPE.format(c='x')}, 2) + pow({_SLOPE.format(c='y')}, 2)) as v from nb),
+md as (select *, median(step) over (partition by session, a, b, piece) as mid from pc), moving as (select session, frame_idx, t, x, y, max(v) as speed, least(coalesce(min(step), min(coalesce(mid, 1.0::double / 30))), 1.0) as dt from md group by 1, 2, 3, 4, 5)"""
+_RIPPLES = """ripples as (select session, event_index, peak as start, peak + 10 as "end" from short_events)"""
+
+
+@query(f"{_P}, {rel.EVERY_EPOCH_SQL}, {_RUN_LOCAL} select session, frame_idx, {_s('speed', digits=5)}, {_s('dt')} from moving")
+def run_local_kinematics(spark, d):
+    """Speed and duration of every sample in a run, from that run's samples alone."""
+    return op.run_local(op.clean_position(rel.position(spark, d)), rel.every_epoch(spark, d)).select("session", "frame_idx", _r("speed", digits=5), _r("dt"))
+
+
+def training_rates(spark, d):
+    return op.training_rate_map(rel.position(spark, d), rel.spikes(spark, d), GRID, rel.every_epoch(spark, d), _ripples(spark, d), least_speed=0.5)
+
+
+TRAINING_SQL = f"""{_P}, {rel.EVERY_EPOCH_SQL}, {_RUN_LOCAL}, {_RIPPLES}, {_MERGED.replace('short_events', 'ripples')},
+kept as (select v.session, v.frame_idx, any_value(v.x) as x, any_value(v.y) as y, greatest(0, any_value(dt) - coalesce(sum(case when m.start is not null then greatest(0, least(v.t + v.dt, m.end) - greatest(v.t, m.start)) end), 0)) as dt from moving v left join merged_events m on m.session = v.session and v.t < m.end and v.t + v.dt > m.start where v.speed >= 0.5 group by 1, 2),
+tocc as (select session, bin_id, sum(dt) as occupancy_s from (select *, {_BIN} as bin_id from kept) where bin_id >= 0 group by 1, 2), {_smooth('tocc_s', 'tocc', 'occupancy_s', 'session')},
+track as (select p.session, p.t, p.x, p.y, coalesce(v.speed, 0) as speed, coalesce(gap, 'infinity'::double) as gap from cp p left join moving v on v.session = p.session and v.frame_idx = p.frame_idx left join gp on gp.session = p.session),
+tspikes as (select * from spikes s where exists (select 1 from every_epoch e where e.session = s.session and s.t >= e.start and s.t <= e.end) and not exists (select 1 from merged_events m where m.session = s.session and s.t >= m.start and s.t < m.end)),
+tmerged as (select session, t, spike_row, cell_id, null as k, 1 as p from tspikes union all select session, t, null, null, {{'t': t, 'x': x, 'y': y, 'v': speed, 'g': gap}}, 0 from track),
+tnear as (select *, last_value(k ignore nulls) over (partition by session order by t, p rows between unbounded preceding and current row) as a, first_value(k ignore nulls) over (partition by session order by t, p rows between current row and unbounded following) as b from tmerged),
+tat as (select session, spike_row, cell_id, {', '.join(f"case when a is null then b.{c} when b is null or t = a.t then a.{c} when b.t - a.t > a.g then null else a.{c} + (b.{c} - a.{c}) * ((t - a.t) / (b.t - a.t)) end as {n}" for c, n in (('x', 'x'), ('y', 'y'), ('v', 'speed')))} from tnear where p = 1),
+tbins as (select session, cell_id, bin_id, count(*)::double as n from (select *, {_BIN} as bin_id from tat where speed >= 0.5) where bin_id >= 0 group by 1, 2, 3), {_smooth('tcnt', 'tbins', 'n', 'session, cell_id')},
+rates as (select o.session, c.cell_id, o.bin_id, o.occupancy_s, greatest(coalesce(k.n, 0) / greatest(o.occupancy_s, 0.05), 1e-4) as rate_hz from tocc_s o join (select distinct session, cell_id from spikes) c on o.session = c.session left join tcnt k on k.session = o.session and k.cell_id = c.cell_id and k.bin_id = o.bin_id)"""
+
+
+@query(f"{TRAINING_SQL} select session, cell_id, bin_id, {_s('occupancy_s', digits=5)}, {_s('rate_hz', digits=5)} from rates")
+def training_rate_map(spark, d):
+    """Rates of movement in runs alone, without the events."""
+    return training_rates(spark, d).select("session", "cell_id", "bin_id", _r("occupancy_s", digits=5), _r("rate_hz", digits=5))
 
 
 @query(f"""{_P}, e as (select p.session, e.event_index, p.t, p.x, p.y from position p join short_events e on p.session = e.session and p.t >= e.start and p.t < e.end), s as (select *, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) as step from e window w as (partition by session, event_index order by t)),

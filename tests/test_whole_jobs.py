@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from driftfield.operators import decoding, models, resampling
+from driftfield.operators import decoding, models, resampling, tracks
 from driftfield.operators.tracks import Grid
 from driftfield.sources import relations
 
@@ -71,3 +71,38 @@ def test_every_signup_is_an_epoch(spark):
     d = "/root/testdata/sf0.001"
     signups = relations.read(spark, d, "events").where("event_type = 'signup'").count()
     assert relations.every_epoch(spark, d).count() == signups > relations.epochs(spark, d).count()
+
+
+def test_run_local_kinematics_follow_the_runs(spark):
+    # two runs that share a sample at 10; a gap of six steps inside the second; a sample outside any run
+    t = [0.0, 1.0, 2.0, 10.0, 11.0, 12.0, 18.5, 19.5, 40.0]
+    x = [0.0, 1.0, 3.0, 3.0, 5.0, 8.0, 8.0, 9.0, 50.0]
+    p = spark.createDataFrame([("s", i, a, b, 0.0) for i, (a, b) in enumerate(zip(t, x))], "session string, frame_idx long, t double, x double, y double")
+    runs = spark.createDataFrame([("s", 0.0, 10.0), ("s", 10.0, 20.0), ("s", 1.5, 2.5)], "session string, start double, end double")
+    got = {r.frame_idx: r for r in tracks.run_local(p, runs).collect()}
+    assert sorted(got) == list(range(8))
+    assert [round(got[i].speed, 6) for i in range(8)] == [1.0, 1.5, 2.0, 2.0, 2.5, 3.0, 1.0, 1.0]
+    # the third is alone in the third run, and the last of its piece of the first: the shorter of 1/30 and 1
+    assert [round(got[i].dt, 6) for i in range(8)] == [1.0, 1.0, 0.033333, 1.0, 1.0, 1.0, 1.0, 1.0]
+
+
+def test_training_map_leaves_events_out(spark):
+    p = spark.createDataFrame([("s", i, i * 0.5, 2.0 * i, 0.0) for i in range(41)], "session string, frame_idx long, t double, x double, y double")
+    spikes = spark.createDataFrame([("s", i, i * 0.25, 1) for i in range(100)], "session string, spike_row long, t double, cell_id int")
+    runs = spark.createDataFrame([("s", 0.0, 15.0)], "session string, start double, end double")
+    events = spark.createDataFrame([("s", 1, 5.0, 7.0), ("s", 2, 6.0, 8.0)], "session string, event_index long, start double, end double")
+    got = tracks.training_rate_map(p, spikes, Grid(0.0, -5.0, 10.0, 9, 1), runs, events, least_speed=1.0, sigma=1e-9).collect()
+    n = {r.bin_id: r.rate_hz * r.occupancy_s for r in got}
+    assert {r.bin_id: round(r.occupancy_s, 6) for r in got} == {0: 2.5, 1: 2.5, 2: 0.0, 3: 2.0, 4: 2.5, 5: 2.5, 6: 0.5}
+    # bin 2 is all event; spikes of [5, 8) are out, the one at 8.0 is in, and none after the run
+    assert {b: round(v) for b, v in n.items()} == {0: 10, 1: 10, 2: 0, 3: 8, 4: 10, 5: 10, 6: 1}
+
+
+def test_as_of_crosses_time_cells_and_gaps(spark):
+    s = spark.createDataFrame([("s", 0.0, 0.0, 400.0), ("s", 1000.0, 10.0, 400.0), ("s", 1100.0, 20.0, 400.0)], "session string, t double, x double, gap double")
+    q = spark.createDataFrame([("s", i, t) for i, t in enumerate([-5.0, 0.0, 500.0, 1000.0, 1050.0, 5000.0])], "session string, k long, t double")
+    assert [r.x for r in tracks.as_of(q, s, ["x"]).orderBy("k").collect()] == [0.0, 0.0, 5.0, 10.0, 15.0, 20.0]
+    assert [r.x for r in tracks.as_of(q, s, ["x"], gap="gap").orderBy("k").collect()] == [0.0, 0.0, None, 10.0, 15.0, 20.0]
+    assert [r.x for r in tracks.backward(q, s.withColumnRenamed("t", "at"), "x", "at").orderBy("k").collect()] == [None, 0.0, 0.0, 10.0, 10.0, 20.0]
+    merged = tracks.merge_intervals(spark.createDataFrame([("s", 0.0, 900.0), ("s", 300.0, 310.0), ("s", 700.0, 701.0), ("s", 900.0, 905.0), ("s", 906.0, 906.0), ("s", 2000.0, 2001.0)], "session string, start double, end double"))
+    assert sorted((r.start, r.end) for r in merged.collect()) == [(0.0, 905.0), (2000.0, 2001.0)]
