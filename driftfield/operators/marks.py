@@ -43,7 +43,7 @@ def clusterless_emissions(marks: DataFrame, events: DataFrame, statistics: DataF
     """Log likelihood of each event's time bin at each place:
     -rate * duration + sum over marks of (log rate + mark density) + n log duration - log n!
 
-    rates: session, bin_id, rate_hz of all marks. Rows, not arrays: session, event_index, t_idx, bin_id, ll.
+    rates: session, bin_id, rate_hz of all marks. Rows, not arrays: session, event_index, t_idx, bin_id, bin_dur, n_spikes, ll.
     """
     bins = event_bins(events, dt).select("session", "event_index", "t_idx", "bin_dur")
     place = rates.join(statistics.drop("n"), ["session", "bin_id"])
@@ -52,4 +52,4 @@ def clusterless_emissions(marks: DataFrame, events: DataFrame, statistics: DataF
     full = bins.join(place.select("session", "bin_id", "rate_hz"), "session").join(fired, ["session", "event_index", "t_idx", "bin_id"], "left")
     n = F.coalesce("n", F.lit(0))
     ll = (F.coalesce("s", F.lit(0.0)) - F.col("rate_hz") * F.col("bin_dur") + n * F.log("bin_dur") - log_factorial(n)) / temperature
-    return full.select("session", "event_index", "t_idx", "bin_id", ll.alias("ll"))
+    return full.select("session", "event_index", "t_idx", "bin_id", "bin_dur", n.cast("long").alias("n_spikes"), ll.alias("ll"))

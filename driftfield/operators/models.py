@@ -33,6 +33,10 @@ class Motion:
     truncate: float = 5.0
     goal_speed: float = 4.0
     top_k: int = 16
+    #: The longest displacement between bins that pair models hold, in places along an axis.
+    reach: int = 10
+    #: Chance of staying in a step of a walk on the grid.
+    walk_stay: float = 0.5
 
 
 @dataclass(frozen=True)
@@ -48,16 +52,45 @@ class Event:
     transitions: np.ndarray | None = None
     #: Matrices by what they depend on, shared by all events of a task; bins repeat few step lengths.
     made: dict | None = None
+    #: What kernels found for this event, for those that are made of others.
+    done: dict | None = None
 
     def keep(self, key: tuple, make: Callable[[], np.ndarray]) -> np.ndarray:
+        """Made once a task; all is dropped before the whole grows beyond MADE bytes."""
         if self.made is None:
             return make()
         if key not in self.made:
-            if len(self.made) > 512:
+            new = make()
+            size = sum(x.nbytes for x in (new if isinstance(new, tuple) else (new,)))
+            if self.made.get("bytes", 0) + size > MADE:
                 self.made.clear()
-            self.made[key] = make()
+            self.made["bytes"] = self.made.get("bytes", 0) + size
+            self.made[key] = new
         return self.made[key]
 
+    def run(self, kernel: Callable) -> tuple[float, np.ndarray]:
+        if self.done is None:
+            return kernel(self)
+        if kernel not in self.done:
+            self.done[kernel] = kernel(self)
+        return self.done[kernel]
+
+    def reverse(self) -> Event:
+        """The same bins the other way round; what kernels find there is kept too."""
+        back = None if self.done is None else self.done.setdefault("reverse", {})
+        return Event(self.ll[::-1], self.centres, self.steps[::-1], self.dt, self.motion, self.goals, self.transitions, self.made, back)
+
+    def places(self) -> tuple[np.ndarray, float]:
+        """Whole coordinates of the places on their lattice, and its unit."""
+        low = self.centres.min(0)
+        gaps = np.diff(np.unique(np.concatenate([np.round(np.unique(self.centres[:, k]) - low[k], 9) for k in (0, 1)])))
+        unit = float(gaps[gaps > 0].min()) if (gaps > 0).any() else 1.0
+        return np.round((self.centres - low) / unit).astype(np.int64), unit
+
+
+#: Bytes of matrices that a task keeps.
+MADE = 256 << 20
+
 
 def lse(x: np.ndarray, axis=None) -> np.ndarray:
     top = np.max(x, axis=axis, keepdims=True)
@@ -156,37 +189,113 @@ def _decay(e: Event, k: int) -> float:
     return d * (e.steps[k] / e.steps[k - 1] if k else 1.0)
 
 
-def _momentum(e: Event, keep: list[np.ndarray] | None):
-    """A second-order chain on pairs (before, now): the next place lies round now + decay * (now - before)."""
-    b = e.ll.shape[1]
-    if len(e.ll) == 1:
-        return random(e)
-    ll = e.ll if keep is None else np.where(np.array(keep), e.ll, -np.inf)
-    first = _steps(e, e.motion.momentum)[0]
-
-    def moves(k):
-        """[next, before, now]: the law of the next place for every pair."""
-        target = e.centres[None, :, :] + _decay(e, k) * (e.centres[None, :, :] - e.centres[:, None, :])
-        return gaussian(e.centres, target.reshape(b * b, 2), e.motion.momentum * e.steps[k] ** 0.5, e.motion.truncate).reshape(b, b, b)
+class Pairs:
+    """Pairs of places (now, how it was reached) within a reach: the state of second-order models.
 
-    def step(k, p):
-        if k == 0:
-            return (first * p[None, :]).T  # [before, now]
-        law = e.keep(("pair", round(float(e.steps[k]), 9), round(float(_decay(e, k)), 9)), lambda: moves(k))
-        return np.einsum("xbn,bn->nx", law, p)
+    On a lattice a pair is a place and a displacement, and where the next displacement may
+    fall depends on the last one alone, but for the borders. So a step is one product of
+    (place, displacement) with (displacement, displacement), memory is places x
+    displacements, and no law of triples is ever made. With a reach over the whole grid the
+    model is the dense one.
+    """
 
-    return forward(ll, _even(e), step)
+    def __init__(self, e: Event):
+        at, self.unit = e.places()
+        span = at.max(0)
+        rx, ry = np.minimum(span, e.motion.reach)
+        self.d = np.stack(np.meshgrid(np.arange(-rx, rx + 1), np.arange(-ry, ry + 1), indexing="ij"), -1).reshape(-1, 2)
+        table = np.full((span[0] + 2 * rx + 1, span[1] + 2 * ry + 1), -1)
+        table[at[:, 0] + rx, at[:, 1] + ry] = np.arange(len(at))
+        self.to = table[at[:, None, 0] + rx + self.d[None, :, 0], at[:, None, 1] + ry + self.d[None, :, 1]]
+        self.inside = self.to >= 0
+        self.where = np.nonzero(self.inside)
+
+    def law(self, drift: float, sigma: float, truncate: float) -> tuple[np.ndarray, np.ndarray]:
+        """Weights (next, last displacement) of a truncated normal law round drift * last, and what they add up to from each pair."""
+        gap = ((self.d[:, None, :] - drift * self.d[None, :, :]) ** 2).sum(-1) * self.unit**2
+        w = np.where(gap <= (truncate * sigma) ** 2, np.exp(-0.5 * gap / sigma**2), 0.0)
+        return w, self.inside.astype(float) @ w
+
+    def nearest(self, drift: float, places: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The displacement nearest to drift * last that stays on the grid, for pairs from which the law leaves none."""
+        gap = ((self.d[None, :, :] - drift * self.d[last][:, None, :]) ** 2).sum(-1).astype(float)
+        gap[~self.inside[places]] = np.inf
+        return gap.argmin(1)
+
+    def move(self, p: np.ndarray, drift: float, law: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Pairs after a step, from pairs (place, displacement)."""
+        w, total = law
+        none = (total <= 0) & (p > 0)
+        flow = np.divide(p, total, out=np.zeros_like(p), where=total > 0) @ w.T
+        if none.any():
+            at, last = np.nonzero(none)
+            np.add.at(flow, (at, self.nearest(drift, at, last)), p[none])
+        out = np.zeros_like(p)
+        out[self.to[self.where], self.where[1]] = flow[self.where]
+        return out
+
+    def enter(self, p: np.ndarray, law: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Pairs after a first step, drawn round each place."""
+        still = int(np.flatnonzero((self.d == 0).all(1))[0])
+        only = np.zeros((len(p), len(self.d)))
+        only[:, still] = p
+        return self.move(only, 1.0, law)
+
+
+def _pairs(e: Event) -> Pairs:
+    if e.made is None:
+        return Pairs(e)
+    if ("pairs", len(e.centres)) not in e.made:
+        e.made["pairs", len(e.centres)] = Pairs(e)
+    return e.made["pairs", len(e.centres)]
+
+
+def _law(e: Event, pairs: Pairs, k: int, first: bool) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
+    drift, sigma = 1.0 if first else float(_decay(e, k)), e.motion.momentum * float(max(e.steps[k], 1e-12)) ** 0.5
+    return drift, e.keep(("law", first, round(sigma, 9), round(drift, 9), len(e.centres)), lambda: pairs.law(drift, sigma, e.motion.truncate))
 
 
 def momentum_exact(e: Event):
-    return _momentum(e, None)
+    """A second-order chain on pairs: the next place lies round now + decay * (now - before)."""
+    if len(e.ll) == 1:
+        return random(e)
+    pairs = _pairs(e)
+    total, p, out = 0.0, _even(e), []
+    for t in range(len(e.ll)):
+        if t:
+            drift, law = _law(e, pairs, t - 1, t == 1)
+            p = pairs.enter(p, law) if t == 1 else pairs.move(p, drift, law)
+        top = e.ll[t].max()
+        if not np.isfinite(top):
+            return float("-inf"), np.full_like(e.ll, 1 / e.ll.shape[1])
+        seen = np.exp(e.ll[t] - top)
+        p = p * (seen if t == 0 else seen[:, None])
+        mass = p.sum()
+        if mass <= 0:
+            return float("-inf"), np.full_like(e.ll, 1 / e.ll.shape[1])
+        total += float(np.log(mass) + top)
+        p = p / mass
+        out.append(p if t == 0 else p.sum(1))
+    return total, np.array(out)
+
+
+def pruned(kernel):
+    """A kernel on the likeliest places of each bin only: a lower bound of its evidence.
 
+    Laws stay normalised over the whole grid. A bin alone has no path to prune.
+    """
+    def run(e: Event):
+        if len(e.ll) == 1:
+            return random(e)
+        k = min(e.motion.top_k, e.ll.shape[1])
+        order = np.argsort(-e.ll, 1, kind="stable")[:, :k]  # ties go to the smaller place, so that k stay
+        kept = np.full_like(e.ll, -np.inf)
+        np.put_along_axis(kept, order, np.take_along_axis(e.ll, order, 1), 1)
+        return kernel(Event(kept, e.centres, e.steps, e.dt, e.motion, e.goals, e.transitions, e.made))
+    return run
 
-def momentum_pruned(e: Event):
-    """Momentum on the likeliest places of each bin only: a lower bound of the evidence."""
-    k = min(e.motion.top_k, e.ll.shape[1])
-    cut = np.sort(e.ll, 1)[:, -k][:, None]
-    return _momentum(e, list(e.ll >= cut))
+
+momentum_pruned = pruned(momentum_exact)
 
 
 def trajectory_imm(e: Event, stay: float | None = None, start: float = 0.25, enter: float | None = None):
@@ -198,7 +307,7 @@ def trajectory_imm(e: Event, stay: float | None = None, start: float = 0.25, ent
     `enter` the chance of a switch into momentum, where other switches are split evenly.
     """
     b, n = e.ll.shape[1], 4
-    still, moves, laws = _steps(e, e.motion.stationary), _steps(e, e.motion.diffusion), _steps(e, e.motion.momentum)
+    still, moves, pairs = _steps(e, e.motion.stationary), _steps(e, e.motion.diffusion), _pairs(e)
 
     def changes(k):
         p = switching(n, e.steps[k], e.motion)
@@ -210,29 +319,30 @@ def trajectory_imm(e: Event, stay: float | None = None, start: float = 0.25, ent
         return p
 
     share = np.array([(1 - start) / 3] * 3 + [start])
-    total, flat, pairs, out = 0.0, share[:, None] * _even(e)[None, :], None, []
+    total, flat, held, out = 0.0, share[:, None] * _even(e)[None, :], None, []
     for t in range(len(e.ll)):
         if t:
             k, p = t - 1, changes(t - 1)
             new = np.stack((still[k] @ (p[0] @ flat), moves[k] @ (p[1] @ flat), np.full(b, (p[2] @ flat).sum() / b)))
-            # [before, now]: pairs entered from the first three modes (or at the outset), and pairs that go on
-            fresh = (p[3, :3] @ flat[:3]) + (p[3, 3] * flat[3] if pairs is None else 0)
-            law = laws[k].T * fresh[:, None]
-            if pairs is not None:
-                target = e.centres[None, :, :] + _decay(e, k) * (e.centres[None, :, :] - e.centres[:, None, :])
-                go = e.keep(("pair", round(float(e.steps[k]), 9), round(float(_decay(e, k)), 9)), lambda target=target, k=k: gaussian(e.centres, target.reshape(b * b, 2), e.motion.momentum * e.steps[k] ** 0.5, e.motion.truncate).reshape(b, b, b))
-                law = law + p[3, 3] * np.einsum("xbn,bn->nx", go, pairs)
-            pairs = law
-            flat = np.concatenate((new, pairs.sum(0)[None, :]))
+            # pairs entered from the first three modes (or at the outset), and pairs that go on
+            fresh = (p[3, :3] @ flat[:3]) + (p[3, 3] * flat[3] if held is None else 0)
+            now = pairs.enter(fresh, _law(e, pairs, k, True)[1])
+            if held is not None:
+                drift, law = _law(e, pairs, k, False)
+                now = now + p[3, 3] * pairs.move(held, drift, law)
+            held = now
+            flat = np.concatenate((new, held.sum(1)[None, :]))
         top = e.ll[t].max()
         if not np.isfinite(top):
             return float("-inf"), np.full_like(e.ll, 1 / b)
         seen = np.exp(e.ll[t] - top)
         flat = flat * seen
         mass = flat.sum()
+        if mass <= 0:
+            return float("-inf"), np.full_like(e.ll, 1 / b)
         total += float(np.log(mass) + top)
         flat = flat / mass
-        pairs = None if pairs is None else pairs * seen[None, :] / mass
+        held = None if held is None else held * seen[:, None] / mass
         out.append(flat.sum(0))
     return total, np.array(out)
 
@@ -276,9 +386,67 @@ def goal(e: Event):
     return float(lse(logs) - np.log(len(goals))), np.tensordot(w, np.array([f[1] for f in found]), 1)
 
 
+def displacement_imm(e: Event, radius: int = 2):
+    """Stationary, diffusing, displaced and fragmented modes that switch, all with a displacement of their own.
+
+    Where the mode is displaced, d follows decay * d before and the place lies round place +
+    d; in the others d is drawn anew from its prior, as nothing ties it to the path.
+    """
+    gaps = np.abs(e.centres[:, None, :] - e.centres[None, :, :]).max(-1)
+    unit = float(gaps[gaps > 0].min()) if (gaps > 0).any() else 1.0
+    d, sigma, b = lattice(unit, radius), 0.5 * unit, e.ll.shape[1]
+    prior = gaussian(d, np.zeros((1, 2)), e.motion.momentum * max(e.dt, 1e-12) ** 0.5, np.inf)[:, 0]
+    shifts = e.keep(("shift", unit, radius, b), lambda: np.stack([gaussian(e.centres, e.centres + v, sigma, e.motion.truncate) for v in d]))
+    still, moves = _steps(e, e.motion.stationary), _steps(e, e.motion.diffusion)
+
+    def step(k, p):  # p: (mode, displacement, place)
+        q = np.einsum("ij,jdx->idx", switching(4, e.steps[k], e.motion), p)
+        turn = e.keep(("turn", unit, radius, round(float(e.steps[k]), 9), round(float(_decay(e, k)), 9)), lambda: gaussian(d, _decay(e, k) * d, e.motion.momentum * e.steps[k] ** 0.5, np.inf))
+        anew = [prior[:, None] * (m @ q[i].sum(0))[None, :] for i, m in ((0, still[k]), (1, moves[k]))]
+        return np.stack((*anew, np.einsum("dxy,dy->dx", shifts, turn @ q[2]), np.full_like(q[3], 1 / b) * prior[:, None] * q[3].sum()))
+
+    return forward(e.ll, np.broadcast_to(prior[None, :, None] * _even(e)[None, None, :] / 4, (4, len(d), b)), step)
+
+
+def walk(e: Event):
+    """A walk on the grid: each step stays or goes to one of the places beside, at even odds; `dt` is a step."""
+    at, _ = e.places()
+
+    def make():
+        beside = (np.abs(at[:, None, :] - at[None, :, :]).sum(-1) == 1).astype(float)
+        go = beside / np.maximum(beside.sum(0, keepdims=True), 1)
+        return np.where(beside.sum(0)[None, :] > 0, e.motion.walk_stay * np.eye(len(at)) + (1 - e.motion.walk_stay) * go, np.eye(len(at)))
+
+    moves = [e.keep(("walk", int(max(1, round(s / e.dt))), len(at)), lambda s=s: np.linalg.matrix_power(make(), int(max(1, round(s / e.dt))))) for s in e.steps]
+    return forward(e.ll, _even(e), lambda k, p: moves[k] @ p)
+
+
+def path_lengths(e: Event) -> np.ndarray:
+    """The shortest way between places over the places beside them, corners too; without a way, infinite."""
+    at, unit = e.places()
+    near = np.abs(at[:, None, :] - at[None, :, :])
+    out = np.where(near.max(-1) <= 1, np.sqrt((near**2).sum(-1)) * unit, np.inf)
+    for k in range(len(at)):
+        np.minimum(out, out[:, k, None] + out[None, k, :], out=out)
+    return out
+
+
+def geodesic(e: Event):
+    """Diffusion along the places that are there: a normal law of the shortest way, not of the straight line."""
+    far = e.keep(("ways", len(e.centres), float(e.centres.sum())), lambda: path_lengths(e))
+
+    def make(s):
+        sigma = e.motion.diffusion * max(s, 1e-12) ** 0.5
+        p = np.where(far <= e.motion.truncate * sigma, np.exp(-0.5 * np.minimum(far / sigma, 1e3) ** 2), 0.0)
+        return p / p.sum(0, keepdims=True)
+
+    moves = [e.keep(("geodesic", len(e.centres), round(float(s), 9)), lambda s=s: make(s)) for s in e.steps]
+    return forward(e.ll, _even(e), lambda k, p: moves[k] @ p)
+
+
 def reversed_of(kernel):
     def run(e: Event):
-        log, post = kernel(Event(e.ll[::-1], e.centres, e.steps[::-1], e.dt, e.motion, e.goals, e.transitions, e.made))
+        log, post = e.reverse().run(kernel)
         return log, post[::-1]
     return run
 
@@ -286,13 +454,55 @@ def reversed_of(kernel):
 def bidirectional(kernel):
     """Forward and reversed runs at even odds."""
     def run(e: Event):
-        (a, p), (b, q) = kernel(e), reversed_of(kernel)(e)
+        (a, p), (b, q) = e.run(kernel), e.reverse().run(kernel)
         both = float(np.logaddexp(a, b) - np.log(2))
         w = np.exp(a - both - np.log(2)) if np.isfinite(both) else 0.5
-        return both, w * p + (1 - w) * q
+        return both, w * p + (1 - w) * q[::-1]
     return run
 
 
+def forward_backward(ll: np.ndarray, start: np.ndarray, moves: list[np.ndarray]) -> tuple[float, np.ndarray]:
+    """Log evidence and smoothed posteriors (time, state) of a chain; moves[k] is [to, from] over step k."""
+    seen = np.exp(ll - ll.max(1, keepdims=True))
+    total, p, filtered = 0.0, start, []
+    for t in range(len(ll)):
+        p = (moves[t - 1] @ p if t else p) * seen[t]
+        total += float(np.log(p.sum()) + ll[t].max())
+        p = p / p.sum()
+        filtered.append(p)
+    back, out = np.ones(ll.shape[1]), [filtered[-1]]
+    for t in range(len(ll) - 2, -1, -1):
+        back = moves[t].T @ (seen[t + 1] * back)
+        back = back / back.max()
+        out.append(filtered[t] * back / (filtered[t] * back).sum())
+    return total, np.array(out[::-1])
+
+
+def smoothed_diffusion(e: Event):
+    return forward_backward(e.ll, _even(e), _steps(e, e.motion.diffusion))
+
+
+def smoothed_first_order_imm(e: Event):
+    """Places given the whole event; the three modes stand as one long state."""
+    b, still, moves = e.ll.shape[1], _steps(e, e.motion.stationary), _steps(e, e.motion.diffusion)
+    joint = []
+    for k in range(len(e.ll) - 1):
+        s = switching(3, e.steps[k], e.motion)
+        joint.append(np.block([[s[i, j] * m for j in range(3)] for i, m in enumerate((still[k], moves[k], np.full((b, b), 1 / b)))]))
+    total, p = forward_backward(np.tile(e.ll, (1, 3)), np.full(3 * b, 1 / (3 * b)), joint)
+    return total, p.reshape(len(p), 3, b).sum(1)
+
+
+def smoothed_stationary(e: Event):
+    """One place throughout, so that every bin knows what the whole event says."""
+    log, p = stationary(e)
+    return log, np.repeat(p[-1:], len(p), 0)
+
+
+#: Models whose posterior of every bin, given the whole event, can be had.
+SMOOTHED = {"random": random, "stationary": smoothed_stationary, "state-space-diffusion": smoothed_diffusion, "state-space-first-order-imm": smoothed_first_order_imm}
+
+
 #: name -> (kernel, support of its evidence)
 REGISTRY: dict[str, tuple[Callable, str]] = {}
 
@@ -306,7 +516,9 @@ for _name, _kernel, _support in (
     ("state-space-first-order-imm", first_order_imm, EXACT), ("state-space-momentum", momentum_pruned, TRUNCATED), ("state-space-momentum-exact", momentum_exact, EXACT),
     ("displacement-momentum", displacement_momentum, EXACT), ("trajectory-imm-exact", trajectory_imm, EXACT), ("trajectory-imm-persistent", lambda e: trajectory_imm(e, stay=0.985), EXACT),
     ("trajectory-imm-anchored", lambda e: trajectory_imm(e, start=0.05, enter=0.005), EXACT), ("trajectory-imm-low-leak", lambda e: trajectory_imm(e, start=0.01, enter=0.001), EXACT),
-    ("goal", goal, EXACT), ("empirical-transition", empirical, EXACT), ("reverse-diffusion", reversed_of(diffusion), EXACT),
+    ("goal", goal, EXACT), ("empirical-transition", empirical, EXACT), ("state-space-imm", pruned(trajectory_imm), TRUNCATED), ("displacement-imm", displacement_imm, EXACT),
+    ("candidate-stationary", pruned(stationary), TRUNCATED), ("candidate-diffusion", pruned(diffusion), TRUNCATED), ("candidate-momentum", momentum_pruned, TRUNCATED), ("candidate-imm", pruned(trajectory_imm), TRUNCATED), ("candidate-jump", pruned(random), TRUNCATED),
+    ("grid-walk", walk, EXACT), ("geodesic-diffusion", geodesic, EXACT), ("reverse-diffusion", reversed_of(diffusion), EXACT),
     ("reverse-momentum-exact", reversed_of(momentum_exact), EXACT), ("bidirectional-diffusion", bidirectional(diffusion), EXACT), ("bidirectional-momentum-exact", bidirectional(momentum_exact), EXACT),
 ):
     register_model(_name, _kernel, _support)
@@ -329,6 +541,48 @@ class Grammar:
     most_segments: int = 4
 
 
+def prefixes_of(model: str, e: Event) -> np.ndarray | None:
+    """The evidence of the first 1, 2, ... bins, by one pass; none for models that have no such pass here."""
+    if model in ("random", "state-space-fragmented"):
+        return np.cumsum(lse(e.ll, 1) - np.log(e.ll.shape[1]))
+    if model == "stationary":
+        return lse(np.cumsum(e.ll, 0), 1) - np.log(e.ll.shape[1])
+    if model != "state-space-diffusion":
+        return None
+    moves, p, out, total = _steps(e, e.motion.diffusion), _even(e), [], 0.0
+    for t in range(len(e.ll)):
+        top = e.ll[t].max()
+        p = (moves[t - 1] @ p if t else p) * np.exp(e.ll[t] - top)
+        total += float(np.log(p.sum()) + top)
+        p = p / p.sum()
+        out.append(total)
+    return np.array(out)
+
+
+def causal_prefixes(emissions: DataFrame, grid: Grid, models: list[str], motion: Motion = Motion(), dt: float = 1.0, shortest: int = 1) -> DataFrame:
+    """One row per event, model and number of first bins: the evidence so far. One pass an event and model."""
+    unknown = [m for m in models if m not in ("random", "stationary", "state-space-fragmented", "state-space-diffusion")]
+    if unknown:
+        raise ValueError(f"no causal pass of: {unknown}")
+    centres, shape = centres_of(grid), "session string, event_index long, model string, bins int, n_spikes long, log_evidence double"
+
+    def run(batches):
+        made: dict = {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                bins = row["bins"]
+                dur, n = np.array([x["bin_dur"] for x in bins], float), np.cumsum([x["n_spikes"] for x in bins]).tolist()
+                e = Event(np.array([x["ll"] for x in bins], float), centres, (dur[1:] + dur[:-1]) / 2, dt, motion, made=made)
+                for m in models:
+                    out += [(row["session"], row["event_index"], m, t + 1, n[t], float(v)) for t, v in enumerate(prefixes_of(m, e)) if t + 1 >= shortest]
+            cols = list(zip(*out)) or [()] * 6
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in shape.split(", ")])
+
+    return _by_event(emissions).mapInArrow(run, shape)
+
+
 def best_segments(score: np.ndarray, grammar: Grammar) -> tuple[float, list[tuple[int, int, int]]]:
     """The best cut of all bins into segments (start, end, mode) without equal neighbours in mode.
 
@@ -374,9 +628,15 @@ def segment_grammar(emissions: DataFrame, grid: Grid, grammar: Grammar = Grammar
                 n = len(ll)
                 steps, score = (dur[1:] + dur[:-1]) / 2, np.full((n, n + 1, len(kernels)), -np.inf)
                 for a in range(n):
+                    whole = Event(ll[a:], centres, steps[a:], dt, motion, made=made)
+                    got = [prefixes_of(m, whole) for m in grammar.modes]  # one pass from each start scores all its ends
                     for z in range(a + grammar.shortest, n + 1):
-                        e = Event(ll[a:z], centres, steps[a : z - 1], dt, motion, made=made)
-                        score[a, z] = [k(e)[0] for k in kernels] - 0.5 * ((np.log(z - a) - means) / grammar.log_sd) ** 2
+                        if all(g is not None for g in got):
+                            found = [g[z - a - 1] for g in got]
+                        else:
+                            e = Event(ll[a:z], centres, steps[a : z - 1], dt, motion, made=made)
+                            found = [k(e)[0] if g is None else g[z - a - 1] for k, g in zip(kernels, got)]
+                        score[a, z] = found - 0.5 * ((np.log(z - a) - means) / grammar.log_sd) ** 2
                 total, found = best_segments(score, grammar)
                 out += [(row["session"], row["event_index"], i, grammar.modes[mode], a, z, float(dur[a:z].sum()), total) for i, (a, z, mode) in enumerate(found)]
             cols = list(zip(*out)) or [()] * 8
@@ -419,18 +679,25 @@ def transition_matrix(src, dst, probability, n: int, teleport: float = 1e-6) ->
     return (1 - teleport) * out + teleport / n
 
 
-def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Motion = Motion(), dt: float = 1.0, goals=None, transitions: DataFrame | None = None) -> DataFrame:
+def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Motion = Motion(), dt: float = 1.0, goals=None, transitions: DataFrame | None = None, valid: list[int] | None = None, prefix: str = "") -> DataFrame:
     """One row per event and model, from rows (session, event_index, t_idx, bin_dur, n_spikes, ll array).
 
     An event's few time bins are gathered into one row, and tasks score rows as they come:
-    no cost per group, and no group larger than an event. transitions (session, src, dst,
-    probability) are for the models that follow a fitted matrix; without one such a model's
-    row has no evidence and says so.
+    no cost per group, and no group larger than an event. Models made of others share what
+    those found. transitions (session, src, dst, probability) are for the models that follow
+    a fitted matrix; without one such a model's row has no evidence and says so. With valid,
+    a list of places, all others are out of reach. prefix goes before the models' names.
     """
     unknown = [m for m in models if m not in REGISTRY]
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
     chosen, centres = [(m, *REGISTRY[m]) for m in models], centres_of(grid)
+    places = np.arange(len(centres)) if valid is None else np.array(sorted(valid))
+
+    def terminal(p):
+        out = np.zeros(len(centres))
+        out[places] = p
+        return out.tolist()
 
     def run(batches):
         made: dict = {}
@@ -440,18 +707,21 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
             for row in batch.to_pylist():
                 bins = row["bins"]
                 if row.get("matrix"):
-                    held, matrix = row["session"], transition_matrix(**row["matrix"], n=len(centres))
+                    held, matrix = row["session"], transition_matrix(**row["matrix"], n=len(centres))[np.ix_(places, places)]
                     continue
                 fit = matrix if row["session"] == held else None
                 dur = np.array([x["bin_dur"] for x in bins], float)
-                e = Event(np.array([x["ll"] for x in bins], float), centres, (dur[1:] + dur[:-1]) / 2, dt, motion, None if goals is None else np.array(goals, float), fit, made)
+                e = Event(np.array([x["ll"] for x in bins], float)[:, places], centres[places], (dur[1:] + dur[:-1]) / 2, dt, motion, None if goals is None else np.array(goals, float), fit, made, {})
                 for name, kernel, label in chosen:
                     if name in FITTED and fit is None:
-                        out.append((row["session"], row["event_index"], name, NOT_SCORED, None, len(bins), sum(x["n_spikes"] for x in bins), None))
+                        out.append((row["session"], row["event_index"], prefix + name, NOT_SCORED, None, len(bins), sum(x["n_spikes"] for x in bins), None))
                         continue
-                    log, post = kernel(e)
-                    single = label == TRUNCATED and len(bins) == 1
-                    out.append((row["session"], row["event_index"], name, "degenerate_single_bin" if single else label, log, len(bins), sum(x["n_spikes"] for x in bins), post[-1].tolist()))
+                    log, post = e.run(kernel)
+                    if label == TRUNCATED and len(bins) == 1:
+                        shown = "degenerate_single_bin"
+                    else:  # candidates that cover all places prune nothing
+                        shown = EXACT if label == TRUNCATED and motion.top_k >= len(places) else label
+                    out.append((row["session"], row["event_index"], prefix + name, shown, log, len(bins), sum(x["n_spikes"] for x in bins), terminal(post[-1])))
             cols = list(zip(*out)) or [()] * 8
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in SCORE_SCHEMA.split(", ")])
@@ -459,6 +729,46 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
     return _by_event(emissions, transitions).mapInArrow(run, SCORE_SCHEMA)
 
 
+def trajectories(emissions: DataFrame, grid: Grid, models: list[str], motion: Motion = Motion(), dt: float = 1.0) -> DataFrame:
+    """One row per event, model and time bin: the posterior of places given the whole event, its mean, likeliest place, spread and entropy."""
+    unknown = [m for m in models if m not in SMOOTHED]
+    if unknown:
+        raise ValueError(f"no smoothed posterior of: {unknown}")
+    centres = centres_of(grid)
+    shape = "session string, event_index long, model string, t_idx int, mean_x double, mean_y double, map_bin int, spread double, entropy double, posterior array<double>"
+
+    def run(batches):
+        made: dict = {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                bins = row["bins"]
+                dur = np.array([x["bin_dur"] for x in bins], float)
+                e = Event(np.array([x["ll"] for x in bins], float), centres, (dur[1:] + dur[:-1]) / 2, dt, motion, made=made)
+                for name in models:
+                    post = SMOOTHED[name](e)[1]
+                    mean = post @ centres
+                    spread = np.sqrt(np.maximum((post @ (centres**2)).sum(1) - (mean**2).sum(1), 0))
+                    entropy = -(post * np.log(np.maximum(post, 1e-300))).sum(1)
+                    out += [(row["session"], row["event_index"], name, bins[t]["t_idx"], *map(float, mean[t]), int(post[t].argmax()), float(spread[t]), float(entropy[t]), post[t].tolist()) for t in range(len(bins))]
+            cols = list(zip(*out)) or [()] * 10
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in shape.split(", ")])
+
+    return _by_event(emissions).mapInArrow(run, shape)
+
+
+def gathered(rows: DataFrame, places: int) -> DataFrame:
+    """Arrays by time bin, as `score_events` takes them, from rows (session, event_index, t_idx, bin_id, bin_dur, n_spikes, ll).
+
+    A place without a row has no likelihood.
+    """
+    held = F.map_from_entries(F.collect_list(F.struct("bin_id", "ll")))
+    g = rows.groupBy("session", "event_index", "t_idx").agg(F.first("bin_dur").alias("bin_dur"), F.max("n_spikes").alias("n_spikes"), held.alias("_m"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda b: F.coalesce(F.element_at("_m", b), F.lit(float("-inf"))))
+    return g.withColumn("ll", each).drop("_m")
+
+
 def emissions(spikes: DataFrame, events: DataFrame, rates: DataFrame, grid: Grid, dt: float) -> DataFrame:
     """Poisson log likelihood of each time bin's spikes at each place, as one array a bin.
 

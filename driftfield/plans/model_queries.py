@@ -43,13 +43,40 @@ ps as (select session, event_index, bin_id, sum(ll) as s from ll group by 1, 2,
 
 @query(f"""{_LL} select session, event_index, 'random' as model, round(v, 4) + 0.0 as log_evidence from rt union all select session, event_index, 'stationary', round(v, 4) + 0.0 from st""")
 def static_model_evidence(spark, d):
-    """Random and stationary evidence by built-in expressions alone."""
-    e = _emissions(spark, d)
+    """Random and stationary evidence by built-in expressions alone, in one pass over the emissions."""
     bins = float(GRID.nx * GRID.ny)
-    random = e.groupBy("session", "event_index").agg(F.sum(lk.log_sum_exp(F.col("ll")) - F.log(F.lit(bins))).alias("v")).withColumn("model", F.lit("random"))
-    place = e.select("session", "event_index", F.posexplode("ll").alias("bin_id", "v")).groupBy("session", "event_index", "bin_id").agg(F.sum("v").alias("s"))
-    still = place.groupBy("session", "event_index").agg((lk.log_sum_exp(F.collect_list("s")) - F.log(F.lit(bins))).alias("v")).withColumn("model", F.lit("stationary"))
-    return random.unionByName(still).select("session", "event_index", "model", _r("v", "log_evidence", 4))
+    each = _emissions(spark, d).groupBy("session", "event_index").agg(F.sum(lk.log_sum_exp(F.col("ll")) - F.log(F.lit(bins))).alias("random"), F.collect_list("ll").alias("lls"))
+    place = F.aggregate("lls", F.array_repeat(F.lit(0.0), int(bins)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    both = each.select("session", "event_index", "random", (lk.log_sum_exp(place) - F.log(F.lit(bins))).alias("stationary"))
+    rows = both.select("session", "event_index", F.explode(F.create_map(F.lit("random"), "random", F.lit("stationary"), "stationary")).alias("model", "v"))
+    return rows.select("session", "event_index", "model", _r("v", "log_evidence", 4))
+
+
+#: One forward pass by recursion: diffusion, and the three modes that switch, of each event. Bins of 20 s make
+#: the stationary mode's law all one place.
+_FORWARD = f"""{_LL}, arr0 as (select session, event_index, t_idx, list(ll order by bin_id) as l, any_value(bin_dur) as dur from ll join eb using (session, event_index, t_idx) group by 1, 2, 3),
+arr as (select *, list_max(l) as top, round((dur + lag(dur) over (partition by session, event_index order by t_idx)) / 2, 6) as step, count(*) over (partition by session, event_index) as n from arr0),
+cen as (select b, 12.5::double + 25 * (b // 4) as cx, 12.5::double + 25 * (b % 4) as cy from range(32) as r(b)),
+gap as (select x.b as x, y.b as y, pow(x.cx - y.cx, 2) + pow(x.cy - y.cy, 2) as d2 from cen x, cen y), wgt as (select step, x, y, case when d2 <= 25 * 144 * step then exp(-0.5 * d2 / (144 * step)) else 0 end as w from gap, (select distinct step from arr where step is not null)),
+rws as (select step, x, list(w / z order by y) as r from (select *, sum(w) over (partition by step, y) as z from wgt) group by 1, 2), mats as (select step, list(r order by x) as m from rws group by 1),
+fw as (with recursive f as (
+ select session, event_index, t_idx, n, list_transform(l, lambda v: exp(v - top) / e) as p, ln(e / 32) + top as v, list_transform(l, lambda v: exp(v - top) / e / 3) as p0, list_transform(l, lambda v: exp(v - top) / e / 3) as p1, list_transform(l, lambda v: exp(v - top) / e / 3) as p2, ln(e / 32) + top as w
+ from (select *, list_sum(list_transform(l, lambda v: exp(v - top))) as e from arr where t_idx = 0)
+ union all
+ select session, event_index, t_idx, n, list_transform(u, lambda x: x / list_sum(u)), v + ln(list_sum(u)) + top, list_transform(u0, lambda x: x / z), list_transform(u1, lambda x: x / z), list_transform(u2, lambda x: x / z), w + ln(z) + top from (
+  select *, list_sum(u0) + list_sum(u1) + list_sum(u2) as z from (
+   select session, event_index, t_idx, n, v, w, top, list_transform(list_zip(m, l), lambda k: list_dot_product(k[1], p) * exp(k[2] - top)) as u, list_transform(list_zip(q0, l), lambda k: k[1] * exp(k[2] - top)) as u0,
+    list_transform(list_zip(m, l), lambda k: list_dot_product(k[1], q1) * exp(k[2] - top)) as u1, list_transform(l, lambda k: list_sum(q2) / 32 * exp(k - top)) as u2 from (
+    select a.session, a.event_index, a.t_idx, a.n, a.l, a.top, m, f.p, f.v, f.w, list_transform(list_zip(p0, p1, p2), lambda k: 0.9 * k[1] + 0.05 * k[2] + 0.05 * k[3]) as q0, list_transform(list_zip(p0, p1, p2), lambda k: 0.05 * k[1] + 0.9 * k[2] + 0.05 * k[3]) as q1, list_transform(list_zip(p0, p1, p2), lambda k: 0.05 * k[1] + 0.05 * k[2] + 0.9 * k[3]) as q2
+    from f join arr a on a.session = f.session and a.event_index = f.event_index and a.t_idx = f.t_idx + 1 join mats using (step)))))
+ select * from f where t_idx = n - 1)"""
+
+
+@query(f"""{_FORWARD} select session, event_index, 'state-space-diffusion' as model, round(v, 4) + 0.0 as log_evidence from fw union all select session, event_index, 'state-space-first-order-imm', round(w, 4) + 0.0 from fw""")
+def first_order_evidence(spark, d):
+    """Diffusion and the three switching modes, scored by their kernels; the SQL runs the recursion itself."""
+    s = op.score_events(_emissions(spark, d), GRID, ["state-space-diffusion", "state-space-first-order-imm"], op.Motion(), DT)
+    return s.select("session", "event_index", "model", _r("log_evidence", digits=4))
 
 
 @query()
@@ -60,7 +87,9 @@ def latent_model_evidence(spark, d):
     return s.select("session", "event_index", "model", "evidence_support", _r("log_evidence", digits=6), "n_time", "n_spikes")
 
 
-@query()
+@query(f"""{_FORWARD}, sp as (select session, event_index, list(s order by bin_id) as s from ps group by 1, 2), ends as (select session, event_index, st.v as a, fw.v as b, fw.w as c, greatest(st.v, fw.v, fw.w) as mx, list_transform(s, lambda x: exp(x - list_max(s))) as e, p, list_transform(list_zip(p0, p1, p2), lambda k: k[1] + k[2] + k[3]) as q from fw join st using (session, event_index) join sp using (session, event_index)),
+avg_ as (select *, exp(a - mx) / (exp(a - mx) + exp(b - mx) + exp(c - mx)) as wa, exp(b - mx) / (exp(a - mx) + exp(b - mx) + exp(c - mx)) as wb, exp(c - mx) / (exp(a - mx) + exp(b - mx) + exp(c - mx)) as wc, list_sum(e) as es from ends)
+select session, event_index, bin_id::int as bin_id, round(wa * e[bin_id + 1] / es + wb * p[bin_id + 1] + wc * q[bin_id + 1], 6) + 0.0 as probability from (select *, unnest(range(32)) as bin_id from avg_)""")
 def model_averaged_endpoint(spark, d):
     """Posterior over the last place, averaged over exact models by their evidence."""
     s = op.score_events(_emissions(spark, d), GRID, ["stationary", "state-space-diffusion", "state-space-first-order-imm"], op.Motion(), DT)
@@ -105,6 +134,53 @@ def clusterless_likelihood(spark, d):
     return e.groupBy("session", "event_index").agg(F.count(F.lit(1)).alias("cells"), _r(F.sum("ll"), "total", 2), _r(F.max("ll"), "best", 3))
 
 
+_CL = """cl as (select b.session, b.event_index, b.t_idx, p.bin_id, coalesce(s, 0) - p.rate_hz * bin_dur + coalesce(k, 0) * ln(bin_dur) - coalesce(list_sum(list_transform(range(2, coalesce(k, 0) + 1), lambda x: ln(x::double))), 0) as ll from eb b join place p using (session) left join fr on fr.session = b.session and fr.event_index = b.event_index and fr.t_idx = b.t_idx and fr.bin_id = p.bin_id)"""
+
+
+@query(f"""{_MARKS}, {_BINS}, mrate as (select session, bin_id, sum(rate_hz) as rate_hz from rates group by 1, 2), place as (select * from mrate join mstat using (session, bin_id)),
+sp as (select e.session, e.event_index, floor((m.t - e.start) / 20.0)::int as t_idx, m.f1, m.f2 from mk m join short_events e on e.session = m.session and m.t >= e.start and m.t < e.end),
+fr as (select sp.session, event_index, t_idx, bin_id, count(*) as k, sum(ln(rate_hz) - 0.5 * (pow(f1 - f1_mean, 2) / f1_var + ln(f1_var) + {_TAU}::double) - 0.5 * (pow(f2 - f2_mean, 2) / f2_var + ln(f2_var) + {_TAU}::double)) as s from sp join place using (session) group by 1, 2, 3, 4), {_CL},
+rt as (select session, event_index, sum(mm + ln(e / 32)) as v from (select session, event_index, t_idx, any_value(mm) as mm, sum(exp(ll - mm)) as e from (select *, max(ll) over (partition by session, event_index, t_idx) as mm from cl) group by 1, 2, 3) group by 1, 2),
+st as (select session, event_index, any_value(mm) + ln(sum(exp(s - mm)) / 32) as v from (select *, max(s) over (partition by session, event_index) as mm from (select session, event_index, bin_id, sum(ll) as s from cl group by 1, 2, 3)) group by 1, 2)
+select session, event_index, 'clusterless-random' as model, round(v, 3) + 0.0 as log_evidence from rt union all select session, event_index, 'clusterless-stationary', round(v, 3) + 0.0 from st""")
+def clusterless_model_evidence(spark, d):
+    """Mark emissions through the kernels."""
+    s = op.score_events(_clusterless(spark, d), GRID, ["random", "stationary"], op.Motion(), DT, prefix="clusterless-")
+    return s.select("session", "event_index", "model", _r("log_evidence", digits=3))
+
+
+@query()
+def clusterless_latent_evidence(spark, d):
+    """The switching models on mark emissions."""
+    s = op.score_events(_clusterless(spark, d), GRID, ["state-space-diffusion", "state-space-first-order-imm", "state-space-momentum-exact", "state-space-imm", "trajectory-imm-exact", "displacement-imm"], op.Motion(), DT, prefix="clusterless-")
+    return s.select("session", "event_index", "model", "evidence_support", _r("log_evidence", digits=5))
+
+
+def _clusterless(spark, d):
+    m = _marks(spark, d)
+    total = rates(spark, d).groupBy("session", "bin_id").agg(F.sum("rate_hz").alias("rate_hz"))
+    e = marks.clusterless_emissions(m, rel.short_events(spark, d), marks.mark_statistics(m, GRID, ["f1", "f2"], ["session"]), total, ["f1", "f2"], DT)
+    return op.gathered(e, GRID.nx * GRID.ny)
+
+
+_PREFIX = """pf as (select *, sum(m + ln(e / 32)) over (partition by session, event_index order by t_idx) as v from (select session, event_index, t_idx, any_value(mm) as m, sum(exp(ll - mm)) as e from (select *, max(ll) over (partition by session, event_index, t_idx) as mm from ll) group by 1, 2, 3)),
+cm as (select *, sum(ll) over (partition by session, event_index, bin_id order by t_idx) as s from ll), sf as (select session, event_index, t_idx, any_value(mm) + ln(sum(exp(s - mm)) / 32) as v from (select *, max(s) over (partition by session, event_index, t_idx) as mm from cm) group by 1, 2, 3)"""
+
+
+@query(f"""{_LL}, {_PREFIX} select session, event_index, (t_idx + 1)::int as bins, 'random' as model, round(v, 4) + 0.0 as log_evidence from pf union all select session, event_index, (t_idx + 1)::int, 'stationary', round(v, 4) + 0.0 from sf""")
+def causal_prefixes(spark, d):
+    """Evidence of the first 1, 2, ... bins of every event."""
+    c = op.causal_prefixes(_emissions(spark, d), GRID, ["random", "stationary"], op.Motion(), DT)
+    return c.select("session", "event_index", "bins", "model", _r("log_evidence", digits=4))
+
+
+@query()
+def smoothed_trajectories(spark, d):
+    """Where each event was in each bin, given all of it."""
+    t = op.trajectories(_emissions(spark, d), GRID, ["state-space-diffusion", "state-space-first-order-imm"], op.Motion(), DT)
+    return t.select("session", "event_index", "model", "t_idx", _r("mean_x", digits=5), _r("mean_y", digits=5), "map_bin", _r("spread", digits=5), _r("entropy", digits=5))
+
+
 @query(f"""with {rel.SCORES_SQL} select session, event_index, model, count(*) as settings, round(any_value(mm) + ln(sum(exp(log_evidence - mm))) - ln(count(*)), 6) + 0.0 as marginal_log_evidence
 from (select *, max(log_evidence) over (partition by session, event_index, model) as mm from scores) group by 1, 2, 3""")
 def marginal_evidence(spark, d):

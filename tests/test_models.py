@@ -98,6 +98,123 @@ def test_trajectory_switching_sums_all_modes_and_paths(options):
     assert m.trajectory_imm(e, **options)[0] == pytest.approx(paths(e, weight))
 
 
+def dense_momentum(e):
+    """The law of every triple of places, at full length."""
+    b, total, pairs = len(e.centres), 0.0, None
+    p = np.full(b, 1 / b) * np.exp(e.ll[0])
+    total, p = np.log(p.sum()), p / p.sum()
+    for t in range(1, len(e.ll)):
+        if t == 1:
+            pairs = (m._steps(e, e.motion.momentum)[0] * p[None, :]).T  # [before, now]
+        else:
+            new = np.zeros_like(pairs)
+            for i in range(b):
+                for j in range(b):
+                    target = e.centres[j] + m._decay(e, t - 1) * (e.centres[j] - e.centres[i])
+                    new[j] += pairs[i, j] * m.gaussian(e.centres, target[None, :], e.motion.momentum * e.steps[t - 1] ** 0.5, e.motion.truncate)[:, 0]
+            pairs = new
+        pairs = pairs * np.exp(e.ll[t])[None, :]
+        total, pairs = total + np.log(pairs.sum()), pairs / pairs.sum()
+    return total
+
+
+@pytest.mark.parametrize("sigma", [12.0, 2.0])
+def test_pairs_match_the_law_of_triples(sigma):
+    rng = np.random.default_rng(2)
+    centres = np.delete(m.centres_of(Grid(0.0, 0.0, 10.0, 5, 4)), [3, 11], 0)  # with holes; a narrow law leaves some pairs nowhere to go
+    e = m.Event(rng.normal(size=(5, 18)), centres, np.array([1.0, 0.5, 1.0, 0.8]), 1.0, m.Motion(momentum=sigma))
+    assert m.momentum_exact(e)[0] == pytest.approx(dense_momentum(e))
+
+
+def test_pairs_of_a_fine_grid_fit():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    centres = m.centres_of(Grid(0.0, 0.0, 4.0, 50, 25))
+    e = m.Event(rng.normal(size=(6, 1250)), centres, np.full(5, 0.02), 0.02, m.Motion(diffusion=85.0, momentum=85.0, truncate=4.0, decay=0.95, top_k=128), made={}, done={})
+    tracemalloc.start()
+    for name in ("state-space-momentum", "state-space-momentum-exact", "trajectory-imm-exact", "state-space-imm", "bidirectional-momentum-exact", "displacement-imm"):
+        log, post = e.run(m.REGISTRY[name][0])
+        assert np.isfinite(log) and post.sum(1) == pytest.approx(np.ones(6)), name
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_walks_and_ways():
+    centres = np.delete(m.centres_of(Grid(0.0, 0.0, 10.0, 3, 3)), [3, 4], 0)  # a wall between the first row and the last
+    e = m.Event(np.random.default_rng(0).normal(size=(3, 7)), centres, np.array([1.0, 2.0]), 1.0, m.Motion())
+    far = m.path_lengths(e)
+    assert far[0, 2] == pytest.approx(20.0) and far[0, 5] == pytest.approx(10 + 2 * 10 * 2**0.5) and (far == far.T).all()
+    at = centres // 10
+    one = np.zeros((7, 7))
+    for j in range(7):
+        beside = [i for i in range(7) if np.abs(at[i] - at[j]).sum() == 1]
+        one[j, j] = 0.5
+        for i in beside:
+            one[i, j] = 0.5 / len(beside)
+    chain = lambda p: one[p[1], p[0]] * (one @ one)[p[2], p[1]] / 7
+    assert m.walk(e)[0] == pytest.approx(paths(e, chain))
+    law = [np.where(far <= 5 * 12 * s**0.5, np.exp(-0.5 * far**2 / (144 * s)), 0) for s in (1.0, 2.0)]
+    law = [x / x.sum(0) for x in law]
+    assert m.geodesic(e)[0] == pytest.approx(paths(e, lambda p: law[0][p[1], p[0]] * law[1][p[2], p[1]] / 7))
+
+
+def test_smoothed_posteriors_sum_all_paths():
+    e, b = event(3), 4
+    moves = m._steps(e, e.motion.diffusion)
+    want = np.zeros((4, b))
+    for p in itertools.product(range(b), repeat=4):
+        w = np.prod([moves[k][p[k + 1], p[k]] for k in range(3)]) * np.exp(sum(e.ll[t, p[t]] for t in range(4)))
+        for t in range(4):
+            want[t, p[t]] += w
+    log, post = m.smoothed_diffusion(e)
+    assert post == pytest.approx(want / want.sum(1, keepdims=True)) and log == pytest.approx(m.diffusion(e)[0])
+    log, post = m.smoothed_first_order_imm(e)
+    assert log == pytest.approx(m.first_order_imm(e)[0]) and post[-1] == pytest.approx(m.first_order_imm(e)[1][-1])
+
+
+def test_displaced_modes_sum_all_paths():
+    e, b = event(8, decay=0.8), 4
+    e = m.Event(e.ll[:3], CENTRES, e.steps[:2], 1.0, e.motion)
+    d = m.lattice(10.0, 1)
+    prior = m.gaussian(d, np.zeros((1, 2)), 12.0, np.inf)[:, 0]
+    shift = [m.gaussian(CENTRES, CENTRES + v, 5.0, e.motion.truncate) for v in d]
+    turn = [m.gaussian(d, m._decay(e, k) * d, 12.0 * e.steps[k] ** 0.5, np.inf) for k in range(2)]
+    still, moves = m._steps(e, e.motion.stationary), m._steps(e, e.motion.diffusion)
+
+    def weight(p):
+        total = 0.0
+        for modes in itertools.product(range(4), repeat=3):
+            w = np.full(9, 1 / 4 / b) * prior
+            for k in range(2):
+                w = w * m.switching(4, e.steps[k], e.motion)[modes[k + 1], modes[k]]
+                if modes[k + 1] == 2:
+                    w = turn[k] @ w * np.array([s[p[k + 1], p[k]] for s in shift])
+                else:
+                    w = prior * w.sum() * (still[k][p[k + 1], p[k]], moves[k][p[k + 1], p[k]], 0, 1 / b)[modes[k + 1]]
+            total += w.sum()
+        return total
+
+    assert m.displacement_imm(e, 1)[0] == pytest.approx(paths(e, weight))
+
+
+@pytest.mark.parametrize("model", ["random", "stationary", "state-space-diffusion", "state-space-fragmented"])
+def test_prefixes_are_the_evidence_of_cut_events(model):
+    e = event(4)
+    for t, v in enumerate(m.prefixes_of(model, e)):
+        assert v == pytest.approx(m.REGISTRY[model][0](m.Event(e.ll[: t + 1], CENTRES, e.steps[:t], 1.0, e.motion))[0])
+
+
+def test_valid_places_only(spark):
+    ll = event(3).ll
+    df = spark.createDataFrame([("s", 1, t, 1.0, 2, [float(x) for x in ll[t]]) for t in range(3)], "session string, event_index long, t_idx int, bin_dur double, n_spikes long, ll array<double>")
+    got = m.score_events(df, GRID, ["state-space-diffusion"], valid=[0, 1, 3]).collect()[0]
+    keep = [0, 1, 3]
+    assert got.log_evidence == pytest.approx(m.diffusion(m.Event(ll[:3][:, keep], CENTRES[keep], np.ones(2), 1.0, m.Motion()))[0]) and got.terminal[2] == 0
+    rows = m.trajectories(df, GRID, ["stationary", "state-space-diffusion"]).collect()
+    assert len(rows) == 6 and all(abs(sum(r.posterior) - 1) < 1e-9 for r in rows) and len({tuple(r.posterior) for r in rows if r.model == "stationary"}) == 1
+
+
 def test_displacements_sum_all_paths():
     e, b = event(7, decay=0.8), 4
     e = m.Event(e.ll[:3], CENTRES, e.steps[:2], 1.0, e.motion)
