@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, attach, discard, materialize
+from .common import Recent, attach, discard, materialize, tidy
 
 #: Words of a shingle, and the least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -75,7 +75,7 @@ def darts(region: tuple[np.ndarray, ...], rank: float) -> tuple[np.ndarray, np.n
     lower rank limit only cuts the list.
     """
     strip, floor, height, weight = region
-    cut, ranks, names, serial, block = floor + height > weight, [], [], 1, max(4, int(rank + 4 * math.sqrt(rank)))
+    cut, ranks, names, serial, block = floor + height > weight, [], [], 1, max(1, int(rank + 2 * math.sqrt(rank)))
     at = np.zeros(len(strip))
     while len(strip):
         name = mix(strip[:, None] + _GOLDEN * np.arange(serial, serial + block, dtype=np.uint64)[None, :])
@@ -295,7 +295,7 @@ def classify(df: DataFrame, similarity: float = SIMILARITY, part: int = PART, id
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("digest", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    signed = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign, "row long, doc_id long, digest string, h1 long, h2 long, size long, bands array<long>")
+    signed = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(tidy(_sign), "row long, doc_id long, digest string, h1 long, h2 long, size long, bands array<long>")
     signed = materialize(signed, "signatures")
     # a text goes by the number of its first row; its shingles are made again from that row's text
     texts = signed.groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -307,11 +307,11 @@ def classify(df: DataFrame, similarity: float = SIMILARITY, part: int = PART, id
     first = signed.join(members.select(F.col("rep").alias("row")).distinct().hint("merge"), "row")  # grows with the corpus: never broadcast
     wanted = first.select(F.col("row").alias("rep"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "digest").hint("merge")
     text_rows = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted, ["doc_id", "digest"]).select("rep", "text").dropDuplicates(["rep"])
-    sets = materialize(text_rows.mapInArrow(_sets, "rep long, shingles array<long>, weights array<int>"), "shingles")
+    sets = materialize(text_rows.mapInArrow(tidy(_sets), "rep long, shingles array<long>, weights array<int>"), "shingles")
 
     def compare(rows: DataFrame) -> DataFrame:
         put = rows.join(sets, "rep").select("key", "part", "rep", "comp", "shingles", "weights").repartition("key", "part").sortWithinPartitions("key", "part")
-        return put.mapInArrow(_compare(similarity), "a long, b long")
+        return put.mapInArrow(tidy(_compare(similarity)), "a long, b long")
 
     links = materialize(compare(members.withColumn("comp", F.col("rep"))), "links")
     comps = components(links)
