@@ -128,3 +128,68 @@ def searched_null_windows(events: DataFrame, spikes: DataFrame, keep: int, deal:
     out = long.join(best, ["session", "event_index"], "left")
     reason = F.when(F.col("match").isNotNull(), None).when(F.col("_dur") > 0, "no free window").otherwise("no duration")
     return out.select("session", "event_index", "match", F.col("_start").alias("start"), F.col("_end").alias("end"), "null_spikes", "null_active", F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"), reason.alias("reason"))
+
+
+def base_gaps(base: DataFrame, taken: DataFrame) -> DataFrame:
+    """The parts of the merged base intervals that no merged taken interval covers: session, low, high.
+
+    Edges of both are merged in time order, and a running count tells where a base interval
+    is open and no taken one.
+    """
+    edge = lambda df, kind: df.select("session", F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))).alias("e"), F.lit(kind).alias("k")).select("session", "e.t", F.when(F.col("k") == 0, F.col("e.d")).otherwise(0).alias("b"), F.when(F.col("k") == 1, F.col("e.d")).otherwise(0).alias("x"))
+    edges = edge(merge_intervals(base.select("session", "start", "end")), 0).unionByName(edge(merge_intervals(taken.select("session", "start", "end")), 1))
+    steps = edges.groupBy("session", "t").agg(F.sum("b").alias("b"), F.sum("x").alias("x"))
+    w = Window.partitionBy("session").orderBy("t")
+    s = steps.withColumn("_open", F.sum("b").over(w)).withColumn("_shut", F.sum("x").over(w)).withColumn("high", F.lead("t").over(w))
+    s = s.withColumn("_free", (F.col("_open") > 0) & (F.col("_shut") == 0))
+    # neighbouring free pieces, where one base interval ends as another begins, are merged already
+    return s.where("_free and high > t").select("session", F.col("t").alias("low"), "high")
+
+
+def matched_windows(events: DataFrame, spikes: DataFrame, keep: int, runs: DataFrame | None = None, padding: float = 0.0, tolerance: float = 0.1, cells: int | None = None, step: float | None = None, deal: int = 32) -> DataFrame:
+    """For each event up to `keep` windows of its length, matched in spikes and active cells.
+
+    Windows lie in the runs, or in the span of the session's spikes, and clear of all events
+    widened by the padding; their starts go through every free interval by `step`, or half
+    the event's length. Windows within max(1, tolerance * spikes) of the event's spikes,
+    and within `cells` of its active cells, are taken; where fewer than `keep` are, all are
+    candidates. The order is the difference of spikes, then of cells, then the start.
+    Events without any free window have no row.
+    """
+    if runs is None:
+        runs = spikes.groupBy("session").agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    taken = events.select("session", (F.col("start") - padding).alias("start"), (F.col("end") + padding).alias("end"))
+    gaps = base_gaps(runs, taken).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    own = events.withColumn("_dur", F.col("end") - F.col("start")).where("_dur > 0").select("session", "event_index", "_dur", F.pmod(F.hash("event_index"), F.lit(deal)).alias("_deal"))
+    by = F.lit(float(step)) if step else F.greatest(F.col("_dur") / 2, F.lit(0.001))
+    met = own.join(gaps, ["session", "_deal"]).where(F.col("high") - F.col("low") >= F.col("_dur"))
+    met = met.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low") - F.col("_dur")) / by))))
+    start = F.col("low") + F.col("k") * by
+    windows = met.select("session", "event_index", "low", "k", start.alias("start"), (start + F.col("_dur")).alias("end"))
+    real = events.where("end > start").select("session", "event_index", F.lit(None).cast("double").alias("low"), F.lit(-1).cast("long").alias("k"), "start", "end")
+    both = windows.unionByName(real).withColumn("low", F.coalesce("low", F.lit(0.0)))
+    keys = ["session", "event_index", "low", "k"]
+    # events of one length share most of their windows: spikes are counted once for each
+    alone = both.select("session", "start", "end").distinct()
+    n = alone.join(count_spikes(alone, spikes, ["session", "start", "end"]), ["session", "start", "end"])
+    named = alone.select("session", F.struct("start", "end").alias("event_index"), "start", "end")
+    fired = event_spikes(spikes, named).groupBy("session", "event_index").agg(F.countDistinct("cell_id").alias("active")).select("session", "event_index.*", "active")
+    counted = both.join(n.join(fired, ["session", "start", "end"], "left").withColumn("active", F.coalesce("active", F.lit(0).cast("long"))), ["session", "start", "end"])
+    event = Window.partitionBy("session", "event_index")
+    own_n = lambda c: F.max(F.when(F.col("k") < 0, F.col(c))).over(event)
+    c = counted.withColumn("n_spikes", own_n("spikes")).withColumn("n_active", own_n("active")).where("k >= 0")
+    off, apart = F.abs(F.col("spikes") - F.col("n_spikes")), F.abs(F.col("active") - F.col("n_active"))
+    ok = off <= F.greatest(F.lit(1.0), tolerance * F.greatest(F.col("n_spikes"), F.lit(1)))
+    c = c.withColumn("_ok", ok if cells is None else ok & (apart <= cells)).withColumn("_fit", F.sum(F.col("_ok").cast("long")).over(event)).withColumn("candidates", F.count(F.lit(1)).over(event))
+    best = c.where(F.col("_ok") | (F.col("_fit") < keep)).withColumn("match", F.row_number().over(event.orderBy(off, apart, "start"))).where(F.col("match") <= keep)
+    return best.select("session", "event_index", "match", "start", "end", F.col("spikes").alias("null_spikes"), F.col("active").alias("null_active"), "n_spikes", "n_active", "candidates", (F.col("_fit") >= keep).alias("within_tolerance"))
+
+
+def window_p_values(real: DataFrame, nulls: DataFrame, value: str, keys=("session", "event_index")) -> DataFrame:
+    """How often an event's matched windows reach its own value: (1 + at least as large) / (windows + 1), and where it stands among them.
+
+    Events without windows have p = 1 and no standing.
+    """
+    both = real.select(*keys, F.col(value).alias("_v")).join(nulls.select(*keys, F.col(value).alias("_n")), list(keys), "left")
+    g = both.groupBy(*keys).agg(F.first("_v").alias(value), F.count("_n").alias("windows"), F.sum(F.coalesce((F.col("_n") >= F.col("_v")).cast("long"), F.lit(0))).alias("at_least"), F.avg("_n").alias("null_mean"), F.stddev_samp("_n").alias("null_sd"))
+    return g.withColumn("p_value", (F.col("at_least") + 1) / (F.col("windows") + 1)).withColumn("z", F.when(F.col("null_sd") > 0, (F.col(value) - F.col("null_mean")) / F.col("null_sd")))

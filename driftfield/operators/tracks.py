@@ -66,8 +66,8 @@ def in_intervals(points: DataFrame, intervals: DataFrame, closed: bool = True) -
     An equi semi-join on (session, time cell) with the bounds as its condition: no fan-out,
     and no broadcast, so both sides may be of any size.
     """
-    cells = intervals.select(F.col("session").alias("_s"), "start", "end", _cells(F.col("start"), F.col("end")).alias("_c"))
-    inside = (F.col("t") >= F.col("start")) & ((F.col("t") <= F.col("end")) if closed else (F.col("t") < F.col("end")))
+    cells = intervals.select(F.col("session").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"), _cells(F.col("start"), F.col("end")).alias("_c"))
+    inside = (F.col("t") >= F.col("_a")) & ((F.col("t") <= F.col("_b")) if closed else (F.col("t") < F.col("_b")))
     return points.join(cells, (F.col("session") == F.col("_s")) & (F.floor(F.col("t") / CELL) == F.col("_c")) & inside, "left_semi")
 
 
