@@ -770,14 +770,19 @@ def gathered(rows: DataFrame, places: int) -> DataFrame:
 
 
 def emissions(spikes: DataFrame, events: DataFrame, rates: DataFrame, grid: Grid, dt: float) -> DataFrame:
-    """Poisson log likelihood of each time bin's spikes at each place, as one array a bin.
+    """Poisson log likelihood of each time bin's spikes at each place, as one array a bin."""
+    bins = event_bins(events, dt).select("session", "event_index", "t_idx", "bin_dur")
+    counts = event_spikes(spikes, events).withColumn("t_idx", F.floor((F.col("t") - F.col("start")) / dt).cast("int")).groupBy("session", "event_index", "t_idx", "cell_id").agg(F.count(F.lit(1)).alias("n"))
+    return summed_emissions(bins, counts, rates)
+
+
+def summed_emissions(bins: DataFrame, counts: DataFrame, rates: DataFrame) -> DataFrame:
+    """Arrays of log likelihoods from bins (session, event_index, t_idx, bin_dur) and the counts of cells that fired in them.
 
     The silent part, minus the summed rates times the bin's length, needs no spikes, so
     only cells that fired meet the rate map.
     """
-    bins = event_bins(events, dt).select("session", "event_index", "t_idx", "bin_dur")
     silent = rates.groupBy("session", "bin_id").agg(F.sum("rate_hz").alias("total_hz"))
-    counts = event_spikes(spikes, events).withColumn("t_idx", F.floor((F.col("t") - F.col("start")) / dt).cast("int")).groupBy("session", "event_index", "t_idx", "cell_id").agg(F.count(F.lit(1)).alias("n"))
     fired = counts.join(bins, ["session", "event_index", "t_idx"]).join(rates.select("session", "cell_id", "bin_id", "rate_hz"), ["session", "cell_id"])
     term = F.col("n") * F.log(F.col("rate_hz") * F.col("bin_dur")) - log_factorial(F.col("n"))
     fired = fired.groupBy("session", "event_index", "t_idx", "bin_id").agg(F.sum(term).alias("fired"), F.sum("n").alias("n"))

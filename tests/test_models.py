@@ -313,3 +313,28 @@ def test_decoding_finds_the_place(spark):
     got = decode_positions(pos, spk, Grid(0.0, 0.0, 10.0, 2, 2), 10.0).collect()
     assert len(got) == 60 and {r.fold for r in got} == {0, 1, 2}
     assert np.mean([r.map_x == r.true_x for r in got]) > 0.9 and np.median([r.true_rank for r in got]) == 1
+
+
+def test_separable_models_sum_all_paths():
+    from driftfield.operators import separable as sp
+
+    e = event(2)
+    lx = [sp.line_law(2, (7.0 / 10) ** 2 * s) for s in e.steps]
+    at, _ = e.places()
+    chain = lambda p: np.prod([lx[k][at[p[k + 1], 0], at[p[k], 0]] * lx[k][at[p[k + 1], 1], at[p[k], 1]] for k in range(3)]) / 4
+    assert sp.diffusion(e, 7.0) == pytest.approx(paths(e, chain))
+    law = sp.line_law(2, (6.0 / 10) ** 2)
+    around = np.log(np.mean([np.prod([sum(law[at[b, 0], at[c, 0]] * law[at[b, 1], at[c, 1]] * np.exp(e.ll[t, b]) for b in range(4)) for t in range(4)]) for c in range(4)]))
+    assert sp.gathered_round_a_place(e, 6.0) == pytest.approx(around)
+    first = sp.line_law(2, (3.0 * e.steps[0] / 10) ** 2)
+    turn = [None] + [sp.turning_law(2, 9.0 / 10, 0.3, float(s)) for s in e.steps[1:]]
+
+    def weight(p):
+        w = first[at[p[1], 0], at[p[0], 0]] * first[at[p[1], 1], at[p[0], 1]] / 4
+        for k in (1, 2):
+            for axis in (0, 1):
+                w *= turn[k][at[p[k + 1], axis], at[p[k], axis], at[p[k - 1], axis]]
+        return w
+
+    assert sp.momentum(e, 9.0, 0.3, 3.0) == pytest.approx(paths(e, weight))
+    assert sp.turning_law(5, 1e-9, 1e-9, 1.0).sum(0) == pytest.approx(np.ones((5, 5)))
