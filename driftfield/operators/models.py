@@ -208,7 +208,10 @@ class Pairs:
         table[at[:, 0] + rx, at[:, 1] + ry] = np.arange(len(at))
         self.to = table[at[:, None, 0] + rx + self.d[None, :, 0], at[:, None, 1] + ry + self.d[None, :, 1]]
         self.inside = self.to >= 0
-        self.where = np.nonzero(self.inside)
+        n = len(self.d)
+        self.source = np.flatnonzero(self.inside)
+        self.target = self.to.ravel()[self.source] * n + self.source % n
+        self.still = int(np.flatnonzero((self.d == 0).all(1))[0])
 
     def law(self, drift: float, sigma: float, truncate: float) -> tuple[np.ndarray, np.ndarray]:
         """Weights (next, last displacement) of a truncated normal law round drift * last, and what they add up to from each pair."""
@@ -230,16 +233,18 @@ class Pairs:
         if none.any():
             at, last = np.nonzero(none)
             np.add.at(flow, (at, self.nearest(drift, at, last)), p[none])
-        out = np.zeros_like(p)
-        out[self.to[self.where], self.where[1]] = flow[self.where]
-        return out
+        return self.land(flow)
+
+    def land(self, flow: np.ndarray) -> np.ndarray:
+        """From (place, displacement to come) to (place reached, displacement); what leaves the grid is not there."""
+        out = np.zeros(flow.size)
+        out[self.target] = flow.ravel()[self.source]
+        return out.reshape(flow.shape)
 
     def enter(self, p: np.ndarray, law: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Pairs after a first step, drawn round each place."""
-        still = int(np.flatnonzero((self.d == 0).all(1))[0])
-        only = np.zeros((len(p), len(self.d)))
-        only[:, still] = p
-        return self.move(only, 1.0, law)
+        w, total = law
+        return self.land((p / total[:, self.still])[:, None] * w[None, :, self.still])
 
 
 def _pairs(e: Event) -> Pairs:
@@ -298,6 +303,11 @@ def pruned(kernel):
 momentum_pruned = pruned(momentum_exact)
 
 
+def imm_pruned(e: Event):
+    """All four modes on the likeliest places of each bin."""
+    return pruned(trajectory_imm)(e)
+
+
 def trajectory_imm(e: Event, stay: float | None = None, start: float = 0.25, enter: float | None = None):
     """Stationary, diffusing, fragmented and momentum modes that switch.
 
@@ -516,8 +526,8 @@ for _name, _kernel, _support in (
     ("state-space-first-order-imm", first_order_imm, EXACT), ("state-space-momentum", momentum_pruned, TRUNCATED), ("state-space-momentum-exact", momentum_exact, EXACT),
     ("displacement-momentum", displacement_momentum, EXACT), ("trajectory-imm-exact", trajectory_imm, EXACT), ("trajectory-imm-persistent", lambda e: trajectory_imm(e, stay=0.985), EXACT),
     ("trajectory-imm-anchored", lambda e: trajectory_imm(e, start=0.05, enter=0.005), EXACT), ("trajectory-imm-low-leak", lambda e: trajectory_imm(e, start=0.01, enter=0.001), EXACT),
-    ("goal", goal, EXACT), ("empirical-transition", empirical, EXACT), ("state-space-imm", pruned(trajectory_imm), TRUNCATED), ("displacement-imm", displacement_imm, EXACT),
-    ("candidate-stationary", pruned(stationary), TRUNCATED), ("candidate-diffusion", pruned(diffusion), TRUNCATED), ("candidate-momentum", momentum_pruned, TRUNCATED), ("candidate-imm", pruned(trajectory_imm), TRUNCATED), ("candidate-jump", pruned(random), TRUNCATED),
+    ("goal", goal, EXACT), ("empirical-transition", empirical, EXACT), ("state-space-imm", imm_pruned, TRUNCATED), ("displacement-imm", displacement_imm, EXACT),
+    ("candidate-stationary", pruned(stationary), TRUNCATED), ("candidate-diffusion", pruned(diffusion), TRUNCATED), ("candidate-momentum", momentum_pruned, TRUNCATED), ("candidate-imm", imm_pruned, TRUNCATED), ("candidate-jump", pruned(random), TRUNCATED),
     ("grid-walk", walk, EXACT), ("geodesic-diffusion", geodesic, EXACT), ("reverse-diffusion", reversed_of(diffusion), EXACT),
     ("reverse-momentum-exact", reversed_of(momentum_exact), EXACT), ("bidirectional-diffusion", bidirectional(diffusion), EXACT), ("bidirectional-momentum-exact", bidirectional(momentum_exact), EXACT),
 ):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -93,10 +94,18 @@ def read_signal(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "*.egf").mapInArrow(run, "session string, sample long, value int")
 
 
-def read_scores(spark: SparkSession, path: str, schema: str, flags: tuple[str, ...] = ()) -> DataFrame:
-    """Score tables as CSV: words for nothing become null, NaN too, and flags are read as written by any tool."""
-    df = spark.read.csv(path, header=True, schema=schema, nullValue="", nanValue="NaN", mode="PERMISSIVE")
+def read_scores(spark: SparkSession, path: str, schema: str, flags: tuple[str, ...] = (), malformed: str = "fail") -> DataFrame:
+    """Score tables as CSV: words for nothing become null, NaN too, and flags are read as written by any tool.
+
+    Rows that do not fit the schema stop the read; with "drop" they go, and with "mark" they
+    stay, with what was readable, their text in the column malformed_row.
+    """
+    mode = {"fail": "FAILFAST", "drop": "DROPMALFORMED", "mark": "PERMISSIVE"}[malformed]
+    reader = spark.read.option("columnNameOfCorruptRecord", "malformed_row")
+    df = reader.csv(path, header=True, schema=f"{schema}, malformed_row string" if malformed == "mark" else schema, nullValue="", nanValue="NaN", mode=mode, enforceSchema=True)
     for name, kind in df.dtypes:
+        if name == "malformed_row":
+            continue
         if kind == "string":
             df = df.withColumn(name, to_flag(F.col(name)) if name in flags else F.when(F.lower(F.trim(name)).isin(*MISSING), None).otherwise(F.col(name)))
         elif kind in ("double", "float"):
@@ -104,6 +113,50 @@ def read_scores(spark: SparkSession, path: str, schema: str, flags: tuple[str, .
     return df
 
 
+def discover_sessions(spark: SparkSession, root: str, rats: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """The open-field sessions below a folder, in order: session (Rat1/Open1), rat, number of files and bytes.
+
+    Only names and sizes are read. A session is a folder Open* in a folder Rat<number>.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    part = F.regexp_extract("path", r"/(Rat(\d+)/Open[^/]*)/[^/]+$", 1)
+    named = files.withColumn("session", part).where("session <> ''").withColumn("rat", F.split("session", "/")[0])
+    return named.where(F.col("rat").isin(*[f"Rat{r}" for r in rats])).groupBy("session", "rat").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).orderBy("session")
+
+
+def settings_text(settings: dict) -> str:
+    """A run's settings as YAML, keys in order; values are numbers, flags, texts, lists of those, or nested settings."""
+    def value(v) -> str:
+        if v is None:
+            return "null"
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        if isinstance(v, (list, tuple)):
+            return "[" + ", ".join(map(value, v)) + "]"
+        return json.dumps(v, ensure_ascii=False) if isinstance(v, str) else repr(v)
+
+    def lines(d: dict, depth: int):
+        for k in sorted(d):
+            if isinstance(d[k], dict) and d[k]:
+                yield "  " * depth + f"{k}:"
+                yield from lines(d[k], depth + 1)
+            else:
+                yield "  " * depth + f"{k}: {'{}' if isinstance(d[k], dict) else value(d[k])}"
+
+    return "\n".join(lines(settings, 0)) + "\n"
+
+
+def report_text(title: str, tables: dict[str, DataFrame], rows: int = 50) -> str:
+    """Small result tables as Markdown, each up to so many rows; a longer one says so."""
+    out = [f"# {title}", ""]
+    for name, df in tables.items():
+        found = df.limit(rows + 1).collect()
+        out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+        out += ["| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|") for v in r) + " |" for r in found[:rows]]
+        out += ["", f"First {rows} rows.", ""] if len(found) > rows else [""]
+    return "\n".join(out)
+
+
 def union_shards(shards: list[DataFrame], settings: list[str]) -> DataFrame:
     """All shards as one table; shards that were made under other settings are refused."""
     out = shards[0]

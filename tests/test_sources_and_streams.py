@@ -78,3 +78,28 @@ def test_causal_evidence_ends_at_the_whole_event(spark, tmp_path):
     e = lambda n: m.Event(ll[:n], m.centres_of(grid), np.ones(n - 1), 1.0, m.Motion(diffusion=12.0))
     assert [r.diffusion for r in rows] == pytest.approx([m.diffusion(e(n))[0] for n in range(1, 6)])
     assert [r.random for r in rows] == pytest.approx([m.random(e(n))[0] for n in range(1, 6)])
+
+
+def test_sessions_are_found(spark, tmp_path):
+    for name in ("Rat2/Open1/a.bin", "Rat1/Open2/a.bin", "Rat1/Open2/b.bin", "Rat9/Open1/a.bin", "Rat1/Linear/a.bin"):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"12345")
+    got = [(r.session, r.rat, r.files, r.bytes) for r in files.discover_sessions(spark, str(tmp_path)).collect()]
+    assert got == [("Rat1/Open2", "Rat1", 2, 10), ("Rat2/Open1", "Rat2", 1, 5)]
+
+
+def test_malformed_score_rows(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("session,event_index,log_evidence\na,1,-2.5\nb,x,nan\nc,3,\n")
+    shape = "session string, event_index long, log_evidence double"
+    assert len(files.read_scores(spark, str(tmp_path), shape, malformed="drop").collect()) == 2
+    marked = {r.session: r for r in files.read_scores(spark, str(tmp_path), shape, malformed="mark").collect()}
+    assert marked["b"].malformed_row and marked["a"].malformed_row is None and marked["c"].log_evidence is None
+    with pytest.raises(Exception):
+        files.read_scores(spark, str(tmp_path), shape).collect()
+
+
+def test_settings_and_reports_as_text(spark):
+    assert files.settings_text({"b": {"x": 1, "a": "é: #"}, "a": [True, None, 0.5], "c": {}}) == 'a: [true, null, 0.5]\nb:\n  a: "é: #"\n  x: 1\nc: {}\n'
+    text = files.report_text("Run", {"t": spark.createDataFrame([("a|b", 0.123456789), (None, 2.0)], "n string, v double")}, 1)
+    assert text.splitlines()[:6] == ["# Run", "", "## t", "", "| n | v |", "|---|---|"] and "a\\|b | 0.123457" in text and "First 1 rows." in text
