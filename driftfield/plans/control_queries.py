@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from ..functions import likelihood as lk
 from ..operators import controls as op
-from ..operators import models, regression, resampling, separable
+from ..operators import gates, models, regression, resampling, separable, synthetic
 from ..sources import relations as rel
 from .model_queries import _LL, DT, _clusterless, _emissions
 from .resampling_queries import _draw
@@ -133,3 +133,26 @@ def separable_evidence(spark, d):
     s = separable.score_settings(_emissions(spark, d), GRID, separable.Settings(still=(25.0, 100.0), diffusion=(4.0, 12.0), momentum=(1.0,), decay=(0.05, 0.5), initial=1.0), DT)
     m = regression.marginal_evidence(s, ["session", "event_index", "model"], "log_evidence")
     return m.select("session", "event_index", "model", "settings", _r("marginal_log_evidence", digits=5))
+
+
+@query()
+def synthetic_recovery(spark, d):
+    """How often events made from the derived maps are given back to the model that made them."""
+    made = ("random", "stationary", "state-space-diffusion")
+    pairs = synthetic.recovery(rates(spark, d), GRID, made, made, 50, 8, DT)
+    return gates.recovery(pairs).select("true_model", "events", _r("recovered", digits=4))
+
+
+@query()
+def scale_sweep(spark, d):
+    """Mean evidence of diffusion at three scales."""
+    s = synthetic.sweep(_emissions(spark, d), GRID, ["state-space-diffusion"], [{"diffusion": v} for v in (3.0, 12.0, 48.0)], models.Motion(), DT)
+    return s.groupBy("diffusion", "model").agg(F.count(F.lit(1)).alias("events"), _r(F.avg("log_evidence"), "mean_log_evidence", 4))
+
+
+@query(f"""with {rel.SCORES_SQL}, c as (select session, event_index, row_key, model, test_spikes::bigint as n, n_time * 0.5::double as dur, seed + 1.5::double as shape from scores)
+select session, event_index, row_key, model, round(coalesce(list_sum(list_transform(range(0, n), lambda x: ln(shape + x))), 0) - coalesce(list_sum(list_transform(range(2, n + 1), lambda x: ln(x::double))), 0) + shape * ln(0.7::double / (0.7::double + dur)) + n * ln(1.0::double - 0.7::double / (0.7::double + dur)), 5) + 0.0 as gamma_poisson from c""")
+def gamma_poisson_likelihood(spark, d):
+    """Counts under rates that are themselves drawn."""
+    s = rel.scores(spark, d).select("session", "event_index", "row_key", "model", F.col("test_spikes").cast("long").alias("n"), (F.col("n_time") * 0.5).alias("dur"), (F.col("seed") + 1.5).alias("shape"))
+    return s.select("session", "event_index", "row_key", "model", _r(lk.gamma_poisson(F.col("n"), F.col("shape"), F.lit(0.7), F.col("dur")), "gamma_poisson", 5))
