@@ -14,14 +14,19 @@ def decode_positions(position: DataFrame, spikes: DataFrame, grid: Grid, width:
     """One row per window: true and decoded places, their distance, and the true place's probability and rank.
 
     Time is cut into as many blocks as folds; a window is decoded with the rate map of all
-    other blocks' samples and spikes. Windows hold at least one sample.
+    other blocks' samples and spikes. A window that two blocks share is cut where they meet,
+    so that none is decoded with a map of its own samples. Windows hold at least one sample;
+    their number is that of the whole window times the folds, plus the fold.
     """
     ends = position.groupBy("session").agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
     block = F.least(F.lit(folds - 1), F.floor((F.col("t") - F.col("_a")) / (F.col("_b") - F.col("_a") + 1e-9) * folds).cast("int"))
     p = position.join(ends, "session").withColumn("fold", block).drop("_a", "_b")
     s = spikes.join(ends, "session").where((F.col("t") >= F.col("_a")) & (F.col("t") <= F.col("_b"))).withColumn("fold", block).drop("_a", "_b")
-    windows = p.groupBy("session", F.floor(F.col("t") / width).cast("long").alias("event_index")).agg(F.min("fold").alias("fold"), F.avg("x").alias("true_x"), F.avg("y").alias("true_y"))
-    windows = windows.withColumn("start", F.col("event_index") * width).withColumn("end", F.col("start") + width)
+    windows = p.groupBy("session", F.floor(F.col("t") / width).cast("long").alias("_w"), "fold").agg(F.avg("x").alias("true_x"), F.avg("y").alias("true_y")).join(ends, "session")
+    edge = lambda k: F.col("_a") + (F.col("_b") - F.col("_a") + 1e-9) / folds * k
+    low, high = F.when(F.col("fold") > 0, edge(F.col("fold"))), F.when(F.col("fold") < folds - 1, edge(F.col("fold") + 1))
+    windows = windows.withColumn("start", F.greatest(F.col("_w") * width, low)).withColumn("end", F.least((F.col("_w") + 1) * width, high))
+    windows = windows.withColumn("event_index", F.col("_w") * folds + F.col("fold")).drop("_w", "_a", "_b")
     parts = []
     for f in range(folds):
         rates = rate_map(p.where(F.col("fold") != f).drop("fold"), s.where(F.col("fold") != f).drop("fold"), grid)

@@ -35,16 +35,19 @@ def certified_recovery(best: DataFrame) -> DataFrame:
     return best.withColumn("recovered", exact | bound).withColumn("reason", reason)
 
 
-def quality_gates(evidence: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row per gate: the value, the limit, and pass or fail. A gate without a value gives info."""
+def quality_gates(evidence: DataFrame, limits: dict[str, tuple]) -> DataFrame:
+    """One row per gate: the value, the limit, and pass, warn or fail. A gate without a value gives info.
+
+    limits: gate -> (min or max, limit) or (min or max, limit, a laxer limit up to which a miss only warns).
+    """
     ok = ev.succeeded(F.col("status"))
     values = evidence.agg(
         F.avg(ok.cast("double")).alias("success_fraction"), F.avg(F.col("evidence_comparable").cast("double")).alias("comparable_fraction"),
         F.avg((F.col("n_time") < 2).cast("double")).alias("short_fraction"), F.avg("test_spikes").alias("mean_spikes"),
     )
-    rows = values.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).alias("value"), F.lit(way).alias("direction"), F.lit(float(limit)).alias("limit")) for g, (way, limit) in limits.items()])).alias("g")).select("g.*")
-    good = F.when(F.col("direction") == "min", F.col("value") >= F.col("limit")).otherwise(F.col("value") <= F.col("limit"))
-    return rows.withColumn("result", F.when(F.col("value").isNull(), "info").when(good, "pass").otherwise("fail"))
+    rows = values.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).alias("value"), F.lit(way).alias("direction"), F.lit(float(limit)).alias("limit"), F.lit(float(lax[0]) if lax else float(limit)).alias("_lax")) for g, (way, limit, *lax) in limits.items()])).alias("g")).select("g.*")
+    meets = lambda c: F.when(F.col("direction") == "min", F.col("value") >= F.col(c)).otherwise(F.col("value") <= F.col(c))
+    return rows.withColumn("result", F.when(F.col("value").isNull(), "info").when(meets("limit"), "pass").when(meets("_lax"), "warn").otherwise("fail")).drop("_lax")
 
 
 def sweep_aggregate(rows: DataFrame, settings: list[str], metrics: list[str]) -> DataFrame:

@@ -124,3 +124,10 @@ def margin_threshold(pairs: DataFrame, thresholds: list[float], max_false: float
     ok = (F.coalesce("false_positive_rate", F.lit(0.0)) <= max_false) & (F.coalesce("recall", F.lit(0.0)) >= min_recall)
     first = F.min(F.when(ok, F.col("threshold"))).over(Window.partitionBy())
     return rates.withColumn("selected", F.coalesce(F.col("threshold") == first, F.lit(False)))
+
+
+def chosen_threshold(rates: DataFrame) -> DataFrame:
+    """One row from margin_threshold's: the selected threshold, or where none meets the limits that of the fewest false positives, and why."""
+    rank = F.struct((~F.col("selected")).cast("int").alias("a"), F.coalesce("false_positive_rate", F.lit(0.0)).alias("b"), (-F.coalesce("recall", F.lit(0.0))).alias("c"), F.col("threshold"))
+    best = rates.agg(F.min_by(F.struct("threshold", "recall", "false_positive_rate", "selected"), rank).alias("r")).select("r.*")
+    return best.where("threshold is not null").withColumn("reason", F.when(F.col("selected"), "meets_limits").otherwise("no_threshold_meets_limits"))

@@ -59,3 +59,25 @@ def test_random_effects_match_sampling(spark):
 def test_digamma():
     x = np.array([0.5, 1.0, 2.0, 10.0])
     assert np.allclose(reports.digamma(x), [-1.9635100260214235, -0.5772156649015329, 0.42278433509846713, 2.251752589066721], atol=1e-9)
+
+
+def test_gates_warn_and_thresholds_fall_back(spark):
+    from driftfield.operators import gates, resampling
+
+    df = spark.createDataFrame([("success", True, 3, 5.0), ("success", False, 1, 4.0), ("failed", False, 3, None)], "status string, evidence_comparable boolean, n_time int, test_spikes double")
+    got = {r.gate: r.result for r in gates.quality_gates(df, {"success_fraction": ("min", 0.9, 0.6), "comparable_fraction": ("min", 0.9, 0.5), "short_fraction": ("max", 0.5), "mean_spikes": ("min", 4.0)}).collect()}
+    assert got == {"success_fraction": "warn", "comparable_fraction": "fail", "short_fraction": "pass", "mean_spikes": "pass"}
+    pairs = spark.createDataFrame([(5.0, True), (1.0, True), (3.0, False), (0.5, False)], "margin double, is_true boolean")
+    fits = resampling.chosen_threshold(resampling.margin_threshold(pairs, [0.0, 2.0, 4.0], 0.5, 0.5)).first()
+    assert (fits.threshold, fits.reason) == (2.0, "meets_limits")
+    none = resampling.chosen_threshold(resampling.margin_threshold(pairs, [0.0, 2.0], 0.1, 0.9)).first()
+    assert (none.threshold, none.false_positive_rate, none.reason) == (2.0, 0.5, "no_threshold_meets_limits")
+
+
+def test_calibration(spark):
+    from driftfield.operators import gates
+
+    rows = [("s", 0.5, 0.1), ("s", 0.25, 0.6), ("s", 0.0, 1.0), ("s", 1.0, 0.9)]
+    r = gates.calibration(spark.createDataFrame(rows, "session string, true_probability double, rank_fraction double")).first()
+    assert r.windows == 4 and r.mean_rank_fraction == pytest.approx(0.65) and (r.coverage_50, r.coverage_80, r.coverage_95) == (0.25, 0.5, 0.75)
+    assert r.mean_nll == pytest.approx(-np.log([0.5, 0.25, 1e-300, 1.0]).mean())
