@@ -172,22 +172,29 @@ def compare_runs(left: DataFrame, right: DataFrame, scope=EVENT) -> DataFrame:
     return a.join(b, [*scope, "model"], "full").withColumn("delta", F.col("right_log_evidence") - F.col("left_log_evidence"))
 
 
-def pareto_front(summary: DataFrame, objectives: dict[str, str]) -> DataFrame:
+def pareto_front(summary: DataFrame, objectives: dict[str, str], buckets: int = 64) -> DataFrame:
     """Rows that no other row beats: at least as good in all objectives and better in one.
 
-    A missing value is the worst. Settings that agree in all objectives are compared once;
-    the anti join runs over distinct settings, of which sweeps have few.
+    A missing value is the worst. Settings that agree in all objectives are compared once.
+    They are dealt into buckets, and only those that their own bucket does not beat, its
+    front, are held against all the other buckets' fronts; what beats a setting is itself
+    beaten by a member of some front, so that none is lost.
     """
     value = {c: F.coalesce(F.col(c) if way == "max" else -F.col(c), F.lit(float("-inf"))) for c, way in objectives.items()}
-    points = summary.select(*[v.alias(f"_{c}") for c, v in value.items()]).distinct()
-    a, b = points.alias("a"), points.alias("b")
-    no_worse, better = F.lit(True), F.lit(False)
-    for c in objectives:
-        no_worse = no_worse & (F.col(f"b._{c}") >= F.col(f"a._{c}"))
-        better = better | (F.col(f"b._{c}") > F.col(f"a._{c}"))
-    front = a.join(b, no_worse & better, "left_anti")
-    keyed = summary.select("*", *[v.alias(f"_{c}") for c, v in value.items()])
     names = [f"_{c}" for c in objectives]
+    points = summary.select(*[v.alias(f"_{c}") for c, v in value.items()]).distinct().withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
+
+    def unbeaten(rows: DataFrame, within: bool) -> DataFrame:
+        a, b = rows.alias("a"), rows.alias("b")
+        beats, better = F.lit(True), F.lit(False)
+        for n in names:
+            beats = beats & (F.col(f"b.{n}") >= F.col(f"a.{n}"))
+            better = better | (F.col(f"b.{n}") > F.col(f"a.{n}"))
+        on = beats & better & (F.col("a._bucket") == F.col("b._bucket") if within else F.col("a._bucket") != F.col("b._bucket"))
+        return a.join(b, on, "left_anti")
+
+    front = unbeaten(unbeaten(points, True), False).drop("_bucket")
+    keyed = summary.select("*", *[v.alias(f"_{c}") for c, v in value.items()])
     alive = F.lit(False)
     for c in objectives:
         alive = alive | ev.finite(F.col(c))

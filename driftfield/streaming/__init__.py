@@ -29,22 +29,27 @@ def runs(position: DataFrame, gap: str = "5 minutes", late: str = "10 minutes")
     return position.withWatermark("ts", late).groupBy("session", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("samples")).select("session", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "samples")
 
 
-def causal_evidence(emissions: DataFrame, grid: Grid, sigma: float, dt: float, truncate: float = 5.0) -> DataFrame:
+def causal_evidence(emissions: DataFrame, grid: Grid, sigma: float, dt: float, truncate: float = 5.0, idle_ms: int = 3_600_000) -> DataFrame:
     """Evidence of each event's bins so far, under diffusion and at random, as bins arrive.
 
     The state of an event is one distribution over places, two sums and the last bin; bins
-    must arrive in order within an event, and a bin at or before the last is left out.
+    must arrive in order within an event. A bin at or before the last comes too late to
+    count and is given without evidence. An event without new bins for `idle_ms` is over, and its state goes.
     """
     centres = centres_of(grid)
     move = gaussian(centres, centres, sigma * dt**0.5, truncate)
     b = len(centres)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         p, path, loose, last = state.get if state.exists else ([1.0 / b] * b, 0.0, 0.0, -1)
         p, out = np.array(p), []
         for rows in batches:
             for t, ll in rows.sort_values("t_idx")[["t_idx", "ll"]].itertuples(index=False):
                 if t <= last:
+                    out.append((*key, int(t), None, None))
                     continue
                 ll = np.array(ll, float)
                 top = ll.max()
@@ -54,7 +59,8 @@ def causal_evidence(emissions: DataFrame, grid: Grid, sigma: float, dt: float, t
                 p, last = p / p.sum(), int(t)
                 out.append((*key, last, path, loose))
         state.update((p.tolist(), path, loose, last))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session", "event_index", "t_idx", "diffusion", "random"])
 
     return emissions.groupBy("session", "event_index").applyInPandasWithState(
-        step, "session string, event_index long, t_idx int, diffusion double, random double", "p array<double>, path double, loose double, last int", "append", GroupStateTimeout.NoTimeout)
+        step, "session string, event_index long, t_idx int, diffusion double, random double", "p array<double>, path double, loose double, last int", "append", GroupStateTimeout.ProcessingTimeTimeout)
