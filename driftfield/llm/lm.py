@@ -520,7 +520,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     chunks = -(-size // CHUNK_BYTES) or 1
     # by the row's place in the input, so that repeated rows are dealt too
     chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
-    placed = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("chunk", chunk).repartition(chunks, "chunk")
+    # as many tasks as chunks; not fewer than other shuffles have, or Spark deals the texts anew to meet the answers
+    tasks = max(chunks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("chunk", chunk).repartition(tasks, "chunk")
     known = model.counts.mapInArrow(tidy(bundled_counts(model.plan)), MET)
     nodes = model.nodes.mapInArrow(tidy(bundled_nodes(model.plan)), MET)
     met = nodes.unionByName(known).unionByName(placed.mapInArrow(tidy(asks(model.plan)), MET)).repartition(model.plan.tasks, "task").sortWithinPartitions("task", "kind")
