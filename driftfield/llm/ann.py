@@ -23,9 +23,9 @@ NEAREST, ORDERINGS, DIMENSIONS, BITS = 20, 32, 12, 5
 SAMPLE, RECALL = 256, 0.94
 #: Positions of a block; blocks are small beside windows, so that queries meet little else.
 BLOCK = 256
-#: Queries whose best a task holds before it sends them, and places kept beyond the wanted
-#: ones until scores are added up in a fixed order.
-HELD, SPARE = 16_384, 12
+#: Pairs that a task holds before it sends the best of them, and places kept beyond the
+#: wanted ones until scores are added up in a fixed order.
+HELD, SPARE = 1 << 21, 12
 #: Every so-manieth vec_id is a query.
 EVERY = 20
 SEED = 7
@@ -117,14 +117,30 @@ def positions(vectors: DataFrame, spread: float, orderings: int) -> DataFrame:
     return inside.join(before, (F.col("ordering") == F.col("o")) & (F.col("task") == F.col("k"))).select("ordering", (F.col("r") + F.col("before")).cast("long").alias("pos"), "cls")
 
 
-def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to smaller ids, in order."""
-    if len(score) > k:
-        edge = np.partition(score, len(score) - k)[len(score) - k]
-        some = np.flatnonzero(score >= edge)
-    else:
-        some = np.arange(len(score))
-    return some[np.lexsort((ids[some], -score[some]))][:k]
+def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest scores of each row, ties to smaller ids, in no order."""
+    m, n = score.shape
+    if n <= k:
+        return np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
+    cols = np.argpartition(score, n - k, axis=1)[:, n - k :]
+    edge = np.take_along_axis(score, cols, 1).min(1)
+    for i in np.flatnonzero((score >= edge[:, None]).sum(1) > k):  # ties at the last place
+        some = np.flatnonzero(score[i] >= edge[i])
+        cols[i] = some[np.lexsort((ids[some], -score[i][some]))][:k]
+    return np.repeat(np.arange(m), k), cols.ravel()
+
+
+def leaders(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query, each candidate once, ties to smaller ids."""
+    order = np.lexsort((c, q))
+    q, c, s = q[order], c[order], s[order]
+    new = np.concatenate(([True], (q[1:] != q[:-1]) | (c[1:] != c[:-1])))[: len(q)]
+    q, c, s = q[new], c[new], s[new]
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))[: len(q)]
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate((first, [len(q)]))))
+    return q[rank < k], c[rank < k], s[rank < k]
 
 
 def inner_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -133,33 +149,30 @@ def inner_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _search(k: int):
     def run(batches):
-        """Rows come sorted by block, candidates first; a query's best are kept over a task's blocks."""
+        """Rows come sorted by block, candidates first; a task keeps the best of its blocks and sends them when they are many."""
         block, cand_ids, cand, mat = None, [], [], None
-        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
 
         def search(qids, qv):
-            nonlocal mat
+            nonlocal mat, held
             if not cand:
                 return
             if mat is None:
                 mat = (np.concatenate(cand_ids), np.concatenate(cand))
             ids, rows = mat
             s = inner_products(qv, rows)
-            for i, q in enumerate(qids):
-                top = best(s[i], ids, k)
-                got = (ids[top], s[i][top])
-                if q in found:
-                    both = np.unique(np.concatenate((found[q][0], got[0])), return_index=True)
-                    sc = np.concatenate((found[q][1], got[1]))[both[1]]
-                    keep = best(sc, both[0], k)
-                    got = (both[0][keep], sc[keep])
-                found[q] = got
+            row, col = best(s, ids, k)
+            found.append((qids[row], ids[col], s[row, col]))
+            held += len(row)
 
         def send():
+            nonlocal held
             if found:
-                sizes = [len(c) for c, _ in found.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(found), np.int64), sizes)), *(pa.array(np.concatenate(x)) for x in zip(*found.values()))], ["qcls", "cls", "score"])
+                q, c, s = leaders(*(np.concatenate(x) for x in zip(*found)), k)
                 found.clear()
+                held = 0
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], ["qcls", "cls", "score"])
 
         for b in batches:
             key = np.array(b.column("block").to_pylist(), np.int64)
@@ -171,9 +184,9 @@ def _search(k: int):
                     block, cand_ids, cand, mat = key[lo], [], [], None
                 if is_query[lo]:
                     for at in range(lo, hi, 256):
-                        search(ids[at : min(hi, at + 256)].tolist(), v[at : min(hi, at + 256)])
-                    if len(found) > HELD:
-                        yield from send()
+                        search(ids[at : min(hi, at + 256)], v[at : min(hi, at + 256)])
+                        if held > HELD:
+                            yield from send()
                 else:
                     cand_ids.append(ids[lo:hi])
                     cand.append(v[lo:hi])
@@ -185,7 +198,7 @@ def _search(k: int):
 def search_blocks(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best classes of each query class among the blocks it meets: qcls, cls, score.
 
-    blocks: block, cls, v. queries: block, cls, v. A task sends k rows of a query at most.
+    blocks: block, cls, v. queries: block, cls, v. A task sends k rows of a query, each time that it holds many.
     """
     rows = blocks.select("block", F.lit(0).alias("role"), F.col("cls").alias("id"), "v").unionByName(queries.select("block", F.lit(1).alias("role"), F.col("cls").alias("id"), "v"))
     met = rows.repartition("block").sortWithinPartitions("block", "role")

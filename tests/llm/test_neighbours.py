@@ -55,6 +55,21 @@ def test_many_copies_of_one_vector(spark):
     assert got == brute(np.array([i for i, _ in rows]), x)
 
 
+def test_best_of_blocks_with_ties():
+    rng = np.random.default_rng(0)
+    score, ids = rng.integers(0, 4, (30, 50)).astype(float), rng.permutation(50)
+    row, col = ann.best(score, ids, 7)
+    for i in range(30):
+        want = np.lexsort((ids, -score[i]))[:7]
+        assert sorted(ids[col[row == i]]) == sorted(ids[want])
+    q, c = rng.integers(0, 5, 400), rng.integers(0, 60, 400)
+    s = (c * 7 % 11).astype(float)
+    got = list(zip(*ann.leaders(q, c, s, 9)))
+    for i in range(5):
+        mine = sorted({(-(x * 7 % 11), x) for x in c[q == i].tolist()})[:9]
+        assert [(-b, int(a)) for k, a, b in got if k == i] == [(m, x) for m, x in mine]
+
+
 @pytest.mark.parametrize("dims,bits", [(1, 4), (2, 3), (3, 2)])
 def test_hilbert_is_a_continuous_bijection(dims, bits):
     side = 1 << bits
