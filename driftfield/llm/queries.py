@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, lm, neardup, packing, quality, sharding, tokencount, toxicity, warc
+from . import ann, bpe, lm, neardup, packing, quality, sharding, spelling, tokencount, toxicity, warc
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, root and near words of every word of documents. As the operator says of odd rows."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -79,9 +84,16 @@ def _tree_sql(tree: sharding.Node, at: str) -> str:
 
 
 #: CRC-32 by table: the table from its rule, then one step a byte of the UTF-8 text.
-_CRC_SQL = """crc_table as (select list(v order by i) as tab from (select i, list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as v from range(256) as r(i))),
+_CRC_TABLE_SQL = "crc_table as (select list(v order by i) as tab from (select i, list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as v from range(256) as r(i)))"
+
+
+def _crc_sql(text: str) -> str:
+    return f"xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])))"
+
+
+_CRC_SQL = f"""{_CRC_TABLE_SQL},
 texts as (select distinct text from documents),
-crcs as (select text, xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], list_transform(range(octet_length(encode(coalesce(text, '')))), lambda i: ('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1]))) as text_crc32 from texts, crc_table)"""
+crcs as (select text, {_crc_sql("coalesce(text, '')")} as text_crc32 from texts, crc_table)"""
 
 
 def _op7_sql() -> str:
@@ -97,6 +109,22 @@ r as (select q.*, case when w.first is not null and q.page_id is distinct from w
 select page_id, payload_bytes, payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to, coalesce(nullif(url, ''), 'urn:page:' || page_id) as target_uri, case when refers_to is null then payload_bytes else 0 end as stored_bytes from r"""
 
 
+_OP11_SQL = f"""with recursive {_CRC_TABLE_SQL},
+found as (select coalesce(doc_id::varchar, 'null') as id, unnest(regexp_extract_all(text, '[{spelling.LETTERS}]{{{spelling.LEAST_LENGTH},}}')) as run from documents),
+runs as (select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as c from found group by all),
+dealt as (select run, c, {_crc_sql("id || ':' || run")} as h from runs, crc_table),
+words as (select case when h % {spelling.EVERY} = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, sum(c)::bigint as n from dealt group by 1),
+w as (select word, n from words where length(word) >= {spelling.LEAST_LENGTH} and n >= {spelling.LEAST_COUNT}),
+gaps as (select word, n, unnest(range(1, length(word) + 1)) as gap from w),
+e as (select word, n, gap, substr(word, 1, gap::int - 1) || substr(word, gap::int + 1) as rest from gaps),
+cut as (select distinct e.word as long, w.word as short from e join w on w.word = e.rest),
+near as (select a.word, b.word as other from e a join e b on a.rest = b.rest and a.gap = b.gap and a.word <> b.word union all select long, short from cut union all select short, long from cut),
+ranked as (select near.word, near.other, w.n as other_n, count(*) over (partition by near.word) as n_near, row_number() over (partition by near.word order by w.n desc, near.other) as r from near join w on w.word = near.other),
+forms as (select w.word, w.n, coalesce(r.n_near, 0)::bigint as n_near, case when r.other_n >= {spelling.RATIO} * w.n then r.other end as form, case when r.other_n >= {spelling.RATIO} * w.n then r.other_n end as form_n from w left join ranked r on r.word = w.word and r.r = 1),
+way as (select word, word as at from forms union all select way.word, forms.form from way join forms on forms.word = way.at where forms.form is not null)
+select f.word, f.form, way.at as root, f.n, f.n_near, f.form_n from forms f join way on way.word = f.word join forms l on l.word = way.at and l.form is null"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the same; the other operators are tested by brute force."""
-    return {"op7_hash_tree_shards": _op7_sql(), "op8_dictionary_warc": _OP8_SQL}
+    return {"op7_hash_tree_shards": _op7_sql(), "op8_dictionary_warc": _OP8_SQL, "op11_spelling_variants": _OP11_SQL}
