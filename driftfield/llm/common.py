@@ -49,6 +49,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Equal rows that one array of numbers spells out, at most.
+SPELLED = 1 << 16
+
+
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column `times` says, without that column."""
+    part = df.withColumn("_part", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {SPELLED})")))
+    each = part.withColumn("_each", F.explode(F.expr(f"sequence(1L, least({SPELLED}L, {times} - _part * {SPELLED}))")))
+    return each.drop(times, "_part", "_each")
+
+
 #: A key is hot if it holds more than one in so many rows; there are fewer hot keys than that.
 HOT = 256
 
@@ -122,10 +133,6 @@ def _cell_of(order: list[str], n: int):
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(n)).cast("int")
 
 
-#: Equal rows that one task spells out again, at most.
-SPELLED = 1 << 16
-
-
 def slots(df: DataFrame, group: str, order: list[str], out: str, per_cell: int = 4096) -> DataFrame:
     """Adds `out`: a gapless number from 0 within each value of `group`, which is not null.
 

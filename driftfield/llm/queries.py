@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, lm, neardup, packing, quality, sharding, spelling, tokencount, toxicity, warc
+from . import ann, bpe, fingerprints, lm, neardup, negatives, packing, quality, sharding, spelling, tokencount, toxicity, warc
 from .common import table
 
 
@@ -67,6 +67,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text. As the operator says of odd rows."""
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor of embeddings and its positives. As the operator says of odd rows."""
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -125,6 +135,15 @@ way as (select word, word as at from forms union all select way.word, forms.form
 select f.word, f.form, way.at as root, f.n, f.n_near, f.form_n from forms f join way on way.word = f.word join forms l on l.word = way.at and l.form is null"""
 
 
+_OP13_SQL = f"""with r as (select row_number() over () as rid, vec_id, case when vec_id % {negatives.MOVED} = 0 then (label + 1) % {negatives.LABELS} else label end as label, list_transform(embedding, lambda x: floor({negatives.SCALE} * x::double)) as v
+from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.rid as anchor, a.vec_id as anchor_id, b.rid as other, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from r a join r b on a.rid <> b.rid where a.vec_id % {negatives.ANCHORS} = 0),
+p as (select * from (select *, row_number() over (partition by anchor order by score desc, other_id, other) as k from s where same) where k <= {negatives.POSITIVES}),
+n as (select p.anchor_id, p.other_id as positive_id, p.score as positive_score, s.other_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor, p.other order by s.score desc, s.other_id, s.other) as rank
+from p join s on s.anchor = p.anchor and not s.same where {negatives.LOW} * p.score <= 100 * s.score and 100 * s.score <= {negatives.HIGH} * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= {negatives.NEGATIVES}"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the same; the other operators are tested by brute force."""
-    return {"op7_hash_tree_shards": _op7_sql(), "op8_dictionary_warc": _OP8_SQL, "op11_spelling_variants": _OP11_SQL}
+    return {"op7_hash_tree_shards": _op7_sql(), "op8_dictionary_warc": _OP8_SQL, "op11_spelling_variants": _OP11_SQL, "op13_voronoi_negatives": _OP13_SQL}
