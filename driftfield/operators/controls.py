@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .models import Motion, emissions, score_events, summed_emissions
+from .chains import scored
+from .models import Motion, emissions, summed_emissions
 from .resampling import draw
 from .tracks import Grid, event_spikes
 
@@ -103,7 +104,7 @@ def heldout_scores(spikes: DataFrame, events: DataFrame, rates: DataFrame, split
     name = F.concat_ws("|", "session", "split_seed")
     seeds = splits.select("session", "split_seed").distinct()
     some = emissions(spikes.join(train, ["session", "cell_id"]).withColumn("session", name), events.join(seeds, "session").withColumn("session", name), rates.join(train, ["session", "cell_id"]).withColumn("session", name), grid, dt)
-    part = score_events(some, grid, models, motion, dt).select(F.split("session", "\\|")[0].alias("session"), F.split("session", "\\|")[1].cast("int").alias("split_seed"), "event_index", "model", F.col("log_evidence").alias("train_log_likelihood"), F.col("n_spikes").alias("train_spikes"), "evidence_support")
-    full = score_events(emissions(spikes, events, rates, grid, dt), grid, models, motion, dt).select("session", "event_index", "model", F.col("log_evidence").alias("joint_log_likelihood"), F.col("n_spikes").alias("all_spikes"))
+    part = scored(some, grid, models, motion, dt).select(F.split("session", "\\|")[0].alias("session"), F.split("session", "\\|")[1].cast("int").alias("split_seed"), "event_index", "model", F.col("log_evidence").alias("train_log_likelihood"), F.col("n_spikes").alias("train_spikes"), "evidence_support")
+    full = scored(emissions(spikes, events, rates, grid, dt), grid, models, motion, dt).select("session", "event_index", "model", F.col("log_evidence").alias("joint_log_likelihood"), F.col("n_spikes").alias("all_spikes"))
     both = part.join(full, ["session", "event_index", "model"])
     return both.withColumn("heldout_log_likelihood", F.col("joint_log_likelihood") - F.col("train_log_likelihood")).withColumn("test_spikes", F.col("all_spikes") - F.col("train_spikes"))

@@ -59,13 +59,14 @@ def matched_null_windows(events: DataFrame, spikes: DataFrame, keep: int, draws:
     start = F.col("_low") + draw("null", F.col("session"), F.col("event_index"), F.col("draw")) * F.greatest(F.lit(0.0), F.col("_high") - F.col("_low") - F.col("_dur"))
     drawn = drawn.select("session", "event_index", "draw", start.alias("start"), (start + F.col("_dur")).alias("end"))
     taken = events.select(F.col("session").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"), _cells(F.col("start"), F.col("end")).alias("_c"))
-    touched = drawn.withColumn("_cell", _cells(F.col("start"), F.col("end"))).join(taken, (F.col("session") == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (F.col("start") < F.col("_b")) & (F.col("end") > F.col("_a")), "left_semi").select("event_index", "draw").distinct()
-    free = drawn.join(touched, ["event_index", "draw"], "left_anti")
-    named = free.withColumn("_of", F.col("event_index")).withColumn("event_index", F.col("event_index") * draws + F.col("draw"))
-    n = event_spikes(spikes, named.select("session", "event_index", "start", "end")).groupBy("event_index").agg(F.count(F.lit(1)).alias("null_spikes"))
-    m = event_spikes(spikes, events).groupBy("event_index").agg(F.count(F.lit(1)).alias("n_spikes"))
-    both = named.join(n, "event_index", "left").select("session", F.col("_of").alias("event_index"), "draw", "start", "end", F.coalesce("null_spikes", F.lit(0)).alias("null_spikes"))
-    both = both.join(m, "event_index", "left").withColumn("n_spikes", F.coalesce("n_spikes", F.lit(0)))
+    touched = drawn.withColumn("_cell", _cells(F.col("start"), F.col("end"))).join(taken, (F.col("session") == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (F.col("start") < F.col("_b")) & (F.col("end") > F.col("_a")), "left_semi").select("session", "event_index", "draw").distinct()
+    free = drawn.join(touched, ["session", "event_index", "draw"], "left_anti")
+    # events are numbered within their session
+    named = free.withColumn("event_index", F.struct("event_index", "draw"))
+    n = event_spikes(spikes, named.select("session", "event_index", "start", "end")).groupBy("session", "event_index").agg(F.count(F.lit(1)).alias("null_spikes")).select("session", "event_index.*", "null_spikes")
+    m = event_spikes(spikes, events).groupBy("session", "event_index").agg(F.count(F.lit(1)).alias("n_spikes"))
+    both = free.join(n, ["session", "event_index", "draw"], "left").select("session", "event_index", "draw", "start", "end", F.coalesce("null_spikes", F.lit(0)).alias("null_spikes"))
+    both = both.join(m, ["session", "event_index"], "left").withColumn("n_spikes", F.coalesce("n_spikes", F.lit(0)))
     w = Window.partitionBy("session", "event_index").orderBy(F.abs(F.col("n_spikes") - F.col("null_spikes")), "draw")
     return both.withColumn("match", F.row_number().over(w)).where(F.col("match") <= keep)
 

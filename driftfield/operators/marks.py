@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.likelihood import log_factorial
+from ..functions.likelihood import TINY, log_factorial
 from .tracks import Grid, event_bins, event_spikes
 
 
@@ -53,3 +54,117 @@ def clusterless_emissions(marks: DataFrame, events: DataFrame, statistics: DataF
     n = F.coalesce("n", F.lit(0))
     ll = (F.coalesce("s", F.lit(0.0)) - F.col("rate_hz") * F.col("bin_dur") + n * F.log("bin_dur") - log_factorial(n)) / temperature
     return full.select("session", "event_index", "t_idx", "bin_id", "bin_dur", n.cast("long").alias("n_spikes"), ll.alias("ll"))
+
+
+@dataclass(frozen=True)
+class Kernels:
+    """Kernel densities of marks: how many marks stand for a place, how they are weighed, and how wide kernels are."""
+
+    #: Marks of a place, the nearest ones by places.
+    neighbours: int = 256
+    #: Width of the weights over places, in places; 0 takes the place's own marks.
+    spatial_sigma: float = 1.0
+    #: Weight that all of a place's marks share evenly.
+    prior_count: float = 1.0
+    variance_floor: float = 1.0
+    #: Of every feature; otherwise by the number of marks and their spread.
+    bandwidth: float | None = None
+    #: Beyond so many bandwidths a kernel stays at the height that it has there.
+    reach: float = 6.0
+    #: Features by which marks meet in cells; the others only enter the distance.
+    hashed: int = 3
+    #: Places that are looked through around each one before all are.
+    near: int = 6
+
+
+#: The group that stands for all marks of a session; marks of groups unseen in training count there.
+WHOLE = -1
+
+
+def with_whole(rows: DataFrame, group: str) -> DataFrame:
+    """Rows, and each again as one of the whole session."""
+    return rows.withColumn(group, F.explode(F.array(F.col(group).cast("long"), F.lit(WHOLE).cast("long"))))
+
+
+def kernel_bandwidths(marks: DataFrame, features: list[str], keys: list[str], kernels: Kernels = Kernels()) -> DataFrame:
+    """The kernels' variance of each feature, from the marks' number and spread: keys, n and `var_` columns."""
+    scale = F.pow(F.count(F.lit(1)).cast("double"), F.lit(-2.0 / (len(features) + 4)))
+    spread = lambda c: F.lit(float(kernels.bandwidth or 0) ** 2) if kernels.bandwidth else F.greatest(F.var_pop(c), F.lit(kernels.variance_floor)) * scale
+    return marks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.greatest(spread(c), F.lit(kernels.variance_floor)).alias(f"var_{c}") for c in features])
+
+
+def kernel_support(marks: DataFrame, grid: Grid, features: list[str], keys: list[str], kernels: Kernels = Kernels()) -> DataFrame:
+    """keys, bin_id, features and log_w: the marks that stand for each place, with weights that add up to 1.
+
+    marks: rows with x, y, the features and mark_id. A place has the `neighbours` marks
+    nearest to it by places; ties go to the smaller place, then to the smaller mark_id.
+    Places meet the counts of marks by place, not the marks: of those within `near` places,
+    and of all only where these do not hold enough. So a group of any size meets at most
+    places x neighbours of its marks.
+    """
+    m = marks.withColumn("_at", grid.bin(F.col("x"), F.col("y"))).where("_at >= 0")
+    own = Window.partitionBy(*keys, "_at").orderBy("mark_id")
+    numbered = m.withColumn("_i", F.row_number().over(own)).where(F.col("_i") <= kernels.neighbours).select(*keys, "_at", "_i", *features)
+    counts = m.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*keys).agg(F.least(F.sum("n"), F.lit(kernels.neighbours)).alias("_k"))
+    ring = [(dx, dy) for dx in range(-kernels.near, kernels.near + 1) for dy in range(-kernels.near, kernels.near + 1) if dx * dx + dy * dy <= kernels.near**2]
+    ix, iy = F.floor(F.col("_at") / grid.ny).cast("int"), F.col("_at") % grid.ny
+    moves = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ring]))
+    around = counts.withColumn("_m", moves).withColumn("_px", ix + F.col("_m.dx")).withColumn("_py", iy + F.col("_m.dy"))
+    around = around.where(F.col("_px").between(0, grid.nx - 1) & F.col("_py").between(0, grid.ny - 1))
+    around = around.select(*keys, (F.col("_px") * grid.ny + F.col("_py")).cast("int").alias("bin_id"), "_at", "n", (F.col("_m.dx") * F.col("_m.dx") + F.col("_m.dy") * F.col("_m.dy")).alias("_d2"))
+    places = totals.withColumn("bin_id", F.explode(F.sequence(F.lit(0), F.lit(grid.nx * grid.ny - 1))))
+    enough = around.groupBy(*keys, "bin_id").agg(F.sum("n").alias("_held"))
+    places = places.join(enough, [*keys, "bin_id"], "left").withColumn("_whole", F.coalesce("_held", F.lit(0)) < F.col("_k"))
+    dx, dy = ix - F.floor(F.col("bin_id") / grid.ny).cast("int"), iy - F.col("bin_id") % grid.ny
+    far = places.where("_whole").select(*keys, "bin_id", "_k").join(counts, keys).withColumn("_d2", dx * dx + dy * dy)
+    met = around.join(places.where("not _whole").select(*keys, "bin_id", "_k"), [*keys, "bin_id"]).unionByName(far)
+    of = Window.partitionBy(*keys, "bin_id")
+    before = F.coalesce(F.sum("n").over(of.orderBy("_d2", "_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = met.withColumn("_take", F.least(F.col("n"), F.col("_k") - before)).where("_take > 0")
+    s2 = kernels.spatial_sigma**2
+    height = F.exp(-0.5 * F.col("_d2") / s2) if s2 > 0 else (F.col("_d2") == 0).cast("double")
+    taken = taken.withColumn("_w", height + F.lit(kernels.prior_count) / F.col("_k")).withColumn("_sum", F.sum(F.col("_take") * F.col("_w")).over(of))
+    weight = F.when(F.col("_sum") > TINY, F.log(F.greatest(F.col("_w"), F.lit(TINY))) - F.log("_sum")).otherwise(-F.log(F.col("_k").cast("double")))
+    taken = taken.withColumn("log_w", F.when((F.col("_w") <= 0) & (F.col("_sum") > TINY), float("-inf")).otherwise(weight))
+    return taken.join(numbered, [*keys, "_at"]).where(F.col("_i") <= F.col("_take")).select(*keys, "bin_id", *features, "log_w")
+
+
+def kernel_emissions(marks: DataFrame, events: DataFrame, support: DataFrame, bandwidths: DataFrame, rates: DataFrame, features: list[str], group: str, dt: float, kernels: Kernels = Kernels(), temperature: float = 1.0) -> DataFrame:
+    """Log likelihoods as rows, as `clusterless_emissions` gives them, with kernel densities by group of marks.
+
+    marks: session, t, mark_id, the group and features. support, bandwidths and rates are of
+    groups (long) and of the WHOLE session, which stands for groups that training never saw.
+    Spikes meet the support in cells of a kernel's reach in feature space and the cells beside them, never a whole group;
+    what lies beyond the reach counts as if it lay there. Rates and floors enter by counts of spikes.
+    """
+    hashed, by = features[: kernels.hashed], ["session", "event_index", "t_idx"]
+    bins = event_bins(events, dt).select(*by, "bin_dur")
+    norms = bandwidths.select("session", F.col(group), *[f"var_{c}" for c in features])
+    spiking = event_spikes(marks, events).withColumn("t_idx", F.floor((F.col("t") - F.col("start")) / dt).cast("int")).select(*by, "mark_id", F.coalesce(F.col(group).cast("long"), F.lit(WHOLE)).alias(group), *features)
+    known = norms.select("session", group, F.lit(True).alias("_known"))
+    spiking = spiking.join(known, ["session", group], "left").withColumn(group, F.when(F.col("_known"), F.col(group)).otherwise(F.lit(WHOLE).cast("long"))).drop("_known")
+    cell = lambda c: F.floor(F.col(c) / (F.sqrt(f"var_{c}") * kernels.reach)).cast("long")
+    held = support.join(norms, ["session", group])
+    for i, c in enumerate(hashed):
+        held = held.withColumn(f"_c{i}", cell(c))
+    held = held.select("session", group, "bin_id", "log_w", *[F.col(c).alias(f"_{c}") for c in features], *[f"_c{i}" for i in range(len(hashed))])
+    asked = spiking.join(norms, ["session", group])
+    for i, c in enumerate(hashed):
+        asked = asked.withColumn(f"_c{i}", F.explode(F.array(*[cell(c) + k for k in (-1, 0, 1)])))
+    quad = sum(((F.col(c) - F.col(f"_{c}")) ** 2 / F.col(f"var_{c}") for c in features), F.lit(0.0))
+    near = asked.join(held, ["session", group, *[f"_c{i}" for i in range(len(hashed))]]).withColumn("_q", quad).where(F.col("_q") <= kernels.reach**2)
+    low = -0.5 * kernels.reach**2
+    each = near.groupBy(*by, "mark_id", "bin_id").agg(F.sum(F.exp(F.col("log_w") - 0.5 * F.col("_q"))).alias("s"), F.sum(F.exp("log_w")).alias("w"))
+    gain = F.log(F.col("s") + math.exp(low) * F.greatest(1 - F.col("w"), F.lit(0.0))) - low
+    gained = each.groupBy(*by, "bin_id").agg(F.sum(gain).alias("gain"))
+    counted = spiking.groupBy(*by, group).agg(F.count(F.lit(1)).alias("n"))
+    norm = sum((F.log(F.col(f"var_{c}")) + math.log(2 * math.pi) for c in features), F.lit(0.0))
+    floors = counted.join(norms, ["session", group]).groupBy(*by).agg(F.sum(F.col("n") * (low - 0.5 * norm)).alias("floor"), F.sum("n").alias("n"))
+    rated = counted.join(rates, ["session", group]).groupBy(*by, "bin_id").agg(F.sum(F.col("n") * F.log("rate_hz")).alias("rated"))
+    whole = rates.where(F.col(group) == WHOLE).select("session", "bin_id", "rate_hz")
+    full = bins.join(whole, "session").join(floors, by, "left").join(rated, [*by, "bin_id"], "left").join(gained, [*by, "bin_id"], "left")
+    n = F.coalesce("n", F.lit(0))
+    parts = [F.coalesce(c, F.lit(0.0)) for c in ("floor", "rated", "gain")]
+    ll = (parts[0] + parts[1] + parts[2] - F.col("rate_hz") * F.col("bin_dur") + n * F.log("bin_dur") - log_factorial(n)) / temperature
+    return full.select(*by, "bin_id", "bin_dur", n.cast("long").alias("n_spikes"), ll.alias("ll"))

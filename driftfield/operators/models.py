@@ -32,7 +32,17 @@ class Motion:
     switch_tau: float = 0.0
     truncate: float = 5.0
     goal_speed: float = 4.0
-    top_k: int = 16
+    #: Places of a bin that pruned models keep.
+    top_k: int = 128
+    #: Of candidate models: the likeliest places of a bin, widths by bin (whatever its length), decay and chance to stay in a mode.
+    candidate_k: int = 64
+    candidate_still: float = 2.0
+    candidate_width: float = 12.0
+    candidate_decay: float = 0.95
+    candidate_stickiness: float = 0.94
+    #: Speed along routes, and the width round their targets.
+    route_speed: float = 400.0
+    route_width: float = 85.0
     #: The longest displacement between bins that pair models hold, in places along an axis.
     reach: int = 10
     #: Chance of staying in a step of a walk on the grid.
@@ -54,6 +64,8 @@ class Event:
     made: dict | None = None
     #: What kernels found for this event, for those that are made of others.
     done: dict | None = None
+    #: Places of each bin that pruned models keep, where they were chosen before.
+    support: tuple | None = None
 
     def keep(self, key: tuple, make: Callable[[], np.ndarray]) -> np.ndarray:
         """Made once a task; all is dropped before the whole grows beyond MADE bytes."""
@@ -78,7 +90,14 @@ class Event:
     def reverse(self) -> Event:
         """The same bins the other way round; what kernels find there is kept too."""
         back = None if self.done is None else self.done.setdefault("reverse", {})
-        return Event(self.ll[::-1], self.centres, self.steps[::-1], self.dt, self.motion, self.goals, self.transitions, self.made, back)
+        return Event(self.ll[::-1], self.centres, self.steps[::-1], self.dt, self.motion, self.goals, self.transitions, self.made, back, self.support and self.support[::-1])
+
+    def likeliest(self, k: int) -> list[np.ndarray]:
+        """The places of each bin that are kept: those chosen before, or the k likeliest, ties to smaller ones; none where k is 0 means all."""
+        if self.support is not None:
+            return [np.asarray(x, np.int64) for x in self.support]
+        k = min(k, self.ll.shape[1]) if k > 0 else self.ll.shape[1]
+        return list(np.argsort(-self.ll, 1, kind="stable")[:, :k])
 
     def places(self) -> tuple[np.ndarray, float]:
         """Whole coordinates of the places on their lattice, and its unit."""
@@ -130,15 +149,21 @@ def forward(ll: np.ndarray, start: np.ndarray, step: Callable[[int, np.ndarray],
     return total, np.array(out)
 
 
+def law_of(logs: np.ndarray) -> np.ndarray:
+    """Each row as a law of places, the even one where no place is possible."""
+    whole = lse(logs, 1)[:, None]
+    return np.exp(np.where(np.isfinite(whole), logs - np.where(np.isfinite(whole), whole, 0), -np.log(logs.shape[1])))
+
+
 def random(e: Event):
-    """Every bin anywhere, at even odds: no memory."""
-    return float((lse(e.ll, 1) - np.log(e.ll.shape[1])).sum()), np.exp(e.ll - lse(e.ll, 1)[:, None])
+    """Every bin anywhere, at even odds: no memory. A bin without a possible place leaves no evidence and the even law."""
+    return float((lse(e.ll, 1) - np.log(e.ll.shape[1])).sum()), law_of(e.ll)
 
 
 def stationary(e: Event):
-    """One unknown place throughout."""
+    """One unknown place throughout; the even law from the bin on at which none is left."""
     s = np.cumsum(e.ll, 0)
-    return float(lse(s[-1]) - np.log(e.ll.shape[1])), np.exp(s - lse(s, 1)[:, None])
+    return float(lse(s[-1]) - np.log(e.ll.shape[1])), law_of(s)
 
 
 def _even(e: Event) -> np.ndarray:
@@ -292,10 +317,9 @@ def pruned(kernel):
     def run(e: Event):
         if len(e.ll) == 1:
             return random(e)
-        k = min(e.motion.top_k, e.ll.shape[1])
-        order = np.argsort(-e.ll, 1, kind="stable")[:, :k]  # ties go to the smaller place, so that k stay
         kept = np.full_like(e.ll, -np.inf)
-        np.put_along_axis(kept, order, np.take_along_axis(e.ll, order, 1), 1)
+        for t, places in enumerate(e.likeliest(e.motion.top_k)):
+            kept[t, places] = e.ll[t, places]
         return kernel(Event(kept, e.centres, e.steps, e.dt, e.motion, e.goals, e.transitions, e.made))
     return run
 
@@ -357,6 +381,82 @@ def trajectory_imm(e: Event, stay: float | None = None, start: float = 0.25, ent
     return total, np.array(out)
 
 
+def candidate_pairs(modes: tuple[str, ...]):
+    """A candidate model: pairs of the likeliest places of two bins in a row, under one kind of motion or several that switch.
+
+    Laws are normalised over all places, so the evidence is a lower bound; widths are those
+    of a bin, whatever its length. Every mode holds pairs, also those that forget the place before.
+    """
+    def run(e: Event):
+        if len(e.ll) == 1:
+            return random(e)
+        m, b, n, at = e.motion, e.ll.shape[1], len(modes), e.likeliest(e.motion.candidate_k)
+        change = np.full((n, n), (1 - m.candidate_stickiness) / max(n - 1, 1))
+        np.fill_diagonal(change, m.candidate_stickiness if n > 1 else 1.0)
+        width = {"stationary": m.candidate_still, "diffusion": m.candidate_width, "momentum": m.candidate_width}
+
+        def law(points: np.ndarray, to: np.ndarray, sigma: float) -> np.ndarray:
+            logs = -0.5 * ((points[..., None, :] - e.centres) ** 2).sum(-1) / sigma**2
+            return np.exp(logs[..., to] - lse(logs, -1)[..., None])
+
+        def go(mode: str, p: np.ndarray | None, t: int) -> np.ndarray:
+            """Pairs (bin t - 1, bin t) from pairs (bin t - 2, bin t - 1), or from even odds at the outset."""
+            now = e.centres[at[t - 1]]
+            sums = np.full(len(now), 1 / b) * np.exp(e.ll[0, at[0]] - tops[0]) if p is None else p.sum(0)
+            if mode == "jump":
+                return np.repeat(sums[:, None] / b, len(at[t]), 1)
+            if mode != "momentum" or p is None:
+                return sums[:, None] * law(now, at[t], width[mode])
+            ahead = now[None] + m.candidate_decay * (now[None] - e.centres[at[t - 2]][:, None])
+            return np.einsum("ij,ijl->jl", p, law(ahead, at[t], width[mode]))
+
+        tops = np.array([e.ll[t, at[t]].max() if len(at[t]) else -np.inf for t in range(len(e.ll))])
+        none = float("-inf"), np.full_like(e.ll, 1 / b)
+        if not np.isfinite(tops).all():
+            return none
+        total, p, out = float(tops[0]), None, np.zeros_like(e.ll)
+        for t in range(1, len(e.ll)):
+            before = [None] * n if p is None else np.einsum("dm,mij->dij", change, p)
+            p = np.stack([go(mode, before[i], t) for i, mode in enumerate(modes)]) * np.exp(e.ll[t, at[t]] - tops[t]) / (n if t == 1 else 1)
+            mass = p.sum()
+            if mass <= 0:
+                return none
+            total += float(np.log(mass) + tops[t])
+            p = p / mass
+            if t == 1:
+                out[0, at[0]] = p.sum((0, 2))
+            out[t, at[t]] = p.sum((0, 1))
+        return total, out
+
+    return run
+
+
+def well_route(e: Event):
+    """A mixture over the routes from each goal to each other one: drift towards a target that moves along the route as the event goes on.
+
+    The place that all paths are drawn to lies on the route where the share of time that has passed puts it.
+    """
+    goals = e.centres[[0, -1]] if e.goals is None or len(e.goals) < 2 else e.goals
+    routes = [(a, b) for i, a in enumerate(goals) for j, b in enumerate(goals) if i != j]
+    share, m = (np.cumsum(e.steps) / e.steps.sum() if len(e.steps) else e.steps), e.motion
+    found = []
+    for a, b in routes:
+        moves = []
+        for s, u in zip(e.steps, share):
+            gap = a + u * (b - a) - e.centres
+            far = np.sqrt((gap**2).sum(1, keepdims=True))
+            moves.append(gaussian(e.centres, e.centres + gap * np.minimum(1.0, m.route_speed * s / np.maximum(far, 1e-12)), m.route_width * max(float(s), 1e-12) ** 0.5, 4.0))
+        found.append(forward(e.ll, _even(e), lambda k, p, moves=moves: moves[k] @ p))
+    return mixed(found)
+
+
+def mixed(found: list[tuple[float, np.ndarray]]) -> tuple[float, np.ndarray]:
+    """Evidence and posteriors of parts at even odds."""
+    logs = np.array([f[0] for f in found])
+    w = np.exp(logs - lse(logs)) if np.isfinite(logs).any() else np.full(len(logs), 1 / len(logs))
+    return float(lse(logs) - np.log(len(logs))), np.tensordot(w, np.array([f[1] for f in found]), 1)
+
+
 def lattice(grid_step: float, radius: int = 2) -> np.ndarray:
     """Displacements of up to `radius` steps along each axis."""
     k = np.arange(-radius, radius + 1) * grid_step
@@ -391,9 +491,7 @@ def goal(e: Event):
         far = np.sqrt((gap**2).sum(1, keepdims=True))
         moves = [e.keep(("goal", *map(float, g), round(float(s), 9)), lambda s=s, gap=gap, far=far: gaussian(e.centres, e.centres + gap * np.minimum(1.0, e.motion.goal_speed * s / np.maximum(far, 1e-12)), e.motion.diffusion * max(s, 1e-12) ** 0.5, e.motion.truncate)) for s in e.steps]
         found.append(forward(e.ll, _even(e), lambda k, p, moves=moves: moves[k] @ p))
-    logs = np.array([f[0] for f in found])
-    w = np.exp(logs - lse(logs)) if np.isfinite(logs).any() else np.full(len(logs), 1 / len(logs))
-    return float(lse(logs) - np.log(len(goals))), np.tensordot(w, np.array([f[1] for f in found]), 1)
+    return mixed(found)
 
 
 def displacement_imm(e: Event, radius: int = 2):
@@ -472,12 +570,18 @@ def bidirectional(kernel):
 
 
 def forward_backward(ll: np.ndarray, start: np.ndarray, moves: list[np.ndarray]) -> tuple[float, np.ndarray]:
-    """Log evidence and smoothed posteriors (time, state) of a chain; moves[k] is [to, from] over step k."""
-    seen = np.exp(ll - ll.max(1, keepdims=True))
+    """Log evidence and smoothed posteriors (time, state) of a chain; moves[k] is [to, from] over step k.
+
+    Where no path is possible the evidence is -inf and every law the even one.
+    """
+    top = ll.max(1, keepdims=True)
+    seen = np.exp(ll - np.where(np.isfinite(top), top, 0))
     total, p, filtered = 0.0, start, []
     for t in range(len(ll)):
         p = (moves[t - 1] @ p if t else p) * seen[t]
-        total += float(np.log(p.sum()) + ll[t].max())
+        if not np.isfinite(top[t, 0]) or p.sum() <= 0:
+            return float("-inf"), np.full_like(ll, 1 / ll.shape[1])
+        total += float(np.log(p.sum()) + top[t, 0])
         p = p / p.sum()
         filtered.append(p)
     back, out = np.ones(ll.shape[1]), [filtered[-1]]
@@ -522,17 +626,25 @@ def register_model(name: str, kernel: Callable, support: str = EXACT) -> None:
 
 
 for _name, _kernel, _support in (
-    ("random", random, EXACT), ("stationary", stationary, EXACT), ("state-space-fragmented", random, EXACT), ("state-space-diffusion", diffusion, EXACT),
+    ("random", random, EXACT), ("stationary", stationary, EXACT), ("state-space-diffusion", diffusion, EXACT),
     ("state-space-first-order-imm", first_order_imm, EXACT), ("state-space-momentum", momentum_pruned, TRUNCATED), ("state-space-momentum-exact", momentum_exact, EXACT),
     ("displacement-momentum", displacement_momentum, EXACT), ("trajectory-imm-exact", trajectory_imm, EXACT), ("trajectory-imm-persistent", lambda e: trajectory_imm(e, stay=0.985), EXACT),
     ("trajectory-imm-anchored", lambda e: trajectory_imm(e, start=0.05, enter=0.005), EXACT), ("trajectory-imm-low-leak", lambda e: trajectory_imm(e, start=0.01, enter=0.001), EXACT),
     ("goal", goal, EXACT), ("empirical-transition", empirical, EXACT), ("state-space-imm", imm_pruned, TRUNCATED), ("displacement-imm", displacement_imm, EXACT),
-    ("candidate-stationary", pruned(stationary), TRUNCATED), ("candidate-diffusion", pruned(diffusion), TRUNCATED), ("candidate-momentum", momentum_pruned, TRUNCATED), ("candidate-imm", imm_pruned, TRUNCATED), ("candidate-jump", pruned(random), TRUNCATED),
+    *((f"candidate-{mode}", candidate_pairs((mode,)), TRUNCATED) for mode in ("stationary", "diffusion", "momentum", "jump")), ("candidate-imm", candidate_pairs(("stationary", "diffusion", "momentum", "jump")), TRUNCATED), ("well-route", well_route, EXACT),
     ("grid-walk", walk, EXACT), ("geodesic-diffusion", geodesic, EXACT), ("reverse-diffusion", reversed_of(diffusion), EXACT),
     ("reverse-momentum-exact", reversed_of(momentum_exact), EXACT), ("bidirectional-diffusion", bidirectional(diffusion), EXACT), ("bidirectional-momentum-exact", bidirectional(momentum_exact), EXACT),
 ):
     register_model(_name, _kernel, _support)
 
+#: Other names of a model. They may be asked for, but the registry holds each model once, so that no report over it counts one twice.
+ALIASES = {"state-space-fragmented": "random"}
+
+
+def model_of(name: str) -> tuple[Callable, str]:
+    return REGISTRY[ALIASES.get(name, name)]
+
+
 #: Models that follow a fitted matrix; events whose session has none have no evidence under them and are not scored.
 FITTED = ("empirical-transition",)
 
@@ -559,14 +671,17 @@ def prefixes_of(model: str, e: Event) -> np.ndarray | None:
         return lse(np.cumsum(e.ll, 0), 1) - np.log(e.ll.shape[1])
     if model != "state-space-diffusion":
         return None
-    moves, p, out, total = _steps(e, e.motion.diffusion), _even(e), [], 0.0
+    moves, p, out, total = _steps(e, e.motion.diffusion), _even(e), np.full(len(e.ll), -np.inf), 0.0
     for t in range(len(e.ll)):
         top = e.ll[t].max()
+        if not np.isfinite(top):
+            break  # no path from here on
         p = (moves[t - 1] @ p if t else p) * np.exp(e.ll[t] - top)
+        if p.sum() <= 0:
+            break
         total += float(np.log(p.sum()) + top)
-        p = p / p.sum()
-        out.append(total)
-    return np.array(out)
+        p, out[t] = p / p.sum(), total
+    return out
 
 
 def causal_prefixes(emissions: DataFrame, grid: Grid, models: list[str], motion: Motion = Motion(), dt: float = 1.0, shortest: int = 1) -> DataFrame:
@@ -627,7 +742,7 @@ def best_segments(score: np.ndarray, grammar: Grammar) -> tuple[float, list[tupl
 
 def segment_grammar(emissions: DataFrame, grid: Grid, grammar: Grammar = Grammar(), motion: Motion = Motion(), dt: float = 1.0) -> DataFrame:
     """One row per segment of each event's best mode sequence."""
-    kernels, centres, means = [REGISTRY[m][0] for m in grammar.modes], centres_of(grid), np.log(grammar.mean_bins)
+    kernels, centres, means = [model_of(m)[0] for m in grammar.modes], centres_of(grid), np.log(grammar.mean_bins)
 
     def run(batches):
         made: dict = {}
@@ -662,17 +777,17 @@ def _by_event(emissions: DataFrame, transitions: DataFrame | None = None) -> Dat
     With transitions, a session's events are dealt into as many parts as there are tasks, and
     a row without an event, which holds the session's matrix, stands before those of each part.
     """
-    spark = emissions.sparkSession
+    spark, of_bin = emissions.sparkSession, ["t_idx", "bin_dur", "n_spikes", "ll", *(["support"] if "support" in emissions.columns else [])]
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if transitions is not None:
         parts = F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))
         fitted = transitions.groupBy("session").agg(F.collect_list(F.struct("src", "dst", "probability")).alias("_m"))
         fitted = fitted.select("session", F.explode(parts).alias("_part"), F.struct(*[F.col(f"_m.{c}").alias(c) for c in ("src", "dst", "probability")]).alias("matrix"))
         both = emissions.withColumn("_part", F.pmod(F.xxhash64("event_index"), F.lit(tasks))).unionByName(fitted, allowMissingColumns=True)
-        bins = F.collect_list(F.when(F.col("matrix").isNull(), F.struct("t_idx", "bin_dur", "n_spikes", "ll")))
+        bins = F.collect_list(F.when(F.col("matrix").isNull(), F.struct(*of_bin)))
         rows = both.repartition(tasks, "session", "_part").groupBy("session", "_part", "event_index").agg(F.sort_array(bins).alias("bins"), F.first("matrix", ignorenulls=True).alias("matrix"))
         return rows.sortWithinPartitions("session", "_part", F.col("matrix").isNull()).drop("_part")
-    return emissions.repartition(tasks, "session", "event_index").groupBy("session", "event_index").agg(F.sort_array(F.collect_list(F.struct("t_idx", "bin_dur", "n_spikes", "ll"))).alias("bins"))
+    return emissions.repartition(tasks, "session", "event_index").groupBy("session", "event_index").agg(F.sort_array(F.collect_list(F.struct(*of_bin))).alias("bins"))
 
 
 def centres_of(grid: Grid) -> np.ndarray:
@@ -696,12 +811,13 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
     no cost per group, and no group larger than an event. Models made of others share what
     those found. transitions (session, src, dst, probability) are for the models that follow
     a fitted matrix; without one such a model's row has no evidence and says so. With valid,
-    a list of places, all others are out of reach. prefix goes before the models' names.
+    a list of places, all others are out of reach. A column `support` of the emissions names
+    the places of each bin that pruned models keep. prefix goes before the models' names.
     """
-    unknown = [m for m in models if m not in REGISTRY]
+    unknown = [m for m in models if ALIASES.get(m, m) not in REGISTRY]
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
-    chosen, centres = [(m, *REGISTRY[m]) for m in models], centres_of(grid)
+    chosen, centres = [(m, *model_of(m)) for m in models], centres_of(grid)
     places = np.arange(len(centres)) if valid is None else np.array(sorted(valid))
 
     def terminal(p):
@@ -709,6 +825,13 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
         out[places] = p
         return out.tolist()
 
+    within = {b: i for i, b in enumerate(places.tolist())}
+
+    def chosen_places(bins):
+        if bins[0].get("support") is None:
+            return None
+        return tuple([within[b] for b in x["support"] if b in within] for x in bins)
+
     def run(batches):
         made: dict = {}
         held, matrix = None, None
@@ -721,7 +844,7 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
                     continue
                 fit = matrix if row["session"] == held else None
                 dur = np.array([x["bin_dur"] for x in bins], float)
-                e = Event(np.array([x["ll"] for x in bins], float)[:, places], centres[places], (dur[1:] + dur[:-1]) / 2, dt, motion, None if goals is None else np.array(goals, float), fit, made, {})
+                e = Event(np.array([x["ll"] for x in bins], float)[:, places], centres[places], (dur[1:] + dur[:-1]) / 2, dt, motion, None if goals is None else np.array(goals, float), fit, made, {}, chosen_places(bins))
                 for name, kernel, label in chosen:
                     if name in FITTED and fit is None:
                         out.append((row["session"], row["event_index"], prefix + name, NOT_SCORED, None, len(bins), sum(x["n_spikes"] for x in bins), None))
@@ -730,7 +853,8 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
                     if label == TRUNCATED and len(bins) == 1:
                         shown = "degenerate_single_bin"
                     else:  # candidates that cover all places prune nothing
-                        shown = EXACT if label == TRUNCATED and motion.top_k >= len(places) else label
+                        whole = e.support is None and motion.top_k >= len(places) and not name.startswith("candidate-")
+                        shown = EXACT if label == TRUNCATED and whole else label
                     out.append((row["session"], row["event_index"], prefix + name, shown, log, len(bins), sum(x["n_spikes"] for x in bins), terminal(post[-1])))
             cols = list(zip(*out)) or [()] * 8
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.float64()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
 from ..functions import likelihood as lk
-from ..operators import decoding, gates, marks, regression, tracks
+from ..operators import chains, decoding, gates, marks, regression, tracks
 from ..operators import models as op
 from ..sources import relations as rel
 from .track_queries import _BIN, _BINS, _COUNTS, GRID, RATES_SQL, rates
@@ -74,8 +74,8 @@ fw as (with recursive f as (
 
 @query(f"""{_FORWARD} select session, event_index, 'state-space-diffusion' as model, round(v, 4) + 0.0 as log_evidence from fw union all select session, event_index, 'state-space-first-order-imm', round(w, 4) + 0.0 from fw""")
 def first_order_evidence(spark, d):
-    """Diffusion and the three switching modes, scored by their kernels; the SQL runs the recursion itself."""
-    s = op.score_events(_emissions(spark, d), GRID, ["state-space-diffusion", "state-space-first-order-imm"], op.Motion(), DT)
+    """Diffusion and the three switching modes, by expressions; the SQL runs the recursion itself."""
+    s = chains.score_chains(_emissions(spark, d), GRID, ["state-space-diffusion", "state-space-first-order-imm"], op.Motion(), DT)
     return s.select("session", "event_index", "model", _r("log_evidence", digits=4))
 
 
@@ -92,7 +92,7 @@ avg_ as (select *, exp(a - mx) / (exp(a - mx) + exp(b - mx) + exp(c - mx)) as wa
 select session, event_index, bin_id::int as bin_id, round(wa * e[bin_id + 1] / es + wb * p[bin_id + 1] + wc * q[bin_id + 1], 6) + 0.0 as probability from (select *, unnest(range(32)) as bin_id from avg_)""")
 def model_averaged_endpoint(spark, d):
     """Posterior over the last place, averaged over exact models by their evidence."""
-    s = op.score_events(_emissions(spark, d), GRID, ["stationary", "state-space-diffusion", "state-space-first-order-imm"], op.Motion(), DT)
+    s = chains.score_chains(_emissions(spark, d), GRID, ["stationary", "state-space-diffusion", "state-space-first-order-imm"], op.Motion(), DT)
     w = Window.partitionBy("session", "event_index")
     weight = F.exp(F.col("log_evidence") - F.max("log_evidence").over(w))
     p = s.withColumn("w", weight / F.sum(weight).over(w)).select("session", "event_index", "w", F.posexplode("terminal").alias("bin_id", "p"))
@@ -144,8 +144,8 @@ rt as (select session, event_index, sum(mm + ln(e / 32)) as v from (select sessi
 st as (select session, event_index, any_value(mm) + ln(sum(exp(s - mm)) / 32) as v from (select *, max(s) over (partition by session, event_index) as mm from (select session, event_index, bin_id, sum(ll) as s from cl group by 1, 2, 3)) group by 1, 2)
 select session, event_index, 'clusterless-random' as model, round(v, 3) + 0.0 as log_evidence from rt union all select session, event_index, 'clusterless-stationary', round(v, 3) + 0.0 from st""")
 def clusterless_model_evidence(spark, d):
-    """Mark emissions through the kernels."""
-    s = op.score_events(_clusterless(spark, d), GRID, ["random", "stationary"], op.Motion(), DT, prefix="clusterless-")
+    """Static models on mark emissions."""
+    s = chains.score_chains(_clusterless(spark, d), GRID, ["random", "stationary"], op.Motion(), DT, prefix="clusterless-")
     return s.select("session", "event_index", "model", _r("log_evidence", digits=3))
 
 
@@ -170,7 +170,7 @@ cm as (select *, sum(ll) over (partition by session, event_index, bin_id order b
 @query(f"""{_LL}, {_PREFIX} select session, event_index, (t_idx + 1)::int as bins, 'random' as model, round(v, 4) + 0.0 as log_evidence from pf union all select session, event_index, (t_idx + 1)::int, 'stationary', round(v, 4) + 0.0 from sf""")
 def causal_prefixes(spark, d):
     """Evidence of the first 1, 2, ... bins of every event."""
-    c = op.causal_prefixes(_emissions(spark, d), GRID, ["random", "stationary"], op.Motion(), DT)
+    c = chains.prefix_evidence(_emissions(spark, d), GRID, ["random", "stationary"], op.Motion(), DT)
     return c.select("session", "event_index", "bins", "model", _r("log_evidence", digits=4))
 
 

@@ -127,8 +127,8 @@ _NULLS = f"""with {rel.STREAM_SQL}, {rel.SPIKES_SQL}, {rel.SHORT_EVENTS_SQL}, sp
 drawn0 as (select e.session, e.event_index, draw, low + {_draw("'null'", 'e.session', 'e.event_index', 'draw')} * greatest(0.0, high - low - (e.end - e.start)) as a, e.end - e.start as dur from (select *, unnest(range(32)) as draw from short_events) e join span using (session)),
 drawn as (select *, a + dur as b from drawn0), free as (select * from drawn d where not exists (select 1 from short_events e where e.session = d.session and d.a < e.end and d.b > e.start)),
 nn as (select f.session, f.event_index, f.draw, f.a, f.b, count(s.t) as null_spikes from free f left join spikes s on s.session = f.session and s.t >= f.a and s.t < f.b group by all),
-mm as (select e.event_index, count(s.t) as n_spikes from short_events e left join spikes s on s.session = e.session and s.t >= e.start and s.t < e.end group by 1)
-select session, event_index, match, round(a, 3) + 0.0 as start, null_spikes, n_spikes from (select *, row_number() over (partition by session, event_index order by abs(n_spikes - null_spikes), draw) as match from nn join mm using (event_index)) where match <= 3"""
+mm as (select e.session, e.event_index, count(s.t) as n_spikes from short_events e left join spikes s on s.session = e.session and s.t >= e.start and s.t < e.end group by 1, 2)
+select session, event_index, match, round(a, 3) + 0.0 as start, null_spikes, n_spikes from (select *, row_number() over (partition by session, event_index order by abs(n_spikes - null_spikes), draw) as match from nn join mm using (session, event_index)) where match <= 3"""
 
 
 @query(_NULLS)

@@ -52,10 +52,14 @@ def causal_evidence(emissions: DataFrame, grid: Grid, sigma: float, dt: float, t
                     out.append((*key, int(t), None, None))
                     continue
                 ll = np.array(ll, float)
-                top = ll.max()
-                p = (move @ p if last >= 0 else p) * np.exp(ll - top)
-                path += float(np.log(p.sum()) + top)
-                loose += float(np.log(np.exp(ll - top).sum()) + top - np.log(b))
+                top = ll.max() if np.isfinite(ll.max()) else 0.0
+                seen = np.exp(ll - top)
+                p = (move @ p if last >= 0 else p) * seen
+                if p.sum() <= 0:  # no path from here on: minus infinity stays
+                    path, p = -np.inf, np.full(b, 1.0 / b)
+                else:
+                    path += float(np.log(p.sum()) + top)
+                loose += float(np.log(seen.sum()) + top - np.log(b)) if seen.any() else -np.inf
                 p, last = p / p.sum(), int(t)
                 out.append((*key, last, path, loose))
         state.update((p.tolist(), path, loose, last))

@@ -283,6 +283,27 @@ def test_impossible_bin():
     assert m.diffusion(m.Event(ll, CENTRES, e.steps, 1.0, e.motion))[0] == float("-inf")
 
 
+def test_no_kernel_gives_nan_where_no_path_is_possible():
+    e, none = event(0), float("-inf")
+    whole, apart = e.ll.copy(), np.full_like(e.ll, none)
+    whole[2] = none
+    apart[np.arange(4), [0, 1, 2, 3]] = 0.0  # bins that share no place
+    near = m.Motion(diffusion=0.1, stationary=0.1, truncate=1.0)
+    for ll in (whole, apart):
+        case = m.Event(ll, CENTRES, e.steps, 1.0, near, goals=CENTRES[:2])
+        for name, (kernel, _) in m.REGISTRY.items():
+            log, post = kernel(case)
+            assert not np.isnan(log) and np.isfinite(post).all() and post.sum(1) == pytest.approx(1), name
+        for name, kernel in m.SMOOTHED.items():
+            log, post = kernel(case)
+            assert not np.isnan(log) and post.sum(1) == pytest.approx(1), name
+        for name in ("random", "stationary", "state-space-fragmented", "state-space-diffusion"):
+            prefixes = m.prefixes_of(name, case)
+            assert not np.isnan(prefixes).any() and len(prefixes) == 4
+    assert m.stationary(m.Event(apart, CENTRES, e.steps, 1.0, near))[0] == none
+    assert m.prefixes_of("state-space-diffusion", m.Event(whole, CENTRES, e.steps, 1.0, e.motion))[2:].tolist() == [none, none]
+
+
 def test_switch_time_constant_is_a_matrix_exponential():
     g = np.full((3, 3), 1 / 2 / 4.0) - np.eye(3) * (1 / 2 / 4.0 + 1 / 4.0)
     p, term = np.eye(3), np.eye(3)

@@ -80,6 +80,15 @@ def test_causal_evidence_ends_at_the_whole_event(spark, tmp_path):
     assert [r.random for r in rows] == pytest.approx([m.random(e(n))[0] for n in range(1, 6)])
 
 
+def test_causal_evidence_of_an_impossible_bin(spark, tmp_path):
+    grid = Grid(0.0, 0.0, 10.0, 2, 2)
+    ll = [[0.0] * 4, [float("-inf")] * 4, [0.0] * 4]
+    spark.createDataFrame([("s", 1, t, x) for t, x in enumerate(ll)], "session string, event_index long, t_idx int, ll array<double>").write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema("session string, event_index long, t_idx int, ll array<double>").option("maxFilesPerTrigger", 1000).parquet(str(tmp_path / "e"))
+    rows = sorted(run_stream(streaming.causal_evidence(stream, grid, 12.0, 1.0), "w5"), key=lambda r: r.t_idx)
+    assert [r.diffusion for r in rows] == [r.random for r in rows] == [0.0, float("-inf"), float("-inf")]
+
+
 def test_sessions_are_found(spark, tmp_path):
     for name in ("Rat2/Open1/a.bin", "Rat1/Open2/a.bin", "Rat1/Open2/b.bin", "Rat9/Open1/a.bin", "Rat1/Linear/a.bin"):
         f = tmp_path / name
