@@ -196,6 +196,11 @@ class Grid:
         ix, iy = self.axis(x, self.low_x, self.nx), self.axis(y, self.low_y, self.ny)
         return F.when((ix < 0) | (iy < 0), -1).otherwise(ix * self.ny + iy)
 
+    def bin_once(self, x: Column, y: Column) -> Column:
+        """As `bin`, for coordinates that are long expressions: they are written out once each, not
+        sixteen times, so that the optimizer may move a condition on the bin without outgrowing a compiled method."""
+        return F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda p: self.bin(p["x"], p["y"]))[0]
+
 
 def as_of(points: DataFrame, samples: DataFrame, values: list[str], gap: float | str | None = None, by: str = "session") -> DataFrame:
     """Values of the samples interpolated at the points' times, clamped at the ends.
@@ -296,7 +301,7 @@ def rate_map(position: DataFrame, spikes: DataFrame, grid: Grid, min_occupancy:
     """Smoothed spikes over smoothed seconds for each cell and each bin that was ever near the track, of all samples."""
     bin_id = grid.bin(F.col("x"), F.col("y"))
     cells = spikes.select("session", "cell_id").distinct()
-    return _rates(frame_durations(position).withColumn("bin_id", bin_id), as_of(spikes, position, ["x", "y"]).withColumn("bin_id", bin_id), cells, grid, min_occupancy, floor, sigma)
+    return _rates(frame_durations(position).withColumn("bin_id", bin_id), as_of(spikes, position, ["x", "y"]).withColumn("bin_id", grid.bin_once(F.col("x"), F.col("y"))), cells, grid, min_occupancy, floor, sigma)
 
 
 def training_rate_map(position: DataFrame, spikes: DataFrame, grid: Grid, runs: DataFrame, excluded: DataFrame, least_speed: float = 5.0, cap: float = 1.0, min_occupancy: float = 0.05, floor: float = 1e-4, sigma: float = 1.0) -> DataFrame:
