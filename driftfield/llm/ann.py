@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOUBLE, INT, LONG, materialize, schema
+from .common import DOUBLE, INT, LONG, materialize, repeated, schema
 
 #: Neighbours of a query; orderings; projected dimensions and bits of each on the curve.
 NEAREST, ORDERINGS, DIMENSIONS, BITS = 20, 32, 12, 5
@@ -88,7 +88,7 @@ def usable(df: DataFrame) -> DataFrame:
 def distinct_vectors(rows: DataFrame) -> DataFrame:
     """One row per vector: its least id, and its NEAREST + 1 least ids, of which a query needs no more.
 
-    Spark limits the rank inside each task before it shuffles, so that a task sends at most
+    An id stands there as often as its row is repeated. Spark limits the rank inside each task before it shuffles, so that a task sends at most
     that many rows of a vector, however often it occurs.
     """
     most = NEAREST + 1
@@ -96,6 +96,21 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("cls"), "v", "ids")
 
 
+def told_apart(vectors: DataFrame) -> DataFrame:
+    """vectors with a `cls` of their own: the least id, or, where unlike vectors share that, their place in its order.
+
+    Classes keep the order of least ids, by which ties are broken.
+    """
+    n, low = vectors.agg(F.count(F.lit(1)), F.countDistinct("cls")).first()
+    if n == low:
+        return vectors
+    order = "partition by task order by cls, v"
+    ranged = materialize(vectors.repartitionByRange("cls", "v").withColumn("task", F.spark_partition_id()), "ranged-vectors")
+    before = ranged.groupBy("task").count().select(F.col("task").alias("k"), F.expr("coalesce(sum(count) over (order by task rows between unbounded preceding and 1 preceding), 0)").alias("before"))
+    placed = ranged.withColumn("r", F.expr(f"row_number() over ({order})")).join(F.broadcast(before), F.col("task") == F.col("k"))
+    return materialize(placed.select((F.col("r") + F.col("before")).cast("long").alias("cls"), "v", "ids"), "vectors")
+
+
 def positions(vectors: DataFrame, spread: float, orderings: int) -> DataFrame:
     """ordering, pos and cls: each vector's place in each ordering, from 0 without gaps.
 
@@ -231,19 +246,20 @@ def nearest(df: DataFrame, k: int = NEAREST, every: int = EVERY, orderings: int
     candidates. Ties go to smaller ids. Equal vectors are searched as one and spelled out
     again from their least ids, so that ties are whole. Vectors that are null, empty, zero
     or hold a null or non-finite component take no part, nor do those of another length
-    than most. Of rows with a repeated id and vector one counts. Further columns are not read.
+    than most. A repeated row is a candidate, also for its twin, and a query as often as it
+    occurs; so is a row of the same id with another vector. Further columns are not read.
     """
-    source = usable(df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))).dropDuplicates(["vec_id", "v"])
+    source = usable(df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")))
     dim = source.agg(F.mode(F.size("v"))).first()[0]
     out = schema(query_id=LONG, rank=INT, vec_id=LONG, score=DOUBLE)
     source = source.where(F.size("v") == dim)
-    vectors = materialize(distinct_vectors(source), "vectors")
+    vectors = told_apart(materialize(distinct_vectors(source), "vectors"))
     n, squares = vectors.agg(F.count(F.lit(1)), F.avg(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)"))).first()
     if not n:
         return df.sparkSession.createDataFrame([], out)
     spread = math.sqrt(squares / dim)
-    asking = source.where(F.col("vec_id") % every == 0)
-    query_of = asking.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).join(vectors.select("cls", "v"), F.col("qv") == F.col("v")).select("query_id", "cls")
+    asking = source.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).agg(F.count(F.lit(1)).alias("times"))
+    query_of = asking.join(vectors.select("cls", "v"), F.col("qv") == F.col("v")).select("query_id", "cls", "times")
     query_of = materialize(query_of, "queries")
     query_classes = vectors.select("cls", "v").join(query_of.select("cls").distinct(), "cls")
     places = materialize(positions(vectors, spread, orderings), "positions")
@@ -260,6 +276,9 @@ def nearest(df: DataFrame, k: int = NEAREST, every: int = EVERY, orderings: int
     both = hits.join(vectors.select("cls", "v", "ids"), "cls").join(query_classes.select(F.col("cls").alias("qcls"), F.col("v").alias("qv")), "qcls")
     # products are added up in the order of components, whatever block the pair met in
     exact = F.expr("aggregate(zip_with(qv, v, (a, b) -> double(a) * double(b)), 0D, (a, x) -> a + x)")
-    members = both.select("qcls", "ids", exact.alias("score")).join(query_of.withColumnRenamed("cls", "qcls"), "qcls")
-    spelled = members.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    return spelled.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    members = both.select("qcls", "cls", "ids", exact.alias("score")).join(query_of.withColumnRenamed("cls", "qcls"), "qcls")
+    at = F.array_position("ids", F.col("query_id"))  # of the query's own class its own row, once, is left out
+    others = F.when((F.col("cls") == F.col("qcls")) & (at > 0), F.concat(F.slice("ids", F.lit(1), (at - 1).cast("int")), F.slice("ids", (at + 1).cast("int"), F.size("ids")))).otherwise(F.col("ids"))
+    spelled = members.select("query_id", "qcls", "times", "score", F.explode(others).alias("vec_id"))
+    ranked = spelled.withColumn("rank", F.expr("row_number() over (partition by query_id, qcls order by score desc, vec_id)")).where(f"rank <= {k}")
+    return repeated(ranked, "times").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -41,10 +41,20 @@ def test_ties_nulls_and_few_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 2.0]), (4, None), (40, [0.0, 0.0]), (60, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, []), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (10, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df).collect())
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
+    # the repeated row of id 1 is two candidates
+    assert got == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 1, 0.0), (20, 4, 2, 0.0)]
     assert ann.nearest(df.where("false")).collect() == []
 
 
+def test_repeated_rows_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.5, 1.0]), (40, [0.0, 3.0]), (40, [3.0, 0.0])], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df).collect())
+    twin = [(20, 1, 40, 3.0), (20, 2, 3, 1.0), (20, 3, 20, 1.0), (20, 4, 4, 0.5), (20, 5, 40, 0.0)]
+    up = [(40, 1, 4, 3.0), (40, 2, 3, 0.0), (40, 3, 20, 0.0), (40, 4, 20, 0.0), (40, 5, 40, 0.0)]
+    out = [(40, 1, 3, 3.0), (40, 2, 20, 3.0), (40, 3, 20, 3.0), (40, 4, 4, 1.5), (40, 5, 40, 0.0)]
+    assert got == sorted(twin * 2 + up + out)
+
+
 def test_many_copies_of_one_vector(spark):
     rows = [(i, [1.0, 1.0]) for i in range(300)] + [(i, [float(i), -1.0]) for i in range(300, 360)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
