@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .models import centres_of, emissions
 from .resampling import draw
-from .tracks import CELL, Grid, _cells, event_spikes, merge_intervals, rate_map
+from .tracks import CELL, Grid, _cells, event_spikes, merge_intervals, numbered_runs, rate_map, time_cell, with_neighbours
 
 
 def decode_positions(position: DataFrame, spikes: DataFrame, grid: Grid, width: float, folds: int = 3) -> DataFrame:
@@ -74,8 +74,8 @@ def matched_null_windows(events: DataFrame, spikes: DataFrame, keep: int, draws:
 def free_intervals(events: DataFrame, spikes: DataFrame) -> DataFrame:
     """The parts of each session's span of spikes that no event covers, numbered in time order."""
     span = spikes.groupBy("session").agg(F.min("t").alias("_low"), F.max("t").alias("_high"))
-    w = Window.partitionBy("session").orderBy("start")
-    taken = merge_intervals(events.select("session", "start", "end")).withColumn("_next", F.lead("start").over(w)).withColumn("_n", F.row_number().over(w))
+    merged = with_neighbours(merge_intervals(events.select("session", "start", "end")).withColumn("t", F.col("start")), []).withColumn("_next", F.col("next.t"))
+    taken = numbered_runs(merged.withColumn("_cell", time_cell()), F.lit(1), "_n", "session", ["t"]).drop("_cell", "prev", "next", "t")
     after = taken.join(span, "session").select("session", F.col("_n").alias("gap"), F.greatest("end", "_low").alias("low"), F.least(F.coalesce("_next", "_high"), "_high").alias("high"))
     before = taken.where("_n = 1").join(span, "session").select("session", F.lit(0).alias("gap"), F.col("_low").alias("low"), F.least("start", "_high").alias("high"))
     return after.unionByName(before).where("high > low")
@@ -145,8 +145,9 @@ def base_gaps(base: DataFrame, taken: DataFrame) -> DataFrame:
     edge = lambda df, kind: df.select("session", F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))).alias("e"), F.lit(kind).alias("k")).select("session", "e.t", F.when(F.col("k") == 0, F.col("e.d")).otherwise(0).alias("b"), F.when(F.col("k") == 1, F.col("e.d")).otherwise(0).alias("x"))
     edges = edge(merge_intervals(base.select("session", "start", "end")), 0).unionByName(edge(merge_intervals(taken.select("session", "start", "end")), 1))
     steps = edges.groupBy("session", "t").agg(F.sum("b").alias("b"), F.sum("x").alias("x"))
-    w = Window.partitionBy("session").orderBy("t")
-    s = steps.withColumn("_open", F.sum("b").over(w)).withColumn("_shut", F.sum("x").over(w)).withColumn("high", F.lead("t").over(w))
+    s = with_neighbours(steps, []).withColumn("high", F.col("next.t")).drop("prev", "next").withColumn("_cell", time_cell())
+    for change, out in (("b", "_open"), ("x", "_shut")):
+        s = numbered_runs(s, F.col(change), out, "session", ["t"])
     s = s.withColumn("_free", (F.col("_open") > 0) & (F.col("_shut") == 0))
     # neighbouring free pieces, where one base interval ends as another begins, are merged already
     return s.where("_free and high > t").select("session", F.col("t").alias("low"), "high")

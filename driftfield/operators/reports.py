@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from .evidence import EVENT, evidence_margins, one_per_model, with_support
 from .resampling import draw
+from .tracks import numbered_runs, time_cell
 
 #: Quality of a candidate support, and the log masses from which it is good or a warning.
 NOT_PRUNED, GOOD, WARNING, POOR, UNCLEAR = "exact_or_not_pruned", "conservative_good", "conservative_warning", "conservative_poor", "conservative_unknown"
@@ -342,7 +343,12 @@ def drift_blocks(marks: DataFrame, features: list[str], blocks: int, by: str = "
     good = F.lit(True)
     for c in ("t", *features):
         good = good & ev.finite(F.col(c))
-    m = marks.where(good).withColumn("block", F.ntile(blocks).over(Window.partitionBy(by).orderBy(*order)) - 1)
+    # places through time cells; the first blocks have one mark more where the number does not divide
+    m = numbered_runs(marks.where(good).withColumn("_cell", time_cell()), F.lit(1), "_place", by, list(order)).drop("_cell")
+    m = m.join(m.groupBy(by).agg(F.count(F.lit(1)).alias("_all")), by)
+    at, size, over = F.col("_place") - 1, F.floor(F.col("_all") / blocks), F.col("_all") % blocks
+    long = over * (size + 1)
+    m = m.withColumn("block", F.when(at < long, F.floor(at / (size + 1))).otherwise(over + F.floor((at - long) / F.greatest(size, F.lit(1)))).cast("int")).drop("_place", "_all")
     sums = [f(F.col(c)).alias(f"{n}_{c}") for c in features for n, f in (("mean", F.avg), ("var", F.var_pop))]
     b = m.groupBy(by, "block").agg(F.count(F.lit(1)).alias("marks"), F.min("t").alias("start"), F.max("t").alias("end"), *sums)
     w = Window.partitionBy(by)

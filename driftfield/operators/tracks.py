@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.evidence import finite
+from .ranks import group_medians
 
+#: Samples of a block, where neighbours are counted by number.
+BLOCK = 4096
 #: Range joins meet in time cells of this many seconds; intervals are listed in each cell they touch.
 CELL = 256.0
 
@@ -100,7 +103,7 @@ def exposure_outside(frames: DataFrame, excluded: DataFrame) -> DataFrame:
 def frame_durations(position: DataFrame, cap: float = 1.0) -> DataFrame:
     """Time to the next frame, the last one's being the session's median, none above the cap."""
     step = with_neighbours(position, []).withColumn("_step", F.col("next.t") - F.col("t"))
-    middle = step.groupBy("session").agg(F.median("_step").alias("_middle"))
+    middle = group_medians(step, ["session"], "_step", position).withColumnRenamed("median", "_middle")
     return step.join(middle, "session").withColumn("dt", F.least(F.coalesce("_step", "_middle", F.lit(1 / 30)), F.lit(cap))).drop("_step", "_middle", "prev", "next")
 
 
@@ -127,12 +130,14 @@ def robust_position(position: DataFrame, half: int = 2, limit: float = 300.0) ->
 
     The window is made of the samples' own neighbours in time order, whose number is fixed.
     """
-    w = Window.partitionBy("session").orderBy("t")
-    near = w.rowsBetween(-half, half)
-    place = F.row_number().over(w)
-    out = position.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("session"))).withColumn("_place", place)
-    ends = position.groupBy("session").agg(*[f(F.struct("t", c))[c].alias(f"_{n}_{c}") for c in ("x", "y") for n, f in (("first", F.min), ("last", F.max))])
-    out = out.withColumn("_near_x", F.collect_list("x").over(near)).withColumn("_near_y", F.collect_list("y").over(near)).join(ends, "session")
+    # samples are numbered through time cells, and blocks of them hold copies of the few samples beside their edges
+    numbered = numbered_runs(position.withColumn("_cell", time_cell()), F.lit(1), "_place", "session", ["t"]).drop("_cell")
+    at = F.col("_place") - 1
+    blocks = F.array_distinct(F.array(*[F.floor(F.least(F.greatest(at + d, F.lit(0)), F.col("_n") - 1) / BLOCK) for d in (0, -half, half)]))
+    sizes = position.groupBy("session").agg(F.count(F.lit(1)).alias("_n"), *[f(F.struct("t", c))[c].alias(f"_{n}_{c}") for c in ("x", "y") for n, f in (("first", F.min), ("last", F.max))])
+    dealt = numbered.join(sizes, "session").withColumn("_block", F.explode(blocks))
+    near = Window.partitionBy("session", "_block").orderBy("t").rowsBetween(-half, half)
+    out = dealt.withColumn("_near_x", F.collect_list("x").over(near)).withColumn("_near_y", F.collect_list("y").over(near)).where(F.col("_block") == F.floor(at / BLOCK)).drop("_block")
     for c in ("x", "y"):
         # samples missing at an edge stand as repeats of the end sample
         before = F.array_repeat(F.col(f"_first_{c}"), F.greatest(F.lit(0), half + 1 - F.col("_place")).cast("int"))
@@ -153,7 +158,7 @@ def islands(position: DataFrame, gap: float) -> DataFrame:
 def sample_gap(position: DataFrame, times: float = 5.0) -> DataFrame:
     """The longest step of each session's samples that is no gap: a multiple of the median step."""
     step = with_neighbours(position, []).select("session", (F.col("next.t") - F.col("t")).alias("step"))
-    return step.where("step > 0").groupBy("session").agg((times * F.median("step")).alias("gap"))
+    return group_medians(step.where("step > 0"), ["session"], "step", position).select("session", (times * F.col("median")).alias("gap"))
 
 
 def run_local(position: DataFrame, runs: DataFrame, cap: float = 1.0) -> DataFrame:

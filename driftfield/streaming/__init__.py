@@ -29,6 +29,22 @@ def runs(position: DataFrame, gap: str = "5 minutes", late: str = "10 minutes")
     return position.withWatermark("ts", late).groupBy("session", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("samples")).select("session", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "samples")
 
 
+def event_spike_join(spikes: DataFrame, events: DataFrame, longest: str = "10 seconds", late: str = "1 minute") -> DataFrame:
+    """Spikes (session, ts, cell_id) with start <= ts < end of the short events of their session, both streams.
+
+    Events are cut into pieces of at most `longest`, so that one of any length is met whole
+    and the time that a piece spans bounds what either side must keep: a spike is dropped once
+    no piece that may still come can hold it, a piece once no spike can. Rows later than
+    `late` behind the newest one of their side do not count. Rows come as soon as both sides are there.
+    """
+    width = F.expr(f"cast(interval {longest} as interval day to second)")
+    cut = events.where("end > start").select("session", "event_index", F.explode(F.sequence("start", "end", width)).alias("piece"), "end").where("piece < end")
+    e = cut.withWatermark("piece", late).alias("e")
+    s = spikes.withWatermark("ts", late).alias("s")
+    met = F.expr(f"s.session = e.session and s.ts >= e.piece and s.ts < e.piece + interval {longest} and s.ts < e.end")
+    return s.join(e, met).select("e.session", "e.event_index", "s.ts", *[f"s.{c}" for c in spikes.columns if c not in ("session", "ts")])
+
+
 def causal_evidence(emissions: DataFrame, grid: Grid, sigma: float, dt: float, truncate: float = 5.0, idle_ms: int = 3_600_000) -> DataFrame:
     """Evidence of each event's bins so far, under diffusion and at random, as bins arrive.
 

@@ -89,6 +89,85 @@ def test_causal_evidence_of_an_impossible_bin(spark, tmp_path):
     assert [r.diffusion for r in rows] == [r.random for r in rows] == [0.0, float("-inf"), float("-inf")]
 
 
+def test_spikes_meet_events_as_both_arrive(spark, tmp_path):
+    import datetime as dt
+
+    rng, base = np.random.default_rng(0), dt.datetime(2024, 1, 1)
+    at = lambda s: base + dt.timedelta(seconds=float(s))
+    spikes = [(f"s{i % 2}", at(round(t, 3)), i % 3, i) for i, t in enumerate(rng.uniform(0, 100, 400))]
+    events = [(f"s{i % 2}", i // 2, at(a), at(a + d)) for i, (a, d) in enumerate([(3.0, 2.0), (1.5, 0.5), (50.0, 25.0), (60.0, 5.0), (80.0, 5.0), (80.0, 0.0)])]
+    kinds = ("session string, ts timestamp, cell_id int, spike_row long", "session string, event_index long, start timestamp, end timestamp")
+    for name, rows, kind in (("spikes", spikes, kinds[0]), ("events", events, kinds[1])):
+        order = rng.permutation(len(rows))
+        for k in range(4):  # arrival in another order than time
+            spark.createDataFrame([rows[i] for i in order[k::4]], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    joined = streaming.event_spike_join(read("spikes", kinds[0]), read("events", kinds[1]), "5 seconds", "10 minutes")
+    q = joined.writeStream.format("memory").queryName("w6").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.session, r.event_index, r.spike_row) for r in spark.table("w6").collect())
+    want = sorted((s, e, row) for s, e, a, b in events for s2, t, _, row in spikes if s == s2 and a <= t < b)
+    assert got == want and len(want) > 50
+
+
+def test_state_of_the_join_is_dropped(spark, tmp_path):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    for k in range(3):
+        when = base + dt.timedelta(hours=k)
+        spark.createDataFrame([("s", when, 1, k)], "session string, ts timestamp, cell_id int, spike_row long").coalesce(1).write.mode("append").parquet(str(tmp_path / "spikes"))
+        spark.createDataFrame([("s", k, when, when + dt.timedelta(seconds=2))], "session string, event_index long, start timestamp, end timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    read = lambda name, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    joined = streaming.event_spike_join(read("spikes", "session string, ts timestamp, cell_id int, spike_row long"), read("events", "session string, event_index long, start timestamp, end timestamp"))
+    q = joined.writeStream.format("memory").queryName("w7").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("w7").count() == 3
+    assert sum(x["numRowsTotal"] for x in q.lastProgress["stateOperators"]) < 6
+
+
+def test_records_are_read_by_ranges(spark, tmp_path):
+    from driftfield.sources import records
+
+    rng = np.random.default_rng(1)
+    n, samples = 1000, 50
+    body = np.zeros(n, np.dtype([("c", [("t", ">u4"), ("v", "i1", (samples,))], (4,))]))
+    body["c"]["t"] = (np.arange(n) * 960)[:, None]
+    body["c"]["v"] = rng.integers(-128, 128, (n, 4, samples))
+    head = b"timebase 96000 hz\r\nsamples_per_spike 50\r\nnum_spikes 990\r\n"
+    (tmp_path / "day1").mkdir()
+    (tmp_path / "day1" / "rat7.3").write_bytes(head + b"data_start" + body.tobytes() + b"\r\ndata_end\r\n")
+    (tmp_path / "day1" / "rat7.eeg").write_bytes(b"no such records")
+    df = records.read_records(spark, str(tmp_path), "tetrode", split_bytes=216 * 64)
+    assert df.rdd.getNumPartitions() == 16  # a partition is a range of 64 records
+    rows = sorted(df.collect(), key=lambda r: r.spike_row)
+    assert len(rows) == 990 and {(r.session, r.tetrode) for r in rows} == {("rat7", 3)}
+    assert [r.spike_row for r in rows] == list(range(990)) and rows[7].t == pytest.approx(0.07)
+    assert rows[500].waveform == body["c"]["v"][500].ravel().tolist()
+    marks = {r.mark_id: r for r in records.peak_marks(df).collect()}
+    for i in (0, 989):
+        v = body["c"]["v"][i].astype(int)
+        m = marks[i * 1024 + 3]
+        assert [m.f1, m.f2, m.f3, m.f4] == (v.max(1) - v.min(1)).tolist() and m.grp == 3
+    pos = np.zeros(50, records.POSITION_RECORD)
+    pos["frame"], pos["v"] = np.arange(50), rng.integers(0, 500, (50, 8))
+    pos["v"][3, :2], pos["v"][4, :4] = 1023, 1023
+    (tmp_path / "rat7.pos").write_bytes(b"pixels_per_metre 300\r\nsample_rate 50 hz\r\ndata_start" + pos.tobytes() + b"\r\ndata_end\r\n")
+    key = lambda r: (r.session, r.frame_idx)
+    assert sorted(records.read_records(spark, f"file://{tmp_path}", "position", split_bytes=100).collect(), key=key) == sorted(files.read_positions(spark, str(tmp_path)).collect(), key=key)
+    egf = rng.integers(-999, 999, 333).astype(">i2")
+    (tmp_path / "rat7.egf").write_bytes(b"sample_rate 4800 hz\r\ndata_start" + egf.tobytes() + b"\r\ndata_end\r\n")
+    got = sorted(records.read_records(spark, str(tmp_path), "signal", split_bytes=64).collect(), key=lambda r: r.sample)
+    assert [r.value for r in got] == egf.tolist() and got[-1].t == pytest.approx(332 / 4800)
+    (tmp_path / "bad.egf").write_bytes(b"sample_rate 4800 hz\r\ndata_start123")
+    with pytest.raises(Exception, match="no end mark"):
+        records.read_records(spark, str(tmp_path), "signal").collect()
+    (tmp_path / "none").mkdir()
+    assert records.read_records(spark, str(tmp_path / "none"), "tetrode").collect() == []
+    with pytest.raises(ValueError):
+        records.read_records(spark, str(tmp_path), "music")
+
+
 def test_sessions_are_found(spark, tmp_path):
     for name in ("Rat2/Open1/a.bin", "Rat1/Open2/a.bin", "Rat1/Open2/b.bin", "Rat9/Open1/a.bin", "Rat1/Linear/a.bin"):
         f = tmp_path / name
