@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.rounds import written
 from .models import centres_of, emissions
 from .resampling import draw
 from .tracks import CELL, Grid, _cells, event_spikes, merge_intervals, numbered_runs, rate_map, time_cell, with_neighbours
@@ -107,7 +108,7 @@ def searched_null_windows(events: DataFrame, spikes: DataFrame, keep: int, deal:
     for each event and start; `deal` only spreads a session's events over tasks.
     """
     long = events.withColumn("_dur", F.col("end") - F.col("start"))
-    gaps = free_intervals(events, spikes).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    gaps = written(free_intervals(events, spikes), "gaps").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
     own = long.where("_dur > 0").select("session", "event_index", "_dur", F.pmod(F.hash("event_index"), F.lit(deal)).alias("_deal"))
     step = F.greatest(F.col("_dur") / 2, F.lit(0.001))
     met = own.join(gaps, ["session", "_deal"]).where(F.col("high") - F.col("low") >= F.col("_dur"))
@@ -166,7 +167,7 @@ def matched_windows(events: DataFrame, spikes: DataFrame, keep: int, runs: DataF
     if runs is None:
         runs = spikes.groupBy("session").agg(F.min("t").alias("start"), F.max("t").alias("end"))
     taken = events.select("session", (F.col("start") - padding).alias("start"), (F.col("end") + padding).alias("end"))
-    gaps = base_gaps(runs, taken).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    gaps = written(base_gaps(runs, taken), "gaps").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
     own = events.withColumn("_dur", F.col("end") - F.col("start")).where("_dur > 0").select("session", "event_index", "_dur", F.pmod(F.hash("event_index"), F.lit(deal)).alias("_deal"))
     by = F.lit(float(step)) if step else F.greatest(F.col("_dur") / 2, F.lit(0.001))
     met = own.join(gaps, ["session", "_deal"]).where(F.col("high") - F.col("low") >= F.col("_dur"))

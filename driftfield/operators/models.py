@@ -107,8 +107,8 @@ class Event:
         return np.round((self.centres - low) / unit).astype(np.int64), unit
 
 
-#: Bytes of matrices that a task keeps.
-MADE = 256 << 20
+#: Bytes of matrices that a task keeps, and entries of a table of triples of places, at most.
+MADE, TRIPLES = 256 << 20, 1 << 21
 
 
 def lse(x: np.ndarray, axis=None) -> np.ndarray:
@@ -317,6 +317,8 @@ def pruned(kernel):
     def run(e: Event):
         if len(e.ll) == 1:
             return random(e)
+        if e.support is None and not 0 < e.motion.top_k < e.ll.shape[1]:
+            return e.run(kernel)  # nothing is pruned
         kept = np.full_like(e.ll, -np.inf)
         for t, places in enumerate(e.likeliest(e.motion.top_k)):
             kept[t, places] = e.ll[t, places]
@@ -399,16 +401,26 @@ def candidate_pairs(modes: tuple[str, ...]):
             logs = -0.5 * ((points[..., None, :] - e.centres) ** 2).sum(-1) / sigma**2
             return np.exp(logs[..., to] - lse(logs, -1)[..., None])
 
+        def step_law(t: int, sigma: float) -> np.ndarray:
+            every = np.arange(b)
+            return e.keep(("candidate", sigma, b), lambda: law(e.centres, every, sigma))[np.ix_(at[t - 1], at[t])]
+
+        def turn_law(t: int, sigma: float) -> np.ndarray:
+            """[before, last, now]; on small grids one table of all triples serves every bin."""
+            if b**3 > TRIPLES:
+                last = e.centres[at[t - 1]][None]
+                return law(last + m.candidate_decay * (last - e.centres[at[t - 2]][:, None]), at[t], sigma)
+            c = e.centres
+            return e.keep(("turning", sigma, m.candidate_decay, b), lambda: law(c[None] + m.candidate_decay * (c[None] - c[:, None]), np.arange(b), sigma))[np.ix_(at[t - 2], at[t - 1], at[t])]
+
         def go(mode: str, p: np.ndarray | None, t: int) -> np.ndarray:
             """Pairs (bin t - 1, bin t) from pairs (bin t - 2, bin t - 1), or from even odds at the outset."""
-            now = e.centres[at[t - 1]]
-            sums = np.full(len(now), 1 / b) * np.exp(e.ll[0, at[0]] - tops[0]) if p is None else p.sum(0)
+            sums = np.exp(e.ll[0, at[0]] - tops[0]) / b if p is None else p.sum(0)
             if mode == "jump":
                 return np.repeat(sums[:, None] / b, len(at[t]), 1)
             if mode != "momentum" or p is None:
-                return sums[:, None] * law(now, at[t], width[mode])
-            ahead = now[None] + m.candidate_decay * (now[None] - e.centres[at[t - 2]][:, None])
-            return np.einsum("ij,ijl->jl", p, law(ahead, at[t], width[mode]))
+                return sums[:, None] * step_law(t, width[mode])
+            return np.einsum("ij,ijl->jl", p, turn_law(t, width[mode]))
 
         tops = np.array([e.ll[t, at[t]].max() if len(at[t]) else -np.inf for t in range(len(e.ll))])
         none = float("-inf"), np.full_like(e.ll, 1 / b)
@@ -436,18 +448,19 @@ def well_route(e: Event):
 
     The place that all paths are drawn to lies on the route where the share of time that has passed puts it.
     """
-    goals = e.centres[[0, -1]] if e.goals is None or len(e.goals) < 2 else e.goals
-    routes = [(a, b) for i, a in enumerate(goals) for j, b in enumerate(goals) if i != j]
-    share, m = (np.cumsum(e.steps) / e.steps.sum() if len(e.steps) else e.steps), e.motion
-    found = []
-    for a, b in routes:
-        moves = []
-        for s, u in zip(e.steps, share):
-            gap = a + u * (b - a) - e.centres
-            far = np.sqrt((gap**2).sum(1, keepdims=True))
-            moves.append(gaussian(e.centres, e.centres + gap * np.minimum(1.0, m.route_speed * s / np.maximum(far, 1e-12)), m.route_width * max(float(s), 1e-12) ** 0.5, 4.0))
-        found.append(forward(e.ll, _even(e), lambda k, p, moves=moves: moves[k] @ p))
-    return mixed(found)
+    goals, m = e.centres[[0, -1]] if e.goals is None or len(e.goals) < 2 else e.goals, e.motion
+    start, end = (np.array(x) for x in zip(*[(a, b) for i, a in enumerate(goals) for j, b in enumerate(goals) if i != j]))
+    share = np.cumsum(e.steps) / e.steps.sum() if len(e.steps) else e.steps
+
+    def step(k, p):  # p: (route, place)
+        s = max(float(e.steps[k]), 1e-12)
+        gap = (start + share[k] * (end - start))[:, None, :] - e.centres[None]
+        far = np.sqrt((gap**2).sum(-1, keepdims=True))
+        to = e.centres[None] + gap * np.minimum(1.0, m.route_speed * s / np.maximum(far, 1e-12))
+        moves = gaussian(e.centres, to.reshape(-1, 2), m.route_width * s**0.5, 4.0).reshape(len(e.centres), *p.shape)
+        return np.einsum("xry,ry->rx", moves, p)
+
+    return forward(e.ll, np.full((len(start), e.ll.shape[1]), 1 / (len(start) * e.ll.shape[1])), step)
 
 
 def mixed(found: list[tuple[float, np.ndarray]]) -> tuple[float, np.ndarray]:

@@ -16,6 +16,8 @@ from .track_queries import _BIN, _BINS, _COUNTS, GRID, RATES_SQL, rates
 
 QUERIES: dict = {}
 DT = 20.0
+#: The grid here has 32 places, of which pruned models keep half.
+PRUNED = op.Motion(top_k=16, candidate_k=16)
 GOALS = ((12.5, 12.5), (187.5, 12.5), (12.5, 87.5), (187.5, 87.5))
 
 
@@ -83,7 +85,7 @@ def first_order_evidence(spark, d):
 def latent_model_evidence(spark, d):
     """All registered models of every event, in one grouped pass over the emissions."""
     fitted = tracks.empirical_transitions(rel.position(spark, d), GRID)
-    s = op.score_events(_emissions(spark, d), GRID, list(op.REGISTRY), op.Motion(), DT, GOALS, fitted)
+    s = op.score_events(_emissions(spark, d), GRID, list(op.REGISTRY), PRUNED, DT, GOALS, fitted)
     return s.select("session", "event_index", "model", "evidence_support", _r("log_evidence", digits=6), "n_time", "n_spikes")
 
 
@@ -152,7 +154,7 @@ def clusterless_model_evidence(spark, d):
 @query()
 def clusterless_latent_evidence(spark, d):
     """The switching models on mark emissions."""
-    s = op.score_events(_clusterless(spark, d), GRID, ["state-space-diffusion", "state-space-first-order-imm", "state-space-momentum-exact", "state-space-imm", "trajectory-imm-exact", "displacement-imm"], op.Motion(), DT, prefix="clusterless-")
+    s = op.score_events(_clusterless(spark, d), GRID, ["state-space-diffusion", "state-space-first-order-imm", "state-space-momentum-exact", "state-space-imm", "trajectory-imm-exact", "displacement-imm"], PRUNED, DT, prefix="clusterless-")
     return s.select("session", "event_index", "model", "evidence_support", _r("log_evidence", digits=5))
 
 
