@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .chains import scored
 from .models import Motion, emissions, summed_emissions
 from .resampling import draw
-from .tracks import Grid, event_spikes
+from .tracks import Grid, event_spikes, numbered_runs
 
 
 def cell_gains(spikes: DataFrame, events: DataFrame, rates: DataFrame, prior_count: float = 5.0, prior_gain: float = 1.0, low: float = 0.05, high: float = 20.0) -> DataFrame:
@@ -79,10 +79,14 @@ def permuted_rates(rates: DataFrame, by_cell: bool = False, seed: str = "places"
 
 
 def permuted_rows(rows: DataFrame, by: str, key: str, columns: list[str], seed: str = "rows") -> DataFrame:
-    """The columns dealt anew among the rows of each group, all of a row together: marks among spikes, or whole labels among events."""
-    w = Window.partitionBy(by)
-    place = rows.drop(*columns).withColumn("_r", F.row_number().over(w.orderBy(key)))
-    dealt = rows.select(by, *columns, F.row_number().over(w.orderBy(draw(seed, F.col(by), F.col(key)), key)).alias("_r"))
+    """The columns dealt anew among the rows of each group, all of a row together: marks among spikes, or whole labels among events.
+
+    key: a whole number of its own for each row of a group. Rows are numbered by it, and by
+    their draws, inside cells of the one and of the other, so that no task sorts a group.
+    """
+    place = numbered_runs(rows.drop(*columns).withColumn("_cell", F.floor(F.col(key) / 65536)), F.lit(1), "_r", by, [key]).drop("_cell")
+    drawn = rows.select(by, key, *columns, draw(seed, F.col(by), F.col(key)).alias("_d")).withColumn("_cell", F.floor(F.col("_d") * 4096))
+    dealt = numbered_runs(drawn, F.lit(1), "_r", by, ["_d", key]).select(by, *columns, "_r")
     return place.join(dealt, [by, "_r"]).drop("_r")
 
 

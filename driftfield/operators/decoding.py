@@ -48,6 +48,14 @@ def decode_positions(position: DataFrame, spikes: DataFrame, grid: Grid, width:
     return post.select("session", "fold", F.col("event_index").alias("window_index"), "n_spikes", "true_x", "true_y", "mean_x", "mean_y", "map_x", "map_y", gap("mean").alias("mean_error"), gap("map").alias("map_error"), "true_bin", "true_probability", rank.alias("true_rank"), (rank / F.lit(grid.nx * grid.ny)).alias("rank_fraction"))
 
 
+def decoding_summary(windows: DataFrame, by: tuple[str, ...] = ("session",)) -> DataFrame:
+    """Windows, folds, median errors, the true place's mean probability and median rank, and spikes a window, of rows of `decode_positions`."""
+    medians = {"mean_error": "median_mean_error", "map_error": "median_map_error", "true_rank": "median_true_rank"}
+    return windows.where("true_bin >= 0").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("windows"), F.count_distinct("fold").alias("folds"), *[F.median(c).alias(n) for c, n in medians.items()],
+        F.avg("true_probability").alias("mean_true_probability"), F.avg("n_spikes").alias("mean_spikes"))
+
+
 def matched_null_windows(events: DataFrame, spikes: DataFrame, keep: int, draws: int = 32) -> DataFrame:
     """For each event up to `keep` windows of its length elsewhere in its session, closest in spike count.
 

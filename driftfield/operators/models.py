@@ -876,6 +876,32 @@ def score_events(emissions: DataFrame, grid: Grid, models: list[str], motion: Mo
     return _by_event(emissions, transitions).mapInArrow(run, SCORE_SCHEMA)
 
 
+def goal_probabilities(emissions: DataFrame, grid: Grid, goals, motion: Motion = Motion(), dt: float = 1.0) -> DataFrame:
+    """session, event_index, goal, log_evidence and probability: which goal each event's path drifts to, all being as likely before.
+
+    Goals are numbered as given. Where no goal has a path all stay as likely.
+    """
+    wanted, centres = np.array(goals, float).reshape(-1, 2), centres_of(grid)
+    if not len(wanted):
+        raise ValueError("there are no goals")
+    shape = "session string, event_index long, goal int, log_evidence double, probability double"
+
+    def run(batches):
+        made: dict = {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                dur = np.array([x["bin_dur"] for x in row["bins"]], float)
+                e = Event(np.array([x["ll"] for x in row["bins"]], float), centres, (dur[1:] + dur[:-1]) / 2, dt, motion, made=made)
+                logs = np.array([goal(Event(e.ll, e.centres, e.steps, dt, motion, wanted[g : g + 1], made=made))[0] for g in range(len(wanted))])
+                out += [(row["session"], row["event_index"], g, float(logs[g]), float(p)) for g, p in enumerate(law_of(logs[None])[0])]
+            cols = list(zip(*out)) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in shape.split(", ")])
+
+    return _by_event(emissions).mapInArrow(run, shape)
+
+
 def trajectories(emissions: DataFrame, grid: Grid, models: list[str], motion: Motion = Motion(), dt: float = 1.0) -> DataFrame:
     """One row per event, model and time bin: the posterior of places given the whole event, its mean, likeliest place, spread and entropy."""
     unknown = [m for m in models if m not in SMOOTHED]

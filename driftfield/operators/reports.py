@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from .evidence import EVENT, evidence_margins, one_per_model, with_support
 from .resampling import draw
-from .tracks import numbered_runs, time_cell
+from .tracks import numbered_islands, numbered_runs, time_cell
 
 #: Quality of a candidate support, and the log masses from which it is good or a warning.
 NOT_PRUNED, GOOD, WARNING, POOR, UNCLEAR = "exact_or_not_pruned", "conservative_good", "conservative_warning", "conservative_poor", "conservative_unknown"
@@ -224,6 +224,39 @@ def source_groups(tables: dict[str, DataFrame], group: str, keys: list[str]) ->
     return every.groupBy("source_group").agg(*[F.sum((F.col("_from") == n).cast("long")).alias(n) for n in tables])
 
 
+#: A window is named by its session, its event and its number among that event's windows.
+WINDOW_KEY = ["session", "event_index", "null_index"]
+
+
+def overlap_groups(tables: dict[str, DataFrame]) -> DataFrame:
+    """WINDOW_KEY, start, end, source and overlap_group of the windows of several tables.
+
+    Windows of a session that overlap or touch, whatever table they come from and directly
+    or by way of others, have one group: the session and the group's number in time order.
+    A window that a table holds twice is there twice.
+    """
+    rows = [t.select(*WINDOW_KEY, "start", "end").withColumn("source", F.lit(n)) for n, t in tables.items()]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return numbered_islands(every).withColumn("overlap_group", F.concat_ws("|", "session", F.col("_island").cast("string"))).drop("_island")
+
+
+def one_per_overlap(tables: dict[str, DataFrame], value: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """One window of each overlap group: that of the largest value, ties by key; and how many windows of each table it stands for.
+
+    value: WINDOW_KEY and value, of the windows that may be chosen. Windows whose key is
+    among the `taken` ones are left out before they are grouped, by the whole key, so that an
+    event number of another session takes nothing. Groups without a window that may be chosen have no row.
+    """
+    left = {n: t if taken is None else t.join(taken.select(*WINDOW_KEY).distinct(), WINDOW_KEY, "left_anti") for n, t in tables.items()}
+    groups = overlap_groups(left)
+    counts = groups.groupBy("overlap_group").agg(*[F.sum((F.col("source") == n).cast("long")).alias(n) for n in tables], F.min("start").alias("group_start"), F.max("end").alias("group_end"))
+    windows = groups.dropDuplicates([*WINDOW_KEY, "overlap_group"]).join(value.select(*WINDOW_KEY, "value").where("value is not null"), WINDOW_KEY)
+    chosen = strongest_of_group(windows, "overlap_group", "value", WINDOW_KEY).select(*WINDOW_KEY, "start", "end", "value", "overlap_group")
+    return chosen.join(counts, "overlap_group")
+
+
 def strongest_of_group(rows: DataFrame, group: str, value: str, order: list[str]) -> DataFrame:
     """One row of each group: that of the largest value, ties by the order columns; rows without a group all stay."""
     w = Window.partitionBy(group).orderBy(F.desc_nulls_last(value), *order)

@@ -78,8 +78,8 @@ def control_p_values(observed: DataFrame, controls: DataFrame, keys: list[str],
 
 def circular_shift(spikes: DataFrame, seed: str = "shift") -> DataFrame:
     """Each cell's spike times moved round the session's span by an amount of its own."""
-    w = Window.partitionBy("session")
-    s = spikes.withColumn("_low", F.min("t").over(w)).withColumn("_span", F.max("t").over(w) - F.min("t").over(w) + 1.0)
+    spans = spikes.groupBy("session").agg(F.min("t").alias("_low"), (F.max("t") - F.min("t") + 1.0).alias("_span"))
+    s = spikes.join(spans, "session")
     moved = F.col("t") - F.col("_low") + draw(seed, F.col("session"), F.col("cell_id")) * F.col("_span")
     return s.withColumn("t", F.col("_low") + moved - F.floor(moved / F.col("_span")) * F.col("_span")).drop("_low", "_span")
 

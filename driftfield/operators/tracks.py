@@ -74,20 +74,25 @@ def in_intervals(points: DataFrame, intervals: DataFrame, closed: bool = True) -
     return points.join(cells, (F.col("session") == F.col("_s")) & (F.floor(F.col("t") / CELL) == F.col("_c")) & inside, "left_semi")
 
 
-def merge_intervals(intervals: DataFrame) -> DataFrame:
-    """Disjoint half-open intervals that cover the same times: islands by a running maximum of ends.
+def numbered_islands(intervals: DataFrame) -> DataFrame:
+    """Adds `_island`: a number within the session that all intervals have which overlap or touch, directly or by way of others.
 
-    Intervals without length cover nothing. The maximum runs inside time cells of the starts
-    and is carried over from the cells before.
+    The running maximum of ends goes inside time cells of the starts and is carried over
+    from the cells before.
     """
-    rows = intervals.where("end > start").withColumn("_cell", time_cell("start"))
+    rows = intervals.withColumn("_cell", time_cell("start"))
     highest = rows.groupBy("session", "_cell").agg(F.max("end").alias("_high"))
     carried = highest.withColumn("_carried", F.max("_high").over(Window.partitionBy("session").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))).drop("_high")
     inside = F.max("end").over(Window.partitionBy("session", "_cell").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     before = F.greatest(F.col("_inside"), F.col("_carried"))
     rows = rows.withColumn("_inside", inside).join(carried, ["session", "_cell"]).withColumn("_reach", before).drop("_inside", "_carried")
     new = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0)
-    return numbered_runs(rows, new, "_island", "session", ["start", "end"]).groupBy("session", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    return numbered_runs(rows, new, "_island", "session", ["start", "end"]).drop("_cell", "_reach")
+
+
+def merge_intervals(intervals: DataFrame) -> DataFrame:
+    """Disjoint half-open intervals that cover the same times. Intervals without length cover nothing."""
+    return numbered_islands(intervals.where("end > start")).groupBy("session", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def exposure_outside(frames: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
-from ..operators import candidates, chains, graph, marks, models, reports, tracks
+from ..operators import candidates, chains, decoding, graph, marks, models, priors, regression, reports, separable, tracks
 from ..sources import relations as rel
-from .model_queries import _LL, DT, _emissions
+from .model_queries import _FORWARD, _LL, DT, GOALS, _decoded, _emissions
 from .track_queries import _ASOF, _BIN, _BINS, _P, _VISITS, GRID, RATES_SQL, rates, wells
 
 QUERIES: dict = {}
@@ -181,3 +181,61 @@ def supported_evidence(spark, d):
     names = ["state-space-momentum", "state-space-imm", "candidate-stationary", "candidate-diffusion", "candidate-momentum", "candidate-imm", "candidate-jump"]
     scored = models.score_events(s, GRID, names, models.Motion(), DT).join(candidates.support_masses(s), ["session", "event_index"])
     return scored.select("session", "event_index", "model", "evidence_support", _r("log_evidence", digits=5), _r("candidate_log_mass"), _r("mean_support"))
+
+
+@query(f"""{_FORWARD} select session, event_index, unnest(['stationary', 'diffusion', 'fragmented']) as mode, round(unnest([list_sum(p0), list_sum(p1), list_sum(p2)]), 5) + 0.0 as probability from fw""")
+def mode_probabilities(spark, d):
+    """Which mode of the switching model each event ends in."""
+    return chains.mode_probabilities(_emissions(spark, d), GRID, models.Motion(), DT).select("session", "event_index", "mode", _r("probability", digits=5))
+
+
+@query()
+def goal_probabilities(spark, d):
+    """Which of four goals each event's path drifts to."""
+    g = models.goal_probabilities(_emissions(spark, d), GRID, GOALS, models.Motion(), DT)
+    return g.select("session", "event_index", "goal", _r("log_evidence", digits=5), _r("probability"))
+
+
+@query()
+def position_decoding_summary(spark, d):
+    """Errors, ranks and probabilities of decoded positions by session, over all folds."""
+    s = decoding.decoding_summary(_decoded(spark, d))
+    return s.select("session", "windows", "folds", *[_r(c, digits=5) for c in ("median_mean_error", "median_map_error", "median_true_rank", "mean_true_probability", "mean_spikes")])
+
+
+@query()
+def fitted_prior_evidence(spark, d):
+    """Diffusion and momentum of the separable suite, marginalised under priors fitted to each session's best settings."""
+    grid = separable.Settings(still=(25.0,), diffusion=(4.0, 8.0, 16.0, 32.0, 64.0), momentum=(1.0, 4.0, 16.0, 64.0), decay=(0.05, 0.2, 0.5, 1.0), initial=1.0)
+    scored = separable.score_settings(_emissions(spark, d), GRID, grid, DT)
+    event, out = ["session", "event_index", "model"], None
+    for model, settings in (("diffusion", ["scale"]), ("momentum", ["scale", "decay"])):
+        mine = scored.where(F.col("model") == model)
+        prior = priors.fitted_priors(mine, event, ["session", "model"], settings, "log_evidence")
+        m = regression.marginal_evidence(mine.join(prior, ["session", "model", *settings]), event, "log_evidence", "prior")
+        out = m if out is None else out.unionByName(m)
+    return out.select(*event, "settings", _r("marginal_log_evidence", digits=5))
+
+
+_KINDS = {"errors": "error", "signups": "signup", "purchases": "purchase"}
+_OVERLAPS = f"""{_P}, win as (select session, event_id as event_index, user_id % 3 as null_index, event_type, value, t as start, t + 5 + k / 20.0::double as "end" from stream where event_type in {tuple(_KINDS.values())}),
+free as (select * from win w where not (event_type <> 'error' and exists (select 1 from win x where x.event_type = 'error' and x.session = w.session and x.event_index = w.event_index + 1 and x.null_index = w.null_index))),
+om as (select *, max("end") over (partition by session order by start, "end" rows between unbounded preceding and 1 preceding) as reach from free),
+og as (select *, sum(case when reach is null or start > reach then 1 else 0 end) over (partition by session order by start, "end" rows unbounded preceding) as g from om),
+oc as (select session, g, {', '.join(f"sum((event_type = '{t}')::int)::bigint as {n}" for n, t in _KINDS.items())} from og group by 1, 2),
+ob as (select *, row_number() over (partition by session, g order by value desc, event_index, null_index) as r from og where value is not null)"""
+
+
+def _windows(spark, d, kind):
+    s = rel._stream(spark, d).where(F.col("event_type") == kind)
+    return s.select("session", F.col("event_id").alias("event_index"), (F.col("user_id") % 3).alias("null_index"), F.col("t").alias("start"), (F.col("t") + 5 + F.col("k") / 20).alias("end"), "value")
+
+
+@query(f"{_OVERLAPS} select session, event_index, null_index, {_s('value', digits=5)}, errors, signups, purchases from ob join oc using (session, g) where r = 1")
+def one_window_per_overlap(spark, d):
+    """Of windows of three tables that overlap one another the strongest; those of the second and third whose successor is an error's window are taken before."""
+    tables = {n: _windows(spark, d, kind) for n, kind in _KINDS.items()}
+    every = tables["errors"].unionByName(tables["signups"]).unionByName(tables["purchases"])
+    taken = tables["errors"].select("session", (F.col("event_index") - 1).alias("event_index"), "null_index").join(tables["errors"].select(*reports.WINDOW_KEY), reports.WINDOW_KEY, "left_anti")
+    best = reports.one_per_overlap(tables, every, taken)
+    return best.select(*reports.WINDOW_KEY, _r("value", digits=5), "errors", "signups", "purchases")
