@@ -28,6 +28,21 @@ def test_fit_recovers_order():
     assert np.allclose(w, [2.0, 1.0, 0.5, 0.0, -1.0, 0.0], atol=0.3) and np.allclose(t, [0.5, 1.5, 3.0], atol=0.3)
 
 
+def test_two_grades_equal_newton():
+    """With one threshold the fit is the penalised likeliest logistic regression, found here by Newton steps."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((600, 8)) < 0.3).astype(float)
+    y = rng.random(600) < 1 / (1 + np.exp(1.0 - x @ rng.normal(size=8)))
+    penalty, full, beta = 1e-3, np.column_stack((x, -np.ones(600))), np.zeros(9)
+    ridge = np.diag([penalty] * 8 + [0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ beta))
+        beta = beta + np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full / 600 + ridge, full.T @ (y - p) / 600 - ridge @ beta)
+    rows, cols = np.nonzero(x)
+    w, t = toxicity.fit_ordinal(rows, cols, y.astype(int), 8, 1, steps=4000, penalty=penalty, rate=0.02)
+    assert np.allclose(w, beta[:8], atol=2e-3) and np.allclose(t, beta[8:], atol=2e-3)
+
+
 def test_graded_labels(spark):
     rng = np.random.default_rng(1)
     docs, labels = [], []
