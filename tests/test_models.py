@@ -202,7 +202,7 @@ def test_displaced_modes_sum_all_paths():
 def test_prefixes_are_the_evidence_of_cut_events(model):
     e = event(4)
     for t, v in enumerate(m.prefixes_of(model, e)):
-        assert v == pytest.approx(m.REGISTRY[model][0](m.Event(e.ll[: t + 1], CENTRES, e.steps[:t], 1.0, e.motion))[0])
+        assert v == pytest.approx(m.model_of(model)[0](m.Event(e.ll[: t + 1], CENTRES, e.steps[:t], 1.0, e.motion))[0])
 
 
 def test_valid_places_only(spark):
