@@ -49,7 +49,7 @@ def _training(spark, d):
     return at.join(features, "spike_row").select("session", "t", "x", "y", "f1", "f2", F.col("spike_row").alias("mark_id"), (F.col("cell_id") % GROUPS).cast("long").alias("grp"))
 
 
-@query(f"{_KERNEL} select session, grp, bin_id::int as bin_id, count(*) as marks, {_s('sum(exp(log_w) * f1)', 'f1_mean', 5)}, {_s('sum(exp(log_w) * f2)', 'f2_mean', 5)} from ksup group by 1, 2, 3")
+@query(f"{_KERNEL} select session, grp::bigint as grp, bin_id::int as bin_id, count(*) as marks, {_s('sum(exp(log_w) * f1)', 'f1_mean', 5)}, {_s('sum(exp(log_w) * f2)', 'f2_mean', 5)} from ksup group by 1, 2, 3")
 def mark_kernel_support(spark, d):
     """The marks that stand for each place, by group and for the whole session, and their weighted means."""
     s = marks.kernel_support(marks.with_whole(_training(spark, d), "grp"), GRID, ["f1", "f2"], ["session", "grp"], KERNELS)
