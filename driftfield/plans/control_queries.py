@@ -58,8 +58,8 @@ ll as (select iv.session, iv.event_index, iv.t_idx, s.bin_id, coalesce(f, 0) - t
 select session, event_index, count(*) as intervals, round(sum(m + ln(e / 32)), 3) + 0.0 as random_log_evidence from (select session, event_index, t_idx, any_value(mm) as m, sum(exp(ll - mm)) as e from (select *, max(ll) over (partition by session, event_index, t_idx) as mm from ll) group by 1, 2, 3) group by 1, 2""")
 def continuous_time_evidence(spark, d):
     """Random evidence of each event, with an interval for each spike time."""
-    e = op.continuous_emissions(rel.spikes(spark, d), rel.short_events(spark, d), rates(spark, d))
-    return e.groupBy("session", "event_index").agg(F.count(F.lit(1)).alias("intervals"), _r(F.sum(lk.log_sum_exp(F.col("ll")) - F.log(F.lit(32.0))), "random_log_evidence", 3))
+    e = op.continuous_random_evidence(rel.spikes(spark, d), rel.short_events(spark, d), rates(spark, d))
+    return e.select("session", "event_index", "intervals", _r("log_evidence", "random_log_evidence", 3))
 
 
 @query(f"{RATES_SQL}, sh as (select session, floor({_draw(chr(39) + 'roll' + chr(39), 'session')} * 31)::int + 1 as k from (select distinct session from rates)) select r.session, r.cell_id, ((bin_id // 4 + k // 4) % 8 * 4 + (bin_id % 4 + k % 4) % 4)::int as bin_id, {_s('rate_hz', digits=5)} from rates r join sh using (session)")
