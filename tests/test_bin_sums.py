@@ -38,3 +38,11 @@ def test_sums_of_values_leave_out_nulls(spark):
         assert (r.n, r.known) == (len(inside), len(held))
         assert math.isclose(r.s_f, sum(held)) and math.isclose(r.q_f, sum(x * x for x in held))
     assert len(rows) == 3
+
+
+def test_events_may_be_named_by_structs_without_nulls(spark):
+    spikes, events = _tables(spark)
+    named = events.select("session", F.struct("event_index", F.lit(3).alias("draw")).alias("event_index"), "start", "end")
+    n = tracks.spikes_of(spikes, named).groupBy("session", "event_index").agg(F.sum("n").alias("n")).select("session", "event_index.*", "n")
+    got = {(r.session, r.event_index): r.n for r in n.where("draw = 3").collect()}
+    assert got == {(s, i): sum(x == s and t is not None and a <= t < b for x, _, t, _ in SPIKES) for s, i, a, b in EVENTS if s != "c" and b > a}
