@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.evidence import EXACT
 from ..sources.rounds import forget, written
-from .chains import chain, dot, total
+from .batches import score_matrices
+from .models import by_event, deals
 from .tracks import Grid
 
 
@@ -68,25 +68,30 @@ def way_steps(ways: DataFrame, sigma: float, truncate: float = 4.0, stay: float
     return near.withColumn("probability", p).select("session", "src", "dst", "probability")
 
 
-def score_ways(emissions: DataFrame, steps: DataFrame, places: int, model: str) -> DataFrame:
-    """Evidence and last law of each event under its session's steps (session, src, dst, probability), as expressions.
-
-    Only places with steps are there, at even odds in the first bin. Events of sessions
-    without any have no row. A session's steps come as one array of arrays, places^2 numbers.
-    """
+def way_matrices(steps: DataFrame, places: int) -> DataFrame:
+    """session and matrix: the steps (session, src, dst, probability) of each session as an array of arrays [dst, src]."""
     row = F.array_repeat(F.lit(0.0), places)
     fill = lambda pairs: F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda b: F.coalesce(F.element_at(pairs, b), F.lit(0.0)))
     rows = steps.groupBy("session", "dst").agg(fill(F.map_from_entries(F.collect_list(F.struct("src", "probability")))).alias("r"))
-    whole = rows.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("dst", "r"))).alias("m"), F.collect_set("dst").alias("here"))
-    laws = whole.select("session", "here", F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda b: F.coalesce(F.element_at("m", b), row)).alias("laws"))
-    bins = emissions.groupBy("session", "event_index").agg(F.sort_array(F.collect_list(F.struct("t_idx", "n_spikes", "ll"))).alias("b")).join(laws, "session")
-    there = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda b: F.array_contains("here", b))
-    held = bins.withColumn("bins", F.transform("b", lambda x: F.struct(F.zip_with(x["ll"], there, lambda v, ok: F.when(ok, v).otherwise(float("-inf"))).alias("ll"), F.lit(0.0).alias("step"))))
-    found = chain(F.col("bins"), places, 1, lambda p, _: [F.transform("laws", lambda r: dot(r, p[0]))])
-    scored = held.select("session", "event_index", F.size("b").alias("n_time"), total(F.transform("b", lambda x: x["n_spikes"].cast("double"))).cast("long").alias("n_spikes"), F.size("here").alias("valid_places"), found.alias("f"))
-    # the chain starts at even odds over all places
-    value = F.col("f.value") + F.log(F.lit(float(places))) - F.log(F.col("valid_places").cast("double"))
-    return scored.select("session", "event_index", F.lit(model).alias("model"), F.lit(EXACT).alias("evidence_support"), value.alias("log_evidence"), "n_time", "n_spikes", "valid_places", F.col("f.laws")[0].alias("terminal"))
+    whole = rows.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("dst", "r"))).alias("m"))
+    return whole.select("session", F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda b: F.coalesce(F.element_at("m", b), row)).alias("matrix"))
+
+
+def score_ways(emissions: DataFrame, steps: DataFrame | None, places: int, model: str) -> DataFrame:
+    """Evidence and last law of each event under its session's steps (session, src, dst, probability), over whole batches of events.
+
+    Only places with steps are there, at even odds in the first bin. Events of sessions
+    without any have no row. A session's steps are one matrix of places^2 numbers, which
+    stands before the events of each of the session's parts; emissions that were made
+    beside it (`models.event_emissions`) need no steps.
+    """
+    if "matrix" in emissions.columns:
+        return score_matrices(emissions, places, model)
+    tasks = deals(emissions)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
+    dealt_rows = by_event(emissions).select("session", "event_index", "bins").withColumn("part", F.pmod(F.xxhash64("event_index"), F.lit(tasks)).cast("int"))
+    both = dealt_rows.unionByName(way_matrices(steps, places).withColumn("part", parts), allowMissingColumns=True).repartition(tasks, "session", "part")
+    return score_matrices(both.sortWithinPartitions("session", "part", F.col("matrix").isNull()), places, model)
 
 
 def well_routes(wells: DataFrame, both_ways: bool = True) -> DataFrame:

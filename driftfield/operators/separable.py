@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .models import Event, _by_event, centres_of, lse, random, stationary
+from .models import Event, by_event, centres_of, lse, random, stationary
 from .tracks import Grid
 
 
@@ -126,4 +126,4 @@ def score_settings(emissions: DataFrame, grid: Grid, settings: Settings = Settin
             kinds = (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in shape.split(", ")])
 
-    return _by_event(emissions).mapInArrow(run, shape)
+    return by_event(emissions).mapInArrow(run, shape)

@@ -122,7 +122,7 @@ def heldout_evidence(spark, d):
 @query()
 def ensemble_evidence(spark, d):
     """Spikes and marks as experts of equal weight, under the switching model."""
-    both = op.ensemble(_emissions(spark, d), _clusterless(spark, d))
+    both = op.ensemble(models.binned(_emissions(spark, d)), _clusterless(spark, d))
     s = models.score_events(both, GRID, ["random", "state-space-first-order-imm"], models.Motion(), DT, prefix="ensemble-")
     return s.select("session", "event_index", "model", _r("log_evidence", digits=4))
 
