@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
+from ..sources.rounds import written
 from .evidence import EVENT, evidence_margins, one_per_model, with_support
+from .models import deals
 from .resampling import draw
 from .tracks import numbered_islands, numbered_runs, time_cell
 
 #: Quality of a candidate support, and the log masses from which it is good or a warning.
 NOT_PRUNED, GOOD, WARNING, POOR, UNCLEAR = "exact_or_not_pruned", "conservative_good", "conservative_warning", "conservative_poor", "conservative_unknown"
 GOOD_MASS, WARNING_MASS = -0.01, -0.10
+#: Ranges of values that a median is looked for in; draws of a bootstrap that one row makes.
+RANGES, DRAWS = 1024, 1 << 16
 
 
 def last_per_model(scores: DataFrame, value: str = "log_evidence", scope=EVENT) -> DataFrame:
@@ -99,24 +103,32 @@ def rat_bootstrap(deltas: DataFrame, replicates: int = 200, seed: str = "rats")
     """Intervals of the positive share, mean and median over rats drawn with replacement.
 
     A replicate weighs each rat by how often it is drawn. The median of a replicate is that
-    of its rows, each as often as its rat: by running weights over rows in order, so that
-    no replicate copies rows. Even counts take the mean of the two middle values.
+    of its rows, each as often as its rat: by running weights over ranges of values, and over
+    the values of the range that holds it, so that no replicate copies rows. Even counts take the mean of the two middle values.
     """
     rats = deltas.select("rat").where("rat is not null").distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rat")) - 1)
     n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
     draws = rats.withColumn("n", n).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = draws.select("replicate", F.floor(draw(seed, F.col("replicate"), F.col("i")) * F.col("n")).cast("int").alias("i")).groupBy("replicate", "i").agg(F.count(F.lit(1)).alias("w"))
     weights = drawn.join(rats, "i").select("replicate", "rat", "w")
-    rows = deltas.groupBy("statistic", "rat", "delta").agg(F.count(F.lit(1)).alias("k")).join(weights, "rat").withColumn("k", F.col("k") * F.col("w"))
-    group = Window.partitionBy("statistic", "replicate")
-    upto = F.sum("k").over(group.orderBy("delta").rangeBetween(Window.unboundedPreceding, 0))
-    r = rows.withColumn("_upto", upto).withColumn("_all", F.sum("k").over(group))
-    middle = lambda at: F.min(F.when(F.col("_upto") >= at, F.col("delta")))
+    # distinct deltas are counted once, and ranges of them by rat: a replicate weighs these counts, and looks into the one range that holds its middle
+    counts = written(deltas.where("rat is not null and delta is not null").groupBy("statistic", "rat", "delta").agg(F.count(F.lit(1)).alias("k")), "deltas")
+    spans = counts.groupBy("statistic").agg(F.min("delta").alias("_lo"), F.max("delta").alias("_hi"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("delta") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0).cast("long"))
+    placed = counts.join(F.broadcast(spans), "statistic").withColumn("_at", at).drop("_lo", "_hi")
     d, k = F.col("delta"), F.col("k")
-    each = r.groupBy("statistic", "replicate").agg(
-        (F.sum(F.when(d > 0, k).otherwise(0)) / F.sum(k)).alias("share"), (F.sum(d * k) / F.sum(k)).alias("mean"),
-        ((middle(F.floor((F.col("_all") + 1) / 2)) + middle(F.floor(F.col("_all") / 2) + 1)) / 2).alias("median"),
-    )
+    ranges = placed.groupBy("statistic", "rat", "_at").agg(F.sum("k").alias("k"), F.sum(F.when(d > 0, k).otherwise(0)).alias("p"), F.sum(d * k).alias("s"))
+    ranges = ranges.join(weights, "rat").groupBy("statistic", "replicate", "_at").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in "kps"])
+    group = Window.partitionBy("statistic", "replicate")
+    ranges = ranges.withColumn("_upto", F.sum("k").over(group.orderBy("_at"))).withColumn("_all", F.sum("k").over(group))
+    sides = F.array(F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1)
+    whole = ranges.groupBy("statistic", "replicate").agg((F.sum("p") / F.sum("k")).alias("share"), (F.sum("s") / F.sum("k")).alias("mean"))
+    sought = ranges.select("statistic", "replicate", "_at", (F.col("_upto") - F.col("k")).alias("_before"), F.posexplode(sides).alias("_side", "_rank")).where((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("k")))
+    sought = written(sought, "sought")
+    near = placed.join(sought, ["statistic", "_at"]).join(weights, ["rat", "replicate"]).groupBy("statistic", "replicate", "_side", "_rank", "_before", "delta").agg(F.sum(F.col("k") * F.col("w")).alias("k"))
+    upto = F.col("_before") + F.sum("k").over(Window.partitionBy("statistic", "replicate", "_side").orderBy("delta"))
+    middle = near.withColumn("_upto", upto).where("_upto >= _rank").groupBy("statistic", "replicate", "_side").agg(F.min("delta").alias("delta"))
+    each = whole.join(middle.groupBy("statistic", "replicate").agg((F.sum("delta") / 2).alias("median")), ["statistic", "replicate"])
     ends = [F.percentile(c, F.lit(p)).alias(f"{c}_{n}") for c in ("share", "mean", "median") for n, p in (("low", 0.025), ("high", 0.975))]
     sure = [F.avg((F.col(c) > 0).cast("double")).alias(f"probability_{c}_positive") for c in ("mean", "median")]
     return each.groupBy("statistic").agg(*ends, *sure)
@@ -138,16 +150,22 @@ def nested_bootstrap(rows: DataFrame, group: str, unit: str, order: str, value:
     replicates x rows.
     """
     r = rows.where(F.col(value).isNotNull()).select(group, unit, F.col(value).alias("v"), F.col(order).alias("o"))
-    r = r.withColumn("i", F.row_number().over(Window.partitionBy(group, unit).orderBy("o")) - 1)
+    # what units hold, and in which order, is worked out once and written
+    r = written(r.withColumn("i", F.row_number().over(Window.partitionBy(group, unit).orderBy("o")) - 1).drop("o"), "units")
     units = r.groupBy(group, unit).agg(F.count(F.lit(1)).alias("size"))
     w = Window.partitionBy(group)
     units = units.withColumn("u", F.row_number().over(w.orderBy(unit)) - 1).withColumn("units", F.count(F.lit(1)).over(w))
+    units = written(units.withColumn("_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group, unit))), "sizes")
     slots = units.select(group, F.col("u").alias("slot"), "units").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     slots = slots.withColumn("u", F.floor(draw(seed, F.col("replicate"), F.col(group), F.col("slot")) * F.col("units")).cast("int"))
-    chosen = slots.select(group, "replicate", "slot", "u").join(units.select(group, "u", unit, "size"), [group, "u"])
-    inner = chosen.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
-    inner = inner.withColumn("i", F.floor(draw(seed, F.col("replicate"), F.col(group), F.col("slot"), F.col("k")) * F.col("size")).cast("int"))
-    means = inner.join(r.select(group, unit, "i", "v"), [group, unit, "i"]).groupBy(group, "replicate").agg(F.avg("v").alias("mean"))
+    chosen = slots.select(group, "replicate", "slot", "u").join(units.select(group, "u", "_id", "size"), [group, "u"])
+    # a slot's draws are made some at a time over all tasks, and carry numbers alone
+    blocks = chosen.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / DRAWS)))).repartition(deals(rows), "_id", "replicate", "slot", "_b")
+    inner = blocks.withColumn("k", F.explode(F.sequence(F.col("_b") * DRAWS, F.least(F.col("size"), (F.col("_b") + 1) * DRAWS) - 1)))
+    inner = inner.select("_id", "replicate", F.floor(draw(seed, F.col("replicate"), F.col(group), F.col("slot"), F.col("k")) * F.col("size")).cast("int").alias("i"))
+    # what is exploded looks small and would be broadcast, so the kind of the join is said
+    of = r.join(F.broadcast(units.select(group, unit, "_id")), [group, unit]).select(group, "_id", "i", "v")
+    means = inner.join(of.hint("shuffle_hash"), ["_id", "i"]).groupBy(group, "replicate").agg(F.avg("v").alias("mean"))
     return means.groupBy(group).agg(F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high"))
 
 
