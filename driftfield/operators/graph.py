@@ -115,11 +115,16 @@ def route_labels(points: DataFrame, routes: DataFrame, keys: list[str]) -> DataF
     w = Window.partitionBy("session", "route").orderBy("place_no")
     piece = routes.withColumn("_n", F.max("place_no").over(Window.partitionBy("session", "route"))).withColumns({f"_{c}2": F.lead(c).over(w) for c in ("x", "y")}).where("_x2 is not null")
     piece = piece.select("session", "route", F.col("place_no").alias("_k"), "_n", F.col("x").alias("_x1"), F.col("y").alias("_y1"), "_x2", "_y2")
-    dx, dy = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
-    along = F.when(dx * dx + dy * dy > 0, ((F.col("x") - F.col("_x1")) * dx + (F.col("y") - F.col("_y1")) * dy) / (dx * dx + dy * dy)).otherwise(0.0)
-    met = points.join(piece, "session").withColumn("_u", F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)))
-    ax, ay = F.col("x") - F.col("_x1") - F.col("_u") * dx, F.col("y") - F.col("_y1") - F.col("_u") * dy
-    far = F.round(F.sqrt(ax * ax + ay * ay), 9)  # routes that share an end agree there but for rounding
-    best = met.withColumn("_d", far).groupBy("session", *keys).agg(F.min(F.struct("_d", "route", "_k", "_u", "_n")).alias("b"))
-    label = best.select("session", *keys, F.col("b.route").alias("route"), F.col("b._d").alias("route_distance"), ((F.col("b._k") + F.col("b._u")) / F.col("b._n")).alias("route_progress"))
-    return points.join(label, ["session", *keys], "left")
+    # a point meets its session's pieces as one array and is not copied: the pieces are as few as pairs of wells
+    pieces = piece.groupBy("session").agg(F.collect_list(F.struct("route", "_k", "_n", "_x1", "_y1", "_x2", "_y2")).alias("_pieces"))
+
+    def near(p):
+        dx, dy = p["_x2"] - p["_x1"], p["_y2"] - p["_y1"]
+        along = F.when(dx * dx + dy * dy > 0, ((F.col("x") - p["_x1"]) * dx + (F.col("y") - p["_y1"]) * dy) / (dx * dx + dy * dy)).otherwise(0.0)
+        u = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+        ax, ay = F.col("x") - p["_x1"] - u * dx, F.col("y") - p["_y1"] - u * dy
+        # routes that share an end agree there but for rounding
+        return F.struct(F.round(F.sqrt(ax * ax + ay * ay), 9).alias("_d"), p["route"].alias("route"), p["_k"].alias("_k"), u.alias("_u"), p["_n"].alias("_n"))
+
+    best = points.join(F.broadcast(pieces), "session", "left").withColumn("b", F.array_min(F.transform("_pieces", near)))
+    return best.select(*points.columns, F.col("b.route").alias("route"), F.col("b._d").alias("route_distance"), ((F.col("b._k") + F.col("b._u")) / F.col("b._n")).alias("route_progress"))

@@ -106,3 +106,13 @@ def test_as_of_crosses_time_cells_and_gaps(spark):
     assert [r.x for r in tracks.backward(q, s.withColumnRenamed("t", "at"), "x", "at").orderBy("k").collect()] == [None, 0.0, 0.0, 10.0, 10.0, 20.0]
     merged = tracks.merge_intervals(spark.createDataFrame([("s", 0.0, 900.0), ("s", 300.0, 310.0), ("s", 700.0, 701.0), ("s", 900.0, 905.0), ("s", 906.0, 906.0), ("s", 2000.0, 2001.0)], "session string, start double, end double"))
     assert sorted((r.start, r.end) for r in merged.collect()) == [(0.0, 905.0), (2000.0, 2001.0)]
+
+
+def test_labels_of_routes_are_not_shuffled_by_session(spark):
+    from driftfield.operators import graph
+
+    wells = spark.createDataFrame([("a", 1, 0.0, 0.0), ("a", 2, 10.0, 0.0)], "session string, well_id int, x double, y double")
+    points = spark.range(10).selectExpr("'a' as session", "id", "double(id) as x", "1D as y")
+    plan = graph.route_labels(points, graph.well_routes(wells, both_ways=False), ["id"])
+    assert "strategy=broadcast" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.route, round(r.route_progress, 6)) for r in plan.collect()} == {(i, 0, i / 10) for i in range(10)}
