@@ -1,6 +1,7 @@
 """Operators do the whole job: what was drawn, capped or left out before is there."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -86,6 +87,55 @@ def test_run_local_kinematics_follow_the_runs(spark):
     assert [round(got[i].dt, 6) for i in range(8)] == [1.0, 1.0, 0.033333, 1.0, 1.0, 1.0, 1.0, 1.0]
 
 
+def by_each_run(t, x, y, runs):
+    """sample -> (speed, step), from the samples of each run one after the other."""
+    gap, out = 5 * np.median(np.diff(t)), {}
+    for a, b in set(runs):
+        mine = np.flatnonzero((t >= a) & (t <= b))
+        for piece in np.split(mine, np.flatnonzero(np.diff(t[mine]) > gap) + 1):
+            steps = np.diff(t[piece])
+            for k, i in enumerate(piece):
+                v = 0.0
+                if len(piece) > 1:
+                    h, g = (t[i] - t[piece[k - 1]] if k else None), (t[piece[k + 1]] - t[i] if k + 1 < len(piece) else None)
+                    if h is None:
+                        d = [(z[piece[k + 1]] - z[i]) / g for z in (x, y)]
+                    elif g is None:
+                        d = [(z[i] - z[piece[k - 1]]) / h for z in (x, y)]
+                    else:
+                        d = [(h * h * z[piece[k + 1]] + (g * g - h * h) * z[i] - g * g * z[piece[k - 1]]) / (h * g * (g + h)) for z in (x, y)]
+                    v = float(np.hypot(*d))
+                e = out.setdefault(i, ([], [], []))
+                e[0].append(v)
+                e[1 if k < len(steps) else 2].append(steps[k] if k < len(steps) else np.median(steps) if len(steps) else 1 / 30)
+    return {i: (max(v), min(step or middle)) for i, (v, step, middle) in out.items()}
+
+
+@pytest.mark.parametrize("seed,per_run", [(0, 4.0), (1, 30.0), (2, 400.0), (3, 0.5)])
+def test_run_local_kinematics_make_no_row_for_a_sample_and_a_run(spark, seed, per_run):
+    rng = np.random.default_rng(seed)
+    t = np.cumsum(rng.exponential(1.5, 400) * np.where(rng.random(400) < 0.03, 20, 1))
+    x, y = rng.normal(size=(2, 400))
+    start = np.concatenate((rng.uniform(-10, t[-1], 50), rng.choice(t, 20), [300.0, 300.0, 700.0]))
+    end = start + np.concatenate((rng.exponential(per_run, 50), np.zeros(10), rng.exponential(per_run, 10), [310.0, 310.0, 690.0]))
+    end[60:65] = [t[t >= a][min(3, (t >= a).sum() - 1)] for a in start[60:65]]  # ends at samples
+    p = spark.createDataFrame([("s", i, *map(float, r)) for i, r in enumerate(zip(t, x, y))], "session string, frame_idx long, t double, x double, y double")
+    runs = spark.createDataFrame([("s", float(a), float(b)) for a, b in zip(start, end)], "session string, start double, end double")
+    got = tracks.run_local(p, runs, cap=1e9)
+    assert not re.search(r"Join .*\bt#\d+ >= ", got._jdf.queryExecution().optimizedPlan().toString())  # samples do not meet runs by their bounds
+    found, want = {r.frame_idx: (r.speed, r.dt) for r in got.collect()}, by_each_run(t, x, y, list(zip(start.tolist(), end.tolist())))
+    assert sorted(found) == sorted(want) and want
+    for i, each in want.items():
+        assert found[i] == pytest.approx(each, rel=1e-9), i
+
+
+def test_long_tracks_have_the_least_median_of_suffixes():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 50):
+        steps, first = rng.random(n).round(1), rng.random(n) < 0.3
+        assert tracks.least_median(steps.tolist(), first.tolist()) == pytest.approx(min([np.median(steps[k:]) for k in np.flatnonzero(first)], default=np.inf))
+
+
 def test_training_map_leaves_events_out(spark):
     p = spark.createDataFrame([("s", i, i * 0.5, 2.0 * i, 0.0) for i in range(41)], "session string, frame_idx long, t double, x double, y double")
     spikes = spark.createDataFrame([("s", i, i * 0.25, 1) for i in range(100)], "session string, spike_row long, t double, cell_id int")
