@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from driftfield.operators import batches, models as m
+from driftfield.operators import batches, models as m, separable as sp
 from driftfield.operators.tracks import Grid
 from test_places import CENTRES, GRID, frame, made_events
 
@@ -60,3 +60,25 @@ def test_emissions_of_events_equal_poisson_sums(spark):
             n = [int(((t >= low) & (t < high) & (np.arange(3000) % 3 == c)).sum()) for c in range(2)]
             want = [sum(k * np.log((1.0 + c + p) * (high - low)) - np.log(np.arange(1, k + 1)).sum() for c, k in enumerate(n)) - (3.0 + 2 * p + 2.0 * (p == 0)) * (high - low) for p in range(2)]
             assert b.ll == pytest.approx(want) and b.n_spikes == sum(n)
+
+
+def test_separable_settings_of_batches_equal_those_of_events(spark):
+    settings = sp.Settings(still=(5.0, 20.0), diffusion=(4.0, 15.0), momentum=(2.0,), decay=(0.05, 0.5), initial=3.0)
+    rng = np.random.default_rng(5)
+    events = made_events(1, 10) + [("whole", i, rng.normal(size=(n, 12)) * 3, np.r_[np.ones(n - 1), 0.2 + i % 3 / 4]) for i, n in enumerate([1, 2, 2, 3, 5, 5, 5, 8] * 3)]
+    lost = rng.normal(size=(3, 12))
+    lost[1] = -np.inf  # no place is possible in one bin: no path has a probability
+    got = {}
+    for r in sp.score_settings(frame(spark, [*events, ("lost", 1, lost, np.ones(3))]), GRID, settings, 1.0).collect():
+        got.setdefault((r.session, r.event_index), []).append((r.model, r.scale, r.decay, r.log_evidence))
+    assert len(got) == len(events) + 1 and [r[3] for r in got["lost", 1]] == [-np.inf] * 8
+    finite = 0
+    for s, i, ll, dur in events:
+        with np.errstate(all="ignore"):
+            want = sp.suite(m.Event(ll, CENTRES, (dur[1:] + dur[:-1]) / 2, 1.0, None), settings)
+        mine = {r[:3]: r[3] for r in got[s, i]}
+        assert len(mine) == len(want) == 8
+        for *key, value in want:
+            finite += np.isfinite(value)
+            assert mine[tuple(key)] == (pytest.approx(value, rel=1e-9) if np.isfinite(value) else -np.inf)
+    assert finite > 200
