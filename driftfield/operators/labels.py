@@ -3,38 +3,91 @@
 from __future__ import annotations
 
 import re
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
 from .resampling import draw
-from .tracks import Grid, _cells, as_of, backward, in_intervals, nearest_well, time_cell
+from .tracks import CELL, Grid, as_of, backward, in_intervals, nearest_well
 
 EVENT = ["session", "event_index"]
 #: Settings of the sensitivity grid: radius, dwell and horizon.
 RADII, DWELLS, HORIZONS = (7.5, 10.0, 12.5), (0.1, 0.2, 0.4), (15.0, 30.0, 60.0)
 
 
-def visits(events: DataFrame, position: DataFrame, wells: DataFrame, radii: tuple[float, ...], horizons: tuple[float, ...], at: str = "peak") -> DataFrame:
-    """Runs of samples within a radius of a well after each event, up to a horizon: radius, horizon, well, arrival and dwell.
+def first_visits(events: DataFrame, position: DataFrame, wells: DataFrame, radii: tuple[float, ...], dwells: tuple[float, ...], horizons: tuple[float, ...], at: str = "peak") -> DataFrame:
+    """The first run of samples within a radius of a well after each event that is long enough, up to a horizon: one row per event
+    and setting, with nulls where there is none, and whether the session has wells.
 
-    Samples meet events by time cell, and wells, a handful a session, as an array.
+    Events, samples and the session's few wells meet by blocks of time, which hold the
+    samples of the block after it too, so that each horizon ends inside. Runs are found once for each well and radius of
+    a block, and events look up the run that they begin in and the next one that is long enough: no row is made for a pair of sample and event.
     """
-    longest = F.lit(float(max(horizons)))
-    e = events.select("session", "event_index", F.col(at).alias("_at"), _cells(F.col(at), F.col(at) + longest).alias("_c"))
-    p = position.where(ev.finite(F.col("t")) & ev.finite(F.col("x")) & ev.finite(F.col("y"))).select(F.col("session").alias("_s"), "t", "x", "y", time_cell().alias("_k"))
-    near = e.join(p, (F.col("session") == F.col("_s")) & (F.col("_c") == F.col("_k")) & (F.col("t") >= F.col("_at")) & (F.col("t") <= F.col("_at") + longest)).drop("_s", "_c", "_k")
-    listed = wells.groupBy("session").agg(F.collect_list(F.struct("well_id", "wx", "wy")).alias("_w"))
-    each = near.join(listed, "session").withColumn("w", F.explode("_w")).drop("_w")
-    gap = F.sqrt(F.pow(F.col("x") - F.col("w.wx"), 2) + F.pow(F.col("y") - F.col("w.wy"), 2))
-    each = each.select(*EVENT, "_at", "t", "w.well_id", "w.wx", "w.wy", gap.alias("gap"), F.explode(F.array(*map(F.lit, radii))).alias("radius"), F.array(*map(F.lit, horizons)).alias("_h"))
-    each = each.withColumn("horizon", F.explode("_h")).where(F.col("t") <= F.col("_at") + F.col("horizon")).withColumn("inside", F.col("gap") <= F.col("radius"))
-    keys = [*EVENT, "radius", "horizon", "well_id"]
-    w = Window.partitionBy(*keys).orderBy("t")
-    begins = F.col("inside") & ~F.coalesce(F.lag("inside").over(w), F.lit(False))
-    runs = each.withColumn("_begins", begins.cast("int")).withColumn("run", F.sum("_begins").over(w)).where("inside")
-    return runs.groupBy(*keys, "run").agg(F.min("t").alias("arrival"), (F.max("t") - F.min("t")).alias("dwell_s"), F.first("_at").alias("at"), F.first("wx").alias("wx"), F.first("wy").alias("wy"))
+    longest = float(max(horizons))
+    span, own = max(CELL, longest * 17 / 16), events.schema["event_index"].dataType.simpleString()
+    block = lambda c: F.floor(F.col(c) / span).cast("long")
+    e = events.select("session", "event_index", F.col(at).cast("double").alias("at"), block(at).alias("_c"))
+    p = position.where(ev.finite(F.col("t")) & ev.finite(F.col("x")) & ev.finite(F.col("y"))).select("session", *[F.col(c).cast("double").alias(c) for c in "txy"], F.explode(F.array(block("t"), block("t") - 1)).alias("_c"))
+    w = e.select("session", "_c").distinct().join(wells.select("session", "well_id", F.col("wx").cast("double").alias("x"), F.col("wy").cast("double").alias("y"), F.lit(True).alias("_w")), "session")
+    both = p.unionByName(w, allowMissingColumns=True)
+    kind = pa.int64() if wells.schema["well_id"].dataType.simpleString() == "bigint" else pa.int32()
+    names = ["session", "event_index", "radius", "min_dwell", "horizon", "true_well_id", "true_well_x", "true_well_y", "arrival_time", "time_to_arrival_s", "dwell_s", "known"]
+    shape = f"session string, event_index {own}, radius double, min_dwell double, horizon double, true_well_id {'bigint' if kind == pa.int64() else 'int'}, true_well_x double, true_well_y double, arrival_time double, time_to_arrival_s double, dwell_s double, known boolean"
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        well = left.column("_w").is_valid().to_numpy()
+        numbers = lambda c, of: left.column(c).to_numpy(zero_copy_only=False)[of]
+        t, x, y = (numbers(c, ~well).astype(float) for c in "txy")
+        order = np.lexsort((y, x, t))
+        t, x, y = t[order], x[order], y[order]
+        ids, wx, wy = (numbers(c, well) for c in ("well_id", "x", "y"))
+        line = np.argsort(ids, kind="stable")
+        ids, wx, wy = ids[line].astype(np.int64), wx[line].astype(float), wy[line].astype(float)
+        start = right.column("at").to_numpy(zero_copy_only=False).astype(float)  # an event without a time begins after all samples
+        size, low = len(start), np.searchsorted(t, start)
+        highs = {h: np.searchsorted(t, start + h, "right") for h in horizons}
+        best = {s: (np.full(size, np.inf), np.zeros(size), np.full(size, -1)) for s in product(radii, dwells, horizons)}
+        for i, (cx, cy) in enumerate(zip(wx, wy)):
+            gap = np.sqrt((x - cx) ** 2 + (y - cy) ** 2)
+            for radius in radii:
+                inside = gap <= radius
+                edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
+                first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+                if not len(first):
+                    continue
+                held = np.minimum(low, len(t) - 1)
+                here = (low < len(t)) & inside[held]
+                mine = np.where(here, last[np.maximum(np.searchsorted(first, low, "right") - 1, 0)], 0)
+                for dwell in dwells:
+                    enough = np.flatnonzero(t[last] - t[first] >= dwell)
+                    after = np.searchsorted(first[enough], low, "right")
+                    some = after < len(enough)
+                    run_of = enough[np.minimum(after, len(enough) - 1)] if len(enough) else np.zeros(size, np.int64)
+                    for h in horizons:
+                        high = highs[h]
+                        arrive, stay, at_well = best[radius, dwell, h]
+                        for can, a, b in ((some, first[run_of], last[run_of]), (here, held, mine)):  # the later one first, so that the earlier one stands
+                            b = np.minimum(b, high - 1)
+                            can = can & (a < high)
+                            long = np.where(can, t[np.maximum(b, 0)] - t[a], -1.0)
+                            can &= (long >= dwell) & (t[a] < np.where(at_well == i, np.inf, arrive))
+                            arrive[can], stay[can], at_well[can] = t[a][can], long[can], i
+        index = right.column("event_index").combine_chunks()
+        if pa.types.is_struct(index.type):  # fields that are never null are declared so by Spark, and not in the result
+            index = pa.StructArray.from_arrays(index.flatten(), fields=[f.with_nullable(True) for f in index.type])
+        out = []
+        for (radius, dwell, h), (arrive, stay, at_well) in best.items():
+            none, of = at_well < 0, np.maximum(at_well, 0)
+            take = lambda v: pa.array(v[of] if len(v) else np.zeros(size, v.dtype), mask=none)
+            out.append(pa.table([pa.array([key[0].as_py()] * size, pa.string()), index, *[pa.array(np.full(size, v)) for v in (radius, dwell, h)], take(ids).cast(kind), take(wx), take(wy),
+                                 pa.array(arrive, mask=none), pa.array(np.where(none, 0, arrive) - start, mask=none), pa.array(stay, mask=none), pa.array(np.full(size, len(ids) > 0))], names=names))
+        return pa.concat_tables(out)
+
+    return both.groupBy("session", "_c").cogroup(e.groupBy("session", "_c")).applyInArrow(run, shape)
 
 
 def visit_labels(events: DataFrame, position: DataFrame, wells: DataFrame, radius: float = 10.0, dwell: float = 0.2, horizon: float = 30.0, at: str = "peak") -> DataFrame:
@@ -44,15 +97,10 @@ def visit_labels(events: DataFrame, position: DataFrame, wells: DataFrame, radiu
 
 def sensitivity(events: DataFrame, position: DataFrame, wells: DataFrame, radii=RADII, dwells=DWELLS, horizons=HORIZONS, at: str = "peak") -> DataFrame:
     """The labels under each setting of radius, dwell and horizon: one row per event and setting."""
-    found = visits(events, position, wells, radii, horizons, at).withColumn("min_dwell", F.explode(F.array(*map(F.lit, dwells)))).where(F.col("dwell_s") >= F.col("min_dwell"))
-    setting = ["radius", "min_dwell", "horizon"]
-    first = found.groupBy(*EVENT, *setting).agg(F.min(F.struct("arrival", "well_id", "dwell_s", "wx", "wy")).alias("v"))
-    every = events.select(*EVENT, F.col(at).alias("at"), F.explode(F.array(*map(F.lit, radii))).alias("radius"), F.array(*map(F.lit, dwells)).alias("_d"), F.array(*map(F.lit, horizons)).alias("_h"))
-    every = every.withColumn("min_dwell", F.explode("_d")).withColumn("horizon", F.explode("_h")).drop("_d", "_h")
-    known = wells.select("session").distinct().withColumn("_known", F.lit(True))
-    out = every.join(first, [*EVENT, *setting], "left").join(known, "session", "left")
-    reason = F.when(F.col("v").isNotNull(), "").when(F.col("_known").isNull(), "no_well_locations").otherwise("no_visit_within_horizon")
-    return out.select(*EVENT, *setting, F.col("v.well_id").alias("true_well_id"), F.col("v.wx").alias("true_well_x"), F.col("v.wy").alias("true_well_y"), F.col("v.arrival").alias("arrival_time"), (F.col("v.arrival") - F.col("at")).alias("time_to_arrival_s"), F.col("v.dwell_s").alias("dwell_s"), F.col("v").isNotNull().alias("valid_label"), reason.alias("exclude_reason"))
+    found = first_visits(events, position, wells, radii, dwells, horizons, at)
+    valid = F.col("arrival_time").isNotNull()
+    reason = F.when(valid, "").when(~F.col("known"), "no_well_locations").otherwise("no_visit_within_horizon")
+    return found.withColumn("valid_label", valid).withColumn("exclude_reason", reason).drop("known")
 
 
 def well_places(wells: DataFrame, grid: Grid, radius: float) -> DataFrame:

@@ -66,9 +66,7 @@ from dec d left join (select * from labels where {_ONE}) l using (session, event
 def label_metrics(spark, d):
     """The place where each event's track ends, as a decoded well, against the next visit and the active goal."""
     e, w = rel.short_events(spark, d), wells(spark, d)
-    inside = tracks.event_spikes(rel.position(spark, d), e)
-    ends = inside.groupBy("session", "event_index").agg(F.max(F.struct("t", "x", "y")).alias("z")).select("session", "event_index", F.col("z.x").alias("x"), F.col("z.y").alias("y"))
-    near = tracks.nearest_well(ends, w).select("session", "event_index", F.col("x").alias("endpoint_x"), F.col("y").alias("endpoint_y"), F.col("well_id").alias("decoded_well_id"))
+    near = tracks.nearest_well(tracks.last_inside(rel.position(spark, d), e), w).select("session", "event_index", F.col("x").alias("endpoint_x"), F.col("y").alias("endpoint_y"), F.col("well_id").alias("decoded_well_id"))
     active = tracks.backward(e.select("session", "event_index", F.col("peak").alias("t")), rel.well_sequence(spark, d), "well_id", "fill_t").select("session", "event_index", F.col("well_id").alias("active_goal_id"))
     v = op.visit_labels(e, rel.position(spark, d), w, RADII[0], DWELLS[1], HORIZONS[1])
     m = op.label_metrics(near.join(active, ["session", "event_index"], "left"), v)
