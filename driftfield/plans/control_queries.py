@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from ..functions import likelihood as lk
 from ..operators import controls as op
-from ..operators import gates, models, regression, resampling, separable, synthetic
+from ..operators import batches, gates, models, regression, resampling, separable, synthetic
 from ..sources import relations as rel
 from .model_queries import _LL, DT, _clusterless, _emissions
 from .resampling_queries import _draw
@@ -122,8 +122,8 @@ def heldout_evidence(spark, d):
 @query()
 def ensemble_evidence(spark, d):
     """Spikes and marks as experts of equal weight, under the switching model."""
-    both = op.ensemble(models.binned(_emissions(spark, d)), _clusterless(spark, d))
-    s = models.score_events(both, GRID, ["random", "state-space-first-order-imm"], models.Motion(), DT, prefix="ensemble-")
+    both = _clusterless(spark, d, cells=True)
+    s = batches.score_batched(both, GRID, ["random", "state-space-first-order-imm"], models.Motion(), DT, prefix="ensemble-")
     return s.select("session", "event_index", "model", _r("log_evidence", digits=4))
 
 
